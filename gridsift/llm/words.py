@@ -26,6 +26,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: LOWER with ASCII punctuation as white space.
+BARE = LOWER.copy()
+BARE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -129,12 +132,16 @@ def groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def hashed(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For groups of rows: first row, row after the last, word hashes, word offsets (with A-Z lower-cased)."""
+def placed(column: pa.Array, table: np.ndarray = LOWER) -> Iterator[tuple]:
+    """As hashed(), and the words' starts, ends and the rows' offsets in the bytes of the group."""
     raw, off = text_bytes(column)
     for a, b in groups(off):
-        part = raw[off[a] : off[b]]
-        if lower:
-            part = LOWER[part]
-        starts, ends, at = spans(part, off[a : b + 1] - off[a])
-        yield a, b, word_hashes(part, starts, ends), at
+        part, own = table[raw[off[a] : off[b]]], off[a : b + 1] - off[a]
+        starts, ends, at = spans(part, own)
+        yield a, b, word_hashes(part, starts, ends), at, starts, ends, own
+
+
+def hashed(column: pa.Array, table: np.ndarray = LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For groups of rows: first row, row after the last, word hashes, word offsets (bytes mapped by ``table``: A-Z lower-cased)."""
+    for a, b, h, at, *_ in placed(column, table):
+        yield a, b, h, at
