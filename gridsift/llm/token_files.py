@@ -14,7 +14,10 @@ lanes side by side, by one table of 2 ** longest code entries.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from .bpe import CACHED_WORDS, CHUNK
+from .bpe import CHUNK
 from .session import drop_stage, stage_path
 
 MAGIC = 0x31534449
+#: Word chunks whose ids a Python worker keeps (a cost bound, never a change of results).
+CACHED_WORDS = 900_000
 #: Longest code; raised where the ids in use need more.
 MAX_BITS = 18
 LANE = 256
@@ -42,35 +48,49 @@ class ChunkCache(dict):
     """Word chunk -> its ids as little-endian 32-bit integers, by the tokenizers library."""
 
     def __init__(self, path: str):
-        import re
-
-        from tokenizers import Tokenizer
-
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.chunks = re.compile(CHUNK).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.line_end = self.whole("\n")
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Look up new chunks in one call: joined by line ends, which no chunk crosses and which are one id of their own.
+
+        A mark after a letter or digit at a chunk's end is a word of its own, so only what precedes it is looked up.
+        """
+        if len(self.line_end) != 4:
+            self.update((c, self.whole(c)) for c in chunks)
+            return
+        self.update((c, self.whole(c)) for c in chunks if c.isspace())
+        ended = [c for c in chunks if c[-1] in self.marks and c[-2:-1].isalnum()]
+        words = {c[:-1] for c in ended}.union(c for c in chunks if not c.isspace()).difference(ended)
+        words = [c for c in words if c not in self]
+        raw = self.whole("\n".join(words))
+        cuts = np.flatnonzero(np.frombuffer(raw, np.uint32) == np.frombuffer(self.line_end, np.uint32)) * 4
+        if words:
+            self.update(zip(words, (raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)), strict=True))
+        self.update([(c, self[c[:-1]] + self.marks[c[-1]]) for c in ended])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts; a text with a special string goes to the library whole."""
-        one = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        whole = {t for t in texts if any(s in t for s in self.special)}
-        cut = [None if t in whole else self.chunks(t) for t in texts]
-        new = list({c for cs in cut if cs for c in cs if c not in self})
-        if len(self) + len(new) > CACHED_WORDS:
+        special = {t for s in self.special for t in texts if s in t}
+        cut = [() if t in special else self.chunks(t) for t in texts]
+        found = set().union(*cut)
+        if len(self) + len(found) > CACHED_WORDS:
             self.clear()
-            new = list({c for cs in cut if cs for c in cs})
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
-        return [one(t) if cs is None else b"".join(map(self.__getitem__, cs)) for t, cs in zip(texts, cut, strict=True)]
+        self.learn([c for c in found if c not in self])
+        return [self.whole(t) if t in special else b"".join(map(self.__getitem__, cs)) for t, cs in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
 def chunk_cache(path: str) -> ChunkCache:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkCache(path)
 
