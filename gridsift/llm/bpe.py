@@ -28,8 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Unicode white space (a fixed value). A word chunk is an optional space and a run of other characters: no match of PATTERN crosses its ends.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-TABLE_ENTRIES = 1_500_000
-CACHED_WORDS = 400_000
+TABLE_ENTRIES = 600_000
+CACHED_WORDS = 250_000
 NEVER = 1 << 60
 
 
