@@ -123,19 +123,19 @@ def shingles(h: np.ndarray, word_at: np.ndarray, n: int = 5) -> tuple[np.ndarray
     return np.insert(g, off[short], whole), off + np.concatenate(([0], np.cumsum((words > 0) & (words < n))))
 
 
-def groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about GROUP_BYTES of text."""
+def groups(offsets: np.ndarray, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + GROUP_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield a, b
         a = b
 
 
-def placed(column: pa.Array, table: np.ndarray = LOWER) -> Iterator[tuple]:
+def placed(column: pa.Array, table: np.ndarray = LOWER, size: int = GROUP_BYTES) -> Iterator[tuple]:
     """As hashed(), and the words' starts, ends and the rows' offsets in the bytes of the group."""
     raw, off = text_bytes(column)
-    for a, b in groups(off):
+    for a, b in groups(off, size):
         part, own = table[raw[off[a] : off[b]]], off[a : b + 1] - off[a]
         starts, ends, at = spans(part, own)
         yield a, b, word_hashes(part, starts, ends), at, starts, ends, own
