@@ -5,8 +5,8 @@ sets of Jaccard 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of
 tokens found to be frequent come last, the rest in hash order. So tokens split the work into groups, and no link is
 lost. The groups are used twice:
 
-1. Each set is paired with its groups' least sets. Pairs that survive the bitmaps' bound are compared exactly. The
-   components of their links hold most copies, without pairs inside a large group.
+1. Each set is paired with its groups' least sets. Of those that bitmaps do not rule out, its least is compared with
+   it exactly. The components of these links hold most copies, without pairs inside a large group.
 2. Groups that still span components go to signature trees: leaves are sets, nodes hold OR-combined bitmaps and
    size ranges, and a dual traversal drops node pairs by their largest possible overlap. The remaining pairs across
    components are compared exactly.
@@ -162,34 +162,72 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(_may_link(F.col("n_a"), F.col("n_b"), cols("a"), cols("b"))).select("a", "b")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose whole sets link; ``pairs`` is staged. Sets are rebuilt for these documents only."""
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The texts of the sets in ``pairs`` (a, b), one document of each class (and others that have its doc_id)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = staged(wanted.join(classes.select("set_id", F.col("doc_id").alias("_j_doc")), "set_id").select("_j_doc").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_DOCS
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_j_doc")), "left_semi").select("text")
+    return rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_j_doc")), "left_semi").select("text")
+
+
+def _paired(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs whose values in ``sets`` (set_id, value) pass ``test``, a function of two buffers."""
+    side = lambda k, v: sets.select(F.col("set_id").alias(k), F.col("value").alias(v))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for _, sets in _sets(batch.column(0), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["set_id", "tokens"])
+            keep = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
-    sets = rows.mapInArrow(run, "set_id long, tokens binary")
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]):
+def _of_sets(texts: DataFrame, value, shingle: int) -> DataFrame:
+    """set_id and value (binary) of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * shared >= 80 * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for _, sets in _sets(batch.column(0), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.int64()), pa.array([value(x) for x in sets], pa.binary())], ["set_id", "value"])
+
+    return texts.mapInArrow(run, "set_id long, value binary")
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+def _wide(x: np.ndarray) -> bytes:
+    """Size and bitmap of a set in a power of two of bits, at least twice its size."""
+    bits = np.zeros(1 << max(9, int(2 * len(x) - 1).bit_length()), bool)
+    bits[(x & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.int64(len(x)).tobytes() + np.packbits(bits).tobytes()
+
+
+def _wide_may_link(x, y) -> bool:
+    """As _may_link(), by bitmaps as wide as the sets; the wider is folded onto the other."""
+    nx, ny = (int(np.frombuffer(v, np.int64, 1)[0]) for v in (x, y))
+    x, y = (np.frombuffer(v, np.uint8, -1, 8) for v in (x, y))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), 0).view(np.uint64) for v in (x, y))
+    overlap = min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+    return 9 * overlap >= 4 * (nx + ny)
+
+
+def _link(x, y) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= 80 * (len(x) + len(y) - shared)
+
+
+def narrowed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+    """The staged ``pairs`` of set keys that bitmaps as wide as the sets do not rule out."""
+    wide = staged(_of_sets(_texts_of(docs, classes, pairs, text, doc_id), _wide, shingle).dropDuplicates(["set_id"]), "wide")
+    return staged(_paired(pairs, wide, _wide_may_link), "narrowed")
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+    """The staged ``pairs`` of set keys whose whole sets link. Sets are rebuilt for these documents only."""
+    return staged(_paired(pairs, _of_sets(_texts_of(docs, classes, pairs, text, doc_id), lambda x: x.tobytes(), shingle), _link), "verified")
 
 
 class SignatureTree:
@@ -324,12 +362,15 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     live = staged(rows.join(shared, "token").distinct(), "live", live_path)
     drop_stage(spark, posting_path)
 
-    star = staged(_pruned(live.select(F.col("lead").alias("a"), F.col("set_id").alias("b")).where("a < b").distinct(), classes), "star")
-    links = staged(verified(docs, classes, star, text, doc_id, shingle), "star-links")
+    star = live.select(F.col("lead").alias("a"), F.col("set_id").alias("b")).where("a < b").distinct()
+    star = narrowed(docs, classes, staged(_pruned(star, classes), "star"), text, doc_id, shingle)
+    star = staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    links = verified(docs, classes, star, text, doc_id, shingle)
     labels = staged(components(links), "star-labels")
-    more = staged(_pruned(tree_candidates(live, classes, labels), classes), "tree")
-    more = verified(docs, classes, more.join(star, ["a", "b"], "left_anti"), text, doc_id, shingle)
-    merged = components(staged(links.unionByName(more), "links"))
+    more = staged(tree_candidates(live, classes, labels), "tree")
+    more = narrowed(docs, classes, staged(_pruned(more, classes), "tree"), text, doc_id, shingle)
+    more = verified(docs, classes, more, text, doc_id, shingle)
+    merged = components(links.unionByName(more))
     drop_stage(spark, live_path)
 
     grown = classes.select("set_id", "doc_id").join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))

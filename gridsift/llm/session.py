@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -28,9 +29,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = path or stage_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = path or stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files behind what is now written
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_stage(spark: SparkSession, path: str) -> None:
