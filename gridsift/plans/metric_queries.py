@@ -26,8 +26,8 @@ def _run(src: str) -> str:
 r AS (SELECT *, sum(t) OVER u AS tp, sum(f) OVER u AS fp, sum(t) OVER w AS p, sum(f) OVER w AS n FROM g WINDOW u AS (PARTITION BY method ORDER BY score DESC), w AS (PARTITION BY method))"""
 
 
-_RANK = """SELECT method, round(sum(f * (tp - t + t / 2)) / (max(p) * max(n)), 6) AS auroc,
-round(sum(t * (CASE WHEN tp - t + fp - f > 0 THEN (tp - t) / (tp - t + fp - f) ELSE tp / (tp + fp) END + tp / (tp + fp)) / 2) / max(p), 6) AS aupr, round(max(2 * tp / (tp + fp + p)), 6) AS f1max FROM r GROUP BY method"""
+_RANK = """SELECT method, round(sum(f * (tp - t + t / 2)) / (nullif(max(p), 0) * nullif(max(n), 0)), 6) AS auroc,
+round(sum(t * (CASE WHEN tp - t + fp - f > 0 THEN (tp - t) / (tp - t + fp - f) ELSE tp / (tp + fp) END + tp / (tp + fp)) / 2) / nullif(max(p), 0), 6) AS aupr, CASE WHEN max(p) > 0 THEN round(max(2 * tp / (tp + fp + p)), 6) END AS f1max FROM r GROUP BY method"""
 
 
 def _documents(spark, sf):
