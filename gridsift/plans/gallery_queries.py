@@ -490,3 +490,64 @@ def neighbours(spark, sf):
 @query("e2_unit_vectors_by_split", f"WITH {P}, m AS ({mean_sql('p', 'split')}) SELECT split, {round_sql('e')} AS embedding FROM m")
 def unit_by_split(spark, sf):
     return unit(vector_mean(patches(spark, sf), ["split"], normalise=False), "embedding").select("split", rounded("embedding").alias("embedding"))
+
+
+@query("b6_patch_to_pixel", f'WITH {P} SELECT vec_id, CAST(floor((col + 0.5) * 645 / 10) AS INT) AS x, ("row" + 0.5) * (480 / 10) AS y FROM p')
+def patch_to_pixel(spark, sf):
+    return patches(spark, sf).select("vec_id", geo.patch_to_pixel("col", F.lit(645), 10).alias("x"), geo.patch_to_point("row", F.lit(480), 10).alias("y"))
+
+
+@query("c1_index_vectors", f'WITH {P} SELECT vec_id, round(list_sum(e), 5) AS total FROM p WHERE "row" = 4')
+def index_vectors(spark, sf):
+    p = patches(spark, sf)
+    index = p.where("row = 4").select("vec_id", "image_id", "row", "col")
+    rows = index.join(p.select("image_id", "row", "col", "embedding"), ["image_id", "row", "col"])
+    return rows.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+
+
+@query("i3_name_parsing", """SELECT doc_id, nullif(regexp_extract(n, '^(.+)_([0-9]+)$', 1), '') AS part, TRY_CAST(regexp_extract(n, '^(.+)_([0-9]+)$', 2) AS INT) AS number, replace(n, 's', '__') AS flat
+FROM (SELECT doc_id, source || CASE WHEN doc_id % 3 = 0 THEN '_' || doc_id ELSE '' END AS n FROM documents)""")
+def name_parsing(spark, sf):
+    from ..sources.files import part_and_role
+
+    name = F.concat("source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("_"), F.col("doc_id").cast("string"))).otherwise(""))
+    rows = table(spark, sf, "documents").select("doc_id", name.alias("n"))
+    return rows.select("doc_id", *part_and_role("n"), F.replace("n", F.lit("s"), F.lit("__")).alias("flat"))
+
+
+@query("h22_subsample")
+def subsample(spark, sf):
+    return retrieval.subsample(patches(spark, sf).select("vec_id"), 50, ["vec_id"], 7)
+
+
+@query("f5_morph_open")
+def morph_open(spark, sf):
+    p = patches(spark, sf).withColumn("bit", F.col("label") % 3 > 0)
+    rle = labels.runs(p, ["image_id"], ["row", "col"], "bit").withColumns({"height": F.lit(10), "width": F.lit(10)})
+    return masks.morph_open(rle, ["image_id"], 2)
+
+
+@query("g14_cycle_consistency")
+def cycle_consistency(spark, sf):
+    from ..operators import clusters
+
+    p = patches(spark, sf)
+    side = lambda k, name: p.where(F.col("image_id") == k).withColumnRenamed("vec_id", name)
+    home = side("0", "a_id")
+    views = None
+    for k in ("1", "2"):
+        there = knn.knn_join(home, side(k, "b_id"), 1, "a_id", "b_id").select(F.col("query_id").alias("a_id"), F.col("bank_id").alias("b_id"))
+        back = knn.knn_join(side(k, "b_id"), home, 1, "b_id", "a_id").select(F.col("query_id").alias("b_id"), F.col("bank_id").alias("back"))
+        at = home.select(F.col("a_id").alias("back"), F.col("row").alias("back_row"), F.col("col").alias("back_col"))
+        rows = there.join(back, "b_id").join(at, "back").select(F.lit(k).alias("view"), "a_id", "back_row", "back_col")
+        views = rows if views is None else views.unionByName(rows)
+    centre = vector_mean(home.withColumn("g", F.lit(1)), ["g"]).select(F.col("embedding").alias("_m"))
+    known = home.join(centre, how="cross").select("a_id", "row", "col", cosine("embedding", "_m").alias("self_similarity"))
+    return clusters.cycle_consistency(home, views, known, 0.4, 0.9, 8, 14)
+
+
+@query("i4_json_records", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def json_records(spark, sf):
+    from ..sources.files import read_json_records
+
+    return read_json_records(table(spark, sf, "events").select("event_id", "props"), "props", "k int").select("event_id", "record.k")
