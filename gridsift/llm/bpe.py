@@ -28,8 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Unicode white space (a fixed value). A word chunk is an optional space and a run of other characters: no match of PATTERN crosses its ends.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-TABLE_ENTRIES = 600_000
-CACHED_WORDS = 250_000
+TABLE_ENTRIES = 250_000
+CACHED_WORDS = 200_000
 NEVER = 1 << 60
 
 
@@ -90,24 +90,25 @@ class Automaton:
     def _reset(self) -> None:
         self.allowed.clear()
         self.delta: dict[int, int] = {}
-        self.states: dict[tuple, int] = {}
-        self.open: list[tuple] = []
+        self.states: dict[tuple[int, ...], int] = {}
+        self.open: list[tuple[int, ...]] = []
         self.last: list[int] = []
-        self.start = self._state(((0, -1),), -1)
+        self.start = self._state((0,), -1)
 
-    def _state(self, arcs: tuple, last: int) -> int:
-        key = (last, arcs)
-        s = self.states.get(key)
+    def _state(self, arcs: tuple[int, ...], last: int) -> int:
+        """The number of a set of open arcs: for each, its place in the trie and (plus 1) the token it follows."""
+        s = self.states.get(arcs)
         if s is None:
-            s = self.states[key] = len(self.open)
+            s = self.states[arcs] = len(self.open)
             self.open.append(arcs)
             self.last.append(last)
         return s
 
     def _step(self, s: int, b: int) -> int:
         arcs, last = [], -1
-        for node, t in self.open[s]:
-            nxt = self.trie[node].get(b)
+        for arc in self.open[s]:
+            t = (arc & 0xFFFFFF) - 1
+            nxt = self.trie[arc >> 24].get(b)
             if nxt is None:
                 continue
             w = self.token_at[nxt]
@@ -118,8 +119,8 @@ class Automaton:
                 if ok:
                     last = w
             if self.trie[nxt]:
-                arcs.append((nxt, t))
-        arcs.append((0, last))
+                arcs.append(nxt << 24 | t + 1)
+        arcs.append(last + 1)
         to = self.delta[s << 8 | b] = self._state(tuple(arcs), last)
         return to
 
@@ -170,6 +171,11 @@ class Codec(dict):
         self[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that goes on to other work holds their memory no longer."""
+        self.clear()
+        self.automaton._reset()
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; special strings get their own ids."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -207,6 +213,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
             for batch in _batches(whole):
                 got = [c.encode(t) if t else b"" for t in batch.column(kept.index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*kept, ids])
+        c.forget()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
 
