@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import itertools
 import tempfile
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _NUMBER = itertools.count()
 _OWN = uuid.uuid4().hex[:12]
+_ROOTS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/gridsift-{_OWN}/{next(_NUMBER)}-{name}"
+    root = f"{shared_dir(spark)}/gridsift-{_OWN}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_drop_root, root)
+    return f"{root}/{next(_NUMBER)}-{name}"
+
+
+def _drop_root(root: str) -> None:
+    """At the driver's exit, its intermediate tables go, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        drop_stage(spark, root)
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

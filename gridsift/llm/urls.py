@@ -94,8 +94,8 @@ def rejected(tree: DataFrame, purity: float = PURITY, weight: float = PRIOR_WEIG
     """host, lexical, template of the paths whose template's smoothed labelled purity reaches ``purity``."""
     c = F.col
     by = tree.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a"))
-    prior = tree.agg((F.sum("n_block") / F.greatest(F.sum(c("n_block") + c("n_allow")), F.lit(1))).alias("prior"))
-    bad = by.crossJoin(F.broadcast(prior)).where((c("b") > 0) & ((c("b") + weight * c("prior")) / (c("a") + c("b") + weight) >= purity)).select("host", "template")
+    prior = tree.agg((F.sum("n_block") / F.greatest(F.sum(c("n_block") + c("n_allow")), F.lit(1))).alias("prior")).scalar()
+    bad = by.where((c("b") > 0) & ((c("b") + weight * prior) / (c("a") + c("b") + weight) >= purity)).select("host", "template")
     return tree.join(bad, ["host", "template"], "left_semi").select("host", "lexical", "template")
 
 
