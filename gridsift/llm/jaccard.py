@@ -5,9 +5,9 @@ sets of Jaccard 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of
 tokens found to be frequent come last, the rest in hash order. So tokens split the work into groups, and no link is
 lost. The groups are used twice:
 
-1. Each set is paired with its groups' least sets. Of those that bitmaps do not rule out, its least is compared with
-   it exactly. The components of these links hold most copies, without pairs inside a large group.
-2. Groups that still span components go to signature trees: leaves are sets, nodes hold OR-combined bitmaps and
+1. Each set is paired with the least sets of its groups, the ``LEADS`` that most of its groups have. Of those that
+   bitmaps do not rule out, the least is compared with it exactly. The components of these links hold most copies, without pairs inside a large group.
+2. Groups that still span components go to signature trees, first for each set's nearest others, then for all pairs: leaves are sets, nodes hold OR-combined bitmaps and
    size ranges, and a dual traversal drops node pairs by their largest possible overlap. The remaining pairs across
    components are compared exactly.
 
@@ -34,6 +34,10 @@ MOST_FREQUENT = 2_000_000
 #: Sets in a group, or in two blocks of one, that a signature tree is built for.
 GROUP = 4096
 FANOUT = 8
+#: First tries of a set. What they miss is left to the trees, so results do not depend on it.
+LEADS = 2
+#: Second tries: a set's nearest others in a group that its component does not hold. Again, the rest is left to the trees.
+NEAREST = 3
 #: Most documents whose ids are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_DOCS = 2_000_000
 _BITS = 512
@@ -105,7 +109,7 @@ def describe(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame
 
 
 def frequent_tokens(meta: DataFrame) -> np.ndarray:
-    """The sorted tokens that tasks found frequent; of more than MOST_FREQUENT, those that most tasks found."""
+    """The sorted tokens that tasks found frequent; of more than MOST_FREQUENT, those that so many tasks found that they are fewer."""
 
     def tokens(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -113,8 +117,15 @@ def frequent_tokens(meta: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["token"])
 
     rows = meta.where(F.col("frequent").isNotNull()).select("frequent").mapInArrow(tokens, "token long")
-    rows = rows.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
-    return np.sort(rows.select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    rows = staged(rows.groupBy("token").agg(F.count("*").alias("n")), "frequent")
+    least, total = 1, 0
+    for r in sorted(rows.groupBy("n").agg(F.count("*").alias("tokens")).collect(), reverse=True):  # a row for each number of tasks
+        total += r.tokens
+        if total > MOST_FREQUENT:
+            least = r.n + 1
+            break
+    found = rows.where(F.col("n") >= least).select("token").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def postings(docs: DataFrame, frequent, text: str, shingle: int) -> DataFrame:
@@ -251,6 +262,12 @@ def _possible(x: tuple, y: tuple) -> np.ndarray:
     return (5 * x[1] >= 4 * y[0]) & (5 * y[1] >= 4 * x[0]) & (9 * overlap >= 4 * (x[0] + y[0]))
 
 
+def _possible_sets(x: tuple, y: tuple) -> np.ndarray:
+    """The closer bound for two sets, by the bits that each lacks."""
+    lost = lambda a, b: np.bitwise_count(a & ~b).sum(1, dtype=np.int64)
+    return 9 * np.minimum(x[0] - lost(x[3], y[3]), y[0] - lost(y[3], x[3])) >= 4 * (x[0] + y[0])
+
+
 def traverse(s: SignatureTree, t: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
     """Dual traversal from the roots' level: positions (in s and in t) of the pairs of sets that may link.
 
@@ -274,7 +291,8 @@ def traverse(s: SignatureTree, t: SignatureTree) -> tuple[np.ndarray, np.ndarray
         if not len(i):
             continue
         if not ls and not lt:
-            keep = i < j if same else np.ones(len(i), bool)
+            keep = _possible_sets(tuple(x[i] for x in s.levels[0]), tuple(x[j] for x in t.levels[0]))
+            keep &= i < j if same else True
             out.append((s.order[i[keep]], t.order[j[keep]]))
             continue
         ds, dt = (ls >= lt), (lt >= ls)
@@ -292,8 +310,22 @@ def traverse(s: SignatureTree, t: SignatureTree) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _group_pairs(batches: Iterator[pa.RecordBatch]):
-    """Rows sorted by (token, i, j) to candidate pairs across components, group by group."""
+def _nearest(p: np.ndarray, q: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the pairs are among the ``NEAREST`` of either of their sets, by shared bits over sizes."""
+    if not len(p):
+        return np.zeros(0, bool)
+    bits = bits.view(np.uint64)
+    score = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64) / np.bitwise_count(bits[p] | bits[q]).sum(1, dtype=np.int64)
+    ends, pair = np.concatenate((p, q)), np.tile(np.arange(len(p)), 2)
+    order = np.lexsort((pair, -score[pair], ends))
+    first = np.searchsorted(ends[order], ends[order], "left")
+    keep = np.zeros(len(p), bool)
+    keep[pair[order][np.arange(len(order)) - first < NEAREST]] = True
+    return keep
+
+
+def _group_pairs(batches: Iterator[pa.RecordBatch], nearest: bool = False):
+    """Rows sorted by (token, i, j) to candidate pairs across components, group by group: all, or each set's nearest."""
     held: list[tuple] = []
     last = None
 
@@ -310,7 +342,11 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]):
             p, q = traverse(SignatureTree(n[left], bits[left]), SignatureTree(n[right], bits[right]))
             p, q = left[p], right[q]
         keep = comp[p] != comp[q]
-        a, b = ids[p[keep]], ids[q[keep]]
+        p, q = p[keep], q[keep]
+        if nearest:
+            keep = _nearest(p, q, n, bits)
+            p, q = p[keep], q[keep]
+        a, b = ids[p], ids[q]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
@@ -328,8 +364,11 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]):
         yield found
 
 
-def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets of different components that share a group and that no node pair's bound rules out."""
+def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame, nearest: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of sets of different components that share a group and that no node pair's bound rules out.
+
+    With ``nearest``, only those that are among the nearest of either set in a group.
+    """
     rows = live.select("token", "set_id").join(labels.withColumnsRenamed({"node": "set_id"}), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))
     h = F.xxhash64("set_id")
     groups = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y")).where("lo < hi")
@@ -340,7 +379,7 @@ def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     other = F.when(F.col("size") > GROUP, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(0).cast("long")))
     rows = rows.withColumn("block", own).withColumn("other", F.explode(other))
     rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "comp", F.col("n").cast("long").alias("n"), *_LONGS)
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_group_pairs, "a long, b long").distinct()
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda batches: _group_pairs(batches, nearest), "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
@@ -362,13 +401,18 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     live = staged(rows.join(shared, "token").distinct(), "live", live_path)
     drop_stage(spark, posting_path)
 
-    star = live.select(F.col("lead").alias("a"), F.col("set_id").alias("b")).where("a < b").distinct()
+    leads = live.where("lead < set_id").groupBy("set_id", "lead").agg(F.count("*").alias("k"))
+    leads = leads.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS).alias("x"))  # at most one lead for each prefix token
+    star = leads.select(F.explode("x.lead").alias("a"), F.col("set_id").alias("b"))
     star = narrowed(docs, classes, staged(_pruned(star, classes), "star"), text, doc_id, shingle)
     star = staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     links = verified(docs, classes, star, text, doc_id, shingle)
     labels = staged(components(links), "star-labels")
+    near = staged(tree_candidates(live, classes, labels, nearest=True), "near")
+    links = staged(links.unionByName(verified(docs, classes, narrowed(docs, classes, near, text, doc_id, shingle), text, doc_id, shingle)), "near-links")
+    labels = staged(components(links), "near-labels")
     more = staged(tree_candidates(live, classes, labels), "tree")
-    more = narrowed(docs, classes, staged(_pruned(more, classes), "tree"), text, doc_id, shingle)
+    more = narrowed(docs, classes, more, text, doc_id, shingle)
     more = verified(docs, classes, more, text, doc_id, shingle)
     merged = components(links.unionByName(more))
     drop_stage(spark, live_path)
