@@ -41,7 +41,7 @@ LANE = 256
 #: Ids in a block, at least; a block holds whole documents.
 BLOCK_IDS = 1 << 19
 #: Ids in a part, about.
-PART_IDS = 1 << 25
+PART_IDS = 1 << 24
 
 
 class ChunkCache(dict):
@@ -104,8 +104,8 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", do
     def run(batches: Iterator[pa.RecordBatch]):
         cache, end = chunk_cache(vocabulary), int(end_id).to_bytes(4, "little")
         for whole in batches:
-            for i in range(0, whole.num_rows, 128):
-                batch = whole.slice(i, 128)
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
                 got = cache.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in got], pa.binary())], ["doc_id", "ids"])
 
@@ -118,11 +118,10 @@ def counts(coded: DataFrame, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                part = np.bincount(np.frombuffer(x.as_py() or b"", "<u4"))
-                if len(part) > len(total):
-                    total, part = part.astype(np.int64), total
-                total[: len(part)] += part
+            part = np.bincount(np.frombuffer(b"".join(x or b"" for x in batch.column(0).to_pylist()), "<u4"))
+            if len(part) > len(total):
+                total, part = part.astype(np.int64), total
+            total[: len(part)] += part
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
@@ -190,10 +189,10 @@ def pack(ids: np.ndarray, sizes: np.ndarray, code: np.ndarray, bits: np.ndarray)
     window = code[ids] << (np.uint64(40) - b.astype(np.uint64) - (at & 7).astype(np.uint64))
     total = int(doc_bytes.sum())
     out = np.zeros(total + 5)
-    for k in range(5):
+    first_byte = at >> 3
+    for k in range((int(bits.max(initial=0)) + 14) >> 3):
         part = ((window >> np.uint64(32 - 8 * k)) & np.uint64(255)).astype(np.float64)
-        some = np.flatnonzero(part) if k > 2 else slice(None)
-        out += np.bincount((at[some] >> 3) + k, part[some], len(out))[: len(out)]
+        out[k:] += np.bincount(first_byte, part, len(out))[: len(out) - k]
     lanes = (sizes + LANE - 1) // LANE
     which = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     return out[:total].astype(np.uint8), doc_bytes, upto[np.repeat(first[:-1], lanes) + which * LANE] - np.repeat(upto[first[:-1]], lanes)
