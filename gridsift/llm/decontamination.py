@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are lower-cased and punctuation counts as white space. A seed is a window of ``SEED`` words of a test item
-(of all its words, if it has fewer). How many documents hold each seed is counted over all documents; a seed far
-more frequent than its item's median seed is common language, and dropped. An item that leaked into many documents
-keeps its seeds, as its median rises with it. Around seeds that lie on nearby diagonals, the whole item is aligned
-with the document's words (match +2, mismatch and gap -1); score is the best local score over that of a full match.
+(of all its words, if it has fewer). Every seed counts, however many documents hold it. Around seeds that lie on
+nearby diagonals, the whole item is aligned with the document's words (match +2, mismatch and gap -1); score is the
+best local score over that of a full match. Windows are not aligned if they hold fewer of the item's words than any
+score of the threshold needs, so common language costs little and no passage is lost.
 
-Test items are worked on in blocks of at most ``BLOCK_WORDS`` words, whatever their number; each block is two passes
-over the documents without a shuffle of texts. Only counts by seed of one block come to the driver.
+Test items are worked on in blocks of at most ``BLOCK_WORDS`` words, whatever their number; each block is one pass
+over the documents without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .words import BARE, grams, hashed, placed
 SEED = 3
 BLOCK_WORDS = 2_000_000
 THRESHOLD = 0.4
-#: A seed is common if more than COMMON * (median of its item + 2) documents hold it.
-COMMON = 4
+#: Most seed hits (item, place) that are held at once; a document with more is worked on alone.
+HITS = 1 << 20
+#: Most windows, and most cells of one item word's row over them, that are aligned at once; a wider window is aligned alone.
+WINDOWS, CELLS = 256, 1 << 20
 _BIG = 1 << 32
 _FILTER = 22
 
@@ -44,23 +46,13 @@ class Items:
                 n = min(SEED, len(w))
                 g, _ = grams(w, np.array([0, len(w)]), n)
                 uses.setdefault(n, []).append((g, np.full(len(g), i), np.arange(len(g))))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.seeds = {}
         for n, found in uses.items():
             g, item, k = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(g, kind="stable")
             self.seeds[n] = (g[order], item[order], k[order])
 
-    def keep_rare(self, df: dict[int, dict[int, int]]) -> Items:
-        """Without seeds that are common for their item, by the number of documents that hold each."""
-        for n, (g, item, k) in self.seeds.items():
-            held = np.array([df.get(n, {}).get(int(x), 0) for x in g.view(np.int64)], np.int64)
-            keep = np.zeros(len(g), bool)
-            order = np.argsort(item, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-                keep[part] = held[part] <= COMMON * (np.median(held[part]) + 2)
-            self.seeds[n] = (g[keep], item[keep], k[keep])
-        return self
-
     def found(self, g: np.ndarray, n: int) -> np.ndarray:
         """Positions in ``g`` of windows that are seeds."""
         if n not in self._filters:
@@ -108,47 +100,82 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return best >> 32, _BIG - 1 - (best & (_BIG - 1)), end
 
 
+def _slices(doc: np.ndarray, reps: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of places, sorted by document, with at most ``HITS`` hits or one document each."""
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(doc) != 0)), len(doc))
+    total = np.concatenate(([0], np.cumsum(reps)))[cuts]
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, "right")) - 1)
+        yield int(cuts[a]), int(cuts[b])
+        a = b
+
+
+def _chunks(width: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of windows, sorted by width, that are aligned at once."""
+    a = 0
+    while a < len(width):
+        cells = width[a : a + WINDOWS] * np.arange(1, len(width[a : a + WINDOWS]) + 1)
+        b = a + max(1, int(np.searchsorted(cells, CELLS, "right")))
+        yield a, b
+        a = b
+
+
+def _enough(item: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> np.ndarray:
+    """Which windows h[lo:hi] hold so many of the item's words that a score of ``threshold`` is possible at all."""
+    known, keep = np.unique(item), np.zeros(len(lo), bool)
+    for a, b in _chunks(hi - lo):
+        size = hi[a:b] - lo[a:b]
+        start = np.cumsum(size) - size
+        x = h[np.arange(size.sum()) + np.repeat(lo[a:b] - start, size)]
+        same = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+        keep[a:b] = np.add.reduceat(same, start, dtype=np.int64) / len(item) >= threshold
+    return keep
+
+
+def _passages(items: Items, hits: np.ndarray, h: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row, item, score, first word, last word) of windows around ``hits`` (item, row, diagonal) that reach ``threshold``."""
+    item, doc, diagonal = np.unique(hits, axis=1)
+    size = items.sizes[item]
+    new = np.ones(len(item), bool)
+    new[1:] = (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(diagonal) > size[1:])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(item)) - 1
+    lo = np.maximum(diagonal[first] - size[first] // 2 - 2, at[doc[first]])
+    hi = np.minimum(diagonal[last] + size[first] + size[first] // 2 + 2, at[doc[first] + 1])
+    edges = np.flatnonzero(np.append(True, np.diff(item[first]) != 0))
+    for x, y in zip(edges, [*edges[1:], len(first)], strict=True):
+        i = int(item[first[x]])
+        order = np.arange(x, y)[np.argsort((hi - lo)[x:y], kind="stable")]
+        order = order[_enough(items.words[i], h, lo[order], hi[order], threshold)]
+        for a, b in _chunks((hi - lo)[order]):
+            part = order[a:b]
+            for p, v, s, e in zip(part, *align(items.words[i], [h[lo[p] : hi[p]] for p in part]), strict=True):
+                v = float(v) / (2 * len(items.words[i]))
+                if v >= threshold:
+                    yield int(doc[first[p]]), i, v, lo[p] + s, lo[p] + e - 1
+
+
 def aligned(items: Items, column: pa.Array, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, start, end) of the rows' best passages of at least ``threshold``; start and end are byte offsets in the text."""
     out = []
     for a, _, h, at, starts, ends, own in placed(column, BARE):
-        hits = []
+        best: dict[tuple[int, int], tuple] = {}
         for n, (table, item, k) in items.seeds.items():
             g, off = grams(h, at, n)
             pos = items.found(g, n)
             if not len(pos):
                 continue
-            lo, hi = np.searchsorted(table, g[pos], "left"), np.searchsorted(table, g[pos], "right")
-            reps = hi - lo
-            use = np.repeat(lo - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            left, right = np.searchsorted(table, g[pos], "left"), np.searchsorted(table, g[pos], "right")
             doc = np.searchsorted(off, pos, "right") - 1
             word = pos - off[doc] + at[doc]
-            hits.append(np.stack((item[use], np.repeat(doc, reps), np.repeat(word, reps) - k[use])))
-        if not hits:
-            continue
-        hits = np.unique(np.concatenate(hits, 1), axis=1)
-        item, doc, diagonal = hits
-        size = np.array([len(items.words[i]) for i in item])
-        new = np.ones(len(item), bool)
-        new[1:] = (np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(diagonal) > size[1:])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(item)) - 1
-        lo = np.maximum(diagonal[first] - size[first] // 2 - 2, at[doc[first]])
-        hi = np.minimum(diagonal[last] + size[first] + size[first] // 2 + 2, at[doc[first] + 1])
-        best: dict[tuple[int, int], tuple] = {}
-        edges = np.flatnonzero(np.append(True, np.diff(item[first]) != 0))
-        for x, y in zip(edges, [*edges[1:], len(first)], strict=True):
-            i = int(item[first[x]])
-            order = np.arange(x, y)[np.argsort((hi - lo)[x:y], kind="stable")]
-            for c in range(0, len(order), 256):
-                part = order[c : c + 256]
-                score, s, e = align(items.words[i], [h[lo[p] : hi[p]] for p in part])
-                for p, v, b, f in zip(part, score, s, e, strict=True):
-                    v = float(v) / (2 * len(items.words[i]))
-                    key = (int(doc[first[p]]), i)
-                    if v >= threshold and (key not in best or v > best[key][0]):
-                        b, f = lo[p] + b, lo[p] + f - 1
-                        best[key] = (v, int(starts[b] - own[key[0]]), int(ends[f] - own[key[0]]))
+            for x, y in _slices(doc, right - left):
+                lo, reps = left[x:y], (right - left)[x:y]
+                use = np.repeat(lo - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+                hits = np.stack((item[use], np.repeat(doc[x:y], reps), np.repeat(word[x:y], reps) - k[use]))
+                for d, i, v, s, e in _passages(items, hits, h, at, threshold):
+                    if (d, i) not in best or v > best[d, i][0]:
+                        best[d, i] = (v, int(starts[s] - own[d]), int(ends[e] - own[d]))
         out += [(a + d, i, *x) for (d, i), x in best.items()]
     return out
 
@@ -167,35 +194,10 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def document_counts(docs: DataFrame, items: Items, text: str = "text") -> dict[int, dict[int, int]]:
-    """By seed length, how many documents hold each seed of the block (as signed hashes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        held: dict[int, np.ndarray] = {n: np.zeros(len(np.unique(t[0])), np.int64) for n, t in items.seeds.items()}
-        seeds = {n: np.unique(t[0]) for n, t in items.seeds.items()}
-        for batch in batches:
-            for _, _, h, at in hashed(batch.column(0), BARE):
-                for n in seeds:
-                    g, off = grams(h, at, n)
-                    pos = items.found(g, n)
-                    if len(pos):
-                        pair = np.unique(np.stack((np.searchsorted(off, pos, "right"), np.searchsorted(seeds[n], g[pos]))), axis=1)
-                        held[n] += np.bincount(pair[1], minlength=len(seeds[n]))
-        for n, c in held.items():
-            some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n), pa.int32()), pa.array(seeds[n][some].view(np.int64)), pa.array(c[some])], ["n", "seed", "held"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "n int, seed long, held long").groupBy("n", "seed").agg(F.sum("held").alias("held"))
-    out: dict[int, dict[int, int]] = {}
-    for r in rows.collect():  # one row for each seed of the block at most
-        out.setdefault(r.n, {})[r.seed] = r.held
-    return out
-
-
-def prepared(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> list:
-    """Broadcast blocks of items with their rare seeds, counted over all documents."""
+def prepared(docs: DataFrame, benchmark: DataFrame, item_text: str = "text", item_id: str = "item_id") -> list:
+    """Broadcast blocks of items."""
     spark = docs.sparkSession
-    return [spark.sparkContext.broadcast(b.keep_rare(document_counts(docs, b, text))) for b in _blocks(benchmark, item_text, item_id)]
+    return [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_text, item_id)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -204,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
     Null or empty texts and items never match; repeated documents and items each give their rows; other columns of
     either table are ignored. Scores do not depend on how documents are split over tasks.
     """
-    parts = [_leaks(docs, b, threshold, text, doc_id) for b in prepared(docs, benchmark, text)]
+    parts = [_leaks(docs, b, threshold, text, doc_id) for b in prepared(docs, benchmark)]
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_byte long, end_byte long")
     out = parts[0]
@@ -230,7 +232,7 @@ def _leaks(docs: DataFrame, block, threshold: float, text: str, doc_id: str) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a passage that reaches ``threshold``, with all their columns; no shuffle."""
-    for block in prepared(docs, benchmark, text):
+    for block in prepared(docs, benchmark):
         docs = _clean(docs, block, threshold, text)
     return docs
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import string
@@ -84,3 +85,30 @@ def test_long_text_and_hot_passage():
     items = dc.Items([7], [text])
     found = dc.aligned(items, pa.array([("zz " * 300_000) + text, text * 0]))
     assert [(f[0], f[1], f[2]) for f in found] == [(0, 0, 1.0)]
+
+
+def test_partial_copies_in_many_documents(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    for times, kind in itertools.product((5, 50, 500), ("fifth", "part")):
+        item = [word() for _ in range(40)]
+        copy = item[4:22] if kind == "part" else [word() if k % 5 == 4 else x for k, x in enumerate(item)]
+        docs = [(k, " ".join([word() for _ in range(20)] + (copy if k % 2 else []) + [word() for _ in range(20)])) for k in range(2 * times)]
+        d = spark.createDataFrame(docs, "doc_id long, text string")
+        b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        got = {r.doc_id: r.score for r in dc.leaks(d, b).collect()}
+        assert got == {k: smith_waterman(item, words(t)) for k, t in docs if k % 2}, (times, kind)
+        assert sorted(r.doc_id for r in dc.decontaminated(d, b).collect()) == [k for k, _ in docs if k % 2 == 0]
+
+
+def test_many_hits_and_wide_windows_give_the_same(monkeypatch):
+    docs, items = corpus()
+    texts = pa.array([t for _, t in docs] + [" ".join(t or "" for _, t in docs)])
+    block = dc.Items([i for i, _ in items], [t for _, t in items])
+    whole = sorted(dc.aligned(block, texts))
+    assert whole
+    for name, value in (("HITS", 1), ("CELLS", 50), ("WINDOWS", 3)):
+        monkeypatch.setattr(dc, name, value)
+        assert sorted(dc.aligned(block, texts)) == whole
+    monkeypatch.setattr(dc, "_enough", lambda item, h, lo, hi, threshold: np.ones(len(lo), bool))
+    assert sorted(dc.aligned(block, texts)) == whole
