@@ -22,9 +22,14 @@ BROADCAST_ROWS = 1_000_000
 
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
     """``docs`` without the rows that ``rejected`` (doc_id, text_hash) names."""
-    rejected = staged(rejected.select(F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash")).distinct(), name)
-    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_r_id")) & (F.xxhash64("text") == F.col("_r_hash")), "left_anti")
+    return _matched(docs, staged(rejected.select("doc_id", "text_hash").distinct(), name), "left_anti")
+
+
+def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined by ``how`` to the staged distinct ``rows`` (doc_id, text_hash)."""
+    rows = rows.select(F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash"))
+    side = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_r_id")) & (F.xxhash64("text") == F.col("_r_hash")), how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,20 +46,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id.
+    """One row of each class of near copies: the first by doc_id, nulls last, then by the text's hash.
 
-    A row without a doc_id goes if its class has a doc_id. Repeated rows of one doc_id and text become one.
+    Rows without words are no one's copies. Repeated rows of one doc_id and text become one.
     """
     small_batches(spark)
-    found = jaccard.jaccard_classes(docs)
-    copies = staged(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", F.lit(0).alias("x")).distinct(), "copies")
-    side = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    rest = docs.join(side.select(F.col("doc_id").alias("_r_id")), F.col("doc_id").eqNullSafe(F.col("_r_id")), "left_anti")
-    again = staged(rest.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_r_id")), "repeated-ids")
+    found = staged(jaccard.jaccard_firsts(docs), "firsts")
+    rest = _without(docs, found.where(~F.col("first")), "copies")
+    again = staged(found.where("first").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-rows")
     if not again.head(1):
         return rest
-    repeated = F.col("doc_id").eqNullSafe(F.col("_r_id"))
-    return rest.join(again, repeated, "left_anti").unionByName(rest.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return _matched(rest, again, "left_anti").unionByName(_matched(rest, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

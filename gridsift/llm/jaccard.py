@@ -73,8 +73,12 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 _META = "doc_id long, n int, set_id long, " + ", ".join(f"{c} long" for c in _LONGS) + ", frequent binary"
 
 
-def describe(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """A row for each document (its set's size, key and bitmap), and rows that only hold a task's frequent tokens."""
+def describe(docs: DataFrame, text: str, doc_id: str, shingle: int, text_hash: bool = False) -> DataFrame:
+    """A row for each document (its set's size, key and bitmap), and rows that only hold a task's frequent tokens.
+
+    With ``text_hash``, a document's row has the hash of its text too.
+    """
+    names = ["doc_id", "n", "set_id", *_LONGS, "frequent", *(["text_hash"] if text_hash else [])]
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, size, seen, found = [], 0, set(), []
@@ -99,13 +103,14 @@ def describe(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame
                 if size >= WINDOW:
                     reduce()
                 cols = [batch.column(0).slice(a, len(sets)), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.int64()), *(pa.array(sig[:, i]) for i in range(len(_LONGS))), pa.nulls(len(sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "set_id", *_LONGS, "frequent"])
+                yield pa.RecordBatch.from_arrays([*cols, *(c.slice(a, len(sets)) for c in batch.columns[2:])], names)
         reduce()
         tokens = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         nulls = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (1 + len(_LONGS))]
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array([tokens.tobytes()], pa.binary())], ["doc_id", "n", "set_id", *_LONGS, "frequent"])
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array([tokens.tobytes()], pa.binary()), *([pa.nulls(1, pa.int64())] if text_hash else [])], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _META)
+    more = [F.xxhash64(text).alias("text_hash")] if text_hash else []
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(run, _META + (", text_hash long" if text_hash else ""))
 
 
 def frequent_tokens(meta: DataFrame) -> np.ndarray:
@@ -382,19 +387,18 @@ def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame, near
     return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda batches: _group_pairs(batches, nearest), "a long, b long").distinct()
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
+def _components(docs: DataFrame, text: str, doc_id: str, shingle: int, text_hash: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of describe() for documents, and set_id, doc_id (its least), comp of each set that is not empty.
 
-    n_shingles is the size of the row's set; component_id is the smallest doc_id that links of Jaccard 0.8 or more
-    reach, itself included. A null, empty or wordless text has no shingles and only its own component. Equal texts
-    always share a component; a null doc_id counts as larger than any. Repeated doc_ids give a row each.
+    With ``text_hash``, sets have ``least`` too: no_id, doc_id and text_hash of the first of their documents in that order.
     """
     spark = docs.sparkSession
     meta_path, posting_path, live_path = (stage_path(spark, x) for x in ("sets", "postings", "live"))
-    meta = staged(describe(docs, text, doc_id, shingle), "sets", meta_path)
+    meta = staged(describe(docs, text, doc_id, shingle, text_hash), "sets", meta_path)
     own = meta.where(F.col("frequent").isNull()).drop("frequent")
     some = own.where("n > 0")
-    classes = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _LONGS]), "classes")
+    least = [F.min(_row()).alias("least")] if text_hash else []
+    classes = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _LONGS], *least), "classes")
     frequent = spark.sparkContext.broadcast(frequent_tokens(meta))
     rows = staged(postings(docs, frequent, text, shingle), "postings", posting_path)
     shared = rows.groupBy("token").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("other")).where("lead < other").select("token", "lead")
@@ -417,8 +421,36 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     merged = components(links.unionByName(more))
     drop_stage(spark, live_path)
 
-    grown = classes.select("set_id", "doc_id").join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))
+    sets = classes.select("set_id", "doc_id", *(["least"] if text_hash else []))
+    return own, sets.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))
+
+
+def _row() -> Column:
+    """What orders documents of a component: doc_id, nulls last, then the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
+def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``.
+
+    n_shingles is the size of the row's set; component_id is the smallest doc_id that links of Jaccard 0.8 or more
+    reach, itself included. A null, empty or wordless text has no shingles and only its own component. Equal texts
+    always share a component; a null doc_id counts as larger than any. Repeated doc_ids give a row each.
+    """
+    own, grown = _components(docs, text, doc_id, shingle)
     least = grown.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_set = grown.join(least, "comp").select("set_id", "component_id")
     out = own.join(of_set, "set_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_firsts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5) -> DataFrame:
+    """doc_id, text_hash, first of every row of ``docs``: whether it is the first of its component by doc_id, nulls last, then text hash.
+
+    Components are those of jaccard_classes(), whatever the doc_ids. Rows that agree in doc_id and text are all first or
+    none is; rows without shingles are first.
+    """
+    own, grown = _components(docs, text, doc_id, shingle, text_hash=True)
+    least = grown.groupBy("comp").agg(F.min("least").alias("least"))
+    out = own.join(grown.select("set_id", "comp").join(least, "comp").select("set_id", "least"), "set_id", "left")
+    return out.select("doc_id", "text_hash", ((F.col("n") == 0) | _row().eqNullSafe(F.col("least"))).alias("first"))

@@ -52,3 +52,21 @@ def test_rows_are_told_apart(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_class_whatever_the_ids(spark, tmp_path):
+    text = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdefg"]
+    a, b, c, d, e, f, g = text
+    unique = [(None, b), (None, c), (5, d), (None, None), (None, ""), (7, "")]
+    classes = [
+        [(1, a), (None, a), (None, a + " more"), (5, a + " more")],
+        [(8, e), (8, e + " more"), (8, e + " even"), (8, e)],
+        [(None, f), (None, f + " more"), (None, f), (None, f + " even")],
+        [(9, g), (9, g + " more"), (3, g + " even"), (None, g)],
+    ]
+    docs = spark.createDataFrame([*unique, (7, ""), *(r for x in classes for r in x)], "doc_id long, text string")
+    for _ in range(2):
+        kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(3), str(tmp_path)).collect()]
+        firsts = [[r for r in kept if r in x] for x in classes]
+        assert [len(x) for x in firsts] == [1] * 4 and firsts[0] == [(1, a)] and firsts[3] == [(3, g + " even")]
+        assert sorted(kept, key=repr) == sorted([*unique, *(r for x in firsts for r in x)], key=repr)
