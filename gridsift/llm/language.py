@@ -170,12 +170,16 @@ class Model:
                 self.move += RATE * g / np.sqrt(m2)
         return self
 
-    def label(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For groups of rows: the first row, each row's mean marginals, and how often its words' label changes."""
+    def label(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, tuple]]:
+        """For groups of rows: the first row, each row's mean marginals, and its spans of equally labelled words.
+
+        Spans are arrays of row, first byte, byte after the last, label and mean marginal of the label, in order of text.
+        """
         for a, b, h, at, starts, ends, own in placed(column, LOWER, GROUP):
             n, k = b - a, len(self.languages)
             if not len(h) or not k:
-                yield a, np.full((n, k), 1.0 / max(k, 1)), np.zeros(n, np.int64)
+                none = np.zeros(0, np.int64)
+                yield a, np.full((n, k), 1.0 / max(k, 1)), (none, none, none, none, np.zeros(0))
                 continue
             raw = self.raw_of(column, a, b)
             e, back, (_, at_word) = self.scores(raw, starts, ends, h)
@@ -187,12 +191,16 @@ class Model:
             doc = chain.doc[use]
             total = np.stack([np.bincount(doc, p[use, x], n) for x in range(k)], 1)
             words = np.bincount(doc, minlength=n)
-            best = np.empty(len(h), np.int64)
-            best[chain.word] = p.argmax(1)
-            of = np.repeat(np.arange(n), np.diff(at))[lettered]
-            best = best[lettered]
-            switch = np.bincount(of[1:][(np.diff(of) == 0) & (np.diff(best) != 0)], minlength=n)
-            yield a, np.where(words[:, None] > 0, total / np.maximum(words, 1)[:, None], 1.0 / k), switch
+            best, sure = np.empty(len(h), np.int64), np.empty(len(h))
+            best[chain.word], sure[chain.word] = p.argmax(1), p.max(1)
+            word = np.flatnonzero(lettered)
+            of, best = np.repeat(np.arange(n), np.diff(at))[word], best[word]
+            first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(best) != 0))) if len(word) else word
+            last = np.append(first[1:], len(word))[: len(first)] - 1
+            row = of[first]
+            mean = np.add.reduceat(sure[word], first) / (last - first + 1) if len(word) else np.zeros(0)
+            spans = (row, starts[word[first]] - own[row], ends[word[last]] - own[row], best[first], mean.clip(0, 1))
+            yield a, np.where(words[:, None] > 0, total / np.maximum(words, 1)[:, None], 1.0 / k), spans
 
     @staticmethod
     def raw_of(column: pa.Array, a: int, b: int) -> np.ndarray:
@@ -229,26 +237,35 @@ def has_letter(text: str | Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, lang_pred, score (mean marginal of lang_pred) and n_switches of every row of ``docs``.
+    """The ``carry`` columns, lang_pred, score (mean marginal of lang_pred), n_switches and spans of every row of ``docs``.
 
+    spans has start and end (byte offsets in the text), lang and marginal (its mean over the words) of each stretch of
+    words with one label, in order; words without a letter have no label. n_switches is how often the label changes.
     A null text, one without a letter, or any under a model without languages, is 'und' with score 0. Of equal
     scores the first language in order is taken. Repeated rows each get the same label; no shuffle.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(*carry, F.col(text).alias("_l_text"), has_letter(text).alias("_l_letter"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*carry).dtypes) + ", lang_pred string, score double, n_switches long"
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*carry).dtypes) + ", lang_pred string, score double, n_switches long, spans array<struct<start: long, end: long, lang: string, marginal: double>>"
     k = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = shared.value
         for batch in batches:
-            for a, p, switches in own.label(batch.column(k)):
+            for a, p, spans in own.label(batch.column(k)):
                 n = len(p)
                 ok = batch.column(k + 1).slice(a, n).to_numpy(zero_copy_only=False).astype(bool) & bool(own.languages)
                 best = p.argmax(1) if own.languages else np.zeros(n, np.int64)
                 names = [own.languages[i] if o else UNKNOWN for i, o in zip(best, ok, strict=True)]
                 score = np.where(ok, p[np.arange(n), best] if own.languages else 0.0, 0.0).clip(0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(k)), pa.array(names), pa.array(score.astype(np.float64)), pa.array(np.where(ok, switches, 0))], [*carry, "lang_pred", "score", "n_switches"])
+                row, start, end, label, marginal = (x[ok[spans[0]]] for x in spans)
+                count = np.bincount(row, minlength=n)
+                values = [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(own.languages, pa.string()).take(pa.array(label)), pa.array(marginal)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays(values, ["start", "end", "lang", "marginal"]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, n) for i in range(k)), pa.array(names), pa.array(score.astype(np.float64)), pa.array(np.maximum(count - 1, 0)), lists],
+                    [*carry, "lang_pred", "score", "n_switches", "spans"],
+                )
 
     return rows.mapInArrow(run, schema)

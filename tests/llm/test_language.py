@@ -65,3 +65,18 @@ def test_code_switched_text(spark):
     assert language.identify(df.limit(0), model).count() == 0
     nothing = language.trained(docs.limit(0))
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
+
+
+def test_spans_of_a_mixed_text(spark):
+    texts = ["the cat and the dog " * 20, "le chat é et le chien " * 20]
+    docs = spark.createDataFrame([(i, t * 2, x) for i, (t, x) in enumerate(zip(texts * 3, ["en", "fr"] * 3))], "doc_id long, text string, lang string")
+    model = language.trained(docs)
+    mixed = "12 " + texts[1] + "!! " + texts[0] + "99"
+    rows = [(0, None), (1, mixed), (2, "123 !!"), (3, texts[0]), (4, ""), (5, mixed)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    assert [len(got[i].spans) for i in range(6)] == [0, 2, 0, 1, 0, 2]
+    for i in (1, 5):
+        part = [mixed.encode()[x.start : x.end].decode() for x in got[i].spans]
+        assert part == [texts[1].strip(), texts[0].strip()] and [x.lang for x in got[i].spans] == ["fr", "en"] and got[i].n_switches == 1
+        assert all(0.5 < x.marginal <= 1 for x in got[i].spans)
+    assert language.identify(docs, language.trained(docs.limit(0))).where("size(spans) > 0").count() == 0
