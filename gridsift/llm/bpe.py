@@ -5,32 +5,33 @@ gadget: the state that u leads to is copied without its v arc, u leads to the co
 state that v leads to is added wherever u can be read. A state is kept as the state it was copied from plus
 its missing arcs, so a copy costs O(1). Its accepted paths are exactly the correct tokenizations.
 
-Reading bytes, a run follows all arcs that still match; exactly one tokenization survives for each prefix, so
-the set of open arcs is a state of an input-deterministic transducer. Its table is filled as inputs need it and
-is emptied when it has ``TABLE_ENTRIES`` entries (a cost bound, never a change of results).
+Pre-split words are run through its tables side by side: a byte table (trie) finds the arcs that match at each place,
+and of those that end at a place exactly one leaves the state reached before it, by the table of missing arcs. The
+path is read back from the end. Ids are kept by piece of text (see ``pieces``), so only new pieces are run.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .pieces import PieceTable, binary
+
 #: The published pre-tokenization pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode white space (a fixed value). A word chunk is an optional space and a run of other characters: no match of PATTERN crosses its ends.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-TABLE_ENTRIES = 250_000
-CACHED_WORDS = 200_000
 NEVER = 1 << 60
+#: Words run side by side; a longer word than LONG bytes is run on its own.
+WORDS, LONG = 1 << 15, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,21 +54,36 @@ class Automaton:
                 continue
             self.missing[u][v] = k
             self.left[w], self.right[w], self.born[w] = u, v, k
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        for t, label in labels.items():
+        self._compile()
+
+    def _compile(self) -> None:
+        """The tables: bytes to arcs, missing arcs, and how arcs and states were made."""
+        edges, token_at = {}, [-1]
+        for t, label in self.labels.items():
             if len(label) > 1 and t not in self.left:
                 continue
             node = 0
             for b in label:
-                nxt = self.trie[node].get(b)
+                key = node << 8 | b
+                nxt = edges.get(key)
                 if nxt is None:
-                    nxt = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                    self.token_at.append(-1)
+                    nxt = edges[key] = len(token_at)
+                    token_at.append(-1)
                 node = nxt
-            self.token_at[node] = t
-        self._reset()
+            token_at[node] = t
+        self.token_at = np.array(token_at, np.int32)
+        self.edges = Lookup(edges)
+        self.gone = Lookup({u << 32 | v: k for u, vs in self.missing.items() for v, k in vs.items()})
+        n = max(self.labels) + 1
+        self.made = {name: np.full(n, none, np.int32) for name, none in (("left", -1), ("right", -1), ("born", -1))}
+        for name, table in self.made.items():
+            own = getattr(self, name)
+            table[list(own)] = list(own.values())
+        self.has_gone = np.zeros(n, bool)
+        self.has_gone[[u for u, vs in self.missing.items() if vs]] = True
+        self.length = np.zeros(n, np.int64)
+        self.length[list(self.labels)] = [len(x) for x in self.labels.values()]
+        self.allowed: dict[tuple[int, int], bool] = {}
 
     def _arc(self, t: int, w: int) -> bool:
         """Whether the state that t leads to has an arc w."""
@@ -87,65 +103,146 @@ class Automaton:
                 return True
             before, r = self.born[r], self.right[r]
 
-    def _reset(self) -> None:
-        self.allowed.clear()
-        self.delta: dict[int, int] = {}
-        self.states: dict[tuple[int, ...], int] = {}
-        self.open: list[tuple[int, ...]] = []
-        self.last: list[int] = []
-        self.start = self._state((0,), -1)
-
-    def _state(self, arcs: tuple[int, ...], last: int) -> int:
-        """The number of a set of open arcs: for each, its place in the trie and (plus 1) the token it follows."""
-        s = self.states.get(arcs)
-        if s is None:
-            s = self.states[arcs] = len(self.open)
-            self.open.append(arcs)
-            self.last.append(last)
-        return s
-
-    def _step(self, s: int, b: int) -> int:
-        arcs, last = [], -1
-        for arc in self.open[s]:
-            t = (arc & 0xFFFFFF) - 1
-            nxt = self.trie[arc >> 24].get(b)
-            if nxt is None:
+    def _arcs(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """As _arc(), for many states and arcs at once."""
+        left, right, born = self.made["left"], self.made["right"], self.made["born"]
+        ok = np.ones(len(t), bool)
+        live, r, before = np.arange(len(t)), t.astype(np.int64), np.full(len(t), np.iinfo(np.int32).max, np.int32)
+        while len(live):
+            some = np.flatnonzero(self.has_gone[r])
+            e, upto = w[live[some]].astype(np.int64), np.full(len(some), np.iinfo(np.int32).max, np.int32)
+            while len(some):
+                k = self.gone.get((r[some] << 32 | e).astype(np.uint64))
+                stop = (k >= 0) & (k < before[some]) & (k <= upto)
+                ok[live[some[stop]]] = False
+                on = ~stop & (left[e] >= 0)
+                some, e = some[on], e[on]
+                upto, e = born[e], left[e].astype(np.int64)
+            on = ok[live] & (right[r] >= 0)
+            live, r = live[on], r[on]
+            before, r = born[r], right[r].astype(np.int64)
+        return ok
+
+    def matches(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and tokens of all arcs that match within words; ``last`` is each byte's distance from its word's end."""
+        at = np.arange(len(raw))
+        node = np.zeros(len(raw), np.int64)
+        starts, tokens, k = [], [], 0
+        while len(at):
+            node = self.edges.get((node << 8 | raw[at + k]).astype(np.uint64)).astype(np.int64)
+            on = node >= 0
+            at, node = at[on], node[on]
+            t = self.token_at[node]
+            found = t >= 0
+            starts.append(at[found])
+            tokens.append(t[found])
+            on = last[at] > k + 1
+            at, node, k = at[on], node[on], k + 1
+        return np.concatenate(starts), np.concatenate(tokens)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pre-split words, and how many each word has."""
+        ids, counts = [], []
+        for i in range(0, len(words), WORDS):
+            x, n = self._encode(words[i : i + WORDS])
+            ids.append(x)
+            counts.append(n)
+        if not ids:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(size) - size
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        left = np.repeat(first + size, size) - np.arange(len(raw))
+        place = np.arange(len(raw)) - np.repeat(first, size)
+        start, token = self.matches(raw, left)
+        end = start + self.length[token]
+        arc = np.full(len(raw) + 1, -1, np.int64)  # the one arc by which each place is reached
+        step = place[start] + end - start
+        step[np.repeat(size > LONG, size)[start]] = LONG + 1
+        order = np.argsort(step, kind="stable")
+        start, token, end = start[order], token[order], end[order]
+        cuts = np.searchsorted(step[order], np.arange(1, LONG + 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            s, t = start[a:b], token[a:b]
+            ok = place[s] == 0
+            rest = np.flatnonzero(~ok)
+            ok[rest] = self._arcs(arc[s[rest]], t[rest])
+            arc[end[a:b][ok]] = t[ok]
+            if b == len(start):
+                break
+        self._long(start[cuts[-1] :], token[cuts[-1] :], place, arc)
+        at, word, n = first + size, np.flatnonzero(size > 0), np.zeros(len(words), np.int64)
+        at = at[word]
+        back = []
+        while len(word):
+            # a place between two words is reached by the arc of the word before it
+            t = arc[at]
+            back.append((word, t))
+            n[word] += 1
+            at = at - self.length[t]
+            on = at > first[word]
+            at, word = at[on], word[on]
+        out = np.empty(int(n.sum()), np.uint32)
+        stop = np.cumsum(n) - 1
+        for k, (word, t) in enumerate(back):
+            out[stop[word] - k] = t
+        return out, n
+
+    def _long(self, start: np.ndarray, token: np.ndarray, place: np.ndarray, arc: np.ndarray) -> None:
+        """The arcs of long words, place by place, with a memory of state and arc pairs that is emptied when large."""
+        end = start + self.length[token]
+        order = np.argsort(end, kind="stable")
+        for s, t, e in zip(start[order].tolist(), token[order].tolist(), end[order].tolist(), strict=True):
+            if place[s] == 0:
+                arc[e] = t
                 continue
-            w = self.token_at[nxt]
-            if w >= 0 and last < 0:
-                ok = self.allowed.get((t, w))
-                if ok is None:
-                    ok = self.allowed[t, w] = t < 0 or self._arc(t, w)
-                if ok:
-                    last = w
-            if self.trie[nxt]:
-                arcs.append(nxt << 24 | t + 1)
-        arcs.append(last + 1)
-        to = self.delta[s << 8 | b] = self._state(tuple(arcs), last)
-        return to
-
-    def encode(self, word: bytes) -> list[int]:
-        if len(self.delta) > TABLE_ENTRIES:
-            self._reset()
-        s, delta, path = self.start, self.delta, []
-        for b in word:
-            to = delta.get(s << 8 | b)
-            s = self._step(s, b) if to is None else to
-            path.append(s)
-        out, i, last, labels = [], len(word), self.last, self.labels
-        while i:
-            t = last[path[i - 1]]
-            out.append(t)
-            i -= len(labels[t])
-        out.reverse()
+            pair = (int(arc[s]), t)
+            ok = self.allowed.get(pair)
+            if ok is None:
+                if len(self.allowed) > 100_000:
+                    self.allowed.clear()
+                ok = self.allowed[pair] = self._arc(*pair)
+            if ok:
+                arc[e] = t
+
+
+class Lookup:
+    """A fixed table of 64-bit keys and values of at least 0, for many lookups at once (-1: not there)."""
+
+    def __init__(self, table: dict[int, int]):
+        keys, values = np.array(list(table), np.uint64), np.array(list(table.values()), np.int32)
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        at = self._at(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.values[at[todo]] < 0]
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            todo = todo[(self.keys[at[todo]] != keys[todo]) | (self.values[at[todo]] < 0)]
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        out = self.values[at]
+        todo = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
+            out[todo] = self.values[at[todo]]
+            todo = todo[(self.keys[at[todo]] != keys[todo]) & (out[todo] >= 0)]
         return out
 
 
-class Codec(dict):
-    """A vocabulary file's automaton, special strings and labels; as a dict, word chunk -> its ids as bytes."""
+class Codec:
+    """A vocabulary file's automaton, special strings and labels, and a table of pieces with their ids."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, byte = spec["model"], byte_alphabet()
@@ -154,7 +251,6 @@ class Codec(dict):
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.automaton = Automaton(labels, [(ids[a], ids[b], ids[a + b]) for a, b in merges])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.chunks = re.compile(CHUNK).findall
         self.words = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.labels = [b""] * (1 + max([*labels, *self.special.values()]))
@@ -162,25 +258,30 @@ class Codec(dict):
             self.labels[i] = b
         for s, i in self.special.items():
             self.labels[i] = s.encode()
-
-    def __missing__(self, chunk: str) -> bytes:
-        path = self.automaton.encode
-        ids = array("I", [i for word in self.words(chunk) for i in path(word.encode())]).tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[chunk] = ids
-        return ids
-
-    def forget(self) -> None:
-        """Empty the caches: a worker that goes on to other work holds their memory no longer."""
-        self.clear()
-        self.automaton._reset()
+        self.pieces = PieceTable(self._learn, self._with_special, list(self.special))
+
+    def _words(self, piece: str, last_alone: bool) -> list[str]:
+        """The pre-split words of a piece."""
+        bare = piece[1:] if piece[0] == " " else piece
+        if bare.isascii() and bare.isalpha():
+            return [piece]
+        if last_alone:
+            return [x for x in (piece[:-1], piece[-1]) if x]
+        return self.words(piece)
+
+    def _learn(self, pieces: list[str], last_alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        words = list(map(self._words, pieces, last_alone))
+        ids, n = self.automaton.encode([w.encode() for ws in words for w in ws])
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return ids, np.diff(upto[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))])
+
+    def _with_special(self, text: str) -> np.ndarray:
+        """Ids of a text in which special strings get their own."""
+        return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else self.pieces.text_ids(p) for p in self.cut.split(text)])
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; special strings get their own ids."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return b"".join(map(self.__getitem__, self.chunks(text)))
-        return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else b"".join(map(self.__getitem__, self.chunks(p))) for p in self.cut.split(text))
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        return np.concatenate([x for _, _, x, _ in self.pieces.encode(pa.array([text]))]).astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The arcs' labels in order, as UTF-8 (broken sequences become U+FFFD)."""
@@ -209,11 +310,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
 
     def run(batches):
         c = codec(vocabulary)
-        for whole in batches:
-            for batch in _batches(whole):
-                got = [c.encode(t) if t else b"" for t in batch.column(kept.index(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*kept, ids])
-        c.forget()
+        for batch in batches:
+            for a, b, x, off in c.pieces.encode(batch.column(kept.index(text))):
+                yield pa.RecordBatch.from_arrays([*(col.slice(a, b - a) for col in batch.columns), binary(x, off)], [*kept, ids])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
 

@@ -1,9 +1,14 @@
+import hashlib
+import random
+
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridsift.llm import bpe
+from gridsift.llm import bpe, pieces
+from gridsift.llm.q_bpe import op7_bpe_automaton
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", "  a  b\n\n c", "aaa aaaa aaaaa", "it's <|endoftext|> x<|endoftext|>", "日本語 😀 ١٢٣ ½", "\x00\t\x0b\x1c zz　x", "hello" * 4000]
@@ -35,3 +40,28 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark, library):
     back = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert len(back) == len(rows) and all(r.decoded == (r.text or "") for r in back)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_rows_of_the_query(spark, sf, library):
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op7_bpe_automaton(spark, sf).collect()}
+    want = {}
+    for d, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    assert got == want
+
+
+def test_small_tables_and_parts_give_the_same_ids(library, monkeypatch):
+    rng = random.Random(5)
+    parts = ["a", "b", "the", " ", " ", "\n", "\t", " ", ".", ",", "'", "'s", "1", "é", "中", " ", "’", "!", "-", "\x1c", "\x85", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(2000)]
+    texts += [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 40))) for _ in range(3000)), "x" * 70000 + " y", "\n" * 5000, "".join(rng.choices("ab", k=3000))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(pieces, "SLICE", 64)
+    monkeypatch.setattr(pieces, "PART_BYTES", 1000)
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    c = bpe.Codec(PATH)
+    c.pieces = pieces.PieceTable(c._learn, c._with_special, list(c.special), entries=256)
+    assert [list(memoryview(c.encode(t)).cast("I")) for t in texts] == want
+    assert c.pieces.n <= 256
