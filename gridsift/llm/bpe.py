@@ -26,9 +26,6 @@ from .pieces import PieceTable, binary
 
 #: The published pre-tokenization pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Unicode white space (a fixed value). A word chunk is an optional space and a run of other characters: no match of PATTERN crosses its ends.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 NEVER = 1 << 60
 #: Words run side by side; a longer word than LONG bytes is run on its own.
 WORDS, LONG = 1 << 15, 64

@@ -15,9 +15,8 @@ lanes side by side, by one table of 2 ** longest code entries.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,106 +25,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import CHUNK
+from .pieces import PieceTable, binary
 from .session import drop_stage, stage_path
 
 MAGIC = 0x31534449
-#: Word chunks whose ids a Python worker keeps (a cost bound, never a change of results).
-CACHED_WORDS = 900_000
 #: Longest code; raised where the ids in use need more.
 MAX_BITS = 18
 LANE = 256
 #: Ids in a block, at least; a block holds whole documents.
 BLOCK_IDS = 1 << 19
-#: Ids in a part, about.
-PART_IDS = 1 << 24
+#: Ids in a part, about, and parts at most.
+PART_IDS, MAX_PARTS = 1 << 23, 10_000
 
 
-class ChunkCache(dict):
-    """Word chunk -> its ids as little-endian 32-bit integers, by the tokenizers library."""
+class LibraryIds:
+    """Ids of pieces of text by the tokenizers library, many new pieces in one call, and the table that keeps them."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks = re.compile(CHUNK).findall
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line_end = self.whole("\n")
-        self.marks = {c: self.whole(c) for c in ".,;:!?"}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def learn(self, chunks: list[str]) -> None:
-        """Look up new chunks in one call: joined by line ends, which no chunk crosses and which are one id of their own.
-
-        A mark after a letter or digit at a chunk's end is a word of its own, so only what precedes it is looked up.
-        """
-        if len(self.line_end) != 4:
-            self.update((c, self.whole(c)) for c in chunks)
-            return
-        self.update((c, self.whole(c)) for c in chunks if c.isspace())
-        ended = [c for c in chunks if c[-1] in self.marks and c[-2:-1].isalnum()]
-        words = {c[:-1] for c in ended}.union(c for c in chunks if not c.isspace()).difference(ended)
-        words = [c for c in words if c not in self]
-        raw = self.whole("\n".join(words))
-        cuts = np.flatnonzero(np.frombuffer(raw, np.uint32) == np.frombuffer(self.line_end, np.uint32)) * 4
-        if words:
-            self.update(zip(words, (raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)), strict=True))
-        self.update([(c, self[c[:-1]] + self.marks[c[-1]]) for c in ended])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts; a text with a special string goes to the library whole."""
-        special = {t for s in self.special for t in texts if s in t}
-        cut = [() if t in special else self.chunks(t) for t in texts]
-        found = set().union(*cut)
-        if len(self) + len(found) > CACHED_WORDS:
-            self.clear()
-        self.learn([c for c in found if c not in self])
-        return [self.whole(t) if t in special else b"".join(map(self.__getitem__, cs)) for t, cs in zip(texts, cut, strict=True)]
+        self.pieces = PieceTable(self._learn, self.whole, [t.content for t in self.library.get_added_tokens_decoder().values()])
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], np.uint32)
+
+    def _learn(self, pieces: list[str], last_alone: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with a word are joined by line ends, which no piece crosses and which are one id of their own; white space is looked up alone."""
+        spaces = {k: [self.whole(p[:-1]), self.whole(p[-1])] if last_alone[k] else [self.whole(p)] for k, p in enumerate(pieces) if len(self.line_end) != 1 or p.isspace()}
+        words = [k for k in range(len(pieces)) if k not in spaces]
+        raw = self.whole("\n".join([pieces[k] for k in words] + [""])) if words else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(raw == self.line_end[0]) if words else np.zeros(0, np.int64)
+        if len(ends) != len(words):
+            raise ValueError("a line end is not an id of its own in this vocabulary")
+        count = np.zeros(len(pieces), np.int64)
+        count[words] = np.diff(ends, prepend=-1) - 1
+        if not spaces:
+            return np.delete(raw, ends), count
+        own = np.split(np.delete(raw, ends), np.cumsum(count[words])[:-1])
+        out = dict(zip(words, own, strict=True)) if words else {}
+        for k, parts in spaces.items():
+            out[k] = np.concatenate(parts)
+            count[k] = len(out[k])
+        return np.concatenate([out[k] for k in range(len(pieces))]), count
 
 
 @lru_cache(maxsize=2)
-def chunk_cache(path: str) -> ChunkCache:
+def library_ids(path: str) -> LibraryIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkCache(path)
+    return LibraryIds(path)
+
+
+_CODED = "doc_id long, tie long, ids binary, counts binary"
 
 
 def tokenize(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every whole text with ``end_id`` after it.
+    """doc_id, tie and ids (binary, little-endian unsigned 32-bit) of every whole text with ``end_id`` after it.
 
-    A null text is as an empty one: the end id alone. Repeated rows stay.
+    A null text is as an empty one: the end id alone. Repeated rows stay. tie orders rows of one doc_id: the ids'
+    CRC-32, then a counter. Each task adds a row of null ids whose counts says how often each id occurs (64-bit, by id).
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cache, end = chunk_cache(vocabulary), int(end_id).to_bytes(4, "little")
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                got = cache.encode([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in got], pa.binary())], ["doc_id", "ids"])
+        own, total, rows = library_ids(vocabulary), np.zeros(0, np.int64), 0
+        for batch in batches:
+            for a, b, x, off in own.pieces.encode(batch.column(1)):
+                x, off = np.insert(x, off[1:], np.uint32(end_id)), off + np.arange(len(off))
+                part = np.bincount(x)
+                if len(part) > len(total):
+                    total, part = part.astype(np.int64), total
+                total[: len(part)] += part
+                ids = binary(x, off)
+                data = memoryview(ids.buffers()[2])
+                tie = [zlib.crc32(data[4 * off[k] : 4 * off[k + 1]]) << 16 | (rows + k) & 0xFFFF for k in range(b - a)]
+                rows += b - a
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(tie, pa.int64()), ids, pa.nulls(b - a, pa.binary())], ["doc_id", "tie", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "tie", "ids", "counts"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _CODED)
 
 
-def counts(coded: DataFrame, ids: str = "ids") -> DataFrame:
-    """id, n: how often each id occurs, one partial row for each id and task."""
+def counts(coded: DataFrame) -> DataFrame:
+    """id, n: how often each id occurs, from the tasks' counts; a task that reads many of them adds them up first."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join(x or b"" for x in batch.column(0).to_pylist()), "<u4"))
-            if len(part) > len(total):
-                total, part = part.astype(np.int64), total
-            total[: len(part)] += part
+            for x in batch.column(0):
+                part = np.frombuffer(x.as_py(), np.int64)
+                if len(part) > len(total):
+                    total, part = part.copy(), total
+                total[: len(part)] += part
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
-    return coded.select(ids).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(n: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -229,25 +226,46 @@ def unpack(payload: np.ndarray, doc_bytes: np.ndarray, sizes: np.ndarray, checkp
 _DOC = "doc_id long, n_ids long, part int, tie long, payload binary, lanes binary"
 
 
-def _encode_documents(coded: DataFrame, codes: tuple[np.ndarray, np.ndarray], cuts: list[int]) -> DataFrame:
+def part_cuts(coded: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where parts begin in (doc_id, tie) order, null first: quantiles of doc_id, and of tie within a doc_id that fills several parts."""
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    found = Counter(coded.select(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10 * MAX_PARTS)).head()[0] or []) if parts > 1 else {}
+    cuts = [(v, -1) for v in found]
+    if hot := {v: n for v, n in found.items() if n > 1}:
+        share = [k / max(hot.values()) for k in range(1, max(hot.values()))]
+        rows = coded.withColumn("doc_id", key).where(F.col("doc_id").isin([*hot])).groupBy("doc_id").agg(F.percentile_approx("tie", share, 10 * MAX_PARTS).alias("q"))
+        cuts += [(r.doc_id, q) for r in rows.collect() for q in r.q[:: max(hot.values()) // hot[r.doc_id]]]  # at most MAX_PARTS cuts
+    cuts = sorted(set(cuts))
+    return np.array([d for d, _ in cuts], np.int64), np.array([t for _, t in cuts], np.int64)
+
+
+def _part(doc: np.ndarray, tie: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    lo, hi = np.searchsorted(cuts[0], doc, "left"), np.searchsorted(cuts[0], doc, "right")
+    out = hi.copy()
+    for k in np.flatnonzero(hi - lo > 1):
+        out[k] = lo[k] + np.searchsorted(cuts[1][lo[k] : hi[k]], tie[k], "right")
+    return out
+
+
+def _encode_documents(coded: DataFrame, codes: tuple[np.ndarray, np.ndarray], cuts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         code, bits = Codes(*codes).encoder()
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
-                batch = whole.slice(i, 128)
-                raw = [x or b"" for x in batch.column(1).to_pylist()]
-                sizes = np.array([len(x) >> 2 for x in raw], np.int64)
-                out, doc_bytes, lanes = pack(np.frombuffer(b"".join(raw), "<u4"), sizes, code, bits)
-                a, b = np.concatenate(([0], np.cumsum(doc_bytes))), np.concatenate(([0], np.cumsum((sizes + LANE - 1) // LANE)))
-                payload, lanes = out.tobytes(), lanes.astype("<i8")
-                docs = batch.column(0)
-                part = np.searchsorted(np.array(cuts, np.int64), docs.fill_null(-(1 << 63)).to_numpy(), "right")
+                docs, tie, ids = whole.slice(i, 128).columns
+                raw = ids.cast(pa.large_binary())
+                off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+                sizes = np.diff(off) >> 2
+                out, doc_bytes, lanes = pack(np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].view("<u4"), sizes, code, bits)
+                upto = lambda n, width: pa.py_buffer((np.concatenate(([0], np.cumsum(n))) * width).astype(np.int32).tobytes())
+                binary_of = lambda n, width, data: pa.Array.from_buffers(pa.binary(), len(n), [None, upto(n, width), pa.py_buffer(data)])  # noqa: B023, E731
+                part = _part(docs.fill_null(-(1 << 63)).to_numpy(), tie.to_numpy(), cuts)
                 yield pa.RecordBatch.from_arrays(
-                    [docs, pa.array(sizes), pa.array(part, pa.int32()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([payload[a[k] : a[k + 1]] for k in range(len(raw))], pa.binary()), pa.array([lanes[b[k] : b[k + 1]].tobytes() for k in range(len(raw))], pa.binary())],
+                    [docs, pa.array(sizes), pa.array(part, pa.int32()), tie, binary_of(doc_bytes, 1, out.tobytes()), binary_of((sizes + LANE - 1) // LANE, 8, lanes.astype("<i8").tobytes())],
                     ["doc_id", "n_ids", "part", "tie", "payload", "lanes"],
                 )
 
-    return coded.select("doc_id", "ids").mapInArrow(run, _DOC)
+    return coded.select("doc_id", "tie", "ids").mapInArrow(run, _DOC)
 
 
 def _block(docs: list[tuple]) -> bytes:
@@ -279,10 +297,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
 
 
 def write_ids(coded: DataFrame, path: str) -> None:
-    """Write a staged table of doc_id and ids as token-id files at ``path`` (see the format above).
+    """Write a staged table of tokenize()'s rows as token-id files at ``path`` (see the format above).
 
-    Ids are counted over all rows. Parts are cut at doc_id quantiles and dealt out by part, so a part is bounded
-    whatever the number of documents; rows of one doc_id are ordered by their ids' CRC.
+    Ids are counted over all rows. Parts are cut at quantiles of (doc_id, tie) and dealt out by part, so a part's
+    share is bounded however many rows one doc_id has, and blocks in it are bounded whatever the number of rows.
     """
     spark = coded.sparkSession
     found = counts(coded).orderBy("id").collect()  # one row for each id of the vocabulary at most
@@ -290,10 +308,10 @@ def write_ids(coded: DataFrame, path: str) -> None:
     n = np.array([r.n for r in found], np.int64)
     bits = code_lengths(n)
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, bits, strict=True)], "id long, n_bits long").coalesce(1).write.mode("overwrite").parquet(f"{path}/codes")
-    parts = max(1, -(-int(n.sum()) // PART_IDS))
-    cuts = sorted(set(coded.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10000)).head()[0] or [])) if parts > 1 else []
-    rows = _encode_documents(coded, (ids, bits), cuts)
-    rows = rows.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+    docs = coded.where(F.col("ids").isNotNull())
+    cuts = part_cuts(docs, min(MAX_PARTS, max(1, -(-int(n.sum()) // PART_IDS))))
+    rows = _encode_documents(docs, (ids, bits), cuts)
+    rows = rows.repartitionById(len(cuts[0]) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
     rows.mapInArrow(_blocks, "part int, block long, at long, n_docs long, n_ids long, data binary").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
@@ -341,8 +359,6 @@ def round_trip(df: DataFrame, vocabulary: str, end_id: int, path: str | None = N
     stage = stage_path(spark, "ids")
     tokenize(df, vocabulary, end_id).write.option("compression", "zstd").parquet(stage)
     path = path or stage_path(spark, "token-files")
-    write_ids(spark.read.schema(T.StructType.fromDDL("doc_id long, ids binary")).parquet(stage), path)
+    write_ids(spark.read.schema(_CODED).parquet(stage), path)
     drop_stage(spark, stage)
     return read_ids(spark, path)
-
-

@@ -4,10 +4,12 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridsift.llm import token_files as tf
 from gridsift.llm.q_token_files import op4_token_files
+from gridsift.llm.session import stage_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,3 +64,18 @@ def test_nulls_repeats_special_strings_and_empty_tables(spark):
         assert list(memoryview(bytes(r.ids)).cast("I")) == library.encode(t or "", add_special_tokens=False).ids + [2]
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     assert tf.round_trip(df.limit(0), PATH, 2).count() == 0
+
+
+def test_a_doc_id_with_most_rows_is_split(spark, monkeypatch):
+    monkeypatch.setattr(tf, "PART_IDS", 200)
+    monkeypatch.setattr(tf, "BLOCK_IDS", 50)
+    rows = [(None if i % 3 else 7, f"word{i % 40} and more") for i in range(400)] + [(i, "few words here") for i in range(30)]
+    path = stage_path(spark, "hot")
+    got = tf.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 2, path).orderBy("start").collect()
+    library = Tokenizer.from_file(PATH)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    want = sorted(((d, zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for d, t in rows), key=key)
+    assert [(r.doc_id, zlib.crc32(r.ids)) for r in got] == want
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    parts = [r.n for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(parts) > 8 and max(parts) < 4 * sum(parts) / len(parts)
