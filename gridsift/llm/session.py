@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
 import gc
 import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +18,16 @@ _OWN = uuid.uuid4().hex[:12]
 _ROOTS: set[str] = set()
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-gridsift-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, the warehouse, or for a local master a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-gridsift-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 
@@ -58,9 +65,44 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Intermediate tables that go when the block ends, by when all that reads them must be written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for p in self.paths:
+            drop_stage(self.spark, p)
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(stage_path(self.spark, name))
+        return staged(df, name, self.paths[-1])
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most ``rows`` rows: texts are long, and Python workers share an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of at most ``rows`` rows: texts are long, and Python workers share an executor's memory.
+
+    Queries return tables that run later, so this stays set for the session.
+    """
+    spark.conf.set(_BATCH, str(rows))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside; then as before."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

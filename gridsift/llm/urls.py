@@ -1,10 +1,16 @@
 """URL filters: explicit rules first, then verdicts of path templates learned per host. DataFrame functions only.
 
 A URL's path is cut into segments, and digits and long hexadecimal ids in them become wildcards. The distinct
-(host, path) templates form a tree per host. At each node, a branch whose labelled share of blocked pages does not
-differ from that of its siblings (two-proportion z test) is merged into one '*' branch, if the node has many
-branches. A template is rejected if its labelled purity, smoothed to the share over all hosts, reaches a threshold.
-The labels are the explicit rules' own verdicts, or any label column.
+(host, path) templates form a tree per host, built level by level: below each merged node, the branches whose labelled
+share of blocked pages does not differ from that of their siblings (two-proportion z test; both sides need labels) are
+merged into one '*' branch, and the next level is keyed by the merged path.
+
+A node's purity is the mean of its branches' labelled shares, shrunk towards its parent's: a branch counts l / (l + 1)
+for l labels, so at most once, however large it is, against ``PRIOR_WEIGHT`` for the parent. Above a host stand its
+registered domain (the last two labels, whose hosts are its branches) and all data. A template's own labels are shrunk
+towards its node. So a template without labels has the purity of its nearest labelled ancestors; one bad branch of one
+host does not reject its siblings, but a domain with nothing but bad labels on several hosts is rejected. The labels
+are the explicit rules' own verdicts, or any label column.
 
 Every step groups by (host, template) with partial counts; a host with a third of all pages costs a few rows for
 each task. Rows of pages are joined once, to the rejected templates only.
@@ -15,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import Scratch, staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A node with fewer branches keeps them all.
-MIN_BRANCHES = 8
+#: Levels of a host's tree; the last holds all further segments as one.
+LEVELS = 4
 #: Squared z below which two shares count as alike (95 %).
 Z2 = 3.84
-#: Pseudo-count of the prior share, and the least purity of a rejected template.
-PRIOR_WEIGHT, PURITY = 2.0, 0.5
+#: What a parent's purity counts against branches or labels, and the least purity of a rejected template.
+PRIOR_WEIGHT, PURITY = 4.0, 0.7
 
 
 def host(url: str) -> Column:
@@ -64,39 +72,40 @@ def segments() -> Column:
     return F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-fA-F-]{16,}$", "{id}"), "[0-9]+", "{n}"))
 
 
-def template_tree(pages: DataFrame) -> DataFrame:
-    """host, lexical, template, n, n_block, n_allow: each lexical path with its template after merging branches.
+def template_tree(pages: DataFrame, scratch: Scratch, weight: float = PRIOR_WEIGHT) -> DataFrame:
+    """host, lexical, template, n_labels, n_block, purity: each lexical path with its template after merging branches.
 
-    ``pages`` has host, lexical ('/'-joined segments) and label ('block', 'allow' or null).
+    ``pages`` has host, lexical ('/'-joined segments), both not null, and label ('block', 'allow' or null).
     """
-    count = lambda v: F.count(F.when(F.col("label") == v, 1))
-    leaves = pages.groupBy("host", "lexical").agg(F.count("*").alias("n"), count("block").alias("n_block"), count("allow").alias("n_allow"))
-    segs = F.split("lexical", "/")
-    steps = leaves.select("*", segs.alias("segs")).select(
-        "host", "lexical", "n", "n_block", "n_allow",
-        F.posexplode(F.transform("segs", lambda s, i: F.struct(F.array_join(F.slice("segs", 1, i), "/").alias("parent"), s.alias("child")))).alias("depth", "x"),
-    )
-    steps = steps.select("host", "lexical", "n", "n_block", "n_allow", "depth", "x.parent", "x.child")
-    sums = [F.sum(c).alias(c) for c in ("n", "n_block", "n_allow")]
-    nodes = steps.groupBy("host", "parent", "depth", "child").agg(*sums)
-    above = nodes.groupBy("host", "parent", "depth").agg(F.count("*").alias("branches"), F.sum("n_block").alias("all_block"), F.sum("n_allow").alias("all_allow"))
     c = F.col
-    l1, l2 = c("n_block") + c("n_allow"), c("all_block") + c("all_allow") - c("n_block") - c("n_allow")
-    p1, p2 = (c("n_block") + 1) / (l1 + 2), (c("all_block") - c("n_block") + 1) / (l2 + 2)
-    z2 = (p1 - p2) * (p1 - p2) / (p1 * (1 - p1) / (l1 + 2) + p2 * (1 - p2) / (l2 + 2))
-    alike = nodes.join(above, ["host", "parent", "depth"]).where((c("branches") >= MIN_BRANCHES) & (z2 < Z2)).select("host", "parent", "depth", "child", F.lit("*").alias("wild"))
-    named = steps.join(alike, ["host", "parent", "depth", "child"], "left")
-    seg = F.struct("depth", F.coalesce("wild", "child").alias("s"))
-    return named.groupBy("host", "lexical").agg(F.array_join(F.transform(F.array_sort(F.collect_list(seg)), lambda x: x["s"]), "/").alias("template"), *[F.max(x).alias(x) for x in ("n", "n_block", "n_allow")])
-
-
-def rejected(tree: DataFrame, purity: float = PURITY, weight: float = PRIOR_WEIGHT) -> DataFrame:
-    """host, lexical, template of the paths whose template's smoothed labelled purity reaches ``purity``."""
-    c = F.col
-    by = tree.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a"))
-    prior = tree.agg((F.sum("n_block") / F.greatest(F.sum(c("n_block") + c("n_allow")), F.lit(1))).alias("prior")).scalar()
-    bad = by.where((c("b") > 0) & ((c("b") + weight * prior) / (c("a") + c("b") + weight) >= purity)).select("host", "template")
-    return tree.join(bad, ["host", "template"], "left_semi").select("host", "lexical", "template")
+    labels = [F.count("label").alias("l"), F.count(F.when(c("label") == "block", 1)).alias("b")]
+    segs = F.split("lexical", "/")
+    own = [F.coalesce(F.get(segs, F.lit(k)), F.lit("")).alias(f"s{k}") for k in range(LEVELS - 1)]
+    rest = F.array_join(F.slice(segs, LEVELS, F.greatest(F.size(segs) - LEVELS + 1, F.lit(0))), "/").alias(f"s{LEVELS - 1}")
+    rows = scratch.staged(pages.groupBy("host", "lexical").agg(*labels).select("*", *own, rest), "url-leaves")
+    for k in range(LEVELS):
+        key, child = ["host", *(f"m{i}" for i in range(k))], f"s{k}"
+        nodes = rows.groupBy(*key, child).agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+        units = [F.sum(c("nl") / (c("nl") + 1.0)).alias(f"u{k}"), F.sum(c("nb") / (c("nl") + 1.0)).alias(f"r{k}")]
+        above = nodes.groupBy(*key).agg(F.sum("nl").alias("al"), F.sum("nb").alias("ab"), *units)
+        l1, l2 = c("nl"), c("al") - c("nl")
+        p1, p2 = (c("nb") + 1.0) / (l1 + 2), (c("ab") - c("nb") + 1.0) / (l2 + 2)
+        z2 = (p1 - p2) * (p1 - p2) / (p1 * (1 - p1) / (l1 + 2) + p2 * (1 - p2) / (l2 + 2))
+        merged = F.when((l1 > 0) & (l2 > 0) & (z2 < Z2), "*").otherwise(c(child)).alias(f"m{k}")
+        nodes = nodes.join(above, key).select(*key, child, merged, f"u{k}", f"r{k}")
+        rows = scratch.staged(rows.join(nodes, [*key, child]), f"url-level-{k}")
+    names = [f"m{k}" for k in range(LEVELS)]
+    domain = F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, 2), ".").alias("domain")
+    hosts = rows.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
+    domains = hosts.groupBy(domain).agg(F.sum(c("hl") / (c("hl") + 1.0)).alias("ud"), F.sum(c("hb") / (c("hl") + 1.0)).alias("rd"))
+    share = rows.agg(((F.sum("b") + 1.0) / (F.sum("l") + 2)).alias("share")).scalar()
+    of = rows.groupBy("host", *names).agg(F.sum("l").alias("n_labels"), F.sum("b").alias("n_block"))
+    rows = rows.join(of, ["host", *names]).withColumn("domain", domain).join(domains, "domain")
+    p = (c("rd") + weight * F.coalesce(share, F.lit(0.5))) / (c("ud") + weight)
+    for k in range(LEVELS):
+        p = (c(f"r{k}") + weight * p) / (c(f"u{k}") + weight)
+    p = F.round((c("n_block") + weight * p) / (c("n_labels") + weight), 9)
+    return rows.select("host", "lexical", F.array_join(F.filter(F.array(*names), lambda x: x != ""), "/").alias("template"), "n_labels", "n_block", p.alias("purity"))
 
 
 def url_filter(df: DataFrame, rules: dict[str, str], url: str = "url", purity: float = PURITY) -> DataFrame:
@@ -104,14 +113,15 @@ def url_filter(df: DataFrame, rules: dict[str, str], url: str = "url", purity: f
 
     The longest fitting rule decides; else a rejected template blocks and any other URL is allowed. A null URL or
     one without '://' has an empty host and path, no rule and the verdict of the empty template. Repeated rows each
-    get their verdict; no row is lost.
+    get their verdict; no row is lost. Without rules, or without pages that they fit, everything is allowed.
     """
     new = ("host", "path", "rule", "verdict")
     rows = df.select(*[c for c in df.columns if c not in new], host(url).alias("host"), path(url).alias("path")).withColumn("rule", matched_rule(rules))
     label = F.element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), F.col("rule")) if rules else F.lit(None).cast("string")
     rows = rows.withColumns({"_u_label": F.when(F.col("rule").isNotNull(), label), "_u_lexical": F.array_join(segments(), "/")})
-    bad = rejected(template_tree(rows.select("host", F.col("_u_lexical").alias("lexical"), F.col("_u_label").alias("label"))), purity)
-    bad = bad.select(F.col("host").alias("_u_host"), F.col("lexical").alias("_u_bad"))
+    with Scratch(df.sparkSession) as scratch:
+        tree = template_tree(rows.select("host", F.col("_u_lexical").alias("lexical"), F.col("_u_label").alias("label")), scratch)
+        bad = staged(tree.where(F.col("purity") >= purity).select(F.col("host").alias("_u_host"), F.col("lexical").alias("_u_bad")), "url-rejected")
     out = rows.join(bad, (F.col("host") == F.col("_u_host")) & (F.col("_u_lexical") == F.col("_u_bad")), "left")
     verdict = F.coalesce("_u_label", F.when(F.col("_u_bad").isNotNull(), "block").otherwise("allow"))
     return out.withColumn("verdict", verdict).drop("_u_label", "_u_lexical", "_u_host", "_u_bad")

@@ -9,6 +9,8 @@ import pytest
 
 from gridsift.llm import components, license_texts, licenses, q_licenses, q_quality_rules, q_urls, q_warc, quality_rules, urls
 
+from gridsift.llm.session import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,13 +98,35 @@ def test_url_rules_against_plain_python(spark):
     assert urls.url_filter(df.limit(0), rules).count() == 0 and urls.url_filter(df, {}).where("verdict = 'block'").count() == 0
 
 
-def test_templates_merge_and_reject(spark):
-    rows = [("h", f"shop/{c}", "block") for c in "abcdefghij"] + [("h", "shop/k", None), ("h", "news/a", "allow"), ("h", "news/b", None), ("other", "shop/a", None)]
-    tree = urls.template_tree(spark.createDataFrame(rows, "host string, lexical string, label string"))
-    names = {(r.host, r.lexical): r.template for r in tree.collect()}
-    assert names["h", "shop/a"] == names["h", "shop/k"] == "shop/*" and names["h", "news/a"] == "news/a"
-    bad = {(r.host, r.lexical) for r in urls.rejected(tree).collect()}
-    assert ("h", "shop/k") in bad and ("h", "news/b") not in bad and ("other", "shop/a") not in bad
+def tree_of(spark, rows):
+    with Scratch(spark) as scratch:
+        return {(r.host, r.lexical): r for r in urls.template_tree(spark.createDataFrame(rows, "host string, lexical string, label string"), scratch).collect()}
+
+
+def test_templates_merge_level_by_level_and_inherit_purity(spark):
+    rows = [("a.h.com", f"{c}/x/{k}", "block") for c in "pq" for k in range(6)] + [("a.h.com", f"{c}/y/{k}", "allow") for c in "pq" for k in range(6)]
+    rows += [("a.h.com", "r/x/1", None), ("a.h.com", "p/x/9", None), ("a.h.com", "p/y/9", None), ("a.h.com", "q/z/1", None)]
+    got = tree_of(spark, rows)
+    assert got["a.h.com", "p/x/1"].template == got["a.h.com", "q/x/3"].template == "*/x/*" and got["a.h.com", "p/y/1"].template == "*/y/*"
+    assert got["a.h.com", "r/x/1"].template == "r/x/1" and got["a.h.com", "p/x/9"].template == "*/x/9"
+    assert got["a.h.com", "p/x/9"].purity > urls.PURITY > 0.5 > got["a.h.com", "p/y/9"].purity
+    assert got["a.h.com", "p/y/9"].purity < got["a.h.com", "q/z/1"].purity < got["a.h.com", "p/x/9"].purity
+
+
+@pytest.mark.parametrize("branches", [1, 7, 8, 50])
+def test_one_bad_branch_does_not_reject_its_siblings_but_a_bad_domain_does(spark, branches):
+    good = [("good.org", f"s{k}/1", "allow") for k in range(40)]
+    rows = [("x.one.com", "bad/1", "block")] * 30 + [("x.one.com", f"s{k}/1", None) for k in range(branches)]
+    got = tree_of(spark, rows + good)
+    assert got["x.one.com", "bad/1"].purity >= urls.PURITY and all(got["x.one.com", f"s{k}/1"].purity < urls.PURITY for k in range(branches))
+    rows = [(f"h{h}.all.com", "bad/1", "block") for h in range(12) for _ in range(30)] + [("new.all.com", f"s{k}/1", None) for k in range(branches)]
+    got = tree_of(spark, rows + good)
+    assert all(got["new.all.com", f"s{k}/1"].purity >= urls.PURITY for k in range(branches)) and got["good.org", "s1/1"].purity < urls.PURITY
+
+
+def test_pages_without_a_rule_get_both_verdicts(spark):
+    found = {(r.rule, r.verdict) for r in q_urls.op9_url_filter(spark, "/root/testdata/sf0.01").collect() if r.rule is None}
+    assert found == {(None, "allow"), (None, "block")}
 
 
 def test_components_against_union_find(spark):
