@@ -11,7 +11,9 @@ lost. The groups are used twice:
    size ranges, and a dual traversal drops node pairs by their largest possible overlap. The remaining pairs across
    components are compared exactly.
 
-Groups with the same members are used once. A group of more than ``GROUP`` sets is dealt out as pairs of blocks.
+One shuffle by token drops tokens of a single set and finds each group's least set; tokens that tasks found frequent
+are salted there. Groups with the same members are used once. A group of more than ``GROUP`` sets is dealt out as
+pairs of blocks, where large components have blocks of their own that are not paired with each other.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import drop_stage, stage_path, staged
+from .session import Scratch, staged
 from .words import hashed, mix, shingles
 
 #: A token in this many sets among WINDOW tokens of a task is frequent. This orders tokens; results do not depend on it.
@@ -40,6 +42,8 @@ LEADS = 2
 NEAREST = 3
 #: Most documents whose ids are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_DOCS = 2_000_000
+#: Parts of a frequent token's group when leads are found.
+SALTS = 256
 _BITS = 512
 _LONGS = [f"s{i}" for i in range(_BITS // 64)]
 
@@ -134,7 +138,7 @@ def frequent_tokens(meta: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, frequent, text: str, shingle: int) -> DataFrame:
-    """token, set_id of each set's prefix tokens; a task gives each set once. ``frequent`` is a broadcast sorted array."""
+    """token, salt, set_id of each set's prefix tokens; a task gives each set once. ``frequent`` is a broadcast sorted array; other tokens' salt is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         late, seen = frequent.value, set()
@@ -142,7 +146,7 @@ def postings(docs: DataFrame, frequent, text: str, shingle: int) -> DataFrame:
         bits[late >> np.uint64(42)] = True
         for batch in batches:
             for _, sets in _sets(batch.column(0), shingle):
-                token, owner = [], []
+                token, owner, salt = [], [], []
                 for x in sets:
                     key = _key(x)
                     if not len(x) or key in seen:
@@ -150,18 +154,59 @@ def postings(docs: DataFrame, frequent, text: str, shingle: int) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(key)
                     p = len(x) - (4 * len(x) + 4) // 5 + 1
-                    maybe = bits[x >> np.uint64(42)]
-                    if maybe.any():
-                        at = np.flatnonzero(maybe)
-                        hot = np.zeros(len(x), bool)
+                    hot = bits[x >> np.uint64(42)]
+                    if hot.any():
+                        at = np.flatnonzero(hot)
                         hot[at] = late[np.minimum(np.searchsorted(late, x[at]), len(late) - 1)] == x[at]
-                        x = np.concatenate((x[~hot], x[hot]))
+                        x, hot = np.concatenate((x[~hot], x[hot])), np.concatenate((hot[~hot], hot[hot]))
                     token.append(x[:p])
                     owner.append(np.full(p, key))
+                    salt.append(np.where(hot[:p], key % SALTS, -1))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(owner))], ["token", "set_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(salt), pa.int32()), pa.array(np.concatenate(owner))], ["token", "salt", "set_id"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, set_id long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, salt int, set_id long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]):
+    """Rows sorted by (token, salt, set_id): those of groups of several sets, and all of salted groups, once each, with the least set of the group."""
+    names, held = ["token", "salt", "set_id", "lead"], None
+    for batch in batches:
+        x = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        old = held is not None
+        if old:
+            x = np.concatenate((held[0][:, None], x), 1)
+        if not x.shape[1]:
+            continue
+        again = np.append(False, (np.diff(x) == 0).all(0))
+        x = x[:, ~again]
+        new = np.append(True, (np.diff(x[:2]) != 0).any(0))
+        first = np.flatnonzero(new)
+        lead = np.repeat(x[2, first], np.diff(np.append(first, len(new))))
+        if old:
+            lead[: first[1] if len(first) > 1 else None] = held[1]
+            new[0] = held[2]
+        keep = (x[1] >= 0) | ~new | np.append(~new[1:], False)
+        keep[-1] = False
+        held = x[:, -1].copy(), lead[-1], new[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[0, keep]), pa.array(x[1, keep], pa.int32()), pa.array(x[2, keep]), pa.array(lead[keep])], names)
+    if held is not None and (held[0][1] >= 0 or not held[2]):
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][:1]), pa.array(held[0][1:2], pa.int32()), pa.array(held[0][2:]), pa.array([held[1]], pa.int64())], names)
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """token, salt, set_id, lead of the rows of postings() whose group holds another set (of salted groups, all rows)."""
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id").mapInArrow(_shared, "token long, salt int, set_id long, lead long")
+
+
+def _leads(live: DataFrame) -> DataFrame:
+    """a, b: for each set the ``LEADS`` that most of its groups have; leads of a salted token's parts also meet the least of them."""
+    parts = live.where("salt >= 0").groupBy("token", "lead").agg(F.lit(1).alias("one"))
+    least = parts.groupBy("token").agg(F.min("lead").alias("least"))
+    across = parts.join(least, "token").where("least < lead").select(F.col("lead").alias("set_id"), F.col("least").alias("lead"))
+    leads = live.where("lead < set_id").select("set_id", "lead").unionByName(across).groupBy("set_id", "lead").agg(F.count("*").alias("k"))
+    leads = leads.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS).alias("x"))  # at most two leads for each prefix token
+    return leads.select(F.explode("x.lead").alias("a"), F.col("set_id").alias("b"))
 
 
 def _may_link(na: Column, nb: Column, a: list[Column], b: list[Column]) -> Column:
@@ -178,10 +223,10 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(_may_link(F.col("n_a"), F.col("n_b"), cols("a"), cols("b"))).select("a", "b")
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, scratch: Scratch) -> DataFrame:
     """The texts of the sets in ``pairs`` (a, b), one document of each class (and others that have its doc_id)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = staged(wanted.join(classes.select("set_id", F.col("doc_id").alias("_j_doc")), "set_id").select("_j_doc").distinct(), "wanted")
+    wanted = scratch.staged(wanted.join(classes.select("set_id", F.col("doc_id").alias("_j_doc")), "set_id").select("_j_doc").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_DOCS
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_j_doc")), "left_semi").select("text")
@@ -235,15 +280,17 @@ def _link(x, y) -> bool:
     return 100 * shared >= 80 * (len(x) + len(y) - shared)
 
 
-def narrowed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+def narrowed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int, scratch: Scratch) -> DataFrame:
     """The staged ``pairs`` of set keys that bitmaps as wide as the sets do not rule out."""
-    wide = staged(_of_sets(_texts_of(docs, classes, pairs, text, doc_id), _wide, shingle).dropDuplicates(["set_id"]), "wide")
-    return staged(_paired(pairs, wide, _wide_may_link), "narrowed")
+    with Scratch(docs.sparkSession) as own:
+        wide = own.staged(_of_sets(_texts_of(docs, classes, pairs, text, doc_id, own), _wide, shingle).dropDuplicates(["set_id"]), "wide")
+        return scratch.staged(_paired(pairs, wide, _wide_may_link), "narrowed")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, doc_id: str, shingle: int, scratch: Scratch) -> DataFrame:
     """The staged ``pairs`` of set keys whose whole sets link. Sets are rebuilt for these documents only."""
-    return staged(_paired(pairs, _of_sets(_texts_of(docs, classes, pairs, text, doc_id), lambda x: x.tobytes(), shingle), _link), "verified")
+    with Scratch(docs.sparkSession) as own:
+        return scratch.staged(_paired(pairs, _of_sets(_texts_of(docs, classes, pairs, text, doc_id, own), lambda x: x.tobytes(), shingle), _link), "verified")
 
 
 class SignatureTree:
@@ -369,7 +416,7 @@ def _group_pairs(batches: Iterator[pa.RecordBatch], nearest: bool = False):
         yield found
 
 
-def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame, nearest: bool = False) -> DataFrame:
+def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame, scratch: Scratch, nearest: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of sets of different components that share a group and that no node pair's bound rules out.
 
     With ``nearest``, only those that are among the nearest of either set in a group.
@@ -377,49 +424,68 @@ def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame, near
     rows = live.select("token", "set_id").join(labels.withColumnsRenamed({"node": "set_id"}), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))
     h = F.xxhash64("set_id")
     groups = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y")).where("lo < hi")
-    once = groups.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size")
+    once = scratch.staged(groups.groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"), "groups")
     rows = rows.join(once, "token").join(classes.select("set_id", "n", *_LONGS), "set_id")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") * 2 / GROUP)).cast("long")
-    own = F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("set_id", F.lit(7)), blocks)).otherwise(0)
-    other = F.when(F.col("size") > GROUP, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.withColumn("block", own).withColumn("other", F.explode(other))
+    zero = F.lit(0).cast("long")
+    rows = _dealt(rows) if once.where(F.col("size") > GROUP).head(1) else rows.withColumns({"block": zero, "other": zero})
     rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "comp", F.col("n").cast("long").alias("n"), *_LONGS)
     return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda batches: _group_pairs(batches, nearest), "a long, b long").distinct()
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with their block and, once for each, the ``other`` blocks that they meet: 0 and 0 in a group of up to GROUP sets.
+
+    Of a larger group, components of more than half of GROUP sets get blocks of their own, after those that the rest
+    share. A row meets all blocks that may hold other components.
+    """
+    half = GROUP // 2
+    large = F.col("size") > GROUP
+    of_comp = rows.where(large).groupBy("token", "comp").agg(F.count("*").alias("m"))
+    own = F.col("m") > half
+    # at most size / half entries in each array
+    plan = of_comp.groupBy("token").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~own, F.col("m"))), F.lit(0)) / half).cast("long").alias("mixed"),
+        F.array_sort(F.collect_list(F.when(own, F.struct("comp", F.ceil(F.col("m") / half).cast("long").alias("k"))))).alias("own"),
+    )
+    start = F.aggregate(F.filter("own", lambda x: x["comp"] < F.col("comp")), F.col("mixed"), lambda a, x: a + x["k"])
+    k = F.get(F.filter("own", lambda x: x["comp"] == F.col("comp")), 0)["k"]
+    total = F.aggregate("own", F.col("mixed"), lambda a, x: a + x["k"])
+    dealt = rows.join(plan, "token", "left").withColumns({"_start": start, "_k": k, "_total": total})
+    h = F.xxhash64("set_id", F.lit(7))
+    block = F.when(F.col("_k").isNotNull(), F.col("_start") + F.pmod(h, F.col("_k"))).otherwise(F.pmod(h, F.col("mixed")))
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_total") - 1), lambda b: F.col("_k").isNull() | (b < F.col("_start")) | (b >= F.col("_start") + F.col("_k")))
+    zero = F.lit(0).cast("long")
+    dealt = dealt.withColumns({"block": F.coalesce(block, zero), "other": F.explode(F.when(F.col("_total").isNotNull(), met).otherwise(F.array(zero)))})
+    return dealt.select(*rows.columns, "block", "other")
+
+
 def _components(docs: DataFrame, text: str, doc_id: str, shingle: int, text_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows of describe() for documents, and set_id, doc_id (its least), comp of each set that is not empty.
 
     With ``text_hash``, sets have ``least`` too: no_id, doc_id and text_hash of the first of their documents in that order.
     """
     spark = docs.sparkSession
-    meta_path, posting_path, live_path = (stage_path(spark, x) for x in ("sets", "postings", "live"))
-    meta = staged(describe(docs, text, doc_id, shingle, text_hash), "sets", meta_path)
+    meta = staged(describe(docs, text, doc_id, shingle, text_hash), "sets")
     own = meta.where(F.col("frequent").isNull()).drop("frequent")
     some = own.where("n > 0")
     least = [F.min(_row()).alias("least")] if text_hash else []
     classes = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _LONGS], *least), "classes")
     frequent = spark.sparkContext.broadcast(frequent_tokens(meta))
-    rows = staged(postings(docs, frequent, text, shingle), "postings", posting_path)
-    shared = rows.groupBy("token").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("other")).where("lead < other").select("token", "lead")
-    live = staged(rows.join(shared, "token").distinct(), "live", live_path)
-    drop_stage(spark, posting_path)
-
-    leads = live.where("lead < set_id").groupBy("set_id", "lead").agg(F.count("*").alias("k"))
-    leads = leads.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS).alias("x"))  # at most one lead for each prefix token
-    star = leads.select(F.explode("x.lead").alias("a"), F.col("set_id").alias("b"))
-    star = narrowed(docs, classes, staged(_pruned(star, classes), "star"), text, doc_id, shingle)
-    star = staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
-    links = verified(docs, classes, star, text, doc_id, shingle)
-    labels = staged(components(links), "star-labels")
-    near = staged(tree_candidates(live, classes, labels, nearest=True), "near")
-    links = staged(links.unionByName(verified(docs, classes, narrowed(docs, classes, near, text, doc_id, shingle), text, doc_id, shingle)), "near-links")
-    labels = staged(components(links), "near-labels")
-    more = staged(tree_candidates(live, classes, labels), "tree")
-    more = narrowed(docs, classes, more, text, doc_id, shingle)
-    more = verified(docs, classes, more, text, doc_id, shingle)
-    merged = components(links.unionByName(more))
-    drop_stage(spark, live_path)
+    check = (text, doc_id, shingle)
+    with Scratch(spark) as scratch:
+        live = scratch.staged(shared_tokens(postings(docs, frequent, text, shingle)), "live")
+        star = narrowed(docs, classes, scratch.staged(_pruned(_leads(live), classes), "star"), *check, scratch)
+        star = scratch.staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+        links = verified(docs, classes, star, *check, scratch)
+        labels = scratch.staged(components(links), "star-labels")
+        near = scratch.staged(tree_candidates(live, classes, labels, scratch, nearest=True), "near")
+        more = verified(docs, classes, narrowed(docs, classes, near, *check, scratch), *check, scratch)
+        links = scratch.staged(links.unionByName(more), "near-links")
+        labels = scratch.staged(components(links), "near-labels")
+        more = scratch.staged(tree_candidates(live, classes, labels, scratch), "tree")
+        more = verified(docs, classes, narrowed(docs, classes, more, *check, scratch), *check, scratch)
+        merged = staged(components(links.unionByName(more)), "components")
+    frequent.destroy()
 
     sets = classes.select("set_id", "doc_id", *(["least"] if text_hash else []))
     return own, sets.join(merged.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("component", "set_id"))
