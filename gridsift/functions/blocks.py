@@ -6,18 +6,19 @@ import numpy as np
 
 
 def top_k(similarity: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of each row's k greatest, by value, then by id."""
-    k = min(k, similarity.shape[1])
-    if k < similarity.shape[1]:
-        edge = -np.partition(-similarity, k - 1, axis=1)[:, k - 1 : k]
-        value = np.where(similarity >= edge, similarity, -np.inf)
-    else:
-        value = similarity
-    out = np.empty((len(value), k), np.int64)
-    for i, v in enumerate(value):
-        c = np.flatnonzero(v > -np.inf) if k < similarity.shape[1] else np.arange(len(v))
-        out[i] = c[np.lexsort((ids[c], -v[c]))[:k]]
-    return out, np.take_along_axis(similarity, out, 1)
+    """Columns and values of each row's k greatest, by value, then by id. Only rows with equal values at the edge are looked at one by one."""
+    n = similarity.shape[1]
+    k = min(k, n)
+    at = np.argpartition(-similarity, k - 1, axis=1)[:, :k] if 0 < k < n else np.broadcast_to(np.arange(k), (len(similarity), k))
+    value = np.take_along_axis(similarity, at, 1)
+    if 0 < k < n:
+        edge = value.min(1, keepdims=True)
+        for i in np.flatnonzero((similarity >= edge).sum(1) > k):
+            c = np.flatnonzero(similarity[i] >= edge[i])
+            at[i] = c[np.lexsort((ids[c], -similarity[i, c]))[:k]]
+        value = np.take_along_axis(similarity, at, 1)
+    order = np.lexsort((ids[at], -value), axis=-1)
+    return np.take_along_axis(at, order, 1), np.take_along_axis(value, order, 1)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -49,18 +50,38 @@ def box_smooth(grid: np.ndarray, size: int = 3) -> np.ndarray:
     return total / ((b - a)[:, None] * (q - p)[None, :])[..., None]
 
 
+def _near(eps: float, chebyshev: bool = False) -> list[tuple[int, int]]:
+    """Offsets of the grid cells within ``eps`` of a cell, itself included."""
+    r = int(np.floor(eps))
+    return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if (max(abs(a), abs(b)) if chebyshev else np.hypot(a, b)) <= eps]
+
+
 def link_cells(cells: np.ndarray, eps: float, chebyshev: bool = False) -> np.ndarray:
     """Component number of each (row, col) cell, cells within ``eps`` linked; numbered by first cell."""
+    return _spread(cells, _near(eps, chebyshev), np.ones(len(cells), bool))
+
+
+def dbscan_cells(cells: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """DBSCAN of grid cells: -1 is noise; a border cell joins the first core cell that reaches it. Neighbours are looked up by cell."""
+    near, where = _near(eps), {tuple(c) for c in cells.tolist()}
+    core = np.array([sum((y + a, x + b) in where for a, b in near) >= min_samples for y, x in cells.tolist()], bool)
+    return _spread(cells, near, core)
+
+
+def _spread(cells: np.ndarray, near: list[tuple[int, int]], core: np.ndarray) -> np.ndarray:
+    """Numbers of clusters grown from core cells, by first core cell; -1 for cells that none reaches."""
     label, n = np.full(len(cells), -1), 0
-    where = {tuple(c): i for i, c in enumerate(cells.tolist())}
-    r = int(np.floor(eps))
-    near = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if (max(abs(a), abs(b)) if chebyshev else np.hypot(a, b)) <= eps]
-    for i in range(len(cells)):
+    at = cells.tolist()
+    where = {tuple(c): i for i, c in enumerate(at)}
+    for i in np.flatnonzero(core).tolist():
         if label[i] >= 0:
             continue
         label[i], todo = n, [i]
         while todo:
-            y, x = cells[todo.pop()].tolist()
+            k = todo.pop()
+            if not core[k]:
+                continue
+            y, x = at[k]
             for a, b in near:
                 j = where.get((y + a, x + b))
                 if j is not None and label[j] < 0:
@@ -70,29 +91,6 @@ def link_cells(cells: np.ndarray, eps: float, chebyshev: bool = False) -> np.nda
     return label
 
 
-def dbscan_cells(cells: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """DBSCAN of grid cells: -1 is noise; a border cell joins the first core cell that reaches it."""
-    n = len(cells)
-    label = np.full(n, -1)
-    if not n:
-        return label
-    d = np.sqrt(((cells[:, None, :] - cells[None, :, :]).astype(float) ** 2).sum(-1)) <= eps
-    core = d.sum(1) >= min_samples
-    k = 0
-    for i in range(n):
-        if label[i] >= 0 or not core[i]:
-            continue
-        label[i], todo = k, [i]
-        while todo:
-            j = todo.pop()
-            if core[j]:
-                for m in np.flatnonzero(d[j] & (label < 0)):
-                    label[m] = k
-                    todo.append(int(m))
-        k += 1
-    return label
-
-
 def linkage_labels(distance: np.ndarray, method: str, threshold: float | None = None, k: int | None = None) -> np.ndarray:
     """Agglomerative clusters (single, average or complete) down to ``k`` clusters or up to a distance threshold."""
     d = distance.astype(float).copy()

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from ..functions.vectors import cosine, vector_mean
+from ..functions.geometry import apply_homography
+from ..functions.vectors import cosine, dot, unit, vector_mean
+from .scoremaps import sample_bilinear
 
 
 def _labelled(cells: DataFrame, keys: list[str], label, value: str = "score") -> DataFrame:
@@ -160,20 +162,45 @@ def cluster_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.groupBy(*keys).agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count(F.when(F.col("cluster") < 0, 1)).alias("noise"))
 
 
-def cycle_consistency(source: DataFrame, views: DataFrame, home: DataFrame, share: float, self_limit: float, pixels: float, patch: int) -> DataFrame:
-    """a_id, share, kept. ``views`` has view, a_id, back_row, back_col: where each view's match maps back to; ``home`` a_id, row, col, self_similarity.
+def cycle_consistency(home: DataFrame, views: DataFrame, cells: DataFrame, image: list[str], share: float, self_limit: float, pixels: float, patch: int, grid: int) -> DataFrame:
+    """image, a_id, share, self_similarity, kept of each patch of ``home`` (image, a_id, row, col, embedding).
 
-    share is the part of views that come back within ``pixels``. Kept are patches over ``share`` and below
-    ``self_limit``; if there are none, the best max(20, n // 10).
+    ``views`` has image, view and m, the matrix (9 values) that maps the image's pixels to the view's; ``cells`` image,
+    view, row, col, embedding. A patch's centre is warped into each view and the view's vector there (bilinear) looks
+    for its nearest patch at home, the first of equals. share is the part of the image's views where the centre falls
+    inside and that patch is nearer than ``pixels``. Kept are patches over ``share`` whose cosine to the mean of the unit
+    vectors (not normalised) is below ``self_limit``; in an image without any, the max(20, n // 10) of greatest share.
     """
-    d = F.sqrt((F.col("back_row") - F.col("row")) ** 2 + (F.col("back_col") - F.col("col")) ** 2) * patch
-    rows = views.join(home, "a_id").groupBy("a_id").agg(F.avg((F.coalesce(d <= pixels, F.lit(False))).cast("double")).alias("share"), F.first("self_similarity").alias("self_similarity"))
-    rows = rows.join(source.select("a_id"), "a_id", "left_semi").withColumn("_ok", (F.col("share") > share) & (F.col("self_similarity") < self_limit))
-    n, some = rows.count(), bool(rows.where("_ok").head(1))
-    if some:
-        return rows.select("a_id", "share", F.col("_ok").alias("kept"))
-    best = rows.orderBy(F.desc("share"), "self_similarity", "a_id").limit(max(20, n // 10)).select("a_id", F.lit(True).alias("kept"))
-    return rows.select("a_id", "share").join(best, "a_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    size = grid * patch
+    centre = lambda c: (F.col(c) + 0.5) * patch
+    own = unit(home.select(*image, "a_id", "row", "col", F.col("embedding").cast("array<double>").alias("embedding")), "embedding")
+    points = own.drop("embedding").join(views.select(*image, "view", "m"), image).withColumns({"_x": centre("col"), "_y": centre("row")})
+    warped = apply_homography(points, "m", "_x", "_y").where((F.col("px") >= 0) & (F.col("px") < size) & (F.col("py") >= 0) & (F.col("py") < size))
+    sampled = sample_bilinear(warped.select(*image, "view", F.col("a_id").alias("point_id"), F.col("px").alias("x"), F.col("py").alias("y")), cells, [*image, "view"], grid, size)
+    kinds = dict(own.dtypes)
+
+    def run(points: pa.Table, patches: pa.Table) -> pa.Table:
+        patches = patches.sort_by("a_id")
+        x = lambda t: np.array(t.column("embedding").to_pylist()).reshape(t.num_rows, -1)
+        at = (x(points) @ x(patches).T).argmax(1) if points.num_rows and patches.num_rows else np.zeros(0, np.int64)
+        found, points = patches.take(pa.array(at)), points.slice(0, len(at))
+        return pa.table({**{k: points.column(k) for k in image}, "view": points.column("view"), "a_id": points.column("point_id"), "_r": found.column("row"), "_c": found.column("col")})
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in image) + f", view {dict(views.dtypes)['view']}, a_id {kinds['a_id']}, _r {kinds['row']}, _c {kinds['col']}"
+    # one image's patches and their samples: a bounded group
+    other = own.select(*[F.col(k).alias(f"_{k}") for k in image], "a_id", "row", "col", "embedding")
+    back = sampled.groupBy(*image).cogroup(other.groupBy(*[f"_{k}" for k in image])).applyInArrow(run, schema)
+    d = F.sqrt((F.col("_r") - F.col("row")) ** 2 + (F.col("_c") - F.col("col")) ** 2) * patch
+    hits = back.join(own.select(*image, "a_id", "row", "col"), [*image, "a_id"]).where(d < pixels).groupBy(*image, "a_id").agg(F.count("*").alias("_hits"))
+    known = views.groupBy(*image).agg(F.count("*").alias("_views"))
+    mean = vector_mean(own, image, normalise=False).withColumnRenamed("embedding", "_m")
+    rows = own.join(known, image).join(mean, image).select(*image, "a_id", "_views", dot("embedding", "_m").alias("self_similarity"))
+    rows = rows.join(hits, [*image, "a_id"], "left").withColumn("share", F.coalesce("_hits", F.lit(0)) / F.col("_views"))
+    rows = rows.withColumn("_ok", (F.col("share") > share) & (F.col("self_similarity") < self_limit))
+    all_of = W.partitionBy(*image)
+    most = F.row_number().over(all_of.orderBy(F.desc("share"), "a_id")) <= F.greatest(F.lit(20), F.floor(F.count("*").over(all_of) / 10))
+    kept = F.when(F.max("_ok").over(all_of), F.col("_ok")).otherwise(most)
+    return rows.select(*image, "a_id", "share", "self_similarity", kept.alias("kept"))
 
 
 def cells_per_group(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,11 +25,19 @@ def mask_iou(a: DataFrame, b: DataFrame, image: list[str], a_id: str, b_id: str,
 
 
 def rle_cells(df: DataFrame, keys: list[str], rle: str = "rle", width: str = "width") -> DataFrame:
-    """keys, row, col of the true cells of run-length masks, by prefix sums of the runs; no Python."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(rle)), lambda i: F.aggregate(F.slice(rle, 1, i), F.lit(0), lambda s, v: s + v))
-    rows = df.where(F.size(rle) > 1).select(*keys, width, F.posexplode(F.arrays_zip(F.col(rle).alias("n"), ends.alias("e"))).alias("_k", "_x")).where("_k % 2 = 1 AND _x.n > 0")
-    cells = rows.select(*keys, width, F.explode(F.sequence(F.col("_x.e") - F.col("_x.n"), F.col("_x.e") - 1)).alias("_p"))
-    return cells.select(*keys, F.floor(F.col("_p") / F.col(width)).cast("int").alias("row"), (F.col("_p") % F.col(width)).cast("int").alias("col"))
+    """keys, row, col of the true cells of run-length masks, in time linear in runs and pixels; null or empty runs have none."""
+    kinds = dict(df.dtypes)
+    k = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            for i, (runs, wide) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)):
+                at = np.flatnonzero(np.repeat(np.arange(len(runs)) % 2 == 1, runs)) if runs else np.zeros(0, np.int64)
+                if len(at):
+                    own = pa.array(np.full(len(at), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(own) for j in range(k)), pa.array(at // wide, pa.int32()), pa.array(at % wide, pa.int32())], [*keys, "row", "col"])
+
+    return df.select(*keys, rle, width).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", row int, col int")
 
 
 def min_area_filter(cells: DataFrame, keys: list[str], area: int, share: float) -> DataFrame:
@@ -112,8 +120,8 @@ def prefilter_candidates(cells: DataFrame, tokens: DataFrame, prototype: DataFra
     return scored.join(mask_bbox(cells, keys).select(*keys, "x", "y", "w", "h"), keys)
 
 
-def prompt_region(prompts: DataFrame, height: int, width: int) -> DataFrame:
-    """prompt_id, row, col covered by a prompt's boxes (kind 'box': x0, y0, x1, y1) or discs (kind 'disc': x0, y0, radius)."""
+def prompt_region(prompts: DataFrame, height: int, width: int, image: list[str] | None = None) -> DataFrame:
+    """image, prompt_id, row, col covered by a prompt's boxes (kind 'box': x0, y0, x1, y1) or discs (kind 'disc': x0, y0, radius)."""
     top = F.when(F.col("kind") == "box", F.col("y0")).otherwise(F.col("y0") - F.col("radius"))
     low = F.when(F.col("kind") == "box", F.col("y1") - 1).otherwise(F.col("y0") + F.col("radius"))
     left = F.when(F.col("kind") == "box", F.col("x0")).otherwise(F.col("x0") - F.col("radius"))
@@ -121,15 +129,21 @@ def prompt_region(prompts: DataFrame, height: int, width: int) -> DataFrame:
     span = lambda a, b, n: F.filter(F.sequence(F.greatest(F.ceil(a), F.lit(0)).cast("int"), F.greatest(F.least(F.floor(b), F.lit(n - 1)), F.lit(-1)).cast("int")), lambda x: (x >= F.greatest(F.ceil(a), F.lit(0))) & (x <= F.least(F.floor(b), F.lit(n - 1))))
     rows = prompts.withColumn("row", F.explode(span(top, low, height))).withColumn("col", F.explode(span(left, right, width)))
     inside = (F.col("kind") == "box") | ((F.col("row") - F.col("y0")) ** 2 + (F.col("col") - F.col("x0")) ** 2 <= F.col("radius") ** 2)
-    return rows.where(inside).select("prompt_id", "row", "col").distinct()
+    return rows.where(inside).select(*(image or []), "prompt_id", "row", "col").distinct()
+
 
+def best_mask_for_prompt(region: DataFrame, prompts: DataFrame, cells: DataFrame, masks: DataFrame, image: list[str] | None = None) -> DataFrame:
+    """image, prompt_id, mask_id: the mask with most cells in the prompt's region, the first of equals (so the image's first for an empty region).
 
-def best_mask_for_prompt(region: DataFrame, prompts: DataFrame, cells: DataFrame, masks: DataFrame) -> DataFrame:
-    """prompt_id, mask_id: the mask with most cells in the prompt's region, the first of equals (so the first for an empty region)."""
-    hit = region.join(cells, ["row", "col"]).groupBy("prompt_id", "mask_id").agg(F.count("*").alias("_n"))
-    every = prompts.select("prompt_id").distinct().join(masks.select("mask_id"), how="cross")
-    rows = every.join(hit, ["prompt_id", "mask_id"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    return rows.groupBy("prompt_id").agg(F.min_by("mask_id", F.struct((-F.col("_n")).alias("n"), "mask_id")).alias("mask_id"))
+    Prompts meet only masks that share a cell with their region. Images without masks give no rows.
+    """
+    image = image or []
+    hit = region.join(cells, [*image, "row", "col"]).groupBy(*image, "prompt_id", "mask_id").agg(F.count("*").alias("_n"))
+    best = hit.groupBy(*image, "prompt_id").agg(F.min_by("mask_id", F.struct((-F.col("_n")).alias("n"), "mask_id")).alias("_best"))
+    first = masks.groupBy(*image).agg(F.min("mask_id").alias("_first"))
+    rows = prompts.select(*image, "prompt_id").distinct()
+    rows = (rows.join(first, image) if image else rows.join(F.broadcast(first), how="cross")).join(best, [*image, "prompt_id"], "left")
+    return rows.select(*image, "prompt_id", F.coalesce("_best", "_first").alias("mask_id")).where("mask_id IS NOT NULL")
 
 
 def neighbour_similarity(cells: DataFrame, keys: list[str], axis: str, similarity) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from ..functions.vectors import cosine, unit, vector_mean
+from ..functions.vectors import EPSILON, cosine, dot, norm, unit, vector_mean
 
 
 def label_prototypes(patches: DataFrame, labels: list[str] | None = None) -> DataFrame:
@@ -51,17 +51,46 @@ def fgbg_banks(cells: DataFrame, mask: str = "mask") -> DataFrame:
     return fg.unionByName(cells.where(~F.col(mask)).withColumn("is_fg", F.lit(False)))
 
 
+#: Prototypes that are gathered in one row; more are met in several rows of about so many.
+GATHERED = 2048
+
+
+def _gathered(prototypes: DataFrame, group: list[str]) -> list[DataFrame]:
+    """One-row tables (ps: an array of group and its vectors ``v``) that together hold all prototypes, each of bounded size."""
+    parts = -(-prototypes.count() // GATHERED)
+    rows = prototypes.select(*group, F.col("embedding").alias("_p"))
+    out = []
+    for i in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == i).groupBy(*group).agg(F.collect_list(F.struct(F.col("_p").alias("p"), norm("_p").alias("n"))).alias("v"))
+        out.append(F.broadcast(part.agg(F.collect_list(F.struct(*group, "v")).alias(f"_ps{i}"))))
+    return out
+
+
 def score_prototypes(patches: DataFrame, prototypes: DataFrame, keys: list[str], how: str = "max", group: list[str] | None = None) -> DataFrame:
     """keys, score: the greatest or mean cosine of each patch to the prototypes (of each ``group`` of them).
 
-    Prototypes are one vector for each label or instance; Spark broadcasts them by their measured size.
+    ``keys`` tell patches apart. Prototypes are gathered into rows of at most about GATHERED of them, and a patch folds
+    over them in one projection: patches are not shuffled. A patch without a vector scores null; without prototypes
+    there are no rows.
     """
     if how not in ("max", "mean"):
         raise ValueError(f"unknown aggregation {how!r}")
     group = group or []
-    p = prototypes.select(*group, F.col("embedding").alias("_p"))
-    rows = patches.select(*keys, "embedding").join(p, how="cross").withColumn("s", cosine("embedding", "_p"))
-    return rows.groupBy(*keys, *group).agg((F.max("s") if how == "max" else F.avg("s")).alias("score"))
+    parts = _gathered(prototypes, group)
+    if not parts:
+        return patches.select(*keys, *[F.lit(None).cast(dict(prototypes.dtypes)[g]).alias(g) for g in group], F.lit(0.0).alias("score")).limit(0)
+    rows = patches.select(*keys, "embedding", norm("embedding").alias("_n"))
+    for part in parts:
+        rows = rows.join(part, how="cross")
+    near = lambda x: dot("embedding", x["p"]) / (F.col("_n") * x["n"] + EPSILON)
+    best = lambda v: F.when(F.col("_n").isNotNull(), F.aggregate(v, F.lit(float("-inf")), lambda a, x: F.greatest(a, near(x))))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + near(x))
+    every = F.concat(*[F.col(f"_ps{i}") for i in range(len(parts))])
+    seen = F.transform(every, lambda g: F.struct(*[g[c].alias(c) for c in group], best(g["v"]).alias("s") if how == "max" else total(g["v"]).alias("s"), F.size(g["v"]).alias("n")))
+    rows = rows.select(*keys, F.explode(seen).alias("_x")).select(*keys, "_x.*")
+    if len(parts) == 1:
+        return rows.select(*keys, *group, F.col("s").alias("score") if how == "max" else (F.col("s") / F.col("n")).alias("score"))
+    return rows.groupBy(*keys, *group).agg((F.max("s") if how == "max" else F.sum("s") / F.sum("n")).alias("score"))
 
 
 def score_fgbg_mean(patches: DataFrame, prototypes: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,10 +115,12 @@ def ensemble_prototypes(prototypes: DataFrame, combos: DataFrame, mode: str) ->
 
 
 def cumulative_prototypes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """For each row in ``order``, the normalised mean vector of its group up to it, as ``embedding``."""
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"b.{order}") <= F.col(f"a.{order}")]
-    return vector_mean(a.join(b, on).select(*[F.col(f"a.{c}") for c in (*keys, order)], F.col("b.embedding").alias("embedding")), [*keys, order])
+    """For each row in ``order``, the normalised mean vector of its group up to it, as ``embedding``: running sums by dimension."""
+    each = rows.select(*keys, order, F.posexplode("embedding").alias("_i", "_x")).where(F.col("_x").isNotNull())
+    upto = W.partitionBy(*keys, "_i").orderBy(order)  # rows of equal order count together
+    sums = each.select(*keys, order, "_i", F.sum("_x").over(upto).alias("_s")).dropDuplicates([*keys, order, "_i"])
+    whole = sums.groupBy(*keys, order).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]).alias("embedding"))
+    return unit(whole, "embedding").select(*keys, order, "embedding")
 
 
 def kmeans_cosine(df: DataFrame, k: int, rounds: int = 10, seed: int = 0) -> DataFrame:
@@ -103,8 +134,9 @@ def lloyd_cosine(df: DataFrame, start: DataFrame, key: list[str], rounds: int =
     """Spherical Lloyd steps from given centroids (k, embedding): assignments and centroids; an empty cluster keeps its centroid."""
     rows, centres = unit(df, "embedding"), unit(start.select("k", "embedding"), "embedding")
     for _ in range(rounds):
-        s = rows.select(*key, "embedding").join(centres.select("k", F.col("embedding").alias("_c")), how="cross").withColumn("s", cosine("embedding", "_c"))
-        best = s.groupBy(*key).agg(F.min_by("k", F.struct((-F.col("s")).alias("s"), "k")).alias("k"))
+        one = F.broadcast(centres.agg(F.collect_list(F.struct("k", "embedding")).alias("_cs")))  # k vectors in one row
+        near = F.array_min(F.transform("_cs", lambda c: F.struct((-dot("embedding", c["embedding"])).alias("s"), c["k"].alias("k"))))
+        best = rows.select(*key, "embedding").join(one, how="cross").select(*key, near["k"].alias("k"))
         new = vector_mean(rows.join(best, key), ["k"]).withColumnRenamed("embedding", "_new")
         got = centres.join(new, "k", "left").select("k", F.coalesce("_new", "embedding").alias("embedding")).orderBy("k").collect()  # k rows
         centres = df.sparkSession.createDataFrame([(r.k, list(r.embedding)) for r in got], centres.schema)
@@ -133,13 +165,22 @@ def crop_scores(candidates: DataFrame, exemplar: DataFrame, clusters: DataFrame,
     m1: cosine of the mean token to the exemplar's; m2: mean over exemplar tokens of the best candidate token; m3:
     mean over candidate tokens of the best cluster prototype, null without clusters.
     """
-    mean = vector_mean(exemplar.withColumn("_g", F.lit(1)), ["_g"]).select(F.col("embedding").alias("_e"))
-    m1 = vector_mean(candidates, keys).join(mean, how="cross").select(*keys, cosine("embedding", "_e").alias("m1"))
-    pair = candidates.select(*keys, "embedding").join(exemplar.select("pos", F.col("embedding").alias("_e")), how="cross")
-    m2 = pair.groupBy(*keys, "pos").agg(F.max(cosine("embedding", "_e")).alias("s")).groupBy(*keys).agg(F.avg("s").alias("m2"))
-    near = candidates.withColumn("_i", F.monotonically_increasing_id()).select(*keys, "_i", "embedding").join(clusters.select(F.col("embedding").alias("_e")), how="cross")
-    m3 = near.groupBy(*keys, "_i").agg(F.max(cosine("embedding", "_e")).alias("s")).groupBy(*keys).agg(F.avg("s").alias("m3"))
-    return m1.join(m2, keys).join(m3, keys, "left")
+    matrix = lambda df: blocks.unit_rows(np.array([r.embedding for r in df.select(F.col("embedding").cast("array<double>").alias("embedding")).collect()]))
+    e, c = matrix(exemplar), matrix(clusters)  # one crop's tokens, and a few means of them
+    if not len(e):
+        return candidates.select(*keys, *[F.lit(0.0).alias(m) for m in ("m1", "m2", "m3")]).limit(0)
+    own = np.array([r.embedding for r in exemplar.select(F.col("embedding").cast("array<double>").alias("embedding")).collect()]).mean(0)
+
+    def run(t: pa.Table) -> pa.Table:
+        raw = np.array(t.column("embedding").to_pylist())
+        x, mean = blocks.unit_rows(raw), raw.mean(0)
+        m1 = float(mean @ own / (np.linalg.norm(mean) * np.linalg.norm(own) + EPSILON))
+        m3 = float((x @ c.T).max(1).mean()) if len(c) else None
+        return pa.table({**{k: t.column(k)[:1] for k in keys}, "m1": [m1], "m2": [float((x @ e.T).max(0).mean())], "m3": pa.array([m3], pa.float64())})
+
+    kinds = dict(candidates.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", m1 double, m2 double, m3 double"
+    return candidates.select(*keys, F.col("embedding").cast("array<double>").alias("embedding")).groupBy(*keys).applyInArrow(run, schema)
 
 
 def drift_matrix(prototypes: DataFrame, key: str) -> DataFrame:

@@ -79,7 +79,7 @@ def smoke_subset(df: DataFrame, limit: int) -> DataFrame:
 
 def subsample(df: DataFrame, cap: int, key: list[str], seed: int = 0) -> DataFrame:
     """At most ``cap`` rows, those with the least seeded hashes of their keys: the same at any partitioning."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(cap)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(cap)
 
 
 def top_fraction_mean(df: DataFrame, keys: list[str], score: str, share: float = 0.01) -> DataFrame:

@@ -245,10 +245,10 @@ def conserve(spark, sf):
     return proto.conserve_vs_distort(m, [], "variant", "ratio").select("ratio", r6("between"), r6("conserve"), r6("distort"))
 
 
-@query("g13_cumulative_prototypes", f"""WITH {P}, j AS (SELECT b.image_id AS image_id, b.vec_id AS vec_id, a.e FROM p a JOIN p b ON a.image_id = b.image_id AND a.vec_id <= b.vec_id WHERE a.vec_id % 100 < 6 AND b.vec_id % 100 < 6), m AS ({mean_sql('j', 'image_id, vec_id')})
+@query("g13_cumulative_prototypes", f"""WITH {P}, j AS (SELECT b.image_id AS image_id, b.vec_id AS vec_id, a.e FROM p a JOIN p b ON a.image_id = b.image_id AND a.vec_id <= b.vec_id), m AS ({mean_sql('j', 'image_id, vec_id')})
 SELECT image_id, vec_id, {round_sql('e')} AS embedding FROM m""")
 def cumulative(spark, sf):
-    rows = patches(spark, sf).where("vec_id % 100 < 6").select("image_id", "vec_id", "embedding")
+    rows = patches(spark, sf).select("image_id", "vec_id", "embedding")
     return proto.cumulative_prototypes(rows, ["image_id"], "vec_id").select("image_id", "vec_id", rounded("embedding").alias("embedding"))
 
 
@@ -289,17 +289,17 @@ def labels_from_cells(spark, sf):
     return rows.select("vec_id", F.array_sort("labels").alias("labels"))
 
 
-@query("f10_register_keypoints", f"""WITH {P}, k AS (SELECT DISTINCT image_id, least(CAST(floor(floor((vec_id % 97) * 7 * 140 / 700.0) / 14) AS INT), 9) AS "row", least(CAST(floor(floor((vec_id % 89) * 8 * 140 / 720.0) / 14) AS INT), 9) AS col FROM p WHERE vec_id % 10 = 0)
+@query("f10_register_keypoints", f"""WITH {P}, k AS (SELECT DISTINCT image_id, least(CAST(floor(floor((vec_id % 97) * 7 * 140 / 700.0) / 14) AS INT), 9) AS "row", least(CAST(floor(floor((vec_id % 89) * 8 * 140 / 720.0) / 14) AS INT), 9) AS col FROM p)
 SELECT vec_id, CASE WHEN k.image_id IS NULL THEN [class] ELSE [class, 'point'] END AS labels FROM p LEFT JOIN k USING (image_id, "row", col)""")
 def register_keypoints(spark, sf):
     p = patches(spark, sf)
-    points = p.where("vec_id % 10 = 0").select("image_id", F.lit("point").alias("label"), (F.col("vec_id") % 89 * 8).alias("x"), (F.col("vec_id") % 97 * 7).alias("y"), F.lit(720).alias("orig_w"), F.lit(700).alias("orig_h"))
+    points = p.select("image_id", F.lit("point").alias("label"), (F.col("vec_id") % 89 * 8).alias("x"), (F.col("vec_id") % 97 * 7).alias("y"), F.lit(720).alias("orig_w"), F.lit(700).alias("orig_h"))
     return labels.register_keypoints(p, points, 140, 14).select("vec_id", "labels")
 
 
-@query("f11_available_groups", f"""WITH {P} SELECT image_id, list_filter([CASE WHEN bool_or(label IN (7, 8, 9)) THEN 'high' END, CASE WHEN bool_or(label IN (0, 1)) THEN 'low' END], lambda x: x IS NOT NULL) AS groups FROM p WHERE "row" < 1 GROUP BY image_id""")
+@query("f11_available_groups", f"""WITH {P} SELECT image_id, list_filter([CASE WHEN bool_or(label IN (7, 8, 9)) THEN 'high' END, CASE WHEN bool_or(label IN (0, 1)) THEN 'low' END], lambda x: x IS NOT NULL) AS groups FROM p GROUP BY image_id""")
 def available_groups(spark, sf):
-    rows = patches(spark, sf).where("row < 1").select("image_id", F.explode("labels").alias("class"))
+    rows = patches(spark, sf).select("image_id", F.explode("labels").alias("class"))
     return labels.available_groups(rows, {"low": ["class_0", "class_1"], "high": ["class_7", "class_8", "class_9"]})
 
 
@@ -322,9 +322,6 @@ def runs(spark, sf):
     return labels.runs(e, ["user_id"], ["ts", "event_id"], "bit")
 
 
-_A = "SELECT image_id, label AS mask_id, \"row\", col FROM p WHERE label < 4"
-
-
 def _mask_cells(spark, sf):
     return patches(spark, sf).select("image_id", F.col("label").alias("mask_id"), "row", "col")
 
@@ -386,13 +383,13 @@ def prefilter(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("f14_best_mask_for_prompt", f"""WITH {P}, c AS ({_A} AND image_id = '0'), q(prompt_id, x0, y0, x1, y1) AS (VALUES (1, 0, 0, 4, 4), (2, 3, 5, 10, 10), (3, 9, 9, 10, 10)),
-h AS (SELECT prompt_id, m.mask_id, count(c.mask_id) AS n FROM q CROSS JOIN (SELECT DISTINCT mask_id FROM c) m LEFT JOIN c ON c.mask_id = m.mask_id AND c.col >= x0 AND c.col < x1 AND c."row" >= y0 AND c."row" < y1 GROUP BY ALL)
-SELECT prompt_id, arg_min(mask_id, (-n, mask_id)) AS mask_id FROM h GROUP BY prompt_id""")
+@query("f14_best_mask_for_prompt", f"""WITH {P}, {_BOX}, c AS (SELECT image_id, label AS mask_id, "row", col FROM p), h AS (SELECT bx.image_id, bx.label AS prompt_id, mask_id, count(*) AS n FROM bx JOIN c ON c.image_id = bx.image_id AND c.col >= c0 AND c.col < (c0 + c1 + 1) // 2 AND c."row" >= r0 AND c."row" < (r0 + r1 + 1) // 2 GROUP BY ALL)
+SELECT image_id, prompt_id, arg_min(mask_id, (-n, mask_id)) AS mask_id FROM h GROUP BY image_id, prompt_id""")
 def best_mask(spark, sf):
-    cells = _mask_cells(spark, sf).where("image_id = '0' AND mask_id < 4").select("mask_id", "row", "col")
-    prompts = spark.createDataFrame([(1, "box", 0, 0, 4, 4, None), (2, "box", 3, 5, 10, 10, None), (3, "box", 9, 9, 10, 10, None)], "prompt_id int, kind string, x0 int, y0 int, x1 int, y1 int, radius int")
-    return masks.best_mask_for_prompt(masks.prompt_region(prompts, GRID, GRID), prompts, cells, cells.select("mask_id").distinct())
+    cells = _mask_cells(spark, sf)
+    half = lambda a, b: F.floor((F.col(a) + F.col(b) + 1) / 2).cast("int")
+    prompts = _boxes(spark, sf).select("image_id", F.col("label").alias("prompt_id"), F.lit("box").alias("kind"), F.col("c0").alias("x0"), F.col("r0").alias("y0"), half("c0", "c1").alias("x1"), half("r0", "r1").alias("y1"), F.lit(0).alias("radius"))
+    return masks.best_mask_for_prompt(masks.prompt_region(prompts, GRID, GRID, ["image_id"]), prompts, cells, cells.select("image_id", "mask_id").distinct(), ["image_id"])
 
 
 def _boxes(spark, sf):
@@ -426,12 +423,14 @@ def expand_tiles(spark, sf):
     return geo.expand_tiles(images, 3, 0.125).select("image_id", "ty", "tx", "x0", "x1", "y0", "y1")
 
 
-@query("b20_receptive_field_range", """SELECT o AS overlap, min(least(x1 - x0, y1 - y0)) AS min_px, max(greatest(x1 - x0, y1 - y0)) AS max_px, min(least(x1 - x0, y1 - y0)) / 16 AS min_px_per_patch, max(greatest(x1 - x0, y1 - y0)) / 16 AS max_px_per_patch FROM (
-SELECT o, CAST(greatest(trunc(tx * 200.0 - 200 * o), 0) AS INT) AS x0, CAST(least(trunc(tx * 200.0 + 200 * (1 + o)), 600) AS INT) AS x1, CAST(greatest(trunc(ty * 200.0 - 200 * o), 0) AS INT) AS y0, CAST(least(trunc(ty * 200.0 + 200 * (1 + o)), 600) AS INT) AS y1
-FROM (VALUES (CAST(0.0 AS DOUBLE)), (0.25)) v(o), range(3) a(ty), range(3) b(tx), (SELECT 1 FROM embeddings LIMIT 1)) GROUP BY o""")
+@query("b20_receptive_field_range", f"""WITH {P}, im AS (SELECT DISTINCT image_id, 600 + CAST(image_id AS INT) % 7 * 20 AS h, 600 + CAST(image_id AS INT) % 5 * 30 AS w FROM p)
+SELECT o AS overlap, min(least(x1 - x0, y1 - y0)) AS min_px, max(greatest(x1 - x0, y1 - y0)) AS max_px, min(least(x1 - x0, y1 - y0)) / 16 AS min_px_per_patch, max(greatest(x1 - x0, y1 - y0)) / 16 AS max_px_per_patch FROM (
+SELECT o, CAST(greatest(trunc(tx * (w / 3) - w / 3 * o), 0) AS INT) AS x0, CAST(least(trunc(tx * (w / 3) + w / 3 * (1 + o)), w) AS INT) AS x1, CAST(greatest(trunc(ty * (h / 3) - h / 3 * o), 0) AS INT) AS y0, CAST(least(trunc(ty * (h / 3) + h / 3 * (1 + o)), h) AS INT) AS y1
+FROM (VALUES (CAST(0.0 AS DOUBLE)), (0.25)) v(o), range(3) a(ty), range(3) b(tx), im) GROUP BY o""")
 def receptive_field(spark, sf):
-    image = patches(spark, sf).limit(1).select(F.lit(600).alias("height"), F.lit(600).alias("width"))
-    return geo.receptive_field_range(image, 3, [0.0, 0.25], 16)
+    image = F.col("image_id").cast("int")
+    images = patches(spark, sf).select("image_id").distinct().withColumns({"height": 600 + image % 7 * 20, "width": 600 + image % 5 * 30})
+    return geo.receptive_field_range(images, 3, [0.0, 0.25], 16)
 
 
 @query("b21_apply_homography", f"""WITH {P}, t AS (SELECT vec_id, (1.1 * col + 0.2 * "row" + 3) / (0.001 * col + 0.002 * "row" + 1) AS px, (-0.1 * col + 0.9 * "row" + 1) / (0.001 * col + 0.002 * "row" + 1) AS py, col, "row" FROM p)
@@ -497,10 +496,10 @@ def patch_to_pixel(spark, sf):
     return patches(spark, sf).select("vec_id", geo.patch_to_pixel("col", F.lit(645), 10).alias("x"), geo.patch_to_point("row", F.lit(480), 10).alias("y"))
 
 
-@query("c1_index_vectors", f'WITH {P} SELECT vec_id, round(list_sum(e), 5) AS total FROM p WHERE "row" = 4')
+@query("c1_index_vectors", f'WITH {P} SELECT vec_id, round(list_sum(e), 5) AS total FROM p')
 def index_vectors(spark, sf):
     p = patches(spark, sf)
-    index = p.where("row = 4").select("vec_id", "image_id", "row", "col")
+    index = p.select("vec_id", "image_id", "row", "col")
     rows = index.join(p.select("image_id", "row", "col", "embedding"), ["image_id", "row", "col"])
     return rows.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
 
@@ -515,35 +514,61 @@ def name_parsing(spark, sf):
     return rows.select("doc_id", *part_and_role("n"), F.replace("n", F.lit("s"), F.lit("__")).alias("flat"))
 
 
-@query("h22_subsample")
+@query("h22_subsample", f"WITH {P} SELECT vec_id FROM p ORDER BY md5('7|' || vec_id), vec_id LIMIT 50")
 def subsample(spark, sf):
     return retrieval.subsample(patches(spark, sf).select("vec_id"), 50, ["vec_id"], 7)
 
 
-@query("f5_morph_open")
-def morph_open(spark, sf):
+_BITS = 'g AS (SELECT image_id, "row", col, label % 3 > 0 AS b FROM p)'
+_NEAR = lambda a, b, lo, hi: f"{b}.image_id = {a}.image_id AND {b}.\"row\" BETWEEN {a}.\"row\" + {lo} AND {a}.\"row\" + {hi} AND {b}.col BETWEEN {a}.col + {lo} AND {a}.col + {hi}"
+
+
+def _bit_masks(spark, sf):
     p = patches(spark, sf).withColumn("bit", F.col("label") % 3 > 0)
-    rle = labels.runs(p, ["image_id"], ["row", "col"], "bit").withColumns({"height": F.lit(10), "width": F.lit(10)})
-    return masks.morph_open(rle, ["image_id"], 2)
+    return labels.runs(p, ["image_id"], ["row", "col"], "bit").withColumns({"height": F.lit(10), "width": F.lit(10)})
+
+
+@query("f5_morph_open", f"""WITH {P}, {_BITS}, e AS (SELECT a.image_id, a."row", a.col FROM g a JOIN g b ON {_NEAR("a", "b", 0, 1)} GROUP BY ALL HAVING bool_and(b.b))
+SELECT DISTINCT g.image_id, g."row", g.col FROM g JOIN e ON {_NEAR("g", "e", -1, 0)}""")
+def morph_open(spark, sf):
+    return masks.rle_cells(masks.morph_open(_bit_masks(spark, sf), ["image_id"], 2), ["image_id"])
+
+
+@query("f6_morph_close", f"""WITH {P}, {_BITS}, d AS (SELECT a.image_id, a."row", a.col, bool_or(b.b) AS b FROM g a JOIN g b ON {_NEAR("a", "b", -1, 1)} GROUP BY ALL)
+SELECT a.image_id, a."row", a.col FROM d a JOIN d b ON {_NEAR("a", "b", -1, 1)} GROUP BY ALL HAVING bool_and(b.b)""")
+def morph_close(spark, sf):
+    return masks.rle_cells(masks.morph_close(_bit_masks(spark, sf), ["image_id"], 1), ["image_id"])
+
+
+_UNIT = lambda v: f"list_transform({v}, lambda x: x / greatest(sqrt(list_dot_product({v}, {v})), 1e-12))"
 
 
-@query("g14_cycle_consistency")
+@query("g14_cycle_consistency", f"""WITH {P}, u AS (SELECT *, {_UNIT("e")} AS u FROM p),
+ce AS (SELECT image_id, 'a' AS view, "row", CAST((col + 1) % 10 AS INT) AS col, e FROM p UNION ALL SELECT p.image_id, 'b', p."row", p.col, CASE WHEN q.e IS NULL THEN p.e ELSE list_transform(list_zip(p.e, q.e), lambda x: x[1] + x[2] * 0.5::DOUBLE) END FROM p LEFT JOIN p q ON q.vec_id = p.vec_id + 100),
+c AS (SELECT image_id, vec_id, (col + 0.5::DOUBLE) * 64 AS x, ("row" + 0.5::DOUBLE) * 64 AS y FROM p),
+w AS (SELECT image_id, vec_id, 'a' AS view, x + 64 AS x, y FROM c UNION ALL SELECT image_id, vec_id, 'b', (x + 0.02::DOUBLE * y + 10) / (0.0001::DOUBLE * x + 1), (y - 0.02::DOUBLE * x - 6) / (0.0001::DOUBLE * x + 1) FROM c),
+q AS (SELECT image_id, vec_id, view, greatest(least(x * 10 / 640.0::DOUBLE - 0.5, 9), 0) AS x, greatest(least(y * 10 / 640.0::DOUBLE - 0.5, 9), 0) AS y FROM w WHERE x >= 0 AND x < 640 AND y >= 0 AND y < 640),
+k AS (SELECT image_id, vec_id, view, CAST(least(floor(y) + dy, 9) AS INT) AS "row", CAST(least(floor(x) + dx, 9) AS INT) AS col, (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM q, range(2) a(dy), range(2) b(dx)),
+v AS (SELECT image_id, vec_id, view, list(m ORDER BY i) AS v FROM (SELECT image_id, vec_id, view, i, sum(x * w) / sum(w) AS m FROM (SELECT image_id, vec_id, view, w, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM k JOIN ce USING (image_id, view, "row", col) WHERE w > 0) GROUP BY ALL) GROUP BY ALL),
+n AS (SELECT v.image_id, v.vec_id, view, arg_max(u.vec_id, (list_dot_product({_UNIT("v")}, u.u), -u.vec_id)) AS back FROM v JOIN u ON u.image_id = v.image_id GROUP BY ALL),
+h AS (SELECT p.image_id, p.vec_id, count(*) AS hits FROM n JOIN p ON p.vec_id = n.vec_id JOIN p b ON b.vec_id = n.back WHERE sqrt((b."row" - p."row") ** 2 + (b.col - p.col) ** 2) * 64 < 8 GROUP BY ALL),
+m AS ({mean_sql("u", "image_id", False, "u")}),
+r AS (SELECT image_id, vec_id, coalesce(hits, 0) / 2 AS share, list_dot_product(u.u, m.e) AS s FROM u JOIN m USING (image_id) LEFT JOIN h USING (image_id, vec_id)),
+o AS (SELECT *, share > 0.4 AND s < 0.12 AS ok FROM r)
+SELECT image_id, vec_id AS a_id, round(share, 6) AS share, round(s, 6) AS self_similarity, CASE WHEN bool_or(ok) OVER (PARTITION BY image_id) THEN ok ELSE row_number() OVER (PARTITION BY image_id ORDER BY share DESC, vec_id) <= 20 END AS kept FROM o""")
 def cycle_consistency(spark, sf):
     from ..operators import clusters
 
     p = patches(spark, sf)
-    side = lambda k, name: p.where(F.col("image_id") == k).withColumnRenamed("vec_id", name)
-    home = side("0", "a_id")
-    views = None
-    for k in ("1", "2"):
-        there = knn.knn_join(home, side(k, "b_id"), 1, "a_id", "b_id").select(F.col("query_id").alias("a_id"), F.col("bank_id").alias("b_id"))
-        back = knn.knn_join(side(k, "b_id"), home, 1, "b_id", "a_id").select(F.col("query_id").alias("b_id"), F.col("bank_id").alias("back"))
-        at = home.select(F.col("a_id").alias("back"), F.col("row").alias("back_row"), F.col("col").alias("back_col"))
-        rows = there.join(back, "b_id").join(at, "back").select(F.lit(k).alias("view"), "a_id", "back_row", "back_col")
-        views = rows if views is None else views.unionByName(rows)
-    centre = vector_mean(home.withColumn("g", F.lit(1)), ["g"]).select(F.col("embedding").alias("_m"))
-    known = home.join(centre, how="cross").select("a_id", "row", "col", cosine("embedding", "_m").alias("self_similarity"))
-    return clusters.cycle_consistency(home, views, known, 0.4, 0.9, 8, 14)
+    views = p.select("image_id").distinct().select("image_id", F.explode(F.create_map(
+        F.lit("a"), F.array(*map(F.lit, (1.0, 0.0, 64.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0))), F.lit("b"), F.array(*map(F.lit, (1.0, 0.02, 10.0, -0.02, 1.0, -6.0, 0.0001, 0.0, 1.0))),
+    )).alias("view", "m"))
+    own = p.select("vec_id", "image_id", "row", "col", "embedding")
+    after = p.select((F.col("vec_id") - 100).alias("vec_id"), F.col("embedding").alias("_q"))
+    mixed = F.when(F.col("_q").isNull(), F.col("embedding")).otherwise(F.zip_with("embedding", "_q", lambda x, y: x + y * 0.5))
+    cells = own.select("image_id", F.lit("a").alias("view"), "row", ((F.col("col") + 1) % 10).cast("int").alias("col"), "embedding").unionByName(own.join(after, "vec_id", "left").select("image_id", F.lit("b").alias("view"), "row", "col", mixed.alias("embedding")))
+    out = clusters.cycle_consistency(own.withColumnRenamed("vec_id", "a_id"), views, cells, ["image_id"], 0.4, 0.12, 8, 64, 10)
+    return out.select("image_id", "a_id", r6("share"), r6("self_similarity"), "kept")
 
 
 @query("i4_json_records", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")

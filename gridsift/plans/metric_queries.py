@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, reports, retrieval
 from .projection import table
 from .registry import query
+from .scoremap_queries import match_sql, matched
 
 
 def r6(c):
@@ -68,14 +69,20 @@ def aupro(spark, sf):
     return metrics.aupro(x, ["method"]).select("method", F.round("aupro", 5).alias("aupro"))
 
 
-@query("e16_match_metrics")
-def match_metrics(spark, sf):
-    from .scoremap_queries import matched
+#: Some images without predictions, some without truths, and masks without a partner on either side.
+_PRED, _TRUE = "CAST(image_id AS INT) % 4 <> 1 AND a % 3 <> 0", "CAST(image_id AS INT) % 4 <> 2 AND b % 5 <> 0"
+
 
-    m, predicted = matched(spark, sf)
-    n = predicted.groupBy("image_id").agg(F.count("*").alias("n_pred"))
+@query("e16_match_metrics", f"""{match_sql(_PRED, _TRUE)}, np AS (SELECT image_id, count(*) AS p FROM na GROUP BY image_id), ng AS (SELECT image_id, count(*) AS g FROM nb GROUP BY image_id), nt AS (SELECT image_id, count(*) AS t, sum(iou) AS s FROM m GROUP BY image_id),
+c AS (SELECT image_id, coalesce(p, 0) AS p, coalesce(g, 0) AS g, coalesce(t, 0) AS t, coalesce(s, 0) AS s FROM np FULL JOIN ng USING (image_id) LEFT JOIN nt USING (image_id)),
+r AS (SELECT *, CASE WHEN p > 0 THEN t / p ELSE 0 END AS pr, CASE WHEN g > 0 THEN t / g END AS rc FROM c)
+SELECT image_id, CASE WHEN g > 0 THEN round(pr, 6) END AS precision, round(rc, 6) AS recall, CASE WHEN g > 0 THEN round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) END AS f1,
+CASE WHEN g > 0 THEN round(CASE WHEN t > 0 THEN s / t ELSE 0 END, 6) END AS mean_iou, t AS tp, p - t AS fp, CASE WHEN g > 0 THEN g - t ELSE 0 END AS fn, abs(p - g) AS count_error, p AS n_pred, g AS n_gt FROM r""")
+def match_metrics(spark, sf):
+    m, predicted, truth = matched(spark, sf, _PRED, _TRUE)
+    n = predicted.groupBy("image_id").agg(F.count("*").alias("n_pred")).join(truth.groupBy("image_id").agg(F.count("*").alias("n_gt")), "image_id", "full")
     c = n.join(m.groupBy("image_id").agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum")), "image_id", "left").na.fill(0)
-    return metrics.match_metrics(c.withColumn("n_gt", F.col("n_pred")), ["image_id"]).select("image_id", r6("precision"), r6("recall"), r6("f1"), r6("mean_iou"), "tp", "fp", "fn", "count_error", "n_pred", "n_gt")
+    return metrics.match_metrics(c, ["image_id"]).select("image_id", r6("precision"), r6("recall"), r6("f1"), r6("mean_iou"), "tp", "fp", "fn", "count_error", "n_pred", "n_gt")
 
 
 _M = """m AS (SELECT event_type AS method, user_id, value / 100 AS precision, CASE WHEN value > 5 THEN value / 50 END AS recall, value / 200 AS f1, CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE value / 300 END AS mean_iou, event_id % 5 AS count_error FROM events)"""

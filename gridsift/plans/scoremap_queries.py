@@ -137,13 +137,13 @@ def splat_bilinear(spark, sf):
     return scoremaps.splat_bilinear(rows, KEY).select("image_id", "row", "col", rounded("embedding").alias("embedding"))
 
 
-@query("g15_sample_bilinear", f"""WITH {P}, q AS (SELECT image_id, vec_id AS point_id, greatest(least(vec_id * 13 % 640 * 10 / 640.0 - 0.5, 9), 0) AS x, greatest(least(vec_id * 29 % 640 * 10 / 640.0 - 0.5, 9), 0) AS y FROM p WHERE vec_id % 9 = 0),
+@query("g15_sample_bilinear", f"""WITH {P}, q AS (SELECT image_id, vec_id AS point_id, greatest(least(vec_id * 13 % 640 * 10 / 640.0 - 0.5, 9), 0) AS x, greatest(least(vec_id * 29 % 640 * 10 / 640.0 - 0.5, 9), 0) AS y FROM p),
 c AS (SELECT image_id, point_id, CAST(least(floor(y) + dy, 9) AS INT) AS "row", CAST(least(floor(x) + dx, 9) AS INT) AS col, (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM q, range(2) a(dy), range(2) b(dx)),
 u AS (SELECT image_id, point_id, i, sum(x * w) / sum(w) AS m FROM (SELECT image_id, point_id, w, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM c JOIN p USING (image_id, "row", col) WHERE w > 0) GROUP BY ALL), v AS (SELECT image_id, point_id, list(m ORDER BY i) AS v FROM u GROUP BY ALL)
 SELECT image_id, point_id, {round_sql("list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12))")} AS embedding FROM v""")
 def sample_bilinear(spark, sf):
     p = patches(spark, sf)
-    points = p.where("vec_id % 9 = 0").select("image_id", F.col("vec_id").alias("point_id"), (F.col("vec_id") * 13 % 640).alias("x"), (F.col("vec_id") * 29 % 640).alias("y"))
+    points = p.select("image_id", F.col("vec_id").alias("point_id"), (F.col("vec_id") * 13 % 640).alias("x"), (F.col("vec_id") * 29 % 640).alias("y"))
     return scoremaps.sample_bilinear(points, p.select("image_id", "row", "col", "embedding"), KEY, 10, 640).select("image_id", "point_id", rounded("embedding").alias("embedding"))
 
 
@@ -175,12 +175,23 @@ def components(spark, sf):
     return c.groupBy("image_id", "cluster_id").agg(F.min(F.col("row") * 100 + F.col("col")).alias("first_cell"), F.count("*").alias("size"), F.max("score").alias("score")).drop("cluster_id")
 
 
-@query("g3_grid_dbscan")
+_NEXT = 'a.image_id = b.image_id AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1'
+
+
+@query("g3_grid_dbscan", f"""WITH RECURSIVE {P}, {S}, c AS (SELECT image_id, "row", col, score, "row" * 100 + col AS cell FROM s WHERE score > 0.05),
+k AS (SELECT a.image_id, a."row", a.col, a.cell FROM c a JOIN c b ON {_NEXT} GROUP BY ALL HAVING count(*) >= 3), link AS (SELECT a.image_id, a.cell AS x, b.cell AS y FROM k a JOIN k b ON {_NEXT}),
+reach AS (SELECT image_id, x, y FROM link UNION SELECT r.image_id, r.x, l.y FROM reach r JOIN link l ON r.image_id = l.image_id AND r.y = l.x), lead AS (SELECT image_id, x AS cell, min(y) AS lead FROM reach GROUP BY ALL),
+t AS (SELECT a.image_id, a.cell, a.score, min(lead) AS lead FROM c a JOIN k b ON {_NEXT} JOIN lead ON lead.image_id = b.image_id AND lead.cell = b.cell GROUP BY ALL),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY lead) - 1 AS cluster_id FROM t)
+SELECT image_id, cluster_id, max(score) AS score, count(*) AS size FROM n GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60""")
 def dbscan(spark, sf):
     return clusters.cluster_table(clusters.grid_dbscan(scores(spark, sf).where("score > 0.05"), KEY, 1.5, 3), KEY, 2, 60)
 
 
-@query("g4_region_grow")
+@query("g4_region_grow", f"""WITH RECURSIVE {P}, {S}, {_PEAKS}, c AS (SELECT image_id, "row", col, "row" * 100 + col AS cell FROM s WHERE score >= 0.0),
+link AS (SELECT a.image_id, a.cell AS x, b.cell AS y FROM c a JOIN c b ON a.image_id = b.image_id AND abs(a."row" - b."row") + abs(a.col - b.col) <= 1),
+reach AS (SELECT image_id, x, y FROM link UNION SELECT r.image_id, r.x, l.y FROM reach r JOIN link l ON r.image_id = l.image_id AND r.y = l.x)
+SELECT image_id, CAST(x // 100 AS INT) AS peak_row, CAST(x % 100 AS INT) AS peak_col, CAST(y // 100 AS INT) AS "row", CAST(y % 100 AS INT) AS col FROM reach JOIN pk USING (image_id) WHERE x = pk."row" * 100 + pk.col""")
 def region_grow(spark, sf):
     s = scores(spark, sf)
     return clusters.region_grow(s, scoremaps.peaks(s, KEY, 3, 0.05), KEY, 0.0)
@@ -196,7 +207,17 @@ def _masks(spark, sf):
 _PAIRS = """a AS (SELECT image_id, CAST(label AS BIGINT) AS a, "row", col FROM p), b AS (SELECT image_id, CAST(label + 10 AS BIGINT) AS b, ("row" + 1) % 10 AS "row", col FROM p), i AS (SELECT image_id, a, b, count(*) AS n FROM a JOIN b USING (image_id, "row", col) GROUP BY ALL)"""
 
 
-@query("d9_greedy_nms")
+def _kept_sql(iou: str, over: str) -> str:
+    """Masks kept in order of size, then id, that overlap (``over``) no kept one."""
+    return f"""WITH RECURSIVE {P}, {_PAIRS}, na AS (SELECT image_id, a, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT image_id, b, count(*) AS n FROM b GROUP BY ALL),
+x AS (SELECT i.image_id, i.a, i.b, {iou} AS iou FROM i JOIN na ON na.image_id = i.image_id AND na.a = i.a JOIN nb ON nb.image_id = i.image_id AND nb.b = i.b), two AS (SELECT image_id, a AS id, b AS other FROM x WHERE {over} UNION ALL SELECT image_id, b, a FROM x WHERE {over}),
+near AS (SELECT image_id, id, list(other) AS near FROM two GROUP BY ALL), every AS (SELECT image_id, a AS id, n FROM na UNION ALL SELECT image_id, b, n FROM nb),
+o AS (SELECT every.image_id, every.id, coalesce(near, []) AS near, row_number() OVER (PARTITION BY every.image_id ORDER BY n DESC, every.id) AS k FROM every LEFT JOIN near ON near.image_id = every.image_id AND near.id = every.id),
+m AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM o UNION ALL SELECT m.image_id, o.k, CASE WHEN list_has_any(m.kept, o.near) THEN m.kept ELSE list_append(m.kept, o.id) END FROM m JOIN o ON o.image_id = m.image_id AND o.k = m.k + 1)
+SELECT image_id, unnest(arg_max(kept, k)) AS mask_id FROM m GROUP BY image_id"""
+
+
+@query("d9_greedy_nms", _kept_sql("i.n / (na.n + nb.n - i.n)", "iou >= 0.1"))
 def nms(spark, sf):
     a, b = _masks(spark, sf)
     pairs = masks.mask_iou(a, b, KEY, "a", "b", nms=True)
@@ -204,21 +225,36 @@ def nms(spark, sf):
     return clusters.greedy_nms(every, pairs, KEY, 0.1)
 
 
-@query("g6_merge_overlapping")
+@query("g6_merge_overlapping", _kept_sql("i.n / (na.n + nb.n - i.n + 1e-8)", "iou > 0"))
 def merge(spark, sf):
     a, b = _masks(spark, sf)
     every = a.select("image_id", F.col("a").alias("mask_id")).unionByName(b.select("image_id", F.col("b").alias("mask_id"))).groupBy("image_id", "mask_id").agg(F.count("*").cast("double").alias("score"))
     return clusters.merge_overlapping(every, masks.mask_iou(a, b, KEY, "a", "b"), KEY)
 
 
-def matched(spark, sf):
+def match_sql(predicted: str = "true", truth: str = "true") -> str:
+    """CTEs of the greedy match (m: image_id, a, b, iou), of predictions (na) and truths (nb); starts with WITH RECURSIVE."""
+    return f"""WITH RECURSIVE {P}, {_PAIRS}, na AS (SELECT image_id, a, count(*) AS n FROM a WHERE {predicted} GROUP BY ALL), nb AS (SELECT image_id, b, count(*) AS n FROM b WHERE {truth} GROUP BY ALL),
+x AS (SELECT i.image_id, i.a, i.b, i.n / (na.n + nb.n - i.n + 1e-8) AS iou FROM i JOIN na ON na.image_id = i.image_id AND na.a = i.a JOIN nb ON nb.image_id = i.image_id AND nb.b = i.b),
+cand AS (SELECT image_id, a, list({{'b': b, 'iou': iou}} ORDER BY iou DESC, b) AS c FROM x GROUP BY ALL),
+o AS (SELECT na.image_id, na.a, coalesce(c, []) AS c, row_number() OVER (PARTITION BY na.image_id ORDER BY n DESC, na.a) AS k FROM na LEFT JOIN cand ON cand.image_id = na.image_id AND cand.a = na.a),
+steps AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS iou FROM na
+UNION ALL SELECT image_id, k, CASE WHEN y.iou >= 0.1 THEN list_append(used, y.b) ELSE used END, a, CASE WHEN y.iou >= 0.1 THEN y.b END, CASE WHEN y.iou >= 0.1 THEN y.iou END
+FROM (SELECT steps.image_id, o.k, used, o.a, list_filter(o.c, lambda z: NOT list_contains(used, z.b))[1] AS y FROM steps JOIN o ON o.image_id = steps.image_id AND o.k = steps.k + 1)),
+m AS (SELECT image_id, a, b, iou FROM steps WHERE b IS NOT NULL)"""
+
+
+def matched(spark, sf, predicted="true", truth="true"):
+    """The greedy match, the predictions and the truths."""
     a, b = _masks(spark, sf)
+    a, b = a.where(predicted), b.where(truth)
     pairs = masks.mask_iou(a, b, KEY, "a", "b").select("image_id", F.col("a").alias("pred_id"), F.col("b").alias("gt_id"), "iou")
-    predicted = a.groupBy("image_id", F.col("a").alias("pred_id")).agg(F.count("*").alias("score"))
-    return clusters.greedy_match(predicted, b.select("image_id", F.col("b").alias("gt_id")).distinct(), pairs, KEY, 0.1), predicted
+    p = a.groupBy("image_id", F.col("a").alias("pred_id")).agg(F.count("*").alias("score"))
+    t = b.select("image_id", F.col("b").alias("gt_id")).distinct()
+    return clusters.greedy_match(p, t, pairs, KEY, 0.1), p, t
 
 
-@query("g5_greedy_match")
+@query("g5_greedy_match", f"{match_sql()} SELECT image_id, a AS pred_id, b AS gt_id, round(iou, 6) AS iou FROM m")
 def greedy_match(spark, sf):
     return matched(spark, sf)[0].withColumn("iou", F.round("iou", 6))
 
@@ -341,6 +377,8 @@ def fgbg_classifier(spark, sf):
     return run(p.where("split = 'train'").select("embedding", (F.col("label") < 5).alias("is_fg")), p.where("split = 'test'").select("vec_id", "embedding")).select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query("g16_upsample_map")
+@query("g16_upsample_map", f"""WITH {P}, {S}, t AS (SELECT DISTINCT image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, least(greatest((r + 0.5::DOUBLE) / 3 - 0.5, 0), 9) AS y, least(greatest((c + 0.5::DOUBLE) / 3 - 0.5, 0), 9) AS x FROM s, range(30) a(r), range(30) b(c))
+SELECT t.image_id, t."row", t.col, round(sum(score * (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END)), 6) AS score
+FROM t, range(2) d(dy), range(2) e(dx), s WHERE s.image_id = t.image_id AND s."row" = least(floor(y) + dy, 9) AND s.col = least(floor(x) + dx, 9) GROUP BY ALL""")
 def upsample(spark, sf):
-    return scoremaps.upsample_map(scores(spark, sf).select("image_id", "row", "col", "score"), KEY, 10, 10, 20, 20).withColumn("score", F.round("score", 6))
+    return scoremaps.upsample_map(scores(spark, sf).select("image_id", "row", "col", "score"), KEY, 10, 10, 30, 30).withColumn("score", F.round("score", 6))
