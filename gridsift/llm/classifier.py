@@ -1,9 +1,10 @@
 """Quality classifier: a document's own evidence combined with posteriors of its host and path by empirical Bayes.
 
 1. Byte and word counts of the whole text give features; a logistic regression is fitted to at most ``SAMPLE``
-   labelled rows (those with the least hashes of their ids) and gives each document a probability.
-2. Hosts' rates of good documents (labels where known, else probabilities) are shrunk to the global rate, with a
-   prior weight estimated from how far hosts differ beyond chance; paths within a host are shrunk to the host's.
+   labelled rows (those with the least hashes of their ids and features) and gives each document a probability.
+2. Hosts' rates of good documents (labels where known, else probabilities) are shrunk to the global rate, and paths'
+   rates to their host's posterior. The prior weights are ratios of the variance within groups to that between them:
+   hosts about the global rate, paths about their own host's rate.
 3. A document's log odds are its own plus its path's, less the global ones.
 """
 
@@ -24,7 +25,7 @@ SAMPLE = 20_000
 THRESHOLD = 0.5
 FEATURES = ("upper", "digit", "newline", "symbol", "bang", "punctuation", "word_bytes", "log_words", "same_as_last", "same_as_before_last", "distinct", "short_words")
 #: A rate's prior weight lies within these bounds.
-WEIGHTS = (10.0, 1e6)
+WEIGHTS = (2.0, 1e6)
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = 1
@@ -99,17 +100,17 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _weight(groups: DataFrame, rate: float) -> float:
-    """The prior weight that makes the spread of groups' rates what it is beyond chance (method of moments)."""
-    r = groups.agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("n") * (F.col("good") / F.col("n") - rate) ** 2).alias("ss"),
-    ).head()
-    if not r.n or r.k < 2:
+def _prior_weight(n: float, groups: int, parents: int, within: float, between: float, squares: float) -> float:
+    """Variance within groups over variance between groups of one parent (analysis of variance), in WEIGHTS.
+
+    ``n`` rows in ``groups`` groups of ``parents`` parents; sums of squares within groups, and of groups' rates about
+    their parents'; ``squares`` is the sum over parents of their groups' squared sizes over their own.
+    """
+    if groups <= parents or n <= groups:
         return WEIGHTS[1]
-    chance = rate * (1 - rate)
-    between = (r.ss - (r.k - 1) * chance) / (r.n - r.nn / r.n) if r.n > r.nn / r.n else 0.0
-    return WEIGHTS[1] if between <= 0 else float(min(max(chance / between - 1, WEIGHTS[0]), WEIGHTS[1]))
+    noise = within / (n - groups)
+    spread = (between - (groups - parents) * noise) / max(n - squares, 1e-9)
+    return WEIGHTS[1] if spread <= 0 else float(min(max(noise / spread, WEIGHTS[0]), WEIGHTS[1]))
 
 
 def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
@@ -117,16 +118,33 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
 
     Sums are partial by task, so a host with a third of all rows costs a row a task.
     """
-    paths = staged(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).head()
-    rate = min(max((total.good + 1) / (total.n + 2), 1e-3), 1 - 1e-3) if total.n else 0.5
-    wide, narrow = _weight(hosts, rate), _weight(paths, rate)
-    hosts = hosts.select("host", ((F.col("good") + wide * rate) / (F.col("n") + wide)).alias("p_host"))
-    out = paths.join(hosts, "host").select("host", "path", "p_host", ((F.col("good") + narrow * F.col("p_host")) / (F.col("n") + narrow)).alias("p_path"))
+    c = F.col
+    sums = [F.sum(x).alias(x) for x in ("n", "good", "sq")]
+    paths = staged(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum(c("good") * c("good")).alias("sq")), "paths")
+    hosts = staged(paths.groupBy("host").agg(*sums, F.count("*").alias("k"), F.sum(c("n") * c("n")).alias("nn"), F.sum(c("sq") - c("good") * c("good") / c("n")).alias("within"), F.sum(c("good") * c("good") / c("n")).alias("gg")), "hosts")
+    t = hosts.agg(
+        *sums, F.count("*").alias("hosts"), F.sum("k").alias("paths"), F.sum(c("sq") - c("good") * c("good") / c("n")).alias("within_hosts"), F.sum("within").alias("within_paths"),
+        F.sum(c("good") * c("good") / c("n")).alias("gg"), F.sum(c("gg") - c("good") * c("good") / c("n")).alias("between_paths"), F.sum(c("n") * c("n")).alias("nn"), F.sum(c("nn") / c("n")).alias("nn_paths"),
+    ).head()
+    if not t.n:
+        return paths.select("host", "path", F.lit(0.5).alias("p_host"), F.lit(0.5).alias("p_path")), 0.5
+    rate = min(max((t.good + 1) / (t.n + 2), 1e-3), 1 - 1e-3)
+    wide = _prior_weight(t.n, t.hosts, 1, t.within_hosts, t.gg - t.good * t.good / t.n, t.nn / t.n)
+    narrow = _prior_weight(t.n, t.paths, t.hosts, t.within_paths, t.between_paths, t.nn_paths)
+    hosts = hosts.select("host", ((c("good") + wide * rate) / (c("n") + wide)).alias("p_host"))
+    out = paths.join(hosts, "host").select("host", "path", "p_host", ((c("good") + narrow * c("p_host")) / (c("n") + narrow)).alias("p_path"))
     return out, rate
 
 
+def _training_rows(train: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``sample`` distinct rows of x and y: a bound on their hashes, from their number, picks about twice as many, and only those are sorted."""
+    n = train.count()
+    share = (F.col("h").cast("double") / float(1 << 63) + 1) / 2
+    some = train.where(share <= min(1.0, 2 * sample / n + 20 / n)) if n else train
+    got = some.distinct().orderBy("h", "x", "y").limit(sample).select("x", "y").toPandas()
+    return np.stack(got.x) if len(got) else np.zeros((0, len(FEATURES))), got.y.to_numpy()
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", label: str = "quality", carry: tuple[str, ...] = (), sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the ``carry`` columns, p_document, p_host, p_path, score (of being good) and kept, for every row of ``docs``.
 
@@ -139,9 +157,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     rows = staged(document_features(docs, text, cols), "classifier-features")
     known = labels.select(F.col(doc_id).alias("_c_id"), F.col(label).cast("double").alias("_c_y")).where("_c_id IS NOT NULL AND _c_y IS NOT NULL").groupBy("_c_id").agg(F.avg("_c_y").alias("_c_y"))
     with_y = rows.join(known, F.col(doc_id) == F.col("_c_id"), "left").drop("_c_id")
-    train = with_y.where(F.col("_c_y").isNotNull()).select("x", (F.col("_c_y") >= 0.5).cast("double").alias("y"), F.xxhash64(F.lit("quality"), doc_id).alias("h"), doc_id)
-    got = train.orderBy("h", doc_id, "x").limit(sample).select("x", "y").toPandas()  # at most ``sample`` rows
-    w, b = fit(np.stack(got.x) if len(got) else np.zeros((0, len(FEATURES))), got.y.to_numpy())
+    train = with_y.where(F.col("_c_y").isNotNull()).select("x", (F.col("_c_y") >= 0.5).cast("double").alias("y"), F.xxhash64(F.lit("quality"), doc_id, "x").alias("h"))
+    w, b = fit(*_training_rows(train, sample))
     odds = reduce(lambda a, k: a + F.get("x", F.lit(k)) * float(w[k]), range(len(FEATURES)), F.lit(b))
     p = 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
