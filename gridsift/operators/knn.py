@@ -172,12 +172,21 @@ def _farthest(rows: DataFrame, chosen: np.ndarray):
     return rows.mapInArrow(run, rows.schema).agg(F.max(F.struct("far", -F.col("bank_id"), "bank_id", "v")).alias("x")).head().x
 
 
-def memory_bank(patches: DataFrame, n: int | None = None, bank_id: str = "bank_id", **filters) -> DataFrame:
-    """Filtered, normalised patches as a bank, thinned to ``n`` rows; an empty one is an error."""
+def memory_bank(patches: DataFrame, n: int | None = None, bank_id: str = "bank_id", ratio: float | None = None, smoothing: bool = False, **filters) -> DataFrame:
+    """Filtered, normalised patches as a bank, thinned to ``n`` rows or to a ``ratio`` of them (one at least); an empty one is an error.
+
+    With ``smoothing``, vectors are means over 3 x 3 boxes of their image's whole grid, before the filters.
+    """
     from ..functions.vectors import unit
     from .retrieval import filter_patches
+    from .scoremaps import box_smooth_vectors
 
-    rows = unit(filter_patches(patches, **filters), "embedding")
+    rows = filter_patches(patches, **filters)
+    if smoothing:
+        rows = rows.drop("embedding").join(box_smooth_vectors(patches, ["image_id"]), ["image_id", "row", "col"])
+    rows = unit(rows, "embedding")
     if not rows.head(1):
         raise ValueError("the memory bank is empty")
+    if ratio is not None:
+        n = max(1, int(rows.count() * ratio))
     return rows if n is None else coreset(rows, n, bank_id)

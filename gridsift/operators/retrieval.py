@@ -56,6 +56,27 @@ def two_stage_retrieve(cls: DataFrame, patches: DataFrame, vector: list[float],
     return retrieve_patches(patches.join(F.broadcast(images), "image_id", "left_semi"), vector, k, **filters)
 
 
+def retrieve_images_batch(cls: DataFrame, queries: DataFrame, k: int, image_ids=None, split: str | None = None) -> DataFrame:
+    """query_id, rank, image_id, similarity: the k best images of each of many queries (query_id, embedding)."""
+    from .knn import knn_join
+
+    images = filter_patches(cls, image_ids=image_ids, split=split).withColumn("_image", F.xxhash64("image_id"))
+    found = knn_join(queries, images, k, "query_id", "_image")
+    return found.join(images.select(F.col("_image").alias("bank_id"), "image_id"), "bank_id").select("query_id", "rank", "image_id", "similarity")
+
+
+def two_stage_retrieve_batch(cls: DataFrame, patches: DataFrame, queries: DataFrame, k_images: int, k: int, **filters) -> DataFrame:
+    """query_id, rank, image_id, row, col, similarity: for each query, the k best patches of its k_images best images.
+
+    A query meets the patches of k_images images only; each task cuts its share to k before the ranks are taken.
+    """
+    images = retrieve_images_batch(cls, queries, k_images, split=filters.get("split")).select("query_id", "image_id")
+    q = images.join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
+    rows = q.join(filter_patches(patches, **filters).select("image_id", "row", "col", "embedding"), "image_id")
+    rows = rows.select("query_id", "image_id", "row", "col", (dot("embedding", "_q") / (norm("embedding") * norm("_q") + EPSILON)).alias("similarity"))
+    return top_per_group(rows, ["query_id"], k, [F.desc("similarity"), F.asc("image_id"), F.asc("row"), F.asc("col")])
+
+
 def top_per_group(df: DataFrame, keys: list[str], k: int, order: list[Column]) -> DataFrame:
     """The first k rows of each group, with their rank; Spark cuts each task's share to k before the shuffle."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

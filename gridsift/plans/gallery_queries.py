@@ -9,11 +9,11 @@ from ..functions import geometry as geo
 from ..functions.vectors import cosine, l2_normalize, rounded, unit, vector_mean
 from ..operators import knn, labels, masks, retrieval
 from ..operators import prototypes as proto
-from . import metric_queries, scoremap_queries
+from . import metric_queries, scoremap_queries, source_queries
 from .projection import GRID, P, cls, cos_sql, mean_sql, patches, round_sql, table
 from .registry import query
 
-assert metric_queries is not None and scoremap_queries is not None
+assert metric_queries and scoremap_queries and source_queries
 
 
 def r6(c):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,34 +51,70 @@ def _arrays(data: bytes) -> dict[str, np.ndarray]:
         return {n.removesuffix(".npy"): np.load(io.BytesIO(z.read(n)), allow_pickle=False) for n in z.namelist()}
 
 
-def read_mask_stacks(spark: SparkSession, folder: str, glob: str = "*.npy", key: str = "") -> DataFrame:
-    """stem, pos, n, height, width, rle of (N, H, W) mask arrays; an array that is not 3-D fails the read. An empty stack has no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select(stem("path").alias("stem"), "content")
+def read_mask_stacks(spark: SparkSession, folder: str, glob: str = "*.npy", key: str = "", path: bool = False) -> DataFrame:
+    """stem (and path, if asked for), pos, n, height, width, rle of (N, H, W) mask arrays; an array that is not 3-D fails the read. An empty stack has no rows."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select(stem("path").alias("stem"), "path", "content")
+    names = ["stem", "path", "pos", "n", "height", "width", "rle"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, file, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m = _arrays(data)[key]
                 if m.ndim != 3:
                     raise ValueError(f"{name}: masks must be (N, H, W)")
-                rows = [(name, i, len(m), m.shape[1], m.shape[2], blocks.rle_encode(x)) for i, x in enumerate(m)]
+                rows = [(name, file, i, len(m), m.shape[1], m.shape[2], blocks.rle_encode(x)) for i, x in enumerate(m)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), *[pa.int32()] * 4, pa.list_(pa.int32())), strict=True)], ["stem", "pos", "n", "height", "width", "rle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.int32())), strict=True)], names)
 
-    return files.mapInArrow(run, "stem string, pos int, n int, height int, width int, rle array<int>")
+    found = files.mapInArrow(run, "stem string, path string, pos int, n int, height int, width int, rle array<int>")
+    return found if path else found.drop("path")
 
 
 def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotation records of <stem>.json (an array) joined by position to the masks of <stem>.npy.
+    """Annotation records of <stem>.json (an array) joined by position to the masks of <stem>.npy in the same folder.
 
-    A missing mask file, or another number of masks than records, fails the read.
+    A missing mask file, or another number of masks than records (none included), fails the read. Equal stems in two
+    folders are kept apart by ``folder``.
     """
+    place = lambda path: F.regexp_replace(F.regexp_extract(path, r"^(.*)/[^/]+$", 1), "^file:/+", "file:/").alias("folder")
     raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder)
-    records = raw.select(stem("_metadata.file_path").alias("stem"), F.from_json("value", f"array<struct<{ANNOTATION.replace(' string', ':string').replace(' int', ':int')}>>").alias("r"))
-    rows = records.select("stem", F.size("r").alias("_n"), F.posexplode("r").alias("pos", "a")).select("stem", "pos", "_n", "a.*")
-    joined = rows.join(read_mask_stacks(spark, folder), ["stem", "pos"], "left")
-    wrong = F.col("n").isNull() | (F.col("n") != F.col("_n"))
-    return joined.withColumn("height", F.when(wrong, F.raise_error(F.concat(F.col("stem"), F.lit(": masks and records differ"))).cast("int")).otherwise(F.col("height"))).drop("n", "_n")
+    records = raw.select(place("_metadata.file_path"), stem("_metadata.file_path").alias("stem"), F.from_json("value", f"array<struct<{ANNOTATION.replace(' string', ':string').replace(' int', ':int')}>>").alias("r"))
+    masks = read_mask_stacks(spark, folder, path=True).withColumn("folder", place("path")).drop("path")
+    counts = masks.groupBy("folder", "stem").agg(F.count("*").alias("_m"))
+    checked = records.join(counts, ["folder", "stem"], "left")
+    wrong = F.coalesce("_m", F.lit(0)) != F.size("r")
+    rows = checked.withColumn("r", F.when(wrong, F.raise_error(F.concat(F.col("stem"), F.lit(": masks and records differ"))).cast(checked.schema["r"].dataType)).otherwise(F.col("r")))
+    rows = rows.select("folder", "stem", F.posexplode("r").alias("pos", "a")).select("folder", "stem", "pos", "a.*")
+    return rows.join(masks.drop("n"), ["folder", "stem", "pos"])
+
+
+def write_masks(cells: DataFrame, path: str, height: int, width: int, boxes: DataFrame | None = None) -> int:
+    """Write <image_id>.npz with segmentations, bboxes and has_bbox for each image of ``cells`` (image_id, mask_id, row, col); the number of files.
+
+    ``boxes`` has image_id, mask_id and bbox (4 integers); masks without one get -1s. Masks are in order of mask_id. A
+    task writes whole files of one image each under fixed names, so one that runs again replaces its own.
+    """
+    masks = cells.groupBy("image_id", "mask_id").agg(F.collect_list(F.col("row") * width + F.col("col")).alias("at"))
+    masks = masks.join(boxes.select("image_id", "mask_id", "bbox"), ["image_id", "mask_id"], "left") if boxes is not None else masks.withColumn("bbox", F.lit(None).cast("array<int>"))
+    images = masks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("mask_id", "at", "bbox"))).alias("masks"))  # one image's masks
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            fs, root = pafs.FileSystem.from_uri(path)
+            fs.create_dir(root, recursive=True)
+            for image, masks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m = np.zeros((len(masks), height * width), bool)
+                for i, x in enumerate(masks):
+                    m[i, x["at"]] = True
+                has = np.array([x["bbox"] is not None for x in masks])
+                box = np.array([x["bbox"] if x["bbox"] is not None else [-1] * 4 for x in masks], np.int32).reshape(-1, 4)
+                out = io.BytesIO()
+                np.savez(out, segmentations=m.reshape(-1, height, width), bboxes=box, has_bbox=has)
+                with fs.open_output_stream(f"{root}/{image}.npz") as f:
+                    f.write(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["image_id"])
+
+    return images.select(F.col("image_id").cast("string").alias("image_id"), "masks").mapInArrow(run, "image_id string").count()
 
 
 def read_proposals(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ class Gallery:
         return rows if image_ids is None else rows.join(image_ids.select("image_id").distinct(), "image_id", "left_semi")
 
 
+def config_from_features(features: DataFrame, model_name: str, version: str, size: str, patch_size: int, image_size: int) -> dict:
+    """The configuration of feature rows: their blocks in order and vector length, the model's own settings, and the time (UTC)."""
+    found = features.groupBy("block").agg(F.max(F.size("embedding")).alias("d")).orderBy("block").collect()  # one row for each block
+    if not found:
+        raise ValueError("no features to describe")
+    return {
+        "model_name": model_name, "version": version, "size": size, "patch_size": patch_size, "image_size": image_size,
+        "block_indices": [r.block for r in found], "embed_dim": max(r.d for r in found), "created_at": datetime.now(UTC).isoformat(), "schema_version": "1",
+    }
+
+
 def write_gallery(features: DataFrame, config: dict, path: str, image_labels: DataFrame | None = None, patch_labels: DataFrame | None = None, splits: DataFrame | None = None) -> None:
     """Write feature rows (image_id, block, row, col, embedding; CLS rows without row and col) as a gallery.
 

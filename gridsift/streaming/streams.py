@@ -11,10 +11,11 @@ from ..operators.labels import fold_log
 from ..operators.retrieval import top_fraction_mean
 
 
-def stream_anomaly_scores(patches: DataFrame, bank: DataFrame, k: int, path: str, checkpoint: str, share: float = 0.01) -> StreamingQuery:
+def stream_anomaly_scores(patches: DataFrame, bank: DataFrame, k: int, path: str, checkpoint: str, share: float = 0.01, every: str | None = None) -> StreamingQuery:
     """Append image_id, image_score of each micro-batch's images to Parquet at ``path``; an image's rows come in one file.
 
-    A batch writes into a folder of its own number, so a batch that runs again after a failure replaces itself.
+    A batch writes into a folder of its own number, so a batch that runs again after a failure replaces itself. The
+    stream ends with what is there now, or with ``every`` (such as '1 minute') runs on.
     """
 
     def score(batch: DataFrame, number: int) -> None:
@@ -22,14 +23,19 @@ def stream_anomaly_scores(patches: DataFrame, bank: DataFrame, k: int, path: str
         got = anomaly_scores(rows, bank, k).join(rows.select("query_id", "image_id"), "query_id")
         top_fraction_mean(got, ["image_id"], "score", share).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return patches.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return patches.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
-def stream_annotations(log: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def _trigger(every: str | None) -> dict:
+    return {"availableNow": True} if every is None else {"processingTime": every}
+
+
+def stream_annotations(log: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Keep the folded state (last operation of each key, deletes as tombstones) of a log in ``path``/state=<batch>.
 
     Late or repeated operations lose by ``order``. Each batch merges the newest older state with its own rows and
-    writes a new one; read_annotations_state() reads the newest.
+    writes a new one; states before the one it merged go, so two are left for a batch that runs again.
+    read_annotations_state() reads the newest. ``every`` is as in stream_anomaly_scores().
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -40,8 +46,15 @@ def stream_annotations(log: DataFrame, keys: list[str], order: list[str], path:
         rest = [c for c in rows.columns if c not in keys]
         last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*keys, "_x.*")
         last.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/state={number}")
+        for n in before[:-1]:
+            _drop(spark, f"{path}/state={n}")
+
+    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
+
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _drop(spark, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _states(spark, path: str) -> list[int]:

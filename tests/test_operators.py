@@ -216,3 +216,71 @@ def test_coreset_does_not_depend_on_partitions(spark, monkeypatch):
         monkeypatch.setattr(knn, "ROUNDS", rounds)
         assert sorted(r.bank_id for r in knn.coreset(bank.repartition(parts), 12).collect()) == want
     assert knn.coreset(bank.limit(3), 9).count() == 3 and knn.coreset(bank.limit(0), 9).count() == 0
+
+
+def test_prototypes_in_several_rows_score_the_same(spark, sf, monkeypatch):
+    p = patches(spark, sf)
+    protos = p.where("image_id = '0'").select(F.col("label").alias("g"), "embedding")
+    score = lambda how, group: sorted((r.vec_id, *(r[g] for g in group), round(r.score, 9)) for r in proto.score_prototypes(p, protos, ["vec_id"], how, group).collect())
+    want = [score(how, group) for how in ("max", "mean") for group in ([], ["g"])]
+    monkeypatch.setattr(proto, "GATHERED", 7)
+    assert [score(how, group) for how in ("max", "mean") for group in ([], ["g"])] == want
+    assert proto.score_prototypes(p, protos.limit(0), ["vec_id"]).count() == 0
+
+
+def test_top_k_with_ties_and_dbscan_against_plain_loops():
+    rng = np.random.default_rng(3)
+    s, ids = rng.integers(0, 4, (40, 12)).astype(float), rng.permutation(100)[:12]
+    for k in (1, 4, 11, 12, 20):
+        at, value = blocks.top_k(s, k, ids)
+        want = [sorted(range(12), key=lambda c: (-row[c], ids[c]))[:k] for row in s]
+        assert at.tolist() == want and (value == np.take_along_axis(s, at, 1)).all()
+    for _ in range(20):
+        cells = np.unique(rng.integers(0, 9, (40, 2)), axis=0)
+        near = np.sqrt(((cells[:, None] - cells[None]) ** 2).sum(-1)) <= 1.5
+        core = near.sum(1) >= 4
+        label = blocks.dbscan_cells(cells, 1.5, 4)
+        for i in range(len(cells)):
+            owners = [label[j] for j in np.flatnonzero(near[i] & core)]
+            assert label[i] == (min(owners) if owners and not core[i] else label[i] if core[i] else -1)
+            assert not core[i] or all(label[j] == label[i] for j in np.flatnonzero(near[i] & core))
+
+
+def test_annotation_folders(spark, tmp_path):
+    m = np.ones((1, 2, 3), bool)
+    for k, name in enumerate(("a", "b")):
+        (tmp_path / name).mkdir()
+        np.save(tmp_path / name / "one.npy", m if k else np.zeros((1, 2, 3), bool))
+        (tmp_path / name / "one.json").write_text(json.dumps([{"class": name, "instance_id": k}]))
+    rows = files.read_annotations(spark, str(tmp_path)).collect()
+    assert sorted((r["class"], r.rle) for r in rows) == [("a", [6]), ("b", [0, 6])]
+    (tmp_path / "b" / "one.json").write_text("[]")
+    with pytest.raises(Exception, match="differ"):
+        files.read_annotations(spark, str(tmp_path)).collect()
+
+
+def test_annotation_states_are_pruned(spark, tmp_path):
+    schema = "id int, k string, seq int, op string"
+    for i in range(5):
+        spark.createDataFrame([(i, "a", i, "upsert")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.stream_annotations(src, ["k"], ["seq"], str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    assert len([x for x in (tmp_path / "s").iterdir() if x.name.startswith("state=")]) == 2
+    assert streams.read_annotations_state(spark, str(tmp_path / "s"), ["k"], ["seq"]).head().id == 4
+
+
+def test_memory_bank_ratio_and_smoothing(spark, sf):
+    p = patches(spark, sf).withColumnRenamed("vec_id", "bank_id")
+    assert knn.memory_bank(p, ratio=0.02, split="train").count() == 6 and knn.memory_bank(p, ratio=0.0, split="train").count() == 1
+    assert knn.memory_bank(p, smoothing=True, split="train").count() == p.where("split = 'train'").count()
+
+
+def test_cycle_consistency_falls_back_to_the_best(spark, sf):
+    p = patches(spark, sf).where("image_id IN ('0', '1')").withColumnRenamed("vec_id", "a_id")
+    same = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    views = spark.createDataFrame([("0", "v", same), ("1", "v", same), ("1", "w", [1.0, 0.0, 1e6, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "image_id string, view string, m array<double>")
+    cells = p.select("image_id", F.lit("v").alias("view"), "row", "col", "embedding")
+    got = clusters.cycle_consistency(p, views, cells, ["image_id"], 0.4, 2.0, 8, 64, 10)
+    assert {(r.image_id, r.share, r.kept) for r in got.collect()} == {("0", 1.0, True), ("1", 0.5, True)}
+    none = clusters.cycle_consistency(p, views, cells, ["image_id"], 0.4, -2.0, 8, 64, 10).where("kept").groupBy("image_id").count().collect()
+    assert {(r.image_id, r["count"]) for r in none} == {("0", 20), ("1", 20)}
