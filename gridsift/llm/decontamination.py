@@ -6,13 +6,14 @@ nearby diagonals, the whole item is aligned with the document's words (match +2,
 best local score over that of a full match. Windows are not aligned if they hold fewer of the item's words than any
 score of the threshold needs, so common language costs little and no passage is lost.
 
-Test items are worked on in blocks of at most ``BLOCK_WORDS`` words, whatever their number; each block is one pass
-over the documents without a shuffle of texts.
+Test items are worked on in blocks of at most ``BLOCK_WORDS`` words, whatever their number; each block is read, sent
+to the tasks, used in one pass over the documents without a shuffle of texts, and dropped before the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import staged, trimmed
 from .words import BARE, grams, hashed, placed
 
 SEED = 3
@@ -27,8 +29,10 @@ BLOCK_WORDS = 2_000_000
 THRESHOLD = 0.4
 #: Most seed hits (item, place) that are held at once; a document with more is worked on alone.
 HITS = 1 << 20
-#: Most windows, and most cells of one item word's row over them, that are aligned at once; a wider window is aligned alone.
+#: Most windows, and most cells of one item word's row over them, that are aligned at once.
 WINDOWS, CELLS = 256, 1 << 20
+#: A wider window is aligned in pieces of this width (or six items), which overlap by more than any alignment of a positive score spans.
+PIECE = 1 << 18
 _BIG = 1 << 32
 _FILTER = 22
 
@@ -121,6 +125,20 @@ def _chunks(width: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _pieces(lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows [lo, hi) in pieces of bounded width: each piece's window, start and end.
+
+    An alignment of an item of ``size`` words gains at most 2 a word and loses 1 for each word between, so one of a
+    positive score spans less than 3 * size words and lies within a piece.
+    """
+    width = max(PIECE, 6 * size)
+    step = width - 3 * size
+    count = np.maximum(1, -(-(hi - lo - 3 * size) // step))
+    of = np.repeat(np.arange(len(lo)), count)
+    start = lo[of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * step
+    return of, start, np.minimum(start + width, hi[of])
+
+
 def _enough(item: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> np.ndarray:
     """Which windows h[lo:hi] hold so many of the item's words that a score of ``threshold`` is possible at all."""
     known, keep = np.unique(item), np.zeros(len(lo), bool)
@@ -146,14 +164,15 @@ def _passages(items: Items, hits: np.ndarray, h: np.ndarray, at: np.ndarray, thr
     edges = np.flatnonzero(np.append(True, np.diff(item[first]) != 0))
     for x, y in zip(edges, [*edges[1:], len(first)], strict=True):
         i = int(item[first[x]])
-        order = np.arange(x, y)[np.argsort((hi - lo)[x:y], kind="stable")]
-        order = order[_enough(items.words[i], h, lo[order], hi[order], threshold)]
-        for a, b in _chunks((hi - lo)[order]):
+        of, start, end = _pieces(lo[x:y], hi[x:y], len(items.words[i]))
+        order = np.argsort(end - start, kind="stable")
+        order = order[_enough(items.words[i], h, start[order], end[order], threshold)]
+        for a, b in _chunks((end - start)[order]):
             part = order[a:b]
-            for p, v, s, e in zip(part, *align(items.words[i], [h[lo[p] : hi[p]] for p in part]), strict=True):
+            for p, v, s, e in zip(part, *align(items.words[i], [h[start[p] : end[p]] for p in part]), strict=True):
                 v = float(v) / (2 * len(items.words[i]))
                 if v >= threshold:
-                    yield int(doc[first[p]]), i, v, lo[p] + s, lo[p] + e - 1
+                    yield int(doc[first[x + of[p]]]), i, v, start[p] + s, start[p] + e - 1
 
 
 def aligned(items: Items, column: pa.Array, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
@@ -174,9 +193,9 @@ def aligned(items: Items, column: pa.Array, threshold: float = THRESHOLD) -> lis
                 use = np.repeat(lo - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
                 hits = np.stack((item[use], np.repeat(doc[x:y], reps), np.repeat(word[x:y], reps) - k[use]))
                 for d, i, v, s, e in _passages(items, hits, h, at, threshold):
-                    if (d, i) not in best or v > best[d, i][0]:
-                        best[d, i] = (v, int(starts[s] - own[d]), int(ends[e] - own[d]))
-        out += [(a + d, i, *x) for (d, i), x in best.items()]
+                    if (d, i) not in best or (-v, s) < (-best[d, i][0], best[d, i][3]):
+                        best[d, i] = (v, int(starts[s] - own[d]), int(ends[e] - own[d]), s)
+        out += [(a + d, i, *x[:3]) for (d, i), x in best.items()]
     return out
 
 
@@ -194,25 +213,20 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, item_text: str = "text", item_id: str = "item_id") -> list:
-    """Broadcast blocks of items."""
-    spark = docs.sparkSession
-    return [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_text, item_id)]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, start_byte, end_byte: the best passage of each document and test item that reach ``threshold``.
 
     Null or empty texts and items never match; repeated documents and items each give their rows; other columns of
     either table are ignored. Scores do not depend on how documents are split over tasks.
     """
-    parts = [_leaks(docs, b, threshold, text, doc_id) for b in prepared(docs, benchmark)]
+    spark, parts = docs.sparkSession, []
+    for items in _blocks(benchmark, item_text, item_id):
+        block = spark.sparkContext.broadcast(items)
+        parts.append(staged(_leaks(docs, block, threshold, text, doc_id), "leaks"))
+        block.destroy()
     if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_byte long, end_byte long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return spark.createDataFrame([], "doc_id long, item_id long, score double, start_byte long, end_byte long")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _leaks(docs: DataFrame, block, threshold: float, text: str, doc_id: str) -> DataFrame:
@@ -227,14 +241,21 @@ def _leaks(docs: DataFrame, block, threshold: float, text: str, doc_id: str) ->
                     ["doc_id", "item_id", "score", "start_byte", "end_byte"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, start_byte long, end_byte long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "doc_id long, item_id long, score double, start_byte long, end_byte long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a passage that reaches ``threshold``, with all their columns; no shuffle."""
-    for block in prepared(docs, benchmark):
-        docs = _clean(docs, block, threshold, text)
-    return docs
+    """The rows of ``docs`` without a passage that reaches ``threshold``, with all their columns; no shuffle.
+
+    With one block of items nothing is written; with more, what each block leaves is.
+    """
+    spark, block = docs.sparkSession, None
+    for items in _blocks(benchmark, "text", "item_id"):
+        if block is not None:
+            docs = staged(_clean(docs, block, threshold, text), "without-leaks")
+            block.destroy()
+        block = spark.sparkContext.broadcast(items)
+    return docs if block is None else _clean(docs, block, threshold, text)
 
 
 def _clean(docs: DataFrame, block, threshold: float, text: str) -> DataFrame:
@@ -246,4 +267,4 @@ def _clean(docs: DataFrame, block, threshold: float, text: str) -> DataFrame:
             keep[[x[0] for x in aligned(block.value, batch.column(place), threshold)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(trimmed(run), T.StructType(docs.schema.fields))

@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 import string
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +74,9 @@ def test_blocks_give_the_same(spark, monkeypatch):
     docs, items = corpus()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     rows = lambda: sorted(dc.leaks(d, b).collect())
-    whole = rows()
+    whole, left = rows(), sorted(dc.decontaminated(d, b).collect(), key=repr)
     monkeypatch.setattr(dc, "BLOCK_WORDS", 60)
-    assert rows() == whole
+    assert rows() == whole and sorted(dc.decontaminated(d, b).collect(), key=repr) == left
 
 
 def test_long_text_and_hot_passage():
@@ -107,8 +109,24 @@ def test_many_hits_and_wide_windows_give_the_same(monkeypatch):
     block = dc.Items([i for i, _ in items], [t for _, t in items])
     whole = sorted(dc.aligned(block, texts))
     assert whole
-    for name, value in (("HITS", 1), ("CELLS", 50), ("WINDOWS", 3)):
+    for name, value in (("HITS", 1), ("CELLS", 50), ("WINDOWS", 3), ("PIECE", 10)):
         monkeypatch.setattr(dc, name, value)
         assert sorted(dc.aligned(block, texts)) == whole
     monkeypatch.setattr(dc, "_enough", lambda item, h, lo, hi, threshold: np.ones(len(lo), bool))
     assert sorted(dc.aligned(block, texts)) == whole
+
+
+def test_long_repetitive_text_takes_bounded_time_and_memory():
+    rng = random.Random(1)
+    item = [f"w{i}" for i in range(60)]
+    words_ = item[:3] * 58_000 + item
+    for k in range(255):
+        words_ += [f"z{rng.random()}" for _ in range(30)] + item[10 + k % 40 : 13 + k % 40]
+    text, items = " ".join(words_), dc.Items([1], [" ".join(item)])
+    assert len(text) > 678_000
+    tracemalloc.start()
+    began = time.process_time()
+    found = dc.aligned(items, pa.array([text]))
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:3] for x in found] == [(0, 0, 1.0)] and took < 5 and peak < 300e6
