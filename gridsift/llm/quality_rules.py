@@ -3,6 +3,10 @@
 All of it is DataFrame functions. The sketch is a log-linear histogram: a metric's integer value is cut to its six
 leading bits (relative error at most 1/32) and counted by (lang, source, metric, value). Sketches merge by adding
 counts, so the same table gives the sketches of a language and of all data.
+
+A group's quartiles are shrunk towards its language's, and these towards all data's, by weights that fall smoothly as
+the group grows. A group's fence also lies at most ``OUTER`` times as far out as its language's, so a source of mostly
+spam cannot set itself free, however large it is, unless it is a quarter of its language.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ SYMBOLS = "#*$%&|<>"
 #: Metric: (least spread, whether a low value is rejected too). A fence lies SPREADS spreads beyond a quartile.
 METRICS = {"symbols": (20, False), "dup_lines": (100, False), "repeats": (60, False), "word_length": (100, True), "bangs": (60, False)}
 SPREADS = 3
-#: A group with fewer documents takes its language's sketch, and a language with fewer all data's.
-MIN_DOCS = 100
+#: How many documents a parent's quartiles count for, and how much farther out than its language's a group's fence may lie.
+WEIGHT, OUTER = 20, 2
+#: Most rows of fences that are broadcast (about 100 bytes each); more are joined by keys salted this many times.
+BROADCAST_GROUPS, SALTS = 200_000, 16
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -106,32 +112,40 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.max("docs").alias("docs"), least(1).alias("q25"), least(3).alias("q75"))
 
 
-def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row for each (lang, source): lo_<metric> and hi_<metric>, from the closest sketch of enough documents."""
+def fences(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """One row for each (lang, source): lo_<metric> and hi_<metric>, from the shrunk quartiles of the group and its parents."""
     own = quartiles(sketch, ["lang", "source"])
     by_lang = quartiles(merged(sketch, ["lang"]), ["lang"]).select("lang", "metric", *[F.col(c).alias(f"{c}_l") for c in ("docs", "q25", "q75")])
     all_data = quartiles(merged(sketch, []), []).select("metric", *[F.col(c).alias(f"{c}_a") for c in ("q25", "q75")])
     rows = own.join(by_lang, ["lang", "metric"]).join(all_data, "metric")
-    pick = lambda q: F.when(F.col("docs") >= min_docs, F.col(q)).when(F.col("docs_l") >= min_docs, F.col(f"{q}_l")).otherwise(F.col(f"{q}_a"))
-    rows = rows.select("lang", "source", "metric", pick("q25").alias("q25"), pick("q75").alias("q75"))
-    least = reduce(lambda c, m: c.when(F.col("metric") == m, METRICS[m][0]), METRICS, F.when(F.lit(False), 0))
-    rows = rows.withColumn("spread", SPREADS * F.greatest(F.col("q75") - F.col("q25"), least))
-    only = lambda m, v: F.max(F.when(F.col("metric") == m, v))
-    lo = [only(m, F.col("q25") - F.col("spread")).alias(f"lo_{m}") for m, (_, both) in METRICS.items() if both]
-    return rows.groupBy("lang", "source").agg(*lo, *[only(m, F.col("q75") + F.col("spread")).alias(f"hi_{m}") for m in METRICS])
-
-
-def judged(features: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    c = F.col
+    least = reduce(lambda x, m: x.when(c("metric") == m, METRICS[m][0]), METRICS, F.when(F.lit(False), 0))
+    shrunk = lambda n, q, parent: (n * q + weight * parent) / (n + weight)
+    rows = rows.select("lang", "source", "metric", "docs", "q25", "q75", "docs_l", *[shrunk(c("docs_l"), c(f"{q}_l"), c(f"{q}_a")).alias(f"{q}_l") for q in ("q25", "q75")])
+    rows = rows.withColumns({q: shrunk(c("docs"), c(q), c(f"{q}_l")) for q in ("q25", "q75")})
+    rows = rows.withColumns({f"d{k}": SPREADS * F.greatest(c(f"q75{k}") - c(f"q25{k}"), least) for k in ("_l", "")})
+    hi = F.round(F.least(c("q75") + c("d"), c("q75_l") + OUTER * c("d_l")), 6)
+    lo = F.round(F.greatest(c("q25") - c("d"), c("q25_l") - OUTER * c("d_l")), 6)
+    rows = rows.select("lang", "source", "metric", hi.alias("hi"), lo.alias("lo"))
+    only = lambda m, v: F.max(F.when(c("metric") == m, c(v))).alias(f"{v}_{m}")
+    return rows.groupBy("lang", "source").agg(*[only(m, "lo") for m, (_, both) in METRICS.items() if both], *[only(m, "hi") for m in METRICS])
+
+
+def judged(features: DataFrame, lang: str = "lang", source: str = "source", weight: int = WEIGHT) -> DataFrame:
     """Append base_failed and kept to a table with features(); it is read twice, so pass a staged one.
 
     kept is false where the base rules fail, else true where every metric lies within the fences of the row's
     language and source. Rows are never dropped; equal rows get equal verdicts; null keys share the key ''.
-    The fences are joined by (lang, source): one row for each group, so the join never multiplies rows, and Spark
-    splits the partition of a hot source or broadcasts the fences by their measured size.
+    The fences have one row for each group, so the join never multiplies rows. They are broadcast up to
+    BROADCAST_GROUPS rows; more are joined by (lang, source, salt), so that a hot source is dealt to several tasks.
     """
-    limits = fences(sketches(features, lang, source), min_docs)
-    limits = limits.withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"})
-    rows = features.join(limits, (F.coalesce(lang, F.lit("")) == F.col("_q_lang")) & (F.coalesce(source, F.lit("")) == F.col("_q_source")), "left")
+    limits = staged(fences(sketches(features, lang, source), weight), "fences").withColumnsRenamed({"lang": "_q_lang", "source": "_q_source"})
+    same = (F.coalesce(lang, F.lit("")) == F.col("_q_lang")) & (F.coalesce(source, F.lit("")) == F.col("_q_source"))
+    if limits.count() <= BROADCAST_GROUPS:
+        rows = features.join(F.broadcast(limits), same, "left")
+    else:
+        limits = limits.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = features.withColumn("_q_own", F.pmod(F.hash(*FEATURES), F.lit(SALTS))).join(limits, same & (F.col("_q_own") == F.col("_q_salt")), "left")
     values = metric_values()
     inside = [values[m] <= F.col(f"hi_{m}") for m in METRICS] + [values[m] >= F.col(f"lo_{m}") for m, (_, both) in METRICS.items() if both]
     ok = reduce(lambda a, b: a & b, inside)
