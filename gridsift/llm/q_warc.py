@@ -14,7 +14,6 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 512)
     path = stage_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    small_batches(spark, 2)  # a row is an archive now
     page = lambda c: F.regexp_extract(c, r"^urn:gridsift:(-?\d+):", 1).try_cast("long")
     rows = warc.read_warc(spark, path)
     checked = F.when(F.col("valid"), F.col("payload_bytes")).otherwise(F.raise_error("a record is damaged").cast("long"))

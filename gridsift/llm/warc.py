@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import staged
+from .session import batches_of, staged
 
 SEGMENT_BYTES = 16384
 CHUNK_BYTES = 8192
@@ -168,55 +168,71 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+_PIECE = "origin string, k int, total long, headers map<string,string>, block binary"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]):
+    """Archives to rows of _OUT for whole records, and of _PIECE for segments; the other columns are null."""
+    names = [x.split()[0] for x in (*_OUT.split(", "), *_PIECE.split(", "))]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def rows_of(whole: list, pieces: list) -> Iterator[pa.RecordBatch]:
+        if whole:
+            yield pa.RecordBatch.from_arrays([*_table(whole).columns, *(pa.nulls(len(whole), t) for t in kinds)], names)
+        if pieces:
+            blank = _table([(None,) * 8]).columns
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pieces), c.type) for c in blank), *(pa.array(c, t) for c, t in zip(zip(*pieces, strict=True), kinds, strict=True))], names)
+
+    for batch in batches:
+        for data in batch.column(0):
+            whole, pieces = [], []
+            for h, block in parse(data.as_py()):
+                if h["warc-type"] not in ("response", "revisit", "continuation"):
+                    continue
+                if "warc-segment-number" not in h:
+                    whole.append(_row(h, block))
+                else:
+                    first = h["warc-type"] != "continuation"
+                    origin = h["warc-record-id"] if first else h["warc-segment-origin-id"]
+                    total = h.get("warc-segment-total-length")
+                    pieces.append((origin, int(h["warc-segment-number"]), int(total) if total else None, [*h.items()] if first else None, block))
+                if len(whole) + len(pieces) >= 256:
+                    yield from rows_of(whole, pieces)
+                    whole, pieces = [], []
+            yield from rows_of(whole, pieces)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]):
+    """The segments of each origin (each once, with how often its first one came) to its record, as often."""
+    for batch in batches:
+        for parts in batch.column(0):
+            parts = sorted(parts.as_py(), key=lambda p: p["k"])
+            first = [p for p in parts if p["k"] == 1 and p["headers"]]
+            totals = {p["total"] for p in parts if p["total"] is not None}
+            complete = [p["k"] for p in parts] == list(range(1, len(parts) + 1)) and len(totals) == 1
+            block = b"".join(p["block"] for p in parts)
+            for p in first:
+                row = _row(dict(p["headers"]), block, next(iter(totals)) if complete else -1)
+                for _ in range(p["n"]):
+                    yield _table([row])
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each response or revisit in the archives at ``path``, with its decoded payload.
 
-    Unsegmented records are decoded where they are read. Segments are grouped by origin, ordered by number, joined,
-    held against the total length and decoded. Missing, surplus or damaged segments give valid = false and a null
-    payload; a revisit has no payload of its own (null), but its digest and length. Copies of a record with one id
-    each give a row. Other record types are skipped.
+    Archives are parsed once, into a staged table. Unsegmented records are decoded where they are read. Segments are
+    grouped by origin, ordered by number, joined, held against the total length and decoded. Missing, surplus or
+    damaged segments give valid = false; a revisit has no payload of its own (null), but its digest and length. Copies
+    of a record with one id each give a row; their equal segments are counted by task before they are grouped, so many
+    copies of a page are no large group. Other record types are skipped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-
-    def whole(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for data in batch.column(0):
-                rows = []
-                for h, block in parse(data.as_py()):
-                    if h["warc-type"] in ("response", "revisit") and "warc-segment-number" not in h:
-                        rows.append(_row(h, block))
-                    if len(rows) >= 256:
-                        yield _table(rows)
-                        rows = []
-                if rows:
-                    yield _table(rows)
-
-    def pieces(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for data in batch.column(0):
-                rows = []
-                for h, block in parse(data.as_py()):
-                    if "warc-segment-number" in h:
-                        first = h["warc-type"] != "continuation"
-                        origin = h["warc-record-id"] if first else h["warc-segment-origin-id"]
-                        total = h.get("warc-segment-total-length")
-                        rows.append((origin, int(h["warc-segment-number"]), int(total) if total else None, [*h.items()] if first else None, block))
-                if rows:
-                    kinds = [pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["origin", "k", "total", "headers", "block"])
-
-    def joined(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for parts in batch.column(0):
-                parts = parts.as_py()
-                first = [p for p in parts if p["k"] == 1 and p["headers"]]
-                by_k = {p["k"]: p for p in parts}
-                totals = {p["total"] for p in parts if p["total"] is not None}
-                for p in first:
-                    complete = sorted(by_k) == list(range(1, len(by_k) + 1)) and len(totals) == 1
-                    block = b"".join(by_k[k]["block"] for k in sorted(by_k))
-                    yield _table([_row(dict(p["headers"]), block, next(iter(totals)) if complete else -1)])
-
-    segments = files.mapInArrow(pieces, "origin string, k int, total long, headers map<string,string>, block binary")
-    groups = segments.groupBy("origin").agg(F.collect_list(F.struct("k", "total", "headers", "block")).alias("parts")).select("parts")
-    return files.mapInArrow(whole, _OUT).unionByName(groups.mapInArrow(joined, _OUT))
+    with batches_of(spark, 2):  # a row is an archive
+        parsed = staged(files.mapInArrow(_parsed, f"{_OUT}, {_PIECE}"), "warc-records")
+    names = [x.split()[0] for x in _OUT.split(", ")]
+    c = F.col
+    # headers are a function of the segment's record id, number and block, but maps are no grouping keys
+    segments = parsed.where("origin IS NOT NULL").groupBy("origin", "k", "total", c("headers").isNull().alias("later"), F.sha1("block").alias("digest"))
+    segments = segments.agg(F.count("*").alias("n"), F.first("headers").alias("headers"), F.first("block").alias("block"))
+    groups = segments.groupBy("origin").agg(F.collect_list(F.struct("k", "total", "headers", "block", "n")).alias("parts")).select("parts")
+    return parsed.where("record_type IS NOT NULL").select(*names).unionByName(groups.mapInArrow(_joined, _OUT))
