@@ -19,7 +19,8 @@ from ..functions import blocks
 from .retrieval import top_per_group
 
 BANK_BYTES = 200 << 20
-BLOCK_ROWS = 20_000
+#: Vectors of one block, as doubles. A query vector is copied once for each block of a larger bank, so blocks are large.
+BLOCK_BYTES = 128 << 20
 #: Choices of a coreset between two times that each row's least distance is stored.
 ROUNDS = 32
 
@@ -60,8 +61,8 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
 
         return query.mapInArrow(run, out)
 
-    n_bank = -(-size.n // BLOCK_ROWS)
-    n_query = max(1, -(-query.count() // BLOCK_ROWS))
+    rows = max(1, BLOCK_BYTES // (8 * max(size.d, 1)))
+    n_bank, n_query = -(-size.n // rows), max(1, -(-query.count() // rows))
     chunk = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     q = query.withColumn("i", chunk("query_id", n_query)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bank - 1).cast("long"))))
     b = bank.withColumn("j", chunk("bank_id", n_bank)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))))

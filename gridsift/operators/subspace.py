@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def gram(df: DataFrame, column: str = "embedding", normalise: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows, their sum and D x D Gram matrix: one partial result a task, added up by Spark as arrays."""
+    """Number of rows, their sum and D x D Gram matrix: D + 1 vectors a task, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         n, s, g = 0, None, None
@@ -32,14 +33,16 @@ def gram(df: DataFrame, column: str = "embedding", normalise: bool = True) -> tu
             n, s, g = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if g is None else g)
         if n:
             d = len(s)
-            values = np.concatenate(([n], s, g.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d, np.int32)), pa.array(np.arange(len(values))), pa.array(values)], ["d", "i", "v"])
+            values = np.vstack((np.append(s, n), np.concatenate((g, np.zeros((d, 1))), 1)))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, d + 1), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1, dtype=np.int32)), flat], ["i", "v"])
 
-    total = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "d int, i long, v double").groupBy("d", "i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()  # D * D + D + 1 rows
+    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "i int, v array<double>")
+    total = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("i", vector_to_array("v").alias("v")).orderBy("i").toArrow()  # D + 1 rows
     if not total.num_rows:
         raise ValueError("no rows to fit a subspace to")
-    d, v = total.column(0)[0].as_py(), total.column(2).to_numpy()
-    return int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)
+    v = np.array(total.column(1).to_pylist())
+    return int(v[0, -1]), v[0, :-1], v[1:, :-1]
 
 
 def fit_subspace(df: DataFrame, k: int, column: str = "embedding", normalise: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
