@@ -1,4 +1,6 @@
-"""Known licence texts and notices (fixed values: published texts, as they are)."""
+"""Known licence texts and notices (fixed values: published texts, as they are); long ones are files in ``license_files``."""
+
+from pathlib import Path
 
 _DISCLAIMER = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
@@ -24,7 +26,7 @@ _BSD_TAIL = (
     "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
     "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-_ISC = "ermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_TAIL = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
     "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
@@ -51,22 +53,53 @@ _ZLIB = (
     "appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
     "software.\n\n3. This notice may not be removed or altered from any source distribution."
 )
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn "
+    "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+    "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"
+)
+_BSL = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered "
+    'by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+    "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the "
+    "Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies "
+    "of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+    "machine-executable object code generated by a source language processor.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE "
+    "SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_FILES = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_files").glob("*.txt"))}
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
 #: (licence id, kind, text); several texts may have one id.
 KNOWN = [
     ("MIT", "text", "MIT License\n\n" + _MIT + _DISCLAIMER),
     ("MIT", "text", "The MIT License (MIT)\n\n" + _MIT + _DISCLAIMER),
     ("MIT", "text", _MIT + _DISCLAIMER),
-    ("ISC", "text", "ISC License\n\nP" + _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TAIL),
-    ("ISC", "text", "P" + _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TAIL),
-    ("0BSD", "text", "BSD Zero Clause License\n\nP" + _ISC + ".\n\n" + _ISC_TAIL),
-    ("0BSD", "text", "P" + _ISC + ".\n\n" + _ISC_TAIL),
+    ("ISC", "text", "ISC License\n\n" + _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TAIL),
+    ("ISC", "text", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TAIL),
+    ("0BSD", "text", "BSD Zero Clause License\n\n" + _ISC + ".\n\n" + _ISC_TAIL),
+    ("0BSD", "text", _ISC + ".\n\n" + _ISC_TAIL),
     ("BSD-2-Clause", "text", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL),
     ("BSD-2-Clause", "text", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", "text", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("BSD-3-Clause", "text", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("Zlib", "text", "zlib License\n\n" + _ZLIB),
     ("Zlib", "text", _ZLIB),
+    ("Unlicense", "text", _UNLICENSE),
+    ("BSL-1.0", "text", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BSL),
+    ("BSL-1.0", "text", _BSL),
+    *((name, "text", text) for name, text in _FILES.items()),
+    ("Apache-2.0", "text", _FILES["Apache-2.0"].split(_END_OF_TERMS)[0]),
+    ("Apache-2.0", "text", _FILES["Apache-2.0"].split(_END_OF_TERMS)[0] + _END_OF_TERMS),
     ("Apache-2.0", "notice", _APACHE_NOTICE),
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "notice", "Released under the MIT License."),
@@ -76,7 +109,7 @@ KNOWN = [
     ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
 ]
 
-#: Spelling -> the equivalent that digests use (fixed values: the published matching guidelines' variants).
+#: Spelling -> the equivalent that digests use (fixed values).
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
     "analogue": "analog",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .license_texts import EQUIVALENT, KNOWN
 
-#: Lines that name a holder, not a licence: after comment marks, 'copyright', '(c)', the sign, or 'all rights reserved'.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;.-]*(copyright (\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that name a holder, not a licence: after comment marks, 'copyright' with '(c)', the sign, a digit or a kind of holder at the line's end; '(c)' with a year, the sign, or 'all rights reserved'.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t#*/;.-]*(copyright (\(c\)|©|[0-9])[^\n]*|(\(c\) ?(copyright|[0-9])|©|all rights reserved)[^\n]*"
+    r"|copyright [^\n]*(authors|contributors|developers|foundation|inc\.?|ltd\.?|llc|gmbh|project|team)[ \t\r]*$)"
+)
 _HINTS = ("copyright", "(c)", "©", "all rights reserved")
 
 
@@ -21,7 +24,7 @@ def canonical(text: str | Column) -> Column:
     """
     low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     hint = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in _HINTS])
-    bare = F.when(hint, F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
+    bare = F.when(hint, F.regexp_replace(low, "(?dm)" + COPYRIGHT_LINE, "\n")).otherwise(low)
     one = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), EQUIVALENT.items(), bare)
     return F.trim(F.regexp_replace(one, r"[^\p{L}\p{N}]+", " "))
 

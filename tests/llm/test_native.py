@@ -37,11 +37,12 @@ def test_license_forms(spark):
     rows = [
         (1, "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + mit.upper().replace(" ", "  \n")),
         (2, "// Copyright 1999 A, B\n" + mit.replace("Permission is hereby", "“Permission” is, hereby")),
+        (2, "# Copyright The Foo Authors\n# Copyright Bar, Inc.\n" + mit), (9, license_texts._FILES["GPL-3.0"].replace("\n", "\r\n")), (10, license_texts._FILES["Apache-2.0"].replace("\n", " ")), (11, "Copyright 2020 X\n" + license_texts._UNLICENSE.lower()),
         (3, mit + " extra"), (4, None), (5, ""), (6, "Licensed under the APACHE Licence, version 2.0"), (6, "Licensed under the APACHE Licence, version 2.0"), (7, "© 2020\n"), (8, "x " * 200_000),
     ]
     df = spark.createDataFrame([(*r, "old", 0) for r in rows], "doc_id long, text string, license_id string, rank int")
     got = licenses.license_scan(df).collect()
-    assert len(got) == len(rows) and sorted((r.doc_id, r.license_id) for r in got if r.license_id) == [(1, "MIT"), (2, "MIT"), (6, "Apache-2.0"), (6, "Apache-2.0")]
+    assert len(got) == len(rows) and sorted((r.doc_id, r.license_id) for r in got if r.license_id) == [(1, "MIT"), (2, "MIT"), (2, "MIT"), (6, "Apache-2.0"), (6, "Apache-2.0"), (9, "GPL-3.0"), (10, "Apache-2.0"), (11, "Unlicense")]
     assert {r.license_kind for r in got} == {None, "text", "notice"} and "rank" in got[0].asDict()
     assert licenses.license_scan(df.limit(0)).count() == 0 and licenses.license_scan(df, []).where("license_id IS NOT NULL").count() == 0
 
@@ -71,9 +72,25 @@ def test_quality_features_against_plain_python(spark):
 def test_fences_follow_the_group(spark):
     clean = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     noisy = " ".join(f"{w}#" if i % 3 == 0 else w for i, w in enumerate(clean.split()))
-    rows = [(i, clean, "en", "plain") for i in range(150)] + [(1000 + i, noisy, "en", "marked") for i in range(150)] + [(2000, noisy, "en", "plain"), (2001, noisy, None, None), (2001, noisy, None, None)]
+    rows = [(i, clean, "en", "plain") for i in range(1500)] + [(3000 + i, noisy, "en", "marked") for i in range(1500)] + [(2000, noisy, "en", "plain"), (2001, noisy, None, None), (2001, noisy, None, None)]
     got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert got[0] and got[1000] and not got[2000]
+    assert got[0] and got[3000] and not got[2000]
+
+
+@pytest.mark.parametrize("size", [50, 99, 100, 2000])
+def test_a_source_of_spam_cannot_set_itself_free(spark, size):
+    clean = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
+    spam = " ".join(f"{w}####" for w in clean.split())
+    rows = spark.range(8000).selectExpr("id AS doc_id", f"'{clean}' AS text", "'en' AS lang", "concat('s', id % 5) AS source")
+    rows = rows.unionByName(spark.range(10_000, 10_000 + size).selectExpr("id AS doc_id", f"'{spam}' AS text", "'en' AS lang", "'spam' AS source"))
+    assert {(r.source == "spam", r.kept) for r in quality_rules.quality_rules(rows, carry=("doc_id", "source")).select("source", "kept").distinct().collect()} == {(True, False), (False, True)}
+
+
+def test_salted_fences_give_the_same(spark, sf, monkeypatch):
+    rows = lambda: sorted(map(tuple, q_quality_rules.op2_quality_rules(spark, sf).collect()))
+    want = rows()
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
+    assert rows() == want
 
 
 def test_url_rules_against_plain_python(spark):
