@@ -37,6 +37,16 @@ def test_round_trip(spark):
     assert sum(r.record_type == "revisit" for r in warc.read_warc(spark, path).collect()) == 2
 
 
+def test_many_repeats_of_a_long_page_and_batch_size(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(1, "http://a/", "z" * 9000)] * 60 + [(2, "http://b/", "y" * 9000)], "page_id long, url string, html string").repartition(4)
+    path = stage_path(spark, "warc-repeats")
+    warc.write_warc(df, path, segment_bytes=2000)
+    got = warc.read_warc(spark, path)
+    assert {(r.record_id.split(":")[2], r.valid, r.payload_bytes, r["count"]) for r in got.groupBy("record_id", "valid", "payload_bytes").count().collect()} == {("1", True, 9000, 60), ("2", True, 9000, 1)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_missing_segment_is_flagged(spark):
     records = warc.records_of("urn:gridsift:1:0", "http://a/", b"y" * 9000, None, 2000)
     path = stage_path(spark, "warc-broken")
