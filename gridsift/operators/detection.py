@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import pad_and_floor_box, patch_to_pixel
 from ..functions.vectors import cosine
-from .clusters import cluster_table, connected_components
-from .masks import mask_bbox
+from .clusters import cluster_reject, cluster_table, connected_components, merge_overlapping
+from .masks import mask_bbox, mask_iou
 from .prototypes import score_prototypes
 from .scoremaps import density, peaks, roi_mask, splat_max
 
@@ -48,3 +49,35 @@ def two_stage_refine(maps: DataFrame, fine: DataFrame, keys: list[str], grid: in
     """The coarse map raised by fine scores at crop cells (crop box px0.. and cell y, x in pixels): a second stage's projection."""
     to = lambda v: F.least(F.floor(F.col(v) * grid / size), F.lit(grid - 1)).cast("int")
     return splat_max(maps, fine.withColumns({"row": to("y"), "col": to("x")}), keys)
+
+
+def two_stage_detect(maps: DataFrame, embed, prototypes: DataFrame, keys: list[str], roi: str, value: float | None, pad: float, min_side: int, grid: int, size: int, least: int = 1, how: str = "max") -> DataFrame:
+    """The coarse maps raised by a second look at their regions.
+
+    ``embed`` maps the pixel boxes of two_stage_boxes() to crop cells: keys, cluster_id, cell (a number in its crop),
+    x, y (the cell's centre in pixels) and embedding. Cells are scored against ``prototypes`` and projected back.
+    """
+    cells = embed(two_stage_boxes(maps, keys, roi, value, pad, min_side, grid, size, least))
+    fine = score_prototypes(cells, prototypes, [*keys, "cluster_id", "cell", "x", "y"], how)
+    return two_stage_refine(maps, fine, keys, grid, size)
+
+
+def two_stage_clusters(cells: DataFrame, prototype: DataFrame, keys: list[str], threshold: float, cutoff: float, grid: int, size: int) -> DataFrame:
+    """keys, mask_id, row, col: crop cells above ``threshold`` clustered in each crop, rejected, projected and merged.
+
+    ``cells`` has keys, cluster_id (the crop), row, col (in the crop's own grid), x, y (pixels), score and embedding.
+    Clusters whose mean token's cosine to the one prototype is below ``cutoff`` go. The rest are masks on the image's
+    grid; of those that share a cell, the largest stay (equal ones: the first).
+    """
+    tokens = cells.withColumnRenamed("cluster_id", "_crop")
+    own = [*keys, "_crop"]
+    blobs = connected_components(tokens.where(F.col("score") > threshold), own)
+    good = cluster_reject(blobs, tokens.select(*own, "row", "col", "embedding"), prototype, own).where(F.col("score") >= cutoff).select(*own, "cluster_id")
+    at = blobs.drop("score").join(good, [*own, "cluster_id"], "left_semi").join(tokens.select(*own, "row", "col", "x", "y"), [*own, "row", "col"])
+    to = lambda v: F.least(F.floor(F.col(v) * grid / size), F.lit(grid - 1)).cast("int")
+    number = F.dense_rank().over(W.partitionBy(*keys).orderBy("_crop", "cluster_id")) - 1  # one image's clusters
+    found = at.select(*keys, number.cast("long").alias("mask_id"), to("y").alias("row"), to("x").alias("col")).distinct()
+    sizes = found.groupBy(*keys, "mask_id").agg(F.count("*").alias("score"))
+    other = found.withColumnRenamed("mask_id", "other_id")
+    pairs = mask_iou(found, other, keys, "mask_id", "other_id").where("mask_id < other_id").withColumnsRenamed({"mask_id": "a", "other_id": "b"})
+    return found.join(merge_overlapping(sizes, pairs, keys), [*keys, "mask_id"], "left_semi")

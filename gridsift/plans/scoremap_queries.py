@@ -163,10 +163,11 @@ def box_smooth(spark, sf):
     return s.join(p.select("vec_id", "image_id", "row", "col"), ["image_id", "row", "col"]).select("vec_id", rounded("embedding").alias("embedding"))
 
 
-_COMP = """c0 AS (SELECT image_id, "row", col, score, "row" * 100 + col AS cell FROM s WHERE score > 0.0),
-link AS (SELECT a.image_id, a.cell AS x, b.cell AS y FROM c0 a JOIN c0 b ON a.image_id = b.image_id AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1),
+_LINKS = """link AS (SELECT a.image_id, a.cell AS x, b.cell AS y FROM c0 a JOIN c0 b ON a.image_id = b.image_id AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1),
 reach AS (SELECT image_id, x, y FROM link UNION SELECT r.image_id, r.x, l.y FROM reach r JOIN link l ON r.image_id = l.image_id AND r.y = l.x),
 lead AS (SELECT image_id, x AS cell, min(y) AS lead FROM reach GROUP BY ALL)"""
+_COMP = f"""c0 AS (SELECT image_id, "row", col, score, "row" * 100 + col AS cell FROM s WHERE score > 0.0),
+{_LINKS}"""
 
 
 @query("g3_connected_components", f"""WITH RECURSIVE {P}, {S}, {_COMP} SELECT image_id, lead AS first_cell, count(*) AS size, max(score) AS score FROM c0 JOIN lead USING (image_id, cell) GROUP BY image_id, lead""")
@@ -297,7 +298,48 @@ def self_similarity(spark, sf):
     return detection.peak_self_similarity(top, patches(spark, sf).select("image_id", "row", "col", "embedding"), KEY).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("h21_two_stage_boxes")
+_STAGE_BOXES = f"""c0 AS (SELECT image_id, "row", col, score, "row" * 100 + col AS cell FROM s JOIN o USING (image_id) WHERE score > threshold), {_LINKS},
+rg AS (SELECT c0.image_id, dense_rank() OVER (PARTITION BY c0.image_id ORDER BY lead) - 1 AS cluster_id, "row", col FROM c0 JOIN lead USING (image_id, cell)),
+rb AS (SELECT image_id, cluster_id, min(col) AS c0, max(col) + 1 AS c1, min("row") AS r0, max("row") + 1 AS r1 FROM rg GROUP BY ALL),
+rt AS (SELECT image_id, cluster_id, (c0 + c1) * 32.0::DOUBLE AS cx, (r0 + r1) * 32.0::DOUBLE AS cy, greatest((c1 - c0) * 64 * 1.2::DOUBLE, 64) AS w, greatest((r1 - r0) * 64 * 1.2::DOUBLE, 64) AS h FROM rb),
+px AS (SELECT image_id, cluster_id, CAST(greatest(trunc(cx - w / 2), 0) AS INT) AS px0, CAST(greatest(trunc(cy - h / 2), 0) AS INT) AS py0, CAST(least(trunc(cx + w / 2), 640) AS INT) AS px1, CAST(least(trunc(cy + h / 2), 640) AS INT) AS py1 FROM rt)"""
+#: Crop cells: a 4 x 4 grid in each box, with the vector of the patch under the cell's centre.
+_CROP = f"""cr AS (SELECT image_id, cluster_id, CAST(i AS INT) AS crow, CAST(j AS INT) AS ccol, px0 + (j + 0.5::DOUBLE) * (px1 - px0) / 4 AS x, py0 + (i + 0.5::DOUBLE) * (py1 - py0) / 4 AS y FROM px, range(4) a(i), range(4) b(j)),
+zc AS (SELECT e FROM ({mean_sql("p", "class")}) WHERE class = 'class_3'), fc AS (SELECT cr.*, p.e, {cos_sql("p.e", "zc.e")} AS fine FROM cr JOIN p ON p.image_id = cr.image_id AND p."row" = CAST(floor(cr.y / 64) AS INT) AND p.col = CAST(floor(cr.x / 64) AS INT), zc)"""
+
+
+def _crops(spark, sf):
+    """The plugged embedder of the queries: crop cells with the vectors of the patches below their centres."""
+    p = patches(spark, sf)
+
+    def embed(boxes):
+        four = F.sequence(F.lit(0), F.lit(3))
+        cells = boxes.withColumn("crow", F.explode(four)).withColumn("ccol", F.explode(four))
+        at = lambda a, b, k: F.col(a) + (F.col(k) + 0.5) * (F.col(b) - F.col(a)) / 4
+        cells = cells.withColumns({"x": at("px0", "px1", "ccol"), "y": at("py0", "py1", "crow")}).withColumns({"row": F.floor(F.col("y") / 64).cast("int"), "col": F.floor(F.col("x") / 64).cast("int"), "cell": F.col("crow") * 4 + F.col("ccol")})
+        return cells.join(p.select("image_id", "row", "col", "embedding"), ["image_id", "row", "col"]).select("image_id", "cluster_id", "cell", "crow", "ccol", "x", "y", "embedding")
+
+    return embed, proto.label_prototypes(p, ["class_3"]).select("embedding")
+
+
+@query("h21_two_stage_detect", f"""WITH RECURSIVE {P}, {S}, {_OTSU}, {_STAGE_BOXES}, {_CROP}, fm AS (SELECT image_id, CAST(floor(y / 64) AS INT) AS "row", CAST(floor(x / 64) AS INT) AS col, max(fine) AS fine FROM fc GROUP BY ALL)
+SELECT image_id, "row", col, round(greatest(score, coalesce(fine, score)), 6) AS score FROM s LEFT JOIN fm USING (image_id, "row", col)""")
+def two_stage_detect(spark, sf):
+    embed, prototype = _crops(spark, sf)
+    out = detection.two_stage_detect(scores(spark, sf).select("image_id", "row", "col", "score"), embed, prototype, KEY, "otsu", None, 0.1, 64, 10, 640)
+    return out.select("image_id", "row", "col", r6("score"))
+
+
+@query("h21_two_stage_clusters")
+def two_stage_clusters(spark, sf):
+    embed, prototype = _crops(spark, sf)
+    cells = embed(detection.two_stage_boxes(scores(spark, sf), KEY, "otsu", None, 0.1, 64, 10, 640))
+    scored = proto.score_prototypes(cells, prototype, ["image_id", "cluster_id", "cell"])
+    cells = cells.join(scored, ["image_id", "cluster_id", "cell"]).withColumnsRenamed({"crow": "row", "ccol": "col"})
+    return detection.two_stage_clusters(cells, prototype, KEY, 0.05, 0.1, 10, 640)
+
+
+@query("h21_two_stage_boxes", f"WITH RECURSIVE {P}, {S}, {_OTSU}, {_STAGE_BOXES} SELECT image_id, cluster_id, px0, py0, px1, py1 FROM px WHERE px1 - px0 >= 2 AND py1 - py0 >= 2")
 def two_stage_boxes(spark, sf):
     return detection.two_stage_boxes(scores(spark, sf), KEY, "otsu", None, 0.1, 64, 10, 640)
 
@@ -344,6 +386,30 @@ def cluster_tokens(spark, sf):
     return clusters.cluster_counts(clusters.cluster_tokens(patches(spark, sf), KEY, "average", threshold=0.9), KEY)
 
 
+_TOKENS = """u AS (SELECT image_id, "row" * 100 + col AS cell, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS u FROM p),
+near AS (SELECT a.image_id, a.cell AS x, b.cell AS y, 1 - list_dot_product(a.u, b.u) AS d FROM u a JOIN u b ON a.image_id = b.image_id)"""
+_REACH = "reach AS (SELECT image_id, x, y FROM link UNION SELECT r.image_id, r.x, l.y FROM reach r JOIN link l ON r.image_id = l.image_id AND r.y = l.x), lead AS (SELECT image_id, x AS cell, min(y) AS lead FROM reach GROUP BY ALL)"
+
+
+@query("h18_cluster_tokens_single", f"""WITH RECURSIVE {P}, {_TOKENS}, link AS (SELECT image_id, x, y FROM near WHERE d <= 0.72 OR x = y), {_REACH}
+SELECT image_id, CAST(cell // 100 AS INT) AS "row", CAST(cell % 100 AS INT) AS col, dense_rank() OVER (PARTITION BY image_id ORDER BY lead) - 1 AS cluster FROM lead""")
+def cluster_tokens_single(spark, sf):
+    return clusters.cluster_tokens(patches(spark, sf), KEY, "single", threshold=0.72).select("image_id", "row", "col", "cluster")
+
+
+@query("h18_cluster_tokens_dbscan", f"""WITH RECURSIVE {P}, {_TOKENS}, k AS (SELECT image_id, x AS cell FROM near WHERE d <= 0.75 GROUP BY ALL HAVING count(*) >= 3),
+link AS (SELECT n.image_id, x, y FROM near n JOIN k a ON a.image_id = n.image_id AND a.cell = n.x JOIN k b ON b.image_id = n.image_id AND b.cell = n.y WHERE d <= 0.75), {_REACH},
+t AS (SELECT n.image_id, n.x AS cell, min(lead) AS lead FROM near n JOIN lead ON lead.image_id = n.image_id AND lead.cell = n.y WHERE d <= 0.75 GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY lead) - 1 AS cluster FROM t)
+SELECT u.image_id, CAST(u.cell // 100 AS INT) AS "row", CAST(u.cell % 100 AS INT) AS col, coalesce(cluster, -1) AS cluster FROM u LEFT JOIN r ON r.image_id = u.image_id AND r.cell = u.cell""")
+def cluster_tokens_dbscan(spark, sf):
+    return clusters.cluster_tokens(patches(spark, sf), KEY, "dbscan", eps=0.75, min_samples=3).select("image_id", "row", "col", "cluster")
+
+
+@query("h18_cluster_tokens_complete")
+def cluster_tokens_complete(spark, sf):
+    return clusters.cluster_counts(clusters.cluster_tokens(patches(spark, sf), KEY, "complete", threshold=0.95), KEY)
+
+
 @query("h12_pca_foreground")
 def pca_foreground(spark, sf):
     from ..operators.subspace import pca_foreground as run

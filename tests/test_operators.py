@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsift.functions import blocks
-from gridsift.operators import clusters, features, knn, masks, metrics, scoremaps, subspace
+from gridsift.operators import clusters, detection, features, knn, masks, metrics, scoremaps, subspace
 from gridsift.operators import labels as lab
 from gridsift.operators import prototypes as proto
 from gridsift.plans.projection import patches
@@ -284,3 +284,20 @@ def test_cycle_consistency_falls_back_to_the_best(spark, sf):
     assert {(r.image_id, r.share, r.kept) for r in got.collect()} == {("0", 1.0, True), ("1", 0.5, True)}
     none = clusters.cycle_consistency(p, views, cells, ["image_id"], 0.4, -2.0, 8, 64, 10).where("kept").groupBy("image_id").count().collect()
     assert {(r.image_id, r["count"]) for r in none} == {("0", 20), ("1", 20)}
+
+
+def test_two_stage_clusters_reject_project_and_merge(spark):
+    up, side = [1.0, 0.0], [0.0, 1.0]
+    cell = lambda crop, r, c, x, y, score, v: ("i", crop, r, c, x, y, score, v)
+    rows = [
+        cell(0, 0, 0, 5.0, 5.0, 0.9, up), cell(0, 0, 1, 15.0, 5.0, 0.8, up), cell(0, 1, 0, 5.0, 15.0, 0.1, up),  # two cells kept, one below the threshold
+        cell(1, 0, 0, 15.0, 5.0, 0.9, up),  # shares a cell with the larger one
+        cell(2, 3, 3, 95.0, 95.0, 0.9, side),  # another direction: rejected
+        cell(3, 0, 0, 55.0, 55.0, 0.9, up), cell(3, 0, 1, 56.0, 55.0, 0.9, up),  # two crop cells, one native cell
+    ]
+    df = spark.createDataFrame(rows, "image_id string, cluster_id long, row int, col int, x double, y double, score double, embedding array<double>")
+    got = detection.two_stage_clusters(df, spark.createDataFrame([(up,)], "embedding array<double>"), ["image_id"], 0.5, 0.5, 10, 100).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.mask_id, set()).add((r.row, r.col))
+    assert sorted(map(sorted, by.values())) == [[(0, 0), (0, 1)], [(5, 5)]]
