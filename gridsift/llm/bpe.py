@@ -13,7 +13,6 @@ path is read back from the end. Ids are kept by piece of text (see ``pieces``),
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pieces import PieceTable, binary
+from .session import trimmed
 
 #: The published pre-tokenization pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -290,9 +290,17 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _batches(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def _mapped(df: DataFrame, new: dict[str, T.DataType], rows) -> DataFrame:
+    """``df`` with the ``new`` columns that ``rows`` makes of each batch: ranges of its rows with their values. Existing columns so named are replaced."""
+    df = df.drop(*[c for c in new if c in df.columns])
+    kept = df.columns
+
+    def run(batches):
+        for batch in batches:
+            for a, b, values in rows(batch, kept):
+                yield pa.RecordBatch.from_arrays([*(col.slice(a, b - a) for col in batch.columns), *values], [*kept, *new])
+
+    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, *(T.StructField(c, t) for c, t in new.items())]))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -302,16 +310,12 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     ids (an empty value); repeated rows are kept; other columns pass through; an existing column named as ``ids``
     is replaced. No shuffle; a task holds one small batch at a time.
     """
-    df = df.drop(ids) if ids in df.columns else df
-    kept = df.columns
 
-    def run(batches):
-        c = codec(vocabulary)
-        for batch in batches:
-            for a, b, x, off in c.pieces.encode(batch.column(kept.index(text))):
-                yield pa.RecordBatch.from_arrays([*(col.slice(a, b - a) for col in batch.columns), binary(x, off)], [*kept, ids])
+    def rows(batch, kept):
+        for a, b, x, off in codec(vocabulary).pieces.encode(batch.column(kept.index(text))):
+            yield a, b, [binary(x, off)]
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return _mapped(df, {ids: T.BinaryType()}, rows)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -319,14 +323,23 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
 
     Special ids give their own strings. Other columns pass through; an existing column named as ``decoded`` is replaced.
     """
-    df = df.drop(decoded) if decoded in df.columns else df
-    kept = df.columns
 
-    def run(batches):
+    def rows(batch, kept):
+        c = codec(vocabulary)
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            yield a, a + part.num_rows, [pa.array([c.decode(x) if x else "" for x in part.column(kept.index(ids)).to_pylist()], pa.string())]
+
+    return _mapped(df, {decoded: T.StringType()}, rows)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode(), then decode() of its ids, in one pass: one Python worker a task in place of two."""
+
+    def rows(batch, kept):
         c = codec(vocabulary)
-        for whole in batches:
-            for batch in _batches(whole):
-                got = [c.decode(x) if x else "" for x in batch.column(kept.index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], [*kept, decoded])
+        for a, b, x, off in c.pieces.encode(batch.column(kept.index(text))):
+            coded = binary(x, off)
+            yield a, b, [coded, pa.array([c.decode(v) if v else "" for v in coded.to_pylist()], pa.string())]
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())]))
+    return _mapped(df, {ids: T.BinaryType(), decoded: T.StringType()}, rows)

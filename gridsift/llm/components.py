@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import staged
+from .session import drop_stage, stage_path, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with very many links is never gathered: steps are joins on partial minima, whose hot keys Spark splits.
     """
     pair = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = staged(pair.where("a < b").distinct(), "edges")
+    spark = links.sparkSession
+    path = stage_path(spark, "edges")
+    edges = staged(pair.where("a < b").distinct(), "edges", path)
     while not _stars(edges):
-        edges = staged(_small_star(_large_star(edges)), "edges")
+        old, path = path, stage_path(spark, "edges")
+        edges = staged(_small_star(_large_star(edges)), "edges", path)
+        drop_stage(spark, old)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import trimmed
 from .words import LOWER, mix, placed
 
 SLOTS = 1 << 16
 LONGEST = 4
-#: Labelled documents of each language that are trained on, at most: those with the least hashes of their ids.
+#: Labelled documents of each language that are trained on, at most: those with the least hashes of their ids and texts.
 SAMPLE = 300
 EPOCHS, LANE_WORDS, LANES, RATE, RIDGE = 3, 64, 128, 0.2, 1e-5
 #: Text bytes of a group of documents that step side by side.
@@ -211,17 +212,17 @@ class Model:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, doc_id: str, per_language: int) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` whole texts of each language, those with the least hashes of their ids.
+    """At most ``per_language`` distinct whole texts of each language, those with the least hashes of ids and texts.
 
-    A hash bound per language, from counts, picks about twice as many; only these come to the driver.
+    A hash bound per language, from counts, picks about twice as many; of these, each text comes to the driver once.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("language"), doc_id).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("language"), doc_id, text).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return [], []
     bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_language / n + 20 / n))]), F.col("lang"))
     share = (F.col("h").cast("double") / float(1 << 63) + 1) / 2
-    got = rows.where(share <= bound).select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"], kind="stable")
+    got = rows.where(share <= bound).groupBy("lang", "text").agg(F.min("h").alias("h")).toPandas().sort_values(["lang", "h", "text"], kind="stable")
     got = got.groupby("lang", sort=True).head(per_language)
     return got.text.tolist(), got.lang.tolist()
 
@@ -268,4 +269,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
                     [*carry, "lang_pred", "score", "n_switches", "spans"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)

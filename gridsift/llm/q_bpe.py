@@ -14,9 +14,7 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text (null: empty)."""
     small_batches(spark)
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    back = bpe.decode(coded.select("doc_id", "ids"), vocabulary)
-    return back.select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .pieces import PieceTable, binary
-from .session import drop_stage, stage_path
+from .session import drop_stage, stage_path, trimmed
 
 MAGIC = 0x31534449
 #: Longest code; raised where the ids in use need more.
@@ -105,7 +105,7 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(tie, pa.int64()), ids, pa.nulls(b - a, pa.binary())], ["doc_id", "tie", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "tie", "ids", "counts"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _CODED)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), _CODED)
 
 
 def counts(coded: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _encode_documents(coded: DataFrame, codes: tuple[np.ndarray, np.ndarray], cu
                     ["doc_id", "n_ids", "part", "tie", "payload", "lanes"],
                 )
 
-    return coded.select("doc_id", "tie", "ids").mapInArrow(run, _DOC)
+    return coded.select("doc_id", "tie", "ids").mapInArrow(trimmed(run), _DOC)
 
 
 def _block(docs: list[tuple]) -> bytes:
@@ -349,7 +349,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         ["part", "doc_id", "at", "n_tokens", "ids"],
                     )
 
-    rows = blocks.select("part", "at", "data").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids binary")
+    rows = blocks.select("part", "at", "data").mapInArrow(trimmed(run), "part int, doc_id long, at long, n_tokens long, ids binary")
     return rows.join(F.broadcast(totals), "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 

@@ -15,7 +15,7 @@ U = np.uint64
 #: Bytes hashed at once; a longer word is hashed in one piece of its own length.
 PIECE = 1 << 20
 #: Text bytes per group of documents that is worked on at once; a longer document is a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)

@@ -38,6 +38,7 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark, library):
     rows = [(i % 5 if i else None, t, "clash") for i, t in enumerate(ODD)] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     back = bpe.decode(bpe.encode(df, PATH), PATH).collect()
+    assert bpe.round_trip(df, PATH).select(*bpe.decode(bpe.encode(df, PATH), PATH).columns).collect() == back
     assert len(back) == len(rows) and all(r.decoded == (r.text or "") for r in back)
     assert bpe.encode(df.limit(0), PATH).count() == 0
 

@@ -1,11 +1,16 @@
 import itertools
+import re
+import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark.sql import functions as F
 
 from gridsift.llm import language
 from gridsift.llm.q_language import op10_language_crf
+from gridsift.llm.words import word_hashes
 
 
 def test_forward_backward_against_all_paths():
@@ -80,3 +85,45 @@ def test_spans_of_a_mixed_text(spark):
         assert part == [texts[1].strip(), texts[0].strip()] and [x.lang for x in got[i].spans] == ["fr", "en"] and got[i].n_switches == 1
         assert all(0.5 < x.marginal <= 1 for x in got[i].spans)
     assert language.identify(docs, language.trained(docs.limit(0))).where("size(spans) > 0").count() == 0
+
+
+def test_rows_of_the_query_against_plain_forward_backward(spark, sf):
+    docs = duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet'").fetchall()
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d, *_ in docs}
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.trained(table.where(~F.col("doc_id").isin([d for d, h in held.items() if h])))
+    move = model.move.astype(np.float32).astype(float)
+
+    def plain(text):
+        if not text or not regex.search(r"\p{L}", text):
+            return "und", 0.0
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        words = re.findall(rb"[^\x20\x09-\x0D]+", low)
+        e = []
+        for w in words:
+            raw = np.frombuffer(w, np.uint8)
+            slots, _ = language.word_features(raw, np.array([0]), np.array([len(raw)]), word_hashes(raw, np.array([0]), np.array([len(raw)])))
+            e.append(model.weights[slots].astype(float).sum(0))
+        f, back = [e[0]], [np.zeros(len(model.languages))]
+        for x in e[1:]:
+            f.append(np.logaddexp.reduce(f[-1][:, None] + move, axis=0) + x)
+        for x in e[:0:-1]:
+            back.append(np.logaddexp.reduce(move + (x + back[-1])[None, :], axis=1))
+        p = np.array(f) + np.array(back[::-1])
+        p = np.exp(p - p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        lettered = [k for k, w in enumerate(words) if any(97 <= b <= 122 or b >= 128 for b in w)]
+        mean = p[lettered].mean(0) if lettered else np.full(len(model.languages), 1 / len(model.languages))
+        return model.languages[int(mean.argmax())], mean.max()
+
+    got = {r.doc_id: r for r in op10_language_crf(spark, sf).collect()}
+    assert len(got) == len(docs) and len({r.lang_pred for r in got.values()}) > 2
+    for d, text, _ in docs:
+        name, score = plain(text)
+        assert (got[d].held_out, got[d].lang_pred) == (held[d], name) and abs(got[d].score - score) < 1e-3
+
+
+def test_sample_is_bounded_where_rows_repeat(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 3000 THEN 7 ELSE id END AS doc_id", "CASE WHEN id < 3000 THEN 'same words' ELSE concat('word ', id) END AS text", "'en' AS lang")
+    texts, langs = language.sample(rows, "text", "lang", "doc_id", 30)
+    assert len(texts) == len(set(texts)) == 30 and set(langs) == {"en"}
