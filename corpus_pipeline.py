@@ -69,9 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and of the text they spell."""
     small_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
-    back = bpe.decode(coded.drop("text"), vocabulary)
-    return back.select(
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary).select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
