@@ -114,7 +114,7 @@ def describe(docs: DataFrame, text: str, doc_id: str, shingle: int, text_hash: b
         yield pa.RecordBatch.from_arrays([*nulls, pa.array([tokens.tobytes()], pa.binary()), *([pa.nulls(1, pa.int64())] if text_hash else [])], names)
 
     more = [F.xxhash64(text).alias("text_hash")] if text_hash else []
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(trimmed(run), _META + (", text_hash long" if text_hash else ""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(trimmed(run, False), _META + (", text_hash long" if text_hash else ""))
 
 
 def frequent_tokens(meta: DataFrame) -> np.ndarray:
@@ -165,7 +165,7 @@ def postings(docs: DataFrame, frequent, text: str, shingle: int) -> DataFrame:
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(salt), pa.int32()), pa.array(np.concatenate(owner))], ["token", "salt", "set_id"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(trimmed(run), "token long, salt int, set_id long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(trimmed(run, False), "token long, salt int, set_id long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]):
@@ -196,7 +196,7 @@ def _shared(batches: Iterator[pa.RecordBatch]):
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
     """token, salt, set_id, lead of the rows of postings() whose group holds another set (of salted groups, all rows)."""
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id").mapInArrow(trimmed(_shared), "token long, salt int, set_id long, lead long")
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id").mapInArrow(trimmed(_shared, False), "token long, salt int, set_id long, lead long")
 
 
 def _leads(live: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _paired(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
             keep = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long").distinct()
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(run, False), "a long, b long").distinct()
 
 
 def _of_sets(texts: DataFrame, value, shingle: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _of_sets(texts: DataFrame, value, shingle: int) -> DataFrame:
             for _, sets in _sets(batch.column(0), shingle):
                 yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.int64()), pa.array([value(x) for x in sets], pa.binary())], ["set_id", "value"])
 
-    return texts.mapInArrow(trimmed(run), "set_id long, value binary")
+    return texts.mapInArrow(trimmed(run, False), "set_id long, value binary")
 
 
 def _wide(x: np.ndarray) -> bytes:
@@ -429,7 +429,7 @@ def tree_candidates(live: DataFrame, classes: DataFrame, labels: DataFrame, scra
     zero = F.lit(0).cast("long")
     rows = _dealt(rows) if once.where(F.col("size") > GROUP).head(1) else rows.withColumns({"block": zero, "other": zero})
     rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "comp", F.col("n").cast("long").alias("n"), *_LONGS)
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(trimmed(lambda batches: _group_pairs(batches, nearest)), "a long, b long").distinct()
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(trimmed(lambda batches: _group_pairs(batches, nearest), False), "a long, b long").distinct()
 
 
 def _dealt(rows: DataFrame) -> DataFrame:

@@ -85,13 +85,17 @@ class Scratch:
         return staged(df, name, self.paths[-1])
 
 
-def trimmed(run: Callable) -> Callable:
-    """``run``, a function of Arrow batches, that gives freed memory back at its task's end: idle Python workers stay, and share an executor's memory."""
+def trimmed(run: Callable, cycles: bool = True) -> Callable:
+    """``run``, a function of Arrow batches, that gives freed memory back at its task's end: idle Python workers stay, and share an executor's memory.
+
+    Looking for garbage in ``cycles`` costs some 80 ms, too much for many short tasks.
+    """
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
+        if cycles:
+            gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(AttributeError, OSError):  # glibc only
             ctypes.CDLL(None).malloc_trim(0)
