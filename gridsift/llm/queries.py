@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_bpe", "q_token_files", "q_quality_rules", "q_urls", "q_licenses", "q_warc", "q_decontamination", "q_jaccard", "q_classifier", "q_language", "q_merkle", "q_exact_dedup", "q_pipeline")
+_MODULES = ("q_bpe", "q_token_files", "q_quality_rules", "q_urls", "q_licenses", "q_warc", "q_decontamination", "q_jaccard", "q_classifier", "q_language", "q_merkle", "q_exact_dedup", "q_spelling", "q_pipeline")
 
 
 def _all():
