@@ -21,6 +21,14 @@ def top_k(similarity: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray,
     return np.take_along_axis(at, order, 1), np.take_along_axis(value, order, 1)
 
 
+def matrix(column) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix of doubles."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    if not len(column):
+        return np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -38,6 +46,36 @@ def k_centre(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
     return np.array(chosen)
 
 
+def k_centre_cover(x: np.ndarray, n: int, weight: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Greedy k-centre of unit rows from the first, on cosine distance to 12 decimals; ties go to the first.
+
+    Positions of the centres, the distance at which each was chosen (2 for the first), the sum of ``weight`` over the rows
+    nearest to it, and the largest angle of these plus their own ``cover``.
+    """
+    n = min(n, len(x))
+    if not n:
+        return np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0)
+    chosen, far = [0], [2.0]
+    least, owner = np.round(1 - x @ x[0], 12), np.zeros(len(x), int)
+    free = least.copy()
+    free[0] = -1
+    for k in range(1, n):
+        i = int(free.argmax())
+        chosen.append(i)
+        far.append(max(0.0, float(free[i])))
+        d = np.round(1 - x @ x[i], 12)
+        closer = d < least
+        owner[closer] = k
+        least = np.minimum(least, d)
+        free = np.minimum(free, d)
+        free[i] = -1
+    angle = np.arccos(np.clip(1 - least, -1, 1))
+    owner[chosen], angle[chosen] = np.arange(n), 0
+    radius = np.zeros(n)
+    np.maximum.at(radius, owner, angle + cover)
+    return np.array(chosen), np.array(far), np.bincount(owner, weight, n), radius
+
+
 def box_smooth(grid: np.ndarray, size: int = 3) -> np.ndarray:
     """Mean over the in-bounds part of a size x size box, for an (H, W, D) grid."""
     h, w = grid.shape[:2]

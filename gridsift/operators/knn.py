@@ -10,19 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import blocks
+from .coresets import coreset
 from .retrieval import top_per_group
 
 BANK_BYTES = 200 << 20
 #: Vectors of one block, as doubles. A query vector is copied once for each block of a larger bank, so blocks are large.
 BLOCK_BYTES = 128 << 20
-#: Choices of a coreset between two times that each row's least distance is stored.
-ROUNDS = 32
 
 
 def _matrix(column: pa.Array, soft: bool = False) -> np.ndarray:
@@ -113,66 +110,6 @@ def score_fgbg_knn(query: DataFrame, fg: DataFrame, bg: DataFrame, k: int, query
     return a.join(b, "query_id").select("query_id", (F.col("fg") - F.col("bg")).alias("score"))
 
 
-def coreset(bank: DataFrame, n: int, bank_id: str = "bank_id", column: str = "embedding") -> DataFrame:
-    """n rows of ``bank`` spread by greedy k-centre on cosine distance, from the least id; ties go to the least id.
-
-    Each choice is one pass over the rows: tasks work batch by batch and give a row each, the farthest of these is the
-    next centre. Distances are compared to 12 decimals, so what is chosen does not depend on the partitioning. Each row's
-    least distance is kept on disk and renewed after ``ROUNDS`` choices; a pass meets the centres since then only.
-    """
-    rows = bank.select(F.col(bank_id).cast("long").alias("bank_id"), F.col(column).cast("array<double>").alias("v"), F.lit(2.0).alias("far")).where("bank_id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.persist(StorageLevel.DISK_ONLY)
-    start = rows.agg(F.min(F.struct("bank_id", "v")).alias("x")).head().x
-    ids, new = [], []
-    while start is not None:
-        ids.append(start.bank_id)
-        new.append(start.v)
-        if len(ids) >= n:
-            break
-        near = _nearer(rows, np.array(new))
-        if len(new) >= ROUNDS:
-            old, rows, new = rows, near.persist(StorageLevel.DISK_ONLY), []
-            near = rows
-            rows.count()
-            old.unpersist()
-        start = _farthest(near, np.array(ids))
-    rows.unpersist()
-    chosen = bank.sparkSession.createDataFrame([(i,) for i in ids[: max(n, 0)]], T.StructType([T.StructField(bank_id, T.LongType())]))
-    return bank.join(F.broadcast(chosen), bank_id, "left_semi")
-
-
-def _nearer(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """bank_id, v, far: ``rows`` with the least of far and the distances to ``centres``."""
-    shared = rows.sparkSession.sparkContext.broadcast(blocks.unit_rows(centres))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            if b.num_rows:
-                far = np.minimum(b.column(2).to_numpy(), (1 - _matrix(b.column(1)) @ shared.value.T).min(1).round(12))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far)], ["bank_id", "v", "far"])
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _farthest(rows: DataFrame, chosen: np.ndarray):
-    """The row with the greatest far, of those the one with the least bank_id, that is not among ``chosen``; None if all are."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(chosen))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        best = None
-        for b in batches:
-            at = np.flatnonzero(~np.isin(b.column(0).to_numpy(), shared.value))
-            if len(at):
-                i, far = b.column(0).to_numpy()[at], b.column(2).to_numpy()[at]
-                k = np.lexsort((i, -far))[0]
-                if best is None or (-far[k], i[k]) < best[0]:
-                    best = (-far[k], i[k]), b.slice(int(at[k]), 1)
-        if best:
-            yield best[1]
-
-    return rows.mapInArrow(run, rows.schema).agg(F.max(F.struct("far", -F.col("bank_id"), "bank_id", "v")).alias("x")).head().x
-
-
 def memory_bank(patches: DataFrame, n: int | None = None, bank_id: str = "bank_id", ratio: float | None = None, smoothing: bool = False, **filters) -> DataFrame:
     """Filtered, normalised patches as a bank, thinned to ``n`` rows or to a ``ratio`` of them (one at least); an empty one is an error.
 

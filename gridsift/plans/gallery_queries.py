@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.vectors import cosine, l2_normalize, rounded, unit, vector_mean
-from ..operators import knn, labels, masks, retrieval
+from ..operators import coresets, knn, labels, masks, retrieval
 from ..operators import prototypes as proto
 from . import metric_queries, scoremap_queries, source_queries
-from .projection import GRID, P, cls, cos_sql, mean_sql, patches, round_sql, table
+from .projection import GRID, P, cls, cos_sql, greedy_sql, mean_sql, patches, round_sql, table
 from .registry import query
 
 assert metric_queries and scoremap_queries and source_queries
@@ -136,12 +136,22 @@ def score_fgbg_knn(spark, sf):
     return knn.score_fgbg_knn(q, b.where("label < 5"), b.where("label >= 5"), 3).select("query_id", F.round("score", 4).alias("score"))
 
 
-@query("h2_coreset")
+@query("h2_coreset", f"WITH RECURSIVE {P}, {_U}, {greedy_sql('20')} SELECT new AS bank_id FROM g GROUP BY new")
 def coreset(spark, sf):
     _, b = _sides(spark, sf)
     return knn.coreset(b, 20).select("bank_id")
 
 
+@query("h2_coreset_batches", f"WITH RECURSIVE {P}, {_U}, {greedy_sql('20')} SELECT CAST(20 AS BIGINT) AS size, round(max(far), 6) AS best_radius, true AS within FROM g WHERE step = (SELECT max(step) FROM g)")
+def coreset_batches(spark, sf):
+    """20 rows from batches of 100: within twice the greedy choice's radius, as an angle."""
+    _, b = _sides(spark, sf)
+    best = coresets.cover_radius(b, knn.coreset(b, 20)).select(F.col("radius").alias("best"))
+    width = b.select(F.max(F.size("embedding")).alias("d")).head().d
+    found = coresets.cover_radius(b, knn.coreset(b, 20, batch_bytes=800 * width)).join(F.broadcast(best), F.lit(True))
+    return found.select("size", F.round("best", 6).alias("best_radius"), (F.acos(1 - F.col("radius")) <= 2 * F.acos(1 - F.col("best"))).alias("within"))
+
+
 @query("b8_remove_subspace", f"""WITH {P}, {_U}, b AS (SELECT u AS b FROM u WHERE vec_id = 5), x AS (SELECT vec_id, list_transform(list_zip(e, b), lambda y: y[1] - y[2] * list_dot_product(e, b)) AS x FROM u, b)
 SELECT vec_id, {round_sql('list_transform(x, lambda y: y / greatest(sqrt(list_dot_product(x, x)), 1e-12))')} AS embedding FROM x WHERE vec_id <> 5""")
 def remove_subspace(spark, sf):

@@ -47,6 +47,13 @@ def round_sql(v: str) -> str:
     return f"list_transform({v}, lambda x: round(x, 6) + 0.0)"
 
 
+def greedy_sql(n: str, source: str = "(SELECT vec_id AS id, u FROM u WHERE split = 'train')") -> str:
+    """Greedy k-centre of n rows: after each step, the one chosen (new) and each row's least distance so far (-1 for chosen ones)."""
+    d = "round(1 - list_dot_product(x.u, c.u), 12)"
+    return f"""x AS MATERIALIZED (SELECT * FROM {source}), g AS (SELECT 1 AS step, x.id, c.id AS new, CASE WHEN x.id = c.id THEN -1 ELSE {d} END AS far FROM x, (SELECT * FROM x ORDER BY id LIMIT 1) c
+    UNION ALL SELECT step + 1, s.id, s.next, CASE WHEN s.id = s.next THEN -1 ELSE least(s.far, {d}) END FROM (SELECT *, first_value(id) OVER (ORDER BY far DESC, id) AS next FROM g) s JOIN x ON x.id = s.id JOIN x c ON c.id = s.next WHERE step < {n})"""
+
+
 #: Scores of all patches against the vector of patch 0, and the truth cells of class 3.
 S = f"""s AS (SELECT image_id, "row", col, split, label, round({cos_sql("p.e", "z.e")}, 6) AS score, label = 3 AS truth FROM p, (SELECT e FROM p WHERE vec_id = 0) z)"""
 

@@ -9,7 +9,7 @@ from ..operators import knn, masks, retrieval, subspace
 from ..sources import files, gallery
 from ..sources.shared import shared_path
 from ..streaming import streams
-from .projection import GRID, P, cls, cos_sql, mean_sql, patches, round_sql, table
+from .projection import GRID, P, cls, cos_sql, greedy_sql, mean_sql, patches, round_sql, table
 from .registry import query
 
 _CLS = f"c AS ({mean_sql('p', 'image_id, split', False)})"
@@ -123,7 +123,8 @@ def memory_bank(spark, sf):
     return knn.memory_bank(p, smoothing=True, split="train", any_labels=[f"class_{k}" for k in range(5)]).select("bank_id", rounded("embedding").alias("embedding"))
 
 
-@query("h1_memory_bank_coreset")
+@query("h1_memory_bank_coreset", f"""WITH RECURSIVE {P}, u AS (SELECT *, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS u FROM p),
+{greedy_sql("(SELECT greatest(1, CAST(floor(count(*) * 0.03) AS INT)) FROM x)")} SELECT new AS bank_id FROM g GROUP BY new""")
 def memory_bank_coreset(spark, sf):
     return knn.memory_bank(patches(spark, sf).withColumnRenamed("vec_id", "bank_id"), ratio=0.03, split="train").select("bank_id")
 

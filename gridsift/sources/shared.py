@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_STAGED: list[str] = []
 
 
 @functools.cache
@@ -15,8 +18,37 @@ def _local_dir() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, below the warehouse, or for a local master a temporary folder."""
+    """A new path below spark.checkpoint.dir; where that is unset, below the warehouse, or for a local master a temporary folder.
+
+    A cluster without spark.checkpoint.dir must not have its warehouse in a folder of one machine.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = _local_dir()
     if not root:
-        root = _local_dir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if root.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/gridsift-{uuid.uuid4().hex[:12]}-{name}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. It goes at the driver's exit."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if not _STAGED:
+        atexit.register(_drop_staged)
+    _STAGED.append(path)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_staged() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        for path in _STAGED:
+            drop_path(spark, path)

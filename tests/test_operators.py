@@ -204,20 +204,6 @@ def test_annotation_stream(spark, tmp_path):
     assert got == {(r.k, r.id) for r in lab.fold_log(spark.createDataFrame(log, schema), ["k"], ["seq"]).collect()} == {("b", 3), ("c", 6)}
 
 
-def test_coreset_does_not_depend_on_partitions(spark, monkeypatch):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(120, 5))
-    x[60:70] = x[:10]
-    ids = rng.permutation(1000)[:120]
-    order = np.argsort(ids)
-    want = sorted(ids[order][blocks.k_centre(blocks.unit_rows(x[order]), 12)].tolist())
-    bank = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "bank_id long, embedding array<double>")
-    for parts, rounds in ((1, 32), (7, 32), (16, 3)):
-        monkeypatch.setattr(knn, "ROUNDS", rounds)
-        assert sorted(r.bank_id for r in knn.coreset(bank.repartition(parts), 12).collect()) == want
-    assert knn.coreset(bank.limit(3), 9).count() == 3 and knn.coreset(bank.limit(0), 9).count() == 0
-
-
 def test_prototypes_in_several_rows_score_the_same(spark, sf, monkeypatch):
     p = patches(spark, sf)
     protos = p.where("image_id = '0'").select(F.col("label").alias("g"), "embedding")
