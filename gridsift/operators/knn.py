@@ -1,7 +1,7 @@
 """Exact nearest-neighbour joins, and the scores built on them.
 
-Queries meet the bank as blocks of rows in numpy. A bank of at most ``BANK_BYTES`` is broadcast; a larger one is cut
-into blocks, each met by every chunk of queries, and the partial top k are merged per query. No pair is ever a row.
+Queries meet the bank as blocks of rows in numpy. A bank of at most ``BANK_BYTES`` is broadcast; a larger one is indexed
+by pivots (pivots.py), and queries meet only the blocks that the triangle inequality leaves. No pair is ever a row.
 """
 
 from __future__ import annotations
@@ -14,25 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from . import pivots
 from .coresets import coreset
-from .retrieval import top_per_group
 
 BANK_BYTES = 200 << 20
-#: Vectors of one block, as doubles. A query vector is copied once for each block of a larger bank, so blocks are large.
-BLOCK_BYTES = 128 << 20
 
 
-def _matrix(column: pa.Array, soft: bool = False) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return blocks.unit_rows(x)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return blocks.unit_rows(blocks.matrix(column))
 
 
 def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_id", bank_id: str = "bank_id", column: str = "embedding", bank_bytes: int | None = None) -> DataFrame:
     """query_id, rank, bank_id, similarity (cosine) of the k nearest bank rows of each query, ties by bank_id.
 
-    Ids are longs. With a bank of fewer rows, each query has so many; an empty bank gives no rows. Null vectors are
-    left out.
+    Ids are longs; query ids are distinct. Similarities are compared to 12 decimals. With a bank of fewer rows, each query
+    has so many; an empty bank gives no rows. Null vectors are left out.
     """
     query = query.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
     bank = bank.select(F.col(bank_id).cast("long").alias("bank_id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
@@ -42,7 +38,7 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
         return query.sparkSession.createDataFrame([], out)
 
     def nearest(ids: np.ndarray, x: np.ndarray, bank_ids: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        at, value = blocks.top_k(x @ y.T, k, bank_ids)
+        at, value = blocks.top_k(np.round(x @ y.T, 12), k, bank_ids)
         width = at.shape[1]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(ids))), pa.array(bank_ids[at].ravel()), pa.array(value.ravel())], ["query_id", "rank", "bank_id", "similarity"])
 
@@ -58,21 +54,7 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
 
         return query.mapInArrow(run, out)
 
-    rows = max(1, BLOCK_BYTES // (8 * max(size.d, 1)))
-    n_bank, n_query = -(-size.n // rows), max(1, -(-query.count() // rows))
-    chunk = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    q = query.withColumn("i", chunk("query_id", n_query)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bank - 1).cast("long"))))
-    b = bank.withColumn("j", chunk("bank_id", n_bank)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))))
-
-    def both(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("rank", pa.int32()), ("bank_id", pa.int64()), ("similarity", pa.float64()))})
-        bank_ids, m = y.column("bank_id").to_numpy(), _matrix(y.column("v"))
-        ids, v = x.column("query_id").to_numpy(), _matrix(x.column("v"))
-        return pa.Table.from_batches([nearest(ids[s : s + 512], v[s : s + 512], bank_ids, m) for s in range(0, len(ids), 512)])
-
-    rows = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(both, out).drop("rank")
-    return top_per_group(rows, ["query_id"], k, [F.desc("similarity"), F.asc("bank_id")]).select("query_id", "rank", "bank_id", "similarity")
+    return pivots.nearest(query, pivots.build(bank, size.n, size.d), k, size.d)
 
 
 def mutual_nn(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:

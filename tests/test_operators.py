@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsift.functions import blocks
-from gridsift.operators import clusters, detection, features, knn, masks, metrics, scoremaps, subspace
+from gridsift.operators import clusters, detection, features, knn, masks, metrics, pivots, scoremaps, subspace
 from gridsift.operators import labels as lab
 from gridsift.operators import prototypes as proto
 from gridsift.plans.projection import patches
@@ -18,7 +18,7 @@ def test_knn_is_the_same_in_blocks(spark, sf, monkeypatch):
     q, b = p.where("split = 'test'").withColumnRenamed("vec_id", "query_id"), p.where("split = 'train'").withColumnRenamed("vec_id", "bank_id")
     rows = lambda d: sorted((r.query_id, r.rank, r.bank_id) for r in d.collect())
     whole = rows(knn.knn_join(q, b, 4))
-    monkeypatch.setattr(knn, "BLOCK_BYTES", 37 * 8 * 64)
+    monkeypatch.setattr(pivots, "BLOCK_BYTES", 37 * 8 * 64)
     assert rows(knn.knn_join(q, b, 4, bank_bytes=0)) == whole
     assert knn.knn_join(q, b.limit(0), 4).count() == 0 and knn.knn_join(q, b.limit(2), 9).where("rank > 2").count() == 0
     with pytest.raises(ValueError):
