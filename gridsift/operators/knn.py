@@ -57,6 +57,16 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
     return pivots.nearest(query, pivots.build(bank, size.n, size.d), k, size.d)
 
 
+def shared_bank(bank: DataFrame, bank_id: str = "bank_id", column: str = "embedding"):
+    """A bank of at most ``BANK_BYTES`` as a broadcast pair (ids, unit rows); a larger one is an error."""
+    bank = bank.select(F.col(bank_id).cast("long").alias("bank_id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    size = bank.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
+    if size.n * (size.d or 1) * 8 > BANK_BYTES:
+        raise ValueError("the bank is too large to broadcast")
+    got = bank.toArrow()
+    return bank.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1))))
+
+
 def mutual_nn(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:
     """a_id, b_id, similarity of the pairs that are each other's nearest."""
     there = knn_join(a, b, 1, a_id, b_id).select(F.col("query_id").alias("a_id"), F.col("bank_id").alias("b_id"), "similarity")

@@ -153,11 +153,11 @@ def stream_anomaly_scores(spark, sf):
     p = patches(spark, sf)
     arriving, path = shared_path(spark, "arriving"), shared_path(spark, "stream-scores")
     rows = p.select("image_id", "row", "col", "embedding")
-    rows.repartition("image_id").write.parquet(arriving)
-    stream = spark.readStream.schema(rows.schema).parquet(arriving)
+    rows.repartition(3, "row").write.parquet(arriving)  # every image is cut across batches
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     bank = p.where("split = 'train'").withColumnRenamed("vec_id", "bank_id")
-    streams.stream_anomaly_scores(stream, bank, 3, path, shared_path(spark, "checkpoint"), 0.05).awaitTermination()
-    return spark.read.parquet(path).select("image_id", F.round("image_score", 4).alias("image_score"))
+    streams.stream_anomaly_scores(stream, bank, 3, path, shared_path(spark, "checkpoint"), GRID * GRID, 0.05).awaitTermination()
+    return spark.read.schema("image_id string, image_score double").parquet(path).select("image_id", F.round("image_score", 4).alias("image_score"))
 
 
 @query("j2_stream_annotations", """SELECT user_id, event_type, event_id % 3 AS instance_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
@@ -167,5 +167,6 @@ def stream_annotations(spark, sf):
     log.repartition(4, "event_id").write.parquet(arriving)
     keys, order = ["user_id", "event_type", "instance_id"], ["ts", "event_id"]
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    streams.stream_annotations(stream, keys, order, path, shared_path(spark, "checkpoint")).awaitTermination()
-    return streams.read_annotations_state(spark, path, keys, order).select(*keys, "event_id", "value")
+    checkpoint = shared_path(spark, "checkpoint")
+    streams.stream_annotations(stream, keys, order, path, checkpoint).awaitTermination()
+    return streams.read_annotations_state(spark, checkpoint).select(*keys, "event_id", "value")

@@ -1,73 +1,214 @@
-"""Streams: anomaly scores of arriving images, and the folded state of an annotation log."""
+"""Streams with keyed state: anomaly scores of images that arrive in pieces, and the folded state of an annotation log.
+
+State is kept by key in Spark's state store, whose changes alone are written with each batch; a batch's cost follows its
+own rows. A stream that is stopped or killed goes on from its checkpoint.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.knn import anomaly_scores
-from ..operators.labels import fold_log
-from ..operators.retrieval import top_fraction_mean
-
-
-def stream_anomaly_scores(patches: DataFrame, bank: DataFrame, k: int, path: str, checkpoint: str, share: float = 0.01, every: str | None = None) -> StreamingQuery:
-    """Append image_id, image_score of each micro-batch's images to Parquet at ``path``; an image's rows come in one file.
-
-    A batch writes into a folder of its own number, so a batch that runs again after a failure replaces itself. The
-    stream ends with what is there now, or with ``every`` (such as '1 minute') runs on.
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from ..functions import blocks
+from ..operators.knn import shared_bank
+
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Settings that a stream takes over when it starts; then as before."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _start(rows: DataFrame, mode: str, path: str, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Write each batch's rows into a folder of its number, so that a batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    with _state_store(rows.sparkSession):
+        return rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+class _ImageScore(StatefulProcessor):
+    """Counts an image's patches and keeps as many of its greatest scores as its final mean takes."""
+
+    def __init__(self, expected: int, share: float, wait: int | None):
+        self.expected, self.share, self.wait = expected, share, wait
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, top array<double>, timer long")
+
+    def _row(self, key: tuple, n: int, top: list[float], complete: bool) -> Row:
+        k = max(1, int(n * self.share))
+        return Row(image_id=key[0], image_score=float(np.mean(sorted(top, reverse=True)[:k])), patches=n, complete=complete)
+
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, top, timer = self.seen.get() or (0, [], None)
+        top, latest = list(top), None
+        heapq.heapify(top)
+        for r in rows:
+            n += 1
+            (heapq.heappush if len(top) < max(1, int(self.expected * self.share)) else heapq.heappushpop)(top, r.score)
+            latest = r.at if latest is None or (r.at is not None and r.at > latest) else latest
+        if n >= self.expected:
+            self.seen.clear()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            yield self._row(key, n, top, True)
+            return
+        if self.wait is not None and latest is not None and latest + self.wait > (timer or 0):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = latest + self.wait
+            self.handle.registerTimer(timer)
+        self.seen.update((n, top, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        found = self.seen.get()
+        if found:
+            yield self._row(key, found[0], list(found[1]), False)
+        self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_anomaly_scores(
+    patches: DataFrame, bank: DataFrame, k: int, path: str, checkpoint: str, expected: int, share: float = 0.01, every: str | None = None, time: str | None = None, wait_seconds: int | None = None, delay: str = "10 minutes"
+) -> StreamingQuery:
+    """Append image_id, image_score, patches, complete to Parquet at ``path`` once ``expected`` patches of an image have come, in any batches.
+
+    ``patches`` has image_id and embedding. A patch's score is the mean of its k least cosine distances to the bank, an
+    image's the mean of its largest share of them. With ``time`` (an event time) and ``wait_seconds``, an image that is
+    still incomplete when the watermark (behind by ``delay``) is so much past its latest patch is written with what has
+    come, as not complete; otherwise it waits. A patch that comes after its image was written counts for a new one. The
+    bank is broadcast once, when the stream starts; a larger one than knn.BANK_BYTES is an error (thin it to a core-set).
+    The stream ends with what is there now, or with ``every`` (such as '1 minute') runs on.
     """
-
-    def score(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("query_id", F.xxhash64("image_id", "row", "col"))
-        got = anomaly_scores(rows, bank, k).join(rows.select("query_id", "image_id"), "query_id")
-        top_fraction_mean(got, ["image_id"], "score", share).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return patches.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
-
-
-def _trigger(every: str | None) -> dict:
-    return {"availableNow": True} if every is None else {"processingTime": every}
-
-
-def stream_annotations(log: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the folded state (last operation of each key, deletes as tombstones) of a log in ``path``/state=<batch>.
-
-    Late or repeated operations lose by ``order``. Each batch merges the newest older state with its own rows and
-    writes a new one; states before the one it merged go, so two are left for a batch that runs again.
-    read_annotations_state() reads the newest. ``every`` is as in stream_anomaly_scores().
+    shared = shared_bank(bank)
+    if len(shared.value[0]) < k:
+        raise ValueError("k is more than the bank's rows")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                _, value = blocks.top_k(np.round(blocks.unit_rows(blocks.matrix(part.column(2))) @ y.T, 12), k, ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.clip(1 - value, 0, 2).mean(1))], ["image_id", "at", "score"])
+
+    timed = time is not None and wait_seconds is not None
+    at = F.unix_millis(F.col(time).cast("timestamp")) if timed else F.lit(None).cast("long")
+    rows = patches.where("embedding IS NOT NULL").select(F.col("image_id").cast("string").alias("image_id"), at.alias("at"), F.col("embedding").cast("array<double>").alias("v"))
+    scored = rows.mapInArrow(score, "image_id string, at long, score double")
+    if timed:
+        scored = scored.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", delay)
+    processor = _ImageScore(expected, share, 1000 * wait_seconds if timed else None)
+    out = scored.groupBy("image_id").transformWithState(processor, "image_id string, image_score double, patches long, complete boolean", "Append", "EventTime" if timed else "None")
+    return _start(out, "append", path, checkpoint, every)
+
+
+def _place(row, order: list[str]) -> tuple:
+    return tuple((row[c] is not None, row[c]) if row[c] is not None else (False, 0) for c in order)
+
+
+class _Fold(StatefulProcessor):
+    """Keeps each key's last operation: its row, or of a delete the place in the order, for as long as late ones may come."""
+
+    def __init__(self, keys: list[str], rest: T.StructType, order: list[str], op: str, keep: int | None):
+        self.keys, self.rest, self.order, self.op, self.keep = keys, rest, order, op, keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        gone = [f for f in self.rest.fields if f.name in self.order]
+        self.at = [f.name for f in gone]
+        self.last = handle.getValueState("last", self.rest)
+        self.gone = handle.getValueState("gone", T.StructType([*gone, T.StructField("_until", T.LongType())]))
+
+    def _newest(self) -> tuple | None:
+        for state, names in ((self.last, self.rest.fieldNames()), (self.gone, [*self.at, "_until"])):
+            if state.exists():
+                return _place(dict(zip(names, state.get(), strict=True)), self.order)
+        return None
+
+    def _put(self, row) -> None:
+        if row[self.op] != "delete":
+            self.gone.clear()
+            self.last.update(tuple(row[c] for c in self.rest.fieldNames()))
+            return
+        until = row["_at"] + self.keep if self.keep is not None and row["_at"] is not None else None
+        self.last.clear()
+        self.gone.update((*(row[c] for c in self.at), until))
+        if until is not None:
+            self.handle.registerTimer(until)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = max(rows, key=lambda r: _place(r, self.order))
+        newest = self._newest()
+        if newest is None or _place(best, self.order) >= newest:
+            self._put(best)
+            yield Row(**dict(zip(self.keys, key, strict=True)), **{c: best[c] for c in self.rest.fieldNames()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.gone.exists() and (self.gone.get()[-1] or 0) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.gone.clear()
+        return iter([])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._put(initialState)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_annotations(
+    log: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, every: str | None = None, op: str = "op", time: str | None = None, keep_seconds: int = 0, delay: str = "10 minutes", initial: DataFrame | None = None
+) -> StreamingQuery:
+    """Fold an upsert/delete log by key in the state store, and append each batch's changed keys to Parquet at ``path``.
+
+    Late or repeated operations lose by ``order`` (nulls first; of equal ones the later to come wins). A deleted key leaves
+    its place in the order behind. With ``time`` (an event time), operations older than the watermark (behind by ``delay``)
+    are dropped, and so is the place of a delete ``keep_seconds`` after the watermark has passed it; without, it stays.
+    ``initial``, a table with the log's columns and at most one row a key, is where a new stream begins.
+    read_annotations_state() reads the state. ``every`` is as in stream_anomaly_scores().
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = _states(spark, path)
-        before = [n for n in old if n < number]
-        rows = batch if not before else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/state={max(before)}"))
-        rest = [c for c in rows.columns if c not in keys]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*keys, "_x.*")
-        last.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/state={number}")
-        for n in before[:-1]:
-            _drop(spark, f"{path}/state={n}")
-
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
-
-
-def _drop(spark, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _states(spark, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return sorted(int(n[6:]) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("state=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
-def read_annotations_state(spark, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    return fold_log(spark.read.parquet(f"{path}/state={_states(spark, path)[-1]}"), keys, order)
+    rest = T.StructType([f for f in log.schema.fields if f.name not in keys])
+    out = T.StructType([*(log.schema[k] for k in keys), *rest.fields])
+    at = (F.unix_millis(F.col(time).cast("timestamp")) if time else F.lit(None).cast("long")).alias("_at")
+    start = None if initial is None else initial.select(*out.fieldNames(), at).groupBy(*keys)
+    rows = (log.withWatermark(time, delay) if time else log).select(*out.fieldNames(), at)
+    rows = rows.groupBy(*keys).transformWithState(_Fold(keys, rest, order, op, 1000 * keep_seconds if time else None), out, "Update", "EventTime" if time else "None", start)
+    return _start(rows, "update", path, checkpoint, every)
+
+
+def read_annotations_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The folded state of a stream_annotations() checkpoint after its last whole batch, without deleted keys."""
+    with _state_store(spark):
+        return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load().select("key.*", "value.*")
 
 
 def dedup_events(log: DataFrame, keys: list[str], time: str, delay: str = "10 minutes") -> DataFrame:

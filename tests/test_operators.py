@@ -10,7 +10,6 @@ from gridsift.operators import labels as lab
 from gridsift.operators import prototypes as proto
 from gridsift.plans.projection import patches
 from gridsift.sources import files, gallery
-from gridsift.streaming import streams
 
 
 def test_knn_is_the_same_in_blocks(spark, sf, monkeypatch):
@@ -180,30 +179,6 @@ def test_methods_registry(spark):
         m.run("none", None, None)
 
 
-def test_streams_equal_batches(spark, sf, tmp_path):
-    p = patches(spark, sf)
-    bank = p.where("split = 'train'").withColumnRenamed("vec_id", "bank_id")
-    for k in (3, 4):
-        p.where(f"image_id = '{k}'").drop("labels").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(p.drop("labels").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.stream_anomaly_scores(src, bank, 3, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.image_id: r.image_score for r in spark.read.schema("image_id string, image_score double").parquet(str(tmp_path / "out")).collect()}
-    q = p.where("split <> 'train'").withColumnRenamed("vec_id", "query_id")
-    s = knn.anomaly_scores(q, bank, 3).join(q.select("query_id", "image_id"), "query_id").groupBy("image_id").agg(F.max("score").alias("m"))
-    assert got == pytest.approx({r.image_id: r.m for r in s.collect()})
-
-
-def test_annotation_stream(spark, tmp_path):
-    log = [(1, "a", 1, "upsert"), (2, "a", 3, "delete"), (3, "b", 2, "upsert"), (4, "a", 2, "upsert"), (5, "c", 1, "delete"), (6, "c", 4, "upsert")]
-    schema = "id int, k string, seq int, op string"
-    for x in log:
-        spark.createDataFrame([x], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    streams.stream_annotations(src, ["k"], ["seq"], str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.k, r.id) for r in streams.read_annotations_state(spark, str(tmp_path / "s"), ["k"], ["seq"]).collect()}
-    assert got == {(r.k, r.id) for r in lab.fold_log(spark.createDataFrame(log, schema), ["k"], ["seq"]).collect()} == {("b", 3), ("c", 6)}
-
-
 def test_prototypes_in_several_rows_score_the_same(spark, sf, monkeypatch):
     p = patches(spark, sf)
     protos = p.where("image_id = '0'").select(F.col("label").alias("g"), "embedding")
@@ -245,16 +220,6 @@ def test_annotation_folders(spark, tmp_path):
         files.read_annotations(spark, str(tmp_path)).collect()
 
 
-def test_annotation_states_are_pruned(spark, tmp_path):
-    schema = "id int, k string, seq int, op string"
-    for i in range(5):
-        spark.createDataFrame([(i, "a", i, "upsert")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.stream_annotations(src, ["k"], ["seq"], str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
-    assert len([x for x in (tmp_path / "s").iterdir() if x.name.startswith("state=")]) == 2
-    assert streams.read_annotations_state(spark, str(tmp_path / "s"), ["k"], ["seq"]).head().id == 4
-
-
 def test_memory_bank_ratio_and_smoothing(spark, sf):
     p = patches(spark, sf).withColumnRenamed("vec_id", "bank_id")
     assert knn.memory_bank(p, ratio=0.02, split="train").count() == 6 and knn.memory_bank(p, ratio=0.0, split="train").count() == 1
