@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.vectors import rounded
-from ..operators import knn, masks, retrieval, subspace
-from ..sources import files, gallery
+from ..operators import features, knn, masks, retrieval, subspace
+from ..sources import archives, files, gallery
 from ..sources.shared import shared_path
 from ..streaming import streams
 from .projection import GRID, P, cls, cos_sql, greedy_sql, mean_sql, patches, round_sql, table
@@ -73,6 +78,146 @@ def masks_round_trip(spark, sf):
     return masks.rle_cells(found, ["image_id", "mask_id", "bbox"])
 
 
+def _files(rows, folder, name, content=F.lit("x")):
+    """``rows`` as files of that name and content below ``folder``."""
+    archives.write_files(rows.select(name.alias("name"), content.cast("binary").alias("content")), folder)
+
+
+@query("a7_list_images", "SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.PNG' ELSE '.jpeg' END AS name, octet_length(encode(coalesce(html, ''))) AS length FROM pages WHERE page_id % 3 < 2 AND page_id % 5 > 0")
+def list_images(spark, sf):
+    """Pages as files: every third is a text, every fifth lies in an annotations folder."""
+    n, folder = F.col("page_id"), shared_path(spark, "images")
+    kind = F.when(n % 3 == 0, ".PNG").when(n % 3 == 1, ".jpeg").otherwise(".txt")
+    _files(table(spark, sf, "pages"), folder, F.concat(F.when(n % 5 == 0, "annotations/").otherwise("set/deep/"), F.lit("p"), n.cast("string"), kind), F.coalesce("html", F.lit("")))
+    return files.list_images(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@query("a8_annotations_round_trip", f"""WITH {P}, r AS (SELECT image_id, class, label, CAST(row_number() OVER (PARTITION BY image_id ORDER BY class) - 1 AS INT) AS pos FROM p GROUP BY image_id, class, label)
+SELECT image_id AS stem, pos, class, label AS instance_id, 'box' AS prompt_type, 'images/' || image_id || '.png' AS image_path, "row", col FROM r JOIN p USING (image_id, class, label)""")
+def annotations_round_trip(spark, sf):
+    folder = shared_path(spark, "annotations")
+    cells = patches(spark, sf).select("image_id", F.col("labels")[0].alias("class"), F.col("label").alias("instance_id"), F.lit("box").alias("prompt_type"), F.lit("{}").alias("prompt_content"), F.concat(F.lit("images/"), "image_id", F.lit(".png")).alias("image_path"), "row", "col")
+    files.write_annotations(cells, folder, GRID, GRID)
+    found = files.read_annotations(spark, folder)
+    return masks.rle_cells(found, ["stem", "pos", "class", "instance_id", "prompt_type", "image_path"])
+
+
+@query("a9_boxes_without_pixels", f"""WITH {P}, b AS (SELECT image_id, label, [min(col), min("row"), max(col) + 1 - min(col), max("row") + 1 - min("row")] AS bbox FROM p GROUP BY image_id, label)
+SELECT image_id || '/x' AS image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) - 1 AS INT) AS mask_id, bbox FROM b""")
+def boxes_without_pixels(spark, sf):
+    """Only the boxes of the archives are read; image ids with a '/' come back as they were."""
+    path = shared_path(spark, "boxes")
+    cells = patches(spark, sf).select(F.concat("image_id", F.lit("/x")).alias("image_id"), F.col("label").alias("mask_id"), "row", "col")
+    box = masks.mask_bbox(cells, ["image_id", "mask_id"]).select("image_id", "mask_id", F.array("x", "y", "w", "h").alias("bbox"))
+    files.write_masks(cells, path, GRID, GRID, box)
+    return files.read_proposals(spark, path, ["image_id", "mask_id", "bbox"])
+
+
+@query("a10_labeled_folder", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'good' ELSE coalesce(lang, 'none') END AS label, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM documents)
+SELECT split || '/' || label || '/d' || doc_id || '.png' AS path, split, label, CAST(label <> 'good' AS INT) AS label_index, CASE WHEN label <> 'good' AND doc_id % 2 = 0 THEN label || '/d' || doc_id || '_mask.png' END AS mask_path FROM d""")
+def labeled_folder(spark, sf):
+    n, root = F.col("doc_id"), shared_path(spark, "labelled")
+    label, split = F.when(n % 3 == 0, "good").otherwise(F.coalesce("lang", F.lit("none"))), F.when(n % 4 == 0, "test").otherwise("train")
+    d = table(spark, sf, "documents").select("doc_id", label.alias("label"), split.alias("split"))
+    _files(d, f"{root}/images", F.concat_ws("/", "split", "label", F.concat(F.lit("d"), n.cast("string"), F.lit(".png"))))
+    _files(d.where("label <> 'good' AND doc_id % 2 = 0"), f"{root}/truth", F.concat_ws("/", "label", F.concat(F.lit("d"), n.cast("string"), F.lit("_mask.png"))))
+    found = files.read_labeled_folder(files.list_images(spark, f"{root}/images"), files.list_images(spark, f"{root}/truth"))
+    last = lambda c, k: F.array_join(F.slice(F.split(c, "/"), -k, k), "/")
+    return found.withColumn("path", last("path", 3)).withColumn("mask_path", last("mask_path", 2))
+
+
+@query("a11_image_ids", "SELECT page_id, 'l' || page_id % 4 || '_p' || page_id || '.v' || page_id % 3 AS image_id FROM pages")
+def image_ids(spark, sf):
+    n = F.col("page_id").cast("string")
+    rows = table(spark, sf, "pages").select("page_id", F.concat(F.lit("l"), (F.col("page_id") % 4).cast("string")).alias("label"), F.concat(F.lit("a/b/p"), n, F.lit(".v"), (F.col("page_id") % 3).cast("string"), F.lit(".png")).alias("path"))
+    return rows.select("page_id", files.make_image_id("label", F.col("path")).alias("image_id"))
+
+
+@query("a16_union_masks", f"WITH {P} SELECT DISTINCT image_id AS stem, \"row\", col FROM p WHERE label % 3 > 0")
+def union_masks(spark, sf):
+    """Stacks of one mask a label, the instance axis first in even images and last in odd ones; some files lack the suffix."""
+    folder = shared_path(spark, "stacks")
+    cells = patches(spark, sf).where("label % 3 > 0").groupBy("image_id").agg(F.collect_list(F.struct(F.col("label").cast("int").alias("k"), "row", "col")).alias("cells"))
+
+    def stacks(batches):
+        for batch in batches:
+            for image, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = sorted({c["k"] for c in cells})
+                m = np.zeros((len(known), GRID + 2, GRID + 2), bool)
+                for c in cells:
+                    m[known.index(c["k"]), c["row"], c["col"]] = True
+                for name, x in ((f"{image}_mask_good.npz", m if int(image) % 2 == 0 else np.moveaxis(m, 0, -1)), (f"{image}_other.npz", ~m)):
+                    out = io.BytesIO()
+                    np.savez(out, segmaps=x)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.getvalue()], pa.binary())], ["name", "content"])
+
+    archives.write_files(cells.mapInArrow(stacks, "name string, content binary"), folder)
+    return masks.rle_cells(files.read_union_masks(spark, folder), ["stem"])
+
+
+def _images(spark, sf):
+    """image_id, content: the vectors and labels of each image's grid as JSON bytes."""
+    cells = F.array_sort(F.collect_list(F.struct("row", "col", "embedding", "label")))
+    return patches(spark, sf).groupBy("image_id").agg(F.to_json(cells).cast("binary").alias("content"))
+
+
+@query("k1_extract_features", f"""WITH {P}, {_CLS}, f AS (SELECT image_id, 0 AS block, "row", col, e FROM p UNION ALL SELECT image_id, 0, NULL, NULL, e FROM c)
+SELECT image_id, block, "row", col, round(list_sum(e), 3) AS total FROM f UNION ALL SELECT image_id, 2, "row", col, round(3 * list_sum(e), 3) FROM f""")
+def extract_features(spark, sf):
+    """A toy model of three blocks, whose k-th gives k + 1 times the image's vectors; two images at once."""
+
+    def load():
+        def embed(contents):
+            grids = np.array([[c["embedding"] for c in json.loads(x)] for x in contents])
+            layers = np.stack([grids, 3 * grids], 1)
+            return layers.mean(2), layers.reshape(*layers.shape[:2], GRID, GRID, -1)
+
+        return embed
+
+    rows = features.extract_features(_images(spark, sf), load, features.resolve_layers([0, 2], 3), 2)
+    return rows.select("image_id", "block", "row", "col", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v), 3).alias("total"))
+
+
+@query("k2_propose_masks", f"""WITH {P}, m AS (SELECT image_id, label, CASE WHEN label % 2 = 0 THEN min(col) END AS x, CASE WHEN label % 2 = 0 THEN count(*)::DOUBLE END AS score FROM p GROUP BY image_id, label),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY label) - 1 AS INT) AS mask_id FROM m) SELECT image_id, mask_id, x, score, "row", col FROM k JOIN p USING (image_id, label)""")
+def propose_masks(spark, sf):
+    """A toy model that proposes the cells of each label, with a box and a score for even ones."""
+
+    def load():
+        def propose(content):
+            cells, out = json.loads(content), []
+            for k in sorted({c["label"] for c in cells}):
+                mask = np.zeros((GRID, GRID), bool)
+                at = np.array([(c["row"], c["col"]) for c in cells if c["label"] == k])
+                mask[at[:, 0], at[:, 1]] = True
+                y, x = at.min(0).tolist()
+                out.append((mask, (x, y, 1, 1), float(len(at))) if k % 2 == 0 else (mask, None, None))
+            return out
+
+        return propose
+
+    return masks.rle_cells(features.propose_masks(_images(spark, sf), load), ["image_id", "mask_id", "x", "score"])
+
+
+@query("k3_methods", f"""WITH {P}, t AS (SELECT avg(e[1]) AS m FROM p WHERE split = 'train') SELECT 'mean' AS method, image_id, round(max(abs(e[1] - m)), 6) AS score, NULL AS error FROM p, t WHERE split = 'test' GROUP BY image_id
+UNION ALL SELECT 'broken', NULL, NULL, 'no model'""")
+def methods(spark, sf):
+    """A method that works, beside one that fails."""
+    known, p = features.Methods(), patches(spark, sf)
+    first = F.col("embedding")[0]
+
+    def broken(train):
+        raise ValueError("no model")
+
+    known.register("mean", lambda train: train.agg(F.avg(first).alias("m")).head().m, lambda m, test: test.groupBy("image_id").agg(F.round(F.max(F.abs(first - m)), 6).alias("score")))
+    known.register("broken", broken, lambda state, test: test)
+    done, failed = known.run_all(known.names(), p.where("split = 'train'"), p.where("split = 'test'"))
+    out = spark.createDataFrame([(k, None, None, e) for k, e in failed.items()], "method string, image_id string, score double, error string")
+    for k, rows in done.items():
+        out = out.unionByName(rows.select(F.lit(k).alias("method"), "image_id", "score", F.lit(None).cast("string").alias("error")))
+    return out
+
+
 @query("a13_scores_round_trip", """SELECT event_type AS category, 'm' || user_id % 3 AS method, event_id, value AS score, CASE WHEN event_id % 4 = 3 THEN 'masks/' || event_id END AS mask_path FROM events WHERE event_type IN ('view', 'click') AND user_id % 3 = 1""")
 def scores_round_trip(spark, sf):
     path = shared_path(spark, "scores")

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from .archives import MASKS, escaped, register, write_files
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 ANNOTATION = "class string, instance_id int, prompt_type string, prompt_content string, image_path string"
@@ -91,57 +91,82 @@ def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
 def write_masks(cells: DataFrame, path: str, height: int, width: int, boxes: DataFrame | None = None) -> int:
     """Write <image_id>.npz with segmentations, bboxes and has_bbox for each image of ``cells`` (image_id, mask_id, row, col); the number of files.
 
-    ``boxes`` has image_id, mask_id and bbox (4 integers); masks without one get -1s. Masks are in order of mask_id. A
-    task writes whole files of one image each under fixed names, so one that runs again replaces its own.
+    ``boxes`` has image_id, mask_id and bbox (4 integers); masks without one get -1s. Masks are in order of mask_id. Image
+    ids are escaped in file names. Files appear when all are written; a failed job leaves none.
     """
     masks = cells.groupBy("image_id", "mask_id").agg(F.collect_list(F.col("row") * width + F.col("col")).alias("at"))
     masks = masks.join(boxes.select("image_id", "mask_id", "bbox"), ["image_id", "mask_id"], "left") if boxes is not None else masks.withColumn("bbox", F.lit(None).cast("array<int>"))
     images = masks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("mask_id", "at", "bbox"))).alias("masks"))  # one image's masks
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def archives(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            fs, root = pafs.FileSystem.from_uri(path)
-            fs.create_dir(root, recursive=True)
-            for image, masks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i in range(batch.num_rows):
+                image, masks = (c[0].as_py() for c in batch.slice(i, 1).columns)
                 m = np.zeros((len(masks), height * width), bool)
-                for i, x in enumerate(masks):
-                    m[i, x["at"]] = True
+                for k, x in enumerate(masks):
+                    m[k, x["at"]] = True
                 has = np.array([x["bbox"] is not None for x in masks])
                 box = np.array([x["bbox"] if x["bbox"] is not None else [-1] * 4 for x in masks], np.int32).reshape(-1, 4)
                 out = io.BytesIO()
                 np.savez(out, segmentations=m.reshape(-1, height, width), bboxes=box, has_bbox=has)
-                with fs.open_output_stream(f"{root}/{image}.npz") as f:
-                    f.write(out.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["image_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{escaped(image)}.npz"]), pa.array([out.getvalue()], pa.binary())], ["name", "content"])
 
-    return images.select(F.col("image_id").cast("string").alias("image_id"), "masks").mapInArrow(run, "image_id string").count()
+    found = images.select(F.col("image_id").cast("string").alias("image_id"), "masks")
+    write_files(found.mapInArrow(archives, "name string, content binary"), path)
+    return cells.select("image_id").distinct().count()
 
 
-def read_proposals(spark: SparkSession, folder: str) -> DataFrame:
-    """image_id, mask_id, bbox (null where the archive has none), height, width, rle of .npz archives with segmentations, bboxes and has_bbox."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(folder).select(stem("path").alias("image_id"), "content")
+def read_proposals(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """image_id, mask_id, bbox (null where the archive has none), height, width, rle of .npz archives with segmentations, bboxes and has_bbox.
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    With ``columns``, only these are read: without height, width and rle no pixels are.
+    """
+    register(spark)
+    kinds = dict(x.strip().split(" ") for x in MASKS.split(","))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (columns or kinds))
+    return spark.read.format("gridsift_masks").schema(schema).load(folder)
+
+
+def write_annotations(cells: DataFrame, path: str, height: int, width: int) -> None:
+    """Write <image_id>.json, an array of records, and <image_id>.npy, the masks in the same order, for each image.
+
+    ``cells`` has image_id, class, instance_id, prompt_type, prompt_content, image_path, row and col; records go by class
+    and instance_id. Image ids are escaped in file names. Files appear when all are written.
+    """
+    fields = ["class", "instance_id", "prompt_type", "prompt_content", "image_path"]
+    masks = cells.groupBy("image_id", *fields).agg(F.collect_list(F.col("row") * width + F.col("col")).alias("at"))
+    images = masks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*fields, "at"))).alias("r"))  # one image's records
+    images = images.select(F.col("image_id").cast("string"), F.to_json(F.transform("r", lambda x: x.dropFields("at"))).alias("records"), F.transform("r", lambda x: x["at"]).alias("masks"))
+
+    def both(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                z = _arrays(data)
-                rows = [(name, i, z["bboxes"][i].tolist() if z["has_bbox"][i] else None, *m.shape, blocks.rle_encode(m)) for i, m in enumerate(z["segmentations"])]
-                if rows:
-                    kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["image_id", "mask_id", "bbox", "height", "width", "rle"])
+            for image, records, masks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = np.zeros((len(masks), height * width), bool)
+                for k, at in enumerate(masks):
+                    m[k, at] = True
+                out = io.BytesIO()
+                np.save(out, m.reshape(-1, height, width))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{escaped(image)}.json", f"{escaped(image)}.npy"]), pa.array([records.encode(), out.getvalue()], pa.binary())], ["name", "content"])
+
+    write_files(images.mapInArrow(both, "name string, content binary"), path)
 
-    return files.mapInArrow(run, "image_id string, mask_id int, bbox array<int>, height int, width int, rle array<int>")
 
+def read_union_masks(spark: SparkSession, folder: str, suffix: str = "_mask_good", key: str = "segmaps", axis: int | None = None) -> DataFrame:
+    """stem, height, width, rle: the union over instances of <stem><suffix>.npz.
 
-def read_union_masks(spark: SparkSession, folder: str, suffix: str = "_mask_good", key: str = "segmaps") -> DataFrame:
-    """stem, height, width, rle: the union over instances of <stem><suffix>.npz, whose instance axis is first or last (the shorter)."""
+    The instance axis is ``axis`` (0 or -1); if that is None, the first or last one, whichever is shorter, and a stack
+    whose first and last are equally long is an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}.npz").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract(stem("path"), f"^(.*){suffix}$", 1).alias("stem"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m = _arrays(data)[key].astype(bool)
-                m = m if m.ndim == 2 else m.any(0 if m.shape[0] <= m.shape[-1] else -1)
+                if m.ndim == 3:
+                    if axis is None and m.shape[0] == m.shape[-1]:
+                        raise ValueError(f"{name}: either axis may be that of the instances")
+                    m = m.any(axis if axis is not None else 0 if m.shape[0] < m.shape[-1] else -1)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.shape[0]], pa.int32()), pa.array([m.shape[1]], pa.int32()), pa.array([blocks.rle_encode(m)], pa.list_(pa.int32()))], ["stem", "height", "width", "rle"])
 
     return files.mapInArrow(run, "stem string, height int, width int, rle array<int>")
