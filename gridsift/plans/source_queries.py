@@ -78,8 +78,9 @@ def masks_round_trip(spark, sf):
     return masks.rle_cells(found, ["image_id", "mask_id", "bbox"])
 
 
-def _files(rows, folder, name, content=F.lit("x")):
+def _files(rows, folder, name, content=None):
     """``rows`` as files of that name and content below ``folder``."""
+    content = F.lit("x") if content is None else content
     archives.write_files(rows.select(name.alias("name"), content.cast("binary").alias("content")), folder)
 
 
