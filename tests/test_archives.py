@@ -77,3 +77,30 @@ def test_partitions_are_sets_of_files(tmp_path, monkeypatch):
     (tmp_path / "_temporary-1" / "9.npz").write_bytes(b"x")
     monkeypatch.setattr(archives, "TASK_BYTES", 250)
     assert [len(p.paths) for p in archives._MaskReader(str(tmp_path), "*.npz", []).partitions()] == [3, 3, 1]
+
+
+def test_index_rows_meet_their_vectors_without_a_shuffle(spark, sf, tmp_path):
+    from gridsift.plans.projection import patches
+    from gridsift.sources import gallery
+
+    p, path = patches(spark, sf), str(tmp_path / "g")
+    rows = p.select("image_id", "row", "col", "embedding").withColumn("block", F.explode(F.array(F.lit(4), F.lit(11))))
+    config = gallery.config_from_features(rows, "m", "1", "s", 14, 140)
+    part = lambda cond: rows.where(cond)
+    gallery.write_gallery(part("image_id < '3'"), config, path, buckets=3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (300, 500):
+            g = gallery.read_gallery(spark, path)
+            found = g.load_embeddings(g.patches.where("row < 5"), 11)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortMergeJoin" in plan and g.buckets == 3
+            assert found.count() == n // 2 and g.vectors.count() == 2 * n
+            outside = spark.createDataFrame([("1", 2, 3)], "image_id string, row int, col int")
+            assert len(g.load_embeddings(outside, 4).collect()[0].embedding) == config["embed_dim"]
+            gallery.write_gallery(part("image_id >= '3'"), {}, path, append=True)
+        with pytest.raises(ValueError):
+            gallery.write_gallery(part("block = 4"), {}, path, append=True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
