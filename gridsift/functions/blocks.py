@@ -130,31 +130,91 @@ def _spread(cells: np.ndarray, near: list[tuple[int, int]], core: np.ndarray) ->
 
 
 def linkage_labels(distance: np.ndarray, method: str, threshold: float | None = None, k: int | None = None) -> np.ndarray:
-    """Agglomerative clusters (single, average or complete) down to ``k`` clusters or up to a distance threshold."""
+    """Agglomerative clusters (single, average or complete) down to ``k`` clusters or up to a distance threshold, by first member.
+
+    Chains of nearest neighbours find the merges in quadratic time: a pair that is each other's nearest merges at once,
+    whatever else is nearer elsewhere, and the merges are taken by height afterwards. An infinite distance is never merged.
+    """
     d = distance.astype(float).copy()
     n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, member = np.ones(n), [[i] for i in range(n)]
-    alive = np.ones(n, bool)
-    left = n
-    while left > (k or 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not np.isfinite(d[i, j]) or (threshold is not None and d[i, j] > threshold):
-            break
-        i, j = min(i, j), max(i, j)
+    size, height, alive = np.ones(n), np.full(n, -np.inf), np.ones(n, bool)
+    merges, chain = [], []
+    for _ in range(n - 1):
+        chain = chain or [int(alive.argmax())]
+        while True:
+            row = d[chain[-1]]
+            j = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                break
+            chain.append(j)
+        j, i = sorted((chain.pop(), chain.pop()), reverse=True)
+        h = max(d[i, j], height[i], height[j])
+        merges.append((h, i, j))
         merged = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])}[method]
-        merged[~alive] = np.inf
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
+        alive[j], height[i] = False, h
         size[i] += size[j]
-        member[i] += member[j]
-        left -= 1
-    label = np.empty(n, np.int64)
-    for c, m in enumerate(sorted((sorted(member[i]) for i in np.flatnonzero(alive)), key=lambda m: m[0])):
-        label[m] = c
-    return label
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for h, i, j in sorted(merges, key=lambda m: m[0])[: n - (k or 1)]:
+        if not np.isfinite(h) or (threshold is not None and h > threshold):
+            break
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    _, label = np.unique([root(i) for i in range(n)], return_inverse=True)  # roots are first members
+    return label.astype(np.int64).reshape(n)
+
+
+def spectral_labels(x: np.ndarray, k: int, neighbours: int, rounds: int = 60) -> np.ndarray:
+    """Spectral clusters of unit rows, by first member: ``k`` groups in the leading vectors of a sparse neighbour graph.
+
+    Each row is linked to its ``neighbours`` nearest (cosine, never negative), either way; subspace iteration from a fixed
+    start finds the leading vectors of the degree-normalised graph, whose rows are grouped by k-means from spread starts.
+    """
+    n = len(x)
+    if n <= k:
+        return np.arange(n)
+    links: dict[tuple[int, int], float] = {}
+    for a in range(0, n, 512):
+        s = np.round(x[a : a + 512] @ x.T, 12)
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        at, value = top_k(s, min(neighbours, n - 1), np.arange(n))
+        for i, (row, v) in enumerate(zip(at.tolist(), value.tolist(), strict=True), a):
+            for j, w in zip(row, v, strict=True):
+                links[min(i, j), max(i, j)] = max(w, 0.0)
+    ij, w = np.array(list(links)), np.array(list(links.values()))
+    degree = np.bincount(ij[:, 0], w, n) + np.bincount(ij[:, 1], w, n) + 1e-12
+    w = w / np.sqrt(degree[ij[:, 0]] * degree[ij[:, 1]])
+    order = np.concatenate((ij, ij[:, ::-1]))
+    weight = np.concatenate((w, w))
+    by = np.lexsort((order[:, 1], order[:, 0]))
+    order, weight = order[by], weight[by]
+    starts = np.searchsorted(order[:, 0], np.arange(n))
+    q, _ = np.linalg.qr(np.random.default_rng(0).normal(size=(n, k)))
+    for _ in range(rounds):
+        step = np.add.reduceat(np.vstack((weight[:, None] * q[order[:, 1]], np.zeros((1, k)))), starts, axis=0)
+        step[np.diff(np.append(starts, len(order))) == 0] = 0
+        q, _ = np.linalg.qr(step + q)  # shifted, so that no vector of a negative value leads
+    rows = unit_rows(q)
+    centres = rows[k_centre_cover(rows, k, np.ones(n), np.zeros(n))[0]]
+    label = np.zeros(n, int)
+    for _ in range(50):
+        label = ((rows[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([rows[label == c].mean(0) if (label == c).any() else centres[c] for c in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse.reshape(n)]
 
 
 def open_mask(mask: np.ndarray, k: int) -> np.ndarray:

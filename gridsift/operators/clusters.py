@@ -120,17 +120,18 @@ def reject_cutoff(scored: DataFrame, keys: list[str], good: str = "good") -> Dat
 
 
 def cluster_tokens(tokens: DataFrame, keys: list[str], method: str, **options) -> DataFrame:
-    """keys, row, col, cluster of each image's tokens: 'dbscan' (eps on cosine distance, min_samples), or 'single', 'average', 'complete' linkage (threshold). -1 is noise."""
+    """keys, row, col, cluster of each image's tokens: 'dbscan' (eps on cosine distance, min_samples), 'single', 'average', 'complete' linkage (threshold, or k clusters), or 'spectral' (k clusters in a graph of neighbours). -1 is noise."""
     kinds = dict(tokens.dtypes)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("row", "ascending"), ("col", "ascending")])
         x = blocks.unit_rows(np.asarray(t.column("embedding").to_pylist(), float))
-        d = np.clip(1 - x @ x.T, 0, 2)
-        if method == "dbscan":
-            label = _dbscan(d, options["eps"], options.get("min_samples", 3))
+        if method == "spectral":
+            label = blocks.spectral_labels(x, options["k"], options.get("neighbours", 10))
+        elif method == "dbscan":
+            label = _dbscan(np.clip(1 - x @ x.T, 0, 2), options["eps"], options.get("min_samples", 3))
         else:
-            label = blocks.linkage_labels(d, method, threshold=options["threshold"])
+            label = blocks.linkage_labels(np.clip(1 - x @ x.T, 0, 2), method, options.get("threshold"), options.get("k"))
         return t.select([*keys, "row", "col"]).append_column("cluster", pa.array(label, pa.int64()))
 
     return tokens.select(*keys, "row", "col", "embedding").groupBy(*keys).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "row", "col")) + ", cluster long")

@@ -22,9 +22,8 @@ def label_prototypes(patches: DataFrame, labels: list[str] | None = None) -> Dat
 
 def masked_prototype(patches: DataFrame, keys: list[str], mask: str) -> DataFrame:
     """Mean over masked cells of each group, or over all of them where none is masked."""
-    w = W.partitionBy(*keys)
-    some = F.max(F.col(mask).cast("int")).over(w) == 1
-    return vector_mean(patches.withColumn("_some", some).where(~F.col("_some") | F.col(mask)), keys)
+    sides = vector_mean(patches.withColumn("_masked", F.coalesce(F.col(mask), F.lit(False))), [*keys, "_masked"])
+    return sides.groupBy(*keys).agg(F.max_by("embedding", "_masked").alias("embedding"))  # at most two rows a group
 
 
 def prototype_of_prototypes(patches: DataFrame, instance: list[str], scale: str) -> DataFrame:

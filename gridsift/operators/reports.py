@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON, dot, vector_mean
+from .ranks import numbered
 
 
 def pivot_metric(rows: DataFrame, index: str, column: str, value: str, columns: list[str] | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def best_over_baseline(rows: DataFrame, keys: list[str], index: str, score: str)
     """keys, index, score, delta, rank: each group's first best row, its gain over the group's row 0, ranked by gain."""
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(index, score), F.struct((-F.col(score)).alias("s"), index)).alias("_b"), F.max(F.when(F.col(index) == 0, F.col(score))).alias("_0"))
     out = best.select(*keys, f"_b.{index}", f"_b.{score}", (F.col(f"_b.{score}") - F.col("_0")).alias("delta"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("delta"), *keys)))  # one row for each group
+    return numbered(out, [F.desc("delta"), *map(F.col, keys)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def best_candidate(rows: DataFrame, keys: list[str], iou_least: float) -> DataFrame:

@@ -59,8 +59,9 @@ def two_stage_retrieve(cls: DataFrame, patches: DataFrame, vector: list[float],
 def retrieve_images_batch(cls: DataFrame, queries: DataFrame, k: int, image_ids=None, split: str | None = None) -> DataFrame:
     """query_id, rank, image_id, similarity: the k best images of each of many queries (query_id, embedding)."""
     from .knn import knn_join
+    from .ranks import numbered
 
-    images = filter_patches(cls, image_ids=image_ids, split=split).withColumn("_image", F.xxhash64("image_id"))
+    images = numbered(filter_patches(cls, image_ids=image_ids, split=split).select("image_id", "embedding"), [F.asc("image_id")], "_image")  # ties by image_id
     found = knn_join(queries, images, k, "query_id", "_image")
     return found.join(images.select(F.col("_image").alias("bank_id"), "image_id"), "bank_id").select("query_id", "rank", "image_id", "similarity")
 

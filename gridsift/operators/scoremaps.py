@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks
 from ..functions.geometry import patch_to_point
 from ..functions.vectors import EPSILON, vector_mean, weighted_vector_mean
+from .ranks import with_range
 
 
 def density(score: str, threshold: float):
@@ -33,8 +34,7 @@ def threshold_sweep(maps: DataFrame, keys: list[str], steps: int, truth: str = "
     One pass: each cell is counted at the last candidate below its score, then counts are summed from above; so the
     work does not grow with cells x candidates.
     """
-    w = W.partitionBy(*keys)
-    rows = maps.withColumns({"_lo": F.min("score").over(w), "_hi": F.max("score").over(w)})
+    rows = with_range(maps, keys, "score")
     step = (F.col("_hi") - F.col("_lo")) / (steps - 1)
     at = lambda i: F.col("_lo") + i * step
     near = F.when(step > 0, F.ceil((F.col("score") - F.col("_lo")) / step) - 1).otherwise(F.lit(-1)).cast("int")
@@ -94,7 +94,7 @@ def true_false_split(maps: DataFrame, keys: list[str], truth: str = "truth") ->
 def otsu_threshold(maps: DataFrame, keys: list[str]) -> DataFrame:
     """keys, threshold: Otsu's cut of an 8-bit histogram (values cut to integers), scaled back; of a flat map, its minimum."""
     w = W.partitionBy(*keys)
-    rows = maps.withColumns({"_lo": F.min("score").over(w), "_hi": F.max("score").over(w)})
+    rows = with_range(maps, keys, "score")
     b = F.when(F.col("_hi") > F.col("_lo"), ((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255).cast("int")).otherwise(0)
     h = rows.groupBy(*keys, b.alias("b")).agg(F.count("*").alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     up = w.orderBy("b").rowsBetween(W.unboundedPreceding, 0)
@@ -115,9 +115,8 @@ def roi_mask(maps: DataFrame, keys: list[str], method: str, value: float | None
 
 
 def minmax_scale(maps: DataFrame, keys: list[str]) -> DataFrame:
-    w = W.partitionBy(*keys)
-    lo, hi = F.min("score").over(w), F.max("score").over(w)
-    return maps.withColumn("score", (F.col("score") - lo) / (hi - lo + EPSILON))
+    rows = with_range(maps, keys, "score")
+    return rows.withColumn("score", (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPSILON)).drop("_lo", "_hi")
 
 
 def localize_keypoint(maps: DataFrame, keys: list[str], sigma: float, beta: float) -> DataFrame:

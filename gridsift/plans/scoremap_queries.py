@@ -410,6 +410,11 @@ def cluster_tokens_complete(spark, sf):
     return clusters.cluster_counts(clusters.cluster_tokens(patches(spark, sf), KEY, "complete", threshold=0.95), KEY)
 
 
+@query("h18_cluster_tokens_spectral")
+def cluster_tokens_spectral(spark, sf):
+    return clusters.cluster_tokens(patches(spark, sf), KEY, "spectral", k=5).select("image_id", "row", "col", "cluster")
+
+
 @query("h12_pca_foreground")
 def pca_foreground(spark, sf):
     from ..operators.subspace import pca_foreground as run
