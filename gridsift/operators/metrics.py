@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON
+from .ranks import with_previous
 
 RANGES = 64
 
@@ -74,14 +75,14 @@ def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
 
     The curve has a row for each distinct score; the last point adds no width, so only the first is added here.
     """
-    w = W.partitionBy(*keys).orderBy(F.desc("score"))
-    rows = curve.withColumns({"_r": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "_p": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    rows = with_previous(curve.select(*keys, "score", "recall", "precision"), keys, [F.desc("score")], ["recall", "precision"])
+    rows = rows.withColumns({"_r": F.coalesce("_prev_recall", F.lit(0.0)), "_p": F.coalesce("_prev_precision", F.lit(1.0))})
     return rows.groupBy(*keys).agg(F.sum(_trapezoid(F.col("_r"), F.col("recall"), F.col("_p"), F.col("precision"))).alias("ap"))
 
 
 def auc(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(x, y)
-    rows = curve.withColumns({"_x": F.lag(x).over(w), "_y": F.lag(y).over(w)}).where("_x IS NOT NULL")
+    rows = with_previous(curve.select(*keys, F.col(x).alias("_cx"), F.col(y).alias("_cy")), keys, [F.asc("_cx"), F.asc("_cy")], ["_cx", "_cy"], "_b")
+    rows = rows.select(*keys, F.col("_cx").alias(x), F.col("_cy").alias(y), F.col("_b_cx").alias("_x"), F.col("_b_cy").alias("_y")).where("_x IS NOT NULL")
     return rows.groupBy(*keys).agg(F.sum(_trapezoid(F.col("_x"), F.col(x), F.col("_y"), F.col(y))).alias("auc"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -11,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from ..functions.vectors import EPSILON, cosine, dot, norm, unit, vector_mean
+from ..functions.vectors import EPSILON, cosine, dot, unit, vector_mean
 
 
 def label_prototypes(patches: DataFrame, labels: list[str] | None = None) -> DataFrame:
@@ -50,46 +53,70 @@ def fgbg_banks(cells: DataFrame, mask: str = "mask") -> DataFrame:
     return fg.unionByName(cells.where(~F.col(mask)).withColumn("is_fg", F.lit(False)))
 
 
-#: Prototypes that are gathered in one row; more are met in several rows of about so many.
-GATHERED = 2048
-
-
-def _gathered(prototypes: DataFrame, group: list[str]) -> list[DataFrame]:
-    """One-row tables (ps: an array of group and its vectors ``v``) that together hold all prototypes, each of bounded size."""
-    parts = -(-prototypes.count() // GATHERED)
-    rows = prototypes.select(*group, F.col("embedding").alias("_p"))
-    out = []
-    for i in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == i).groupBy(*group).agg(F.collect_list(F.struct(F.col("_p").alias("p"), norm("_p").alias("n"))).alias("v"))
-        out.append(F.broadcast(part.agg(F.collect_list(F.struct(*group, "v")).alias(f"_ps{i}"))))
-    return out
+#: Bytes of prototypes, as doubles, that every task holds at once; more are met in several passes over the patches.
+PROTOTYPE_BYTES = 64 << 20
 
 
 def score_prototypes(patches: DataFrame, prototypes: DataFrame, keys: list[str], how: str = "max", group: list[str] | None = None) -> DataFrame:
     """keys, score: the greatest or mean cosine of each patch to the prototypes (of each ``group`` of them).
 
-    ``keys`` tell patches apart. Prototypes are gathered into rows of at most about GATHERED of them, and a patch folds
-    over them in one projection: patches are not shuffled. A patch without a vector scores null; without prototypes
-    there are no rows.
+    ``keys`` tell patches apart. Prototypes are broadcast in blocks of a bounded size and met by a matrix product; patches
+    are not shuffled unless there are several blocks, whose partial results are merged by ``keys``. A patch without a
+    vector scores null; without prototypes there are no rows. Prototypes without a vector are left out.
     """
     if how not in ("max", "mean"):
         raise ValueError(f"unknown aggregation {how!r}")
     group = group or []
-    parts = _gathered(prototypes, group)
-    if not parts:
-        return patches.select(*keys, *[F.lit(None).cast(dict(prototypes.dtypes)[g]).alias(g) for g in group], F.lit(0.0).alias("score")).limit(0)
-    rows = patches.select(*keys, "embedding", norm("embedding").alias("_n"))
-    for part in parts:
-        rows = rows.join(part, how="cross")
-    near = lambda x: dot("embedding", x["p"]) / (F.col("_n") * x["n"] + EPSILON)
-    best = lambda v: F.when(F.col("_n").isNotNull(), F.aggregate(v, F.lit(float("-inf")), lambda a, x: F.greatest(a, near(x))))
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + near(x))
-    every = F.concat(*[F.col(f"_ps{i}") for i in range(len(parts))])
-    seen = F.transform(every, lambda g: F.struct(*[g[c].alias(c) for c in group], best(g["v"]).alias("s") if how == "max" else total(g["v"]).alias("s"), F.size(g["v"]).alias("n")))
-    rows = rows.select(*keys, F.explode(seen).alias("_x")).select(*keys, "_x.*")
-    if len(parts) == 1:
-        return rows.select(*keys, *group, F.col("s").alias("score") if how == "max" else (F.col("s") / F.col("n")).alias("score"))
-    return rows.groupBy(*keys, *group).agg((F.max("s") if how == "max" else F.sum("s") / F.sum("n")).alias("score"))
+    known = prototypes.select(*group, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).head()
+    kinds, own = dict(patches.dtypes), dict(prototypes.dtypes)
+    if not size.n:
+        return patches.select(*keys, *[F.lit(None).cast(own[g]).alias(g) for g in group], F.lit(0.0).alias("score")).limit(0)
+    parts = -(-size.n * size.d * 8 // PROTOTYPE_BYTES)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{g}` {own[g]}" for g in group), "s double", "n long"])
+    rows = patches.select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    found = [rows.mapInArrow(_block_scores(known if parts == 1 else known.where(F.pmod(F.xxhash64("embedding"), F.lit(parts)) == i), keys, group, how), schema) for i in range(parts)]
+    seen = functools.reduce(DataFrame.unionByName, found)
+    if parts > 1:
+        seen = seen.groupBy(*keys, *group).agg((F.max("s") if how == "max" else F.sum("s")).alias("s"), F.sum("n").alias("n"))
+    return seen.select(*keys, *group, F.col("s").alias("score") if how == "max" else (F.col("s") / F.col("n")).alias("score"))
+
+
+def _block_scores(block: DataFrame, keys: list[str], group: list[str], how: str):
+    """A function of Arrow batches (keys, embedding) to keys, group, s (greatest or summed cosine) and n for one bounded block."""
+    got = block.toArrow()
+    names = got.select(group).to_pylist() if group else [{}] * got.num_rows
+    seen = {}
+    of = np.array([seen.setdefault(tuple(r.values()), len(seen)) for r in names], int)
+    order = np.argsort(of, kind="stable")
+    y = blocks.matrix(got.column("embedding"))[order]
+    starts = np.searchsorted(of[order], np.arange(len(seen)))
+    first = pa.array(order[starts]) if len(seen) else pa.array([], pa.int64())
+    values = [got.column(g).take(first).combine_chunks() for g in group]
+    shared = block.sparkSession.sparkContext.broadcast((y, np.linalg.norm(y, axis=1), starts, np.bincount(of, minlength=len(seen)), values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, norms, starts, counts, values = shared.value
+        g = len(starts)
+        if not g:
+            return
+        for batch in batches:
+            step = max(1, 4_000_000 // len(y))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                column = part.column(len(keys))
+                there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                s = np.full((part.num_rows, g), np.nan)
+                if len(there):
+                    x = blocks.matrix(column.take(pa.array(there)))
+                    cos = x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * norms + EPSILON)
+                    s[there] = (np.maximum if how == "max" else np.add).reduceat(cos, starts, axis=1)
+                own = pa.array(np.repeat(np.arange(part.num_rows), g))
+                tiled = pa.array(np.tile(np.arange(g), part.num_rows))
+                flat = s.ravel()
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(own) for k in range(len(keys))), *(v.take(tiled) for v in values), pa.array(flat, mask=np.isnan(flat)), pa.array(np.tile(counts, part.num_rows))], [*keys, *group, "s", "n"])
+
+    return run
 
 
 def score_fgbg_mean(patches: DataFrame, prototypes: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,17 +185,28 @@ def exemplar_clusters(tokens: DataFrame, k: int, exemplar: str = "exemplar_id",
     return tokens.select(exemplar, F.col(pos).alias(pos), "embedding").groupBy(exemplar).applyInArrow(run, f"{exemplar} {kind}, k int, embedding array<double>")
 
 
+#: Most tokens of one exemplar, or of its cluster prototypes.
+EXEMPLAR_TOKENS = 16_384
+
+
+def _few(vectors: DataFrame) -> np.ndarray:
+    """The vectors of one crop; more than ``EXEMPLAR_TOKENS`` are an error."""
+    got = vectors.select(F.col("embedding").cast("array<double>").alias("embedding")).limit(EXEMPLAR_TOKENS + 1).toArrow()
+    if got.num_rows > EXEMPLAR_TOKENS:
+        raise ValueError("more tokens than one crop can have")
+    return blocks.matrix(got.column(0))
+
+
 def crop_scores(candidates: DataFrame, exemplar: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
     """keys, m1, m2, m3 of each candidate's tokens against one exemplar (pos, embedding) and its cluster prototypes.
 
     m1: cosine of the mean token to the exemplar's; m2: mean over exemplar tokens of the best candidate token; m3:
     mean over candidate tokens of the best cluster prototype, null without clusters.
     """
-    matrix = lambda df: blocks.unit_rows(np.array([r.embedding for r in df.select(F.col("embedding").cast("array<double>").alias("embedding")).collect()]))
-    e, c = matrix(exemplar), matrix(clusters)  # one crop's tokens, and a few means of them
-    if not len(e):
+    raw, c = _few(exemplar), blocks.unit_rows(_few(clusters))
+    if not len(raw):
         return candidates.select(*keys, *[F.lit(0.0).alias(m) for m in ("m1", "m2", "m3")]).limit(0)
-    own = np.array([r.embedding for r in exemplar.select(F.col("embedding").cast("array<double>").alias("embedding")).collect()]).mean(0)
+    e, own = blocks.unit_rows(raw), raw.mean(0)
 
     def run(t: pa.Table) -> pa.Table:
         raw = np.array(t.column("embedding").to_pylist())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import staged
@@ -30,3 +30,24 @@ def with_range(df: DataFrame, keys: list[str], column: str, lo: str = "_lo", hi:
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return df.join(own, same).drop(*[f"_k_{k}" for k in keys])
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], prefix: str = "_prev_") -> DataFrame:
+    """``df`` with each row's predecessor in its group by ``order``: ``columns`` as prefix + name, null for the first.
+
+    A range sort cuts groups into tasks; inside a task a window looks back, and a task's first row of a group takes the
+    last one of the task before that has the group. No window holds a group, whatever its size.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*map(F.col, keys), *order]
+    at = staged(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)), "in-order")
+    row = F.struct(*columns)
+    last = at.groupBy(*keys, "_task").agg(F.max_by(row, "_at").alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_task")))  # at most one row a task
+    before = before.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_task").alias("_t"), "_before")
+    same = F.col("_task") == F.col("_t")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    found = at.withColumn("_own", F.lag(row).over(Window.partitionBy("_task", *keys).orderBy("_at"))).join(before, same)
+    there = F.coalesce("_own", "_before")
+    return found.select(*df.columns, *[there[c].alias(f"{prefix}{c}") for c in columns])

@@ -184,7 +184,7 @@ def test_prototypes_in_several_rows_score_the_same(spark, sf, monkeypatch):
     protos = p.where("image_id = '0'").select(F.col("label").alias("g"), "embedding")
     score = lambda how, group: sorted((r.vec_id, *(r[g] for g in group), round(r.score, 9)) for r in proto.score_prototypes(p, protos, ["vec_id"], how, group).collect())
     want = [score(how, group) for how in ("max", "mean") for group in ([], ["g"])]
-    monkeypatch.setattr(proto, "GATHERED", 7)
+    monkeypatch.setattr(proto, "PROTOTYPE_BYTES", 7 * 64 * 8)
     assert [score(how, group) for how in ("max", "mean") for group in ([], ["g"])] == want
     assert proto.score_prototypes(p, protos.limit(0), ["vec_id"]).count() == 0
 
