@@ -7,7 +7,9 @@ its missing arcs, so a copy costs O(1). Its accepted paths are exactly the corre
 
 Pre-split words are run through its tables side by side: a byte table (trie) finds the arcs that match at each place,
 and of those that end at a place exactly one leaves the state reached before it, by the table of missing arcs. The
-path is read back from the end. Ids are kept by piece of text (see ``pieces``), so only new pieces are run.
+path is read back from the end. A long word's segments are run side by side too, each from a guess some way before it;
+a guess counts once all arcs that can reach into the segment are those of the segment before, else it is run again from
+there. Ids are kept by piece of text (see ``pieces``), so only new pieces are run.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .session import trimmed
 #: The published pre-tokenization pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-#: Words run side by side; a longer word than LONG bytes is run on its own.
-WORDS, LONG = 1 << 15, 64
+#: Words of at most LONG bytes that are run side by side, and the longest that still is, among fewer.
+WORDS, LONG, SEGMENT = 1 << 15, 64, 384
+#: A longer word is cut into segments of SEGMENT bytes, so many of which are run side by side, each from WARM bytes before it.
+SEGMENTS, WARM = 512, 128
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,7 +49,6 @@ class Automaton:
         """labels: id -> bytes; merges: (left id, right id, merged id) by priority."""
         self.labels, self.missing = labels, {t: {} for t in labels}
         self.left, self.right, self.born = {}, {}, dict.fromkeys(labels, -1)
-        self.allowed: dict[tuple[int, int], bool] = {}
         for k, (u, v, w) in enumerate(merges):
             if w in self.left or not self._arc(u, v):
                 continue
@@ -78,9 +81,9 @@ class Automaton:
             table[list(own)] = list(own.values())
         self.has_gone = np.zeros(n, bool)
         self.has_gone[[u for u, vs in self.missing.items() if vs]] = True
-        self.length = np.zeros(n, np.int64)
+        self.length = np.zeros(n, np.int32)
         self.length[list(self.labels)] = [len(x) for x in self.labels.values()]
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.reach = int(self.length.max())
 
     def _arc(self, t: int, w: int) -> bool:
         """Whether the state that t leads to has an arc w."""
@@ -122,7 +125,7 @@ class Automaton:
 
     def matches(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and tokens of all arcs that match within words; ``last`` is each byte's distance from its word's end."""
-        at = np.arange(len(raw))
+        at = np.arange(len(raw), dtype=np.int32)
         node = np.zeros(len(raw), np.int64)
         starts, tokens, k = [], [], 0
         while len(at):
@@ -139,29 +142,47 @@ class Automaton:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of pre-split words, and how many each word has."""
-        ids, counts = [], []
-        for i in range(0, len(words), WORDS):
-            x, n = self._encode(words[i : i + WORDS])
-            ids.append(x)
-            counts.append(n)
-        if not ids:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate(ids), np.concatenate(counts)
+        size, n, found = np.array([len(w) for w in words], np.int64), np.zeros(len(words), np.int64), []
+        for least, most, batch in ((0, LONG, WORDS), (LONG, SEGMENT, SEGMENTS)):
+            of = np.flatnonzero((size > least) & (size <= most))
+            for i in range(0, len(of), batch):
+                part = of[i : i + batch]
+                ids, n[part] = self._encode([words[w] for w in part])
+                found.append((part, ids))
+        for w in np.flatnonzero(size > SEGMENT):
+            ids = self._encode_long(words[w])
+            n[w] = len(ids)
+            found.append((np.array([w]), ids))
+        out, start = np.empty(int(n.sum()), np.uint32), np.cumsum(n) - n
+        for part, ids in found:
+            k = n[part]
+            out[np.repeat(start[part] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
+        return out, n
 
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _reached(self, words: list[bytes], over: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The one arc by which each place after a byte is reached (0: before the first word), and the words' sizes and starts.
+
+        With ``over``, a place in each word, also how far before it arcs start that end after it.
+        """
         size = np.array([len(w) for w in words], np.int64)
         first = np.cumsum(size) - size
         raw = np.frombuffer(b"".join(words), np.uint8)
         left = np.repeat(first + size, size) - np.arange(len(raw))
-        place = np.arange(len(raw)) - np.repeat(first, size)
+        place = (np.arange(len(raw)) - np.repeat(first, size)).astype(np.int32)
         start, token = self.matches(raw, left)
         end = start + self.length[token]
-        arc = np.full(len(raw) + 1, -1, np.int64)  # the one arc by which each place is reached
+        arc = np.full(len(raw) + 1, -1, np.int64)
         step = place[start] + end - start
-        step[np.repeat(size > LONG, size)[start]] = LONG + 1
+        far = None
+        if over is not None:
+            of = np.repeat(np.arange(len(words), dtype=np.int32), size)[start]
+            cross = np.flatnonzero((place[start] < over[of]) & (step > over[of]))
+            far = np.zeros(len(words), np.int64)
+            np.maximum.at(far, of[cross], over[of[cross]] - place[start[cross]])
+            del of, cross
         order = np.argsort(step, kind="stable")
         start, token, end = start[order], token[order], end[order]
-        cuts = np.searchsorted(step[order], np.arange(1, LONG + 2))
+        cuts = np.searchsorted(step[order], np.arange(1, int(size.max()) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             s, t = start[a:b], token[a:b]
             ok = place[s] == 0
@@ -170,7 +191,10 @@ class Automaton:
             arc[end[a:b][ok]] = t[ok]
             if b == len(start):
                 break
-        self._long(start[cuts[-1] :], token[cuts[-1] :], place, arc)
+        return arc, size, first, far
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        arc, size, first, _ = self._reached(words)
         at, word, n = first + size, np.flatnonzero(size > 0), np.zeros(len(words), np.int64)
         at = at[word]
         back = []
@@ -188,22 +212,51 @@ class Automaton:
             out[stop[word] - k] = t
         return out, n
 
-    def _long(self, start: np.ndarray, token: np.ndarray, place: np.ndarray, arc: np.ndarray) -> None:
-        """The arcs of long words, place by place, with a memory of state and arc pairs that is emptied when large."""
-        end = start + self.length[token]
-        order = np.argsort(end, kind="stable")
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word; besides 4 bytes for each of its bytes, memory is that of SEGMENTS segments."""
+        n, allowed = len(word), {}
+        arc = np.full(n + 1, -1, np.int32)
+        for a in range(0, n, SEGMENT * SEGMENTS):
+            starts = np.arange(a, min(n, a + SEGMENT * SEGMENTS), SEGMENT)
+            before = np.minimum(starts, WARM)
+            parts = [word[s - k : s + SEGMENT] for s, k in zip(starts.tolist(), before.tolist(), strict=True)]
+            got, _, first, far = self._reached(parts, before)
+            for s, k, f, part, r in zip(starts.tolist(), before.tolist(), first.tolist(), parts, far.tolist(), strict=True):
+                own = got[f + 1 : f + len(part) + 1]  # of the places after each byte of the part
+                r = max(r, 1)
+                if s and (r >= k or (own[k - r : k] != arc[s - r + 1 : s + 1]).any()):
+                    self._go_on(word, arc, s, min(n, s + SEGMENT), allowed)
+                else:
+                    arc[s + 1 : s + len(part) - k + 1] = own[k:]
+        view, lengths, ids, at = memoryview(arc), self.length.tolist(), [], n
+        while at:
+            t = view[at]
+            ids.append(t)
+            at -= lengths[t]
+        return np.array(ids[::-1], np.uint32)
+
+    def _go_on(self, word: bytes, arc: np.ndarray, a: int, b: int, allowed: dict[int, bool]) -> None:
+        """The arcs of the places after ``a`` up to ``b``, place by place from those before; ``allowed`` is a memory of a bounded size."""
+        low = max(0, a - self.reach)
+        raw = np.frombuffer(word[low:b], np.uint8)
+        start, token = self.matches(raw, len(raw) - np.arange(len(raw)))
+        start, end = start + low, start + low + self.length[token]
+        order = np.flatnonzero(end > a)
+        order = order[np.argsort(end[order], kind="stable")]
+        view = memoryview(arc)
+        if len(allowed) > 200_000:
+            allowed.clear()
         for s, t, e in zip(start[order].tolist(), token[order].tolist(), end[order].tolist(), strict=True):
-            if place[s] == 0:
-                arc[e] = t
+            if view[e] >= 0:
                 continue
-            pair = (int(arc[s]), t)
-            ok = self.allowed.get(pair)
-            if ok is None:
-                if len(self.allowed) > 100_000:
-                    self.allowed.clear()
-                ok = self.allowed[pair] = self._arc(*pair)
-            if ok:
-                arc[e] = t
+            if s:
+                pair = view[s] << 32 | t
+                ok = allowed.get(pair)
+                if ok is None:
+                    ok = allowed[pair] = self._arc(view[s], t)
+                if not ok:
+                    continue
+            view[e] = t
 
 
 class Lookup:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -66,3 +67,33 @@ def test_small_tables_and_parts_give_the_same_ids(library, monkeypatch):
     c.pieces = pieces.PieceTable(c._learn, c._with_special, list(c.special), entries=256)
     assert [list(memoryview(c.encode(t)).cast("I")) for t in texts] == want
     assert c.pieces.n <= 256
+
+
+@pytest.mark.parametrize("segment,segments,warm", [(384, 512, 128), (64, 3, 20), (70, 5, 2), (64, 4, 0)])
+def test_long_unbroken_words(library, monkeypatch, segment, segments, warm):
+    rng = random.Random(9)
+    n = 60_000 if segment == 384 else 4000
+    texts = ["".join(rng.choices(x, k=n)) for x in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "éèà", "ABCxyz019+/", ["the", "tion", "ing", "national", "er"])]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n)), " " * n, "-" * n, "=-" * n, "x" * 63 + " " + "y" * 64 + " " + "z" * 65, "-" * segment, "a" * (segment + 1)]
+    monkeypatch.setattr(bpe, "SEGMENT", segment)
+    monkeypatch.setattr(bpe, "SEGMENTS", segments)
+    monkeypatch.setattr(bpe, "WARM", warm)
+    redone = []
+    go_on = bpe.Automaton._go_on
+    monkeypatch.setattr(bpe.Automaton, "_go_on", lambda self, *x: redone.append(1) or go_on(self, *x))
+    c = bpe.Codec(PATH)
+    for t in texts:
+        ids = c.encode(t)
+        assert list(memoryview(ids).cast("I")) == library.encode(t, add_special_tokens=False).ids
+        assert c.decode(ids) == t
+    assert bool(redone) == (warm < 100)
+
+
+def test_a_long_word_takes_bounded_memory():
+    c, word = bpe.Codec(PATH), "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz", k=1_500_000))
+    c.encode("warm up")
+    tracemalloc.start()
+    assert len(c.encode(word)) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # was some 400 bytes for each byte of the word
