@@ -45,8 +45,64 @@ def gram(df: DataFrame, column: str = "embedding", normalise: bool = True) -> tu
     return int(v[0, -1]), v[0, :-1], v[1:, :-1]
 
 
+#: Vectors of more numbers are fitted by a sketch, if few directions are asked for.
+WIDE = 256
+#: Directions of a sketch beyond those asked for, and its passes over the rows.
+EXTRA, PASSES = 10, 4
+
+
+def _products(df: DataFrame, q: np.ndarray, column: str, normalise: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, their sum, and the sum of x (x'q): D rows of a few numbers a task, added up by Spark."""
+    shared = df.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        n, s, y = 0, 0.0, 0.0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                x = _rows(batch.column(0).slice(i, 1024))
+                x = blocks.unit_rows(x) if normalise else x
+                n, s, y = n + len(x), s + x.sum(0), y + x.T @ (x @ shared.value)
+        if n:
+            values = np.column_stack((np.full(len(s), float(n)), s, y))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s), dtype=np.int32)), flat], ["i", "v"])
+
+    parts = df.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "i int, v array<double>")
+    total = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("i", vector_to_array("v").alias("v")).orderBy("i").toArrow()  # D rows
+    v = blocks.matrix(total.column(1))
+    return int(v[0, 0]), v[:, 1], v[:, 2:]
+
+
+def sketch_subspace(df: DataFrame, k: int, column: str = "embedding", normalise: bool = True, passes: int = PASSES, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As fit_subspace(), by a randomised range finder: each pass multiplies the covariance with k + EXTRA directions.
+
+    A task sends D x (k + EXTRA) numbers in place of D x D. The directions start from a seeded sample and are orthonormal
+    after each pass; the last pass gives the variances inside what they span.
+    """
+    first = df.select(F.size(column).alias("d")).where("d >= 0").head()
+    if first is None:
+        raise ValueError("no rows to fit a subspace to")
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(first.d, min(first.d, k + EXTRA))))
+    for i in range(passes):
+        n, s, y = _products(df, q, column, normalise)
+        mean = s / n
+        y = y / n - np.outer(mean, mean @ q)
+        if i < passes - 1:
+            q, _ = np.linalg.qr(y)
+    small = q.T @ y
+    value, vector = np.linalg.eigh((small + small.T) / 2)
+    v = (q @ vector[:, ::-1][:, :k]).T
+    return mean, v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None], np.maximum(value[::-1][:k], 0)
+
+
 def fit_subspace(df: DataFrame, k: int, column: str = "embedding", normalise: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, top k directions (rows; the greatest loading positive) and variances of the (normalised) vectors."""
+    """Mean, top k directions (rows; the greatest loading positive) and variances of the (normalised) vectors.
+
+    Exact from the Gram matrix; vectors wider than ``WIDE`` of which few directions are asked for go by sketch_subspace().
+    """
+    first = df.select(F.size(column).alias("d")).where("d >= 0").head()
+    if first is not None and first.d > WIDE and 4 * (k + EXTRA) < first.d:
+        return sketch_subspace(df, k, column, normalise)
     n, s, g = gram(df, column, normalise)
     mean = s / n
     value, vector = np.linalg.eigh(g / n - np.outer(mean, mean))

@@ -431,6 +431,33 @@ def pca_project(spark, sf):
     return project(p.select("vec_id", "embedding"), mean, v, normalise=True).select("vec_id", rounded("projection", 4).alias("projection"))
 
 
+@query("h13_pca_norms", f"""WITH {P}, u AS (SELECT vec_id, split, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS u FROM p), d AS (SELECT vec_id, split, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u),
+m AS (SELECT i, avg(x) AS m FROM d WHERE split = 'train' GROUP BY i) SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS norm FROM d JOIN m USING (i) GROUP BY vec_id""")
+def pca_norms(spark, sf):
+    """A projection on all directions keeps each row's distance to the mean: the directions are orthonormal and whole."""
+    from ..operators.subspace import fit_subspace, project
+
+    p = patches(spark, sf)
+    width = p.select(F.max(F.size("embedding"))).head()[0]
+    mean, v, _ = fit_subspace(p.where("split = 'train'"), width)
+    rows = project(p.select("vec_id", "embedding"), mean, v, normalise=True)
+    return rows.select("vec_id", F.round(F.aggregate("projection", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+@query("h14_whitened_covariance", "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covariance FROM range(8) a(i), range(8) b(j)")
+def whitened_covariance(spark, sf):
+    """Projections over the root of their variances have the unit covariance over the rows that they were fitted to."""
+    import numpy as np
+
+    from ..operators.subspace import fit_subspace, project
+
+    p = patches(spark, sf).select("vec_id", "embedding")
+    mean, v, variance = fit_subspace(p, 8, normalise=False)
+    rows = project(p, mean, v / np.sqrt(variance)[:, None]).select("vec_id", F.posexplode("projection").alias("i", "x"))
+    pairs = rows.join(rows.select("vec_id", F.col("i").alias("j"), F.col("x").alias("y")), "vec_id")  # 8 x 8 a row
+    return pairs.groupBy("i", "j").agg((F.round(F.avg(F.col("x") * F.col("y")), 6) + 0.0).alias("covariance"))
+
+
 @query("h14_whiten")
 def whiten(spark, sf):
     from ..operators.subspace import fit_subspace
