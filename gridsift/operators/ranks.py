@@ -20,16 +20,20 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return at.withColumn("_task", F.shiftright("_at", 33)).join(F.broadcast(tasks), "_task").withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_task", "_offset")
 
 
-def with_range(df: DataFrame, keys: list[str], column: str, lo: str = "_lo", hi: str = "_hi") -> DataFrame:
-    """``df`` with the least and greatest ``column`` of each row's group: aggregated first, then joined back; null keys are a group."""
-    found = df.groupBy(*keys).agg(F.min(column).alias(lo), F.max(column).alias(hi))
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the other columns of ``right``, one row a group; null keys are a group, and without keys there is one row."""
     if not keys:
-        return df.join(F.broadcast(found), F.lit(True))  # one row
-    own = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], lo, hi)
+        return left.join(F.broadcast(right), F.lit(True), how)
+    own = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(own, same).drop(*[f"_k_{k}" for k in keys])
+    return left.join(own, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def with_range(df: DataFrame, keys: list[str], column: str, lo: str = "_lo", hi: str = "_hi") -> DataFrame:
+    """``df`` with the least and greatest ``column`` of each row's group: aggregated first, then joined back; null keys are a group."""
+    return joined(df, df.groupBy(*keys).agg(F.min(column).alias(lo), F.max(column).alias(hi)), keys, "inner")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], prefix: str = "_prev_") -> DataFrame:
@@ -51,3 +55,26 @@ def with_previous(df: DataFrame, keys: list[str], order: list[Column], columns:
     found = at.withColumn("_own", F.lag(row).over(Window.partitionBy("_task", *keys).orderBy("_at"))).join(before, same)
     there = F.coalesce("_own", "_before")
     return found.select(*df.columns, *[there[c].alias(f"{prefix}{c}") for c in columns])
+
+
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """keys and, by name, the exact quantile (linear between ranks) of a column in each group; nulls do not count, a group of nulls has null.
+
+    Values go through a range sort, tasks count their share of each group, and only the two rows around each quantile are
+    looked up: nothing buffers a group, whatever its size.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(float(f)).alias("_f"), c.cast("double").alias("_x")) for name, (c, f) in wanted.items()])
+    by = [*keys, "_name"]
+    rows = df.select(*keys, F.explode(named).alias("_v")).select(*keys, "_v.*").where("_x IS NOT NULL")
+    rows = rows.repartitionByRange(parts, *by, "_x").sortWithinPartitions(*by, "_x").withColumn("_at", F.monotonically_increasing_id())
+    rows = staged(rows.withColumn("_task", F.shiftright("_at", 33)), "values-in-order")
+    pieces = rows.groupBy(*by, "_f", "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_task")) - F.col("_n")  # at most one row a task
+    pieces = pieces.withColumn("_before", before).withColumn("_place", (F.sum("_n").over(Window.partitionBy(*by)) - 1) * F.col("_f"))
+    lo, hi = F.floor("_place"), F.ceil("_place")
+    ends = F.when(lo == hi, F.array(F.struct(lo.alias("r"), F.lit(1.0).alias("w")))).otherwise(F.array(F.struct(lo.alias("r"), (hi - F.col("_place")).alias("w")), F.struct(hi.alias("r"), (F.col("_place") - lo).alias("w"))))
+    ends = pieces.select("_first", "_before", "_n", F.explode(ends).alias("_e")).where((F.col("_e.r") >= F.col("_before")) & (F.col("_e.r") < F.col("_before") + F.col("_n")))
+    ends = ends.select((F.col("_first") + F.col("_e.r") - F.col("_before")).alias("_want"), F.col("_e.w").alias("_w"))  # at most two rows a group and name
+    found = rows.join(ends, F.col("_at") == F.col("_want")).groupBy(*keys).agg(*[F.sum(F.when(F.col("_name") == name, F.col("_x") * F.col("_w"))).alias(name) for name in wanted])
+    return joined(df.groupBy(*keys).agg(F.count("*").alias("_rows")), found, keys).drop("_rows")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks
 from ..functions.geometry import patch_to_point
 from ..functions.vectors import EPSILON, vector_mean, weighted_vector_mean
-from .ranks import with_range
+from .ranks import joined, quantiles, with_range
 
 
 def density(score: str, threshold: float):
@@ -59,11 +59,13 @@ def gt_score_threshold(maps: DataFrame, keys: list[str], method: str, margin: fl
     """keys, threshold from true and false scores: 'mean', 'median' or 'min' of the true less a margin, 'max_false' plus it, 'midpoint', or 'youden'."""
     t, f = F.when(F.col(truth), F.col("score")), F.when(~F.col(truth), F.col("score"))
     simple = {
-        "mean": F.avg(t) - margin, "median": F.median(t) - margin, "min": F.min(t) - margin,
+        "mean": F.avg(t) - margin, "min": F.min(t) - margin,
         "max_false": F.max(f) + margin, "midpoint": (F.avg(t) + F.avg(f)) / 2,
     }
     if method in simple:
         return maps.groupBy(*keys).agg(simple[method].alias("threshold"))
+    if method == "median":
+        return quantiles(maps, keys, {"threshold": (t, 0.5)}).withColumn("threshold", F.col("threshold") - margin)
     if method != "youden":
         raise ValueError(f"unknown method {method!r}")
     g = maps.groupBy(*keys, "score").agg(F.sum(F.col(truth).cast("int")).alias("t"), F.sum((~F.col(truth)).cast("int")).alias("f"))
@@ -77,18 +79,21 @@ def gt_score_threshold(maps: DataFrame, keys: list[str], method: str, margin: fl
 def cluster_size_bounds(sizes: DataFrame, keys: list[str], method: str, m: float = 0.0, k: float = 1.0) -> DataFrame:
     """keys, lo, hi of cluster sizes: 'median', 'range', 'std' (population) or 'quartiles'; half-even rounded, at least 2."""
     s = F.col("size").cast("double")
-    lo, hi = {
-        "median": (F.median(s) - m, F.median(s) + m), "range": (F.min(s) - m, F.max(s) + m),
-        "std": (F.avg(s) - k * F.stddev_pop(s), F.avg(s) + k * F.stddev_pop(s)),
-        "quartiles": (F.percentile(s, F.lit(0.25)) - m, F.percentile(s, F.lit(0.75)) + m),
-    }[method]
     floor = lambda x: F.greatest(F.bround(x), F.lit(2)).cast("int")
+    if method in ("median", "quartiles"):
+        a, b = (0.5, 0.5) if method == "median" else (0.25, 0.75)
+        found = quantiles(sizes, keys, {"lo": (s, a), "hi": (s, b)})
+        return found.select(*keys, floor(F.col("lo") - m).alias("lo"), floor(F.col("hi") + m).alias("hi"))
+    lo, hi = {"range": (F.min(s) - m, F.max(s) + m), "std": (F.avg(s) - k * F.stddev_pop(s), F.avg(s) + k * F.stddev_pop(s))}[method]
     return sizes.groupBy(*keys).agg(floor(lo).alias("lo"), floor(hi).alias("hi"))
 
 
 def true_false_split(maps: DataFrame, keys: list[str], truth: str = "truth") -> DataFrame:
-    stats = lambda side, c: [f(c).alias(f"{side}_{n}") for n, f in (("min", F.min), ("mean", F.avg), ("median", F.median), ("max", F.max))]
-    return maps.groupBy(*keys).agg(*stats("true", F.when(F.col(truth), F.col("score"))), *stats("false", F.when(~F.col(truth), F.col("score"))))
+    t, f = F.when(F.col(truth), F.col("score")), F.when(~F.col(truth), F.col("score"))
+    stats = lambda side, c: [g(c).alias(f"{side}_{n}") for n, g in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    medians = quantiles(maps, keys, {"true_median": (t, 0.5), "false_median": (f, 0.5)})
+    found = joined(maps.groupBy(*keys).agg(*stats("true", t), *stats("false", f)), medians, keys)
+    return found.select(*keys, *[f"{side}_{n}" for side in ("true", "false") for n in ("min", "mean", "median", "max")])
 
 
 def otsu_threshold(maps: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,7 +115,7 @@ def roi_mask(maps: DataFrame, keys: list[str], method: str, value: float | None
     """Cells with a score above a cut: 'otsu', 'fixed' (value) or 'percentile' (value in 0..100, linear)."""
     if method == "fixed":
         return maps.where(F.col("score") > value)
-    cut = otsu_threshold(maps, keys) if method == "otsu" else maps.groupBy(*keys).agg(F.percentile("score", F.lit(value / 100)).alias("threshold"))
+    cut = otsu_threshold(maps, keys) if method == "otsu" else quantiles(maps, keys, {"threshold": (F.col("score"), value / 100)})
     return maps.join(cut, keys).where(F.col("score") > F.col("threshold")).drop("threshold")
 
 

@@ -68,3 +68,21 @@ def test_prototype_scores_by_blocks(spark, sf, monkeypatch):
     with pytest.raises(ValueError):
         monkeypatch.setattr(prototypes, "EXEMPLAR_TOKENS", 3)
         prototypes._few(p)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_quantiles(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rng = random.Random(8)
+        rows = [(rng.choice([None, "a", "b"]), None if rng.random() < 0.1 else float(rng.randrange(30)), i % 2) for i in range(200)] + [("hot", float(i % 7), 0) for i in range(300)] + [("nulls", None, 1), ("one", 4.0, 1)]
+        df = spark.createDataFrame(rows, "g string, x double, side int").repartition(4)
+        odd = F.when(F.col("side") == 1, F.col("x"))
+        for keys in (["g"], []):
+            got = {r.g if keys else 0: (r.m, r.q, r.o) for r in ranks.quantiles(df, keys, {"m": (F.col("x"), 0.5), "q": (F.col("x"), 0.9), "o": (odd, 0.25)}).collect()}
+            want = {r.g if keys else 0: (r.m, r.q, r.o) for r in df.groupBy(*keys).agg(F.median("x").alias("m"), F.percentile("x", F.lit(0.9)).alias("q"), F.percentile(odd, F.lit(0.25)).alias("o")).collect()}
+            assert got.keys() == want.keys()
+            for k, v in want.items():
+                assert all(a == b if b is None else a == pytest.approx(b) for a, b in zip(got[k], v, strict=True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
