@@ -81,7 +81,7 @@ class Automaton:
             table[list(own)] = list(own.values())
         self.has_gone = np.zeros(n, bool)
         self.has_gone[[u for u, vs in self.missing.items() if vs]] = True
-        self.length = np.zeros(n, np.int32)
+        self.length = np.zeros(n, np.int64)
         self.length[list(self.labels)] = [len(x) for x in self.labels.values()]
         self.reach = int(self.length.max())
 
@@ -125,7 +125,7 @@ class Automaton:
 
     def matches(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and tokens of all arcs that match within words; ``last`` is each byte's distance from its word's end."""
-        at = np.arange(len(raw), dtype=np.int32)
+        at = np.arange(len(raw))
         node = np.zeros(len(raw), np.int64)
         starts, tokens, k = [], [], 0
         while len(at):
@@ -149,6 +149,8 @@ class Automaton:
                 part = of[i : i + batch]
                 ids, n[part] = self._encode([words[w] for w in part])
                 found.append((part, ids))
+        if len(found) == 1 and n.all():  # all words side by side
+            return found[0][1], n
         for w in np.flatnonzero(size > SEGMENT):
             ids = self._encode_long(words[w])
             n[w] = len(ids)
@@ -168,7 +170,7 @@ class Automaton:
         first = np.cumsum(size) - size
         raw = np.frombuffer(b"".join(words), np.uint8)
         left = np.repeat(first + size, size) - np.arange(len(raw))
-        place = (np.arange(len(raw)) - np.repeat(first, size)).astype(np.int32)
+        place = np.arange(len(raw)) - np.repeat(first, size)
         start, token = self.matches(raw, left)
         end = start + self.length[token]
         arc = np.full(len(raw) + 1, -1, np.int64)
