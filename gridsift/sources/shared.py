@@ -17,8 +17,8 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-gridsift-")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, below the warehouse, or for a local master a temporary folder.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, the warehouse, or for a local master a temporary folder.
 
     A cluster without spark.checkpoint.dir must not have its warehouse in a folder of one machine.
     """
@@ -29,7 +29,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = spark.conf.get("spark.sql.warehouse.dir")
         if root.startswith(("file:", "/")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/gridsift-{uuid.uuid4().hex[:12]}-{name}"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/gridsift-{uuid.uuid4().hex[:12]}-{name}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
