@@ -8,34 +8,22 @@ import ctypes
 import functools
 import gc
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_root
+
 _NUMBER = itertools.count()
 _OWN = uuid.uuid4().hex[:12]
 _ROOTS: set[str] = set()
 
 
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-gridsift-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset, the warehouse, or for a local master a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own_dir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
-    root = f"{shared_dir(spark)}/gridsift-{_OWN}"
+    root = f"{shared_root(spark)}/gridsift-{_OWN}"
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(_drop_root, root)
