@@ -217,17 +217,19 @@ def spectral_labels(x: np.ndarray, k: int, neighbours: int, rounds: int = 60) ->
     return np.argsort(np.argsort(first))[inverse.reshape(n)]
 
 
-def open_mask(mask: np.ndarray, k: int) -> np.ndarray:
-    """Binary opening with a k x k square."""
-    return _window(_window(mask, k, np.min, False), k, np.max, True)
+def open_mask(mask: np.ndarray, k: int, inside: np.ndarray | None = None) -> np.ndarray:
+    """Binary opening with a k x k square; cells that are not ``inside`` count as those beyond the edge, and are false."""
+    inside = np.ones(mask.shape, bool) if inside is None else inside
+    return _window(_window(mask | ~inside, k, np.min, False) & inside, k, np.max, True) & inside
 
 
-def close_mask(mask: np.ndarray, times: int) -> np.ndarray:
-    """Binary closing with a 3 x 3 square: so many dilations, then so many erosions."""
+def close_mask(mask: np.ndarray, times: int, inside: np.ndarray | None = None) -> np.ndarray:
+    """Binary closing with a 3 x 3 square: so many dilations, then so many erosions; ``inside`` is as in open_mask()."""
+    inside = np.ones(mask.shape, bool) if inside is None else inside
     for _ in range(times):
-        mask = _window(mask, 3, np.max, True)
+        mask = _window(mask & inside, 3, np.max, True) & inside
     for _ in range(times):
-        mask = _window(mask, 3, np.min, True, pad=True)
+        mask = _window(mask | ~inside, 3, np.min, True, pad=True) & inside
     return mask
 
 

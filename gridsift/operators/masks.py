@@ -78,30 +78,36 @@ def mask_to_grid(pixels: DataFrame, keys: list[str], patch: int, how: str = "fra
     raise ValueError(f"unknown reduction {how!r}")
 
 
-def on_masks(df: DataFrame, keys: list[str], f, arguments: tuple = (), height: str = "height", width: str = "width", rle: str = "rle") -> DataFrame:
-    """Apply a numpy function to each run-length mask of ``df``; keys, height, width, rle of the results."""
+def on_masks(df: DataFrame, keys: list[str], f, arguments: tuple = (), height: str = "height", width: str = "width", rle: str = "rle", inside: str | None = None) -> DataFrame:
+    """Apply a numpy function to each run-length mask of ``df``; keys, height, width, rle of the results.
+
+    ``inside`` names a column with the run lengths of the cells that an incomplete grid has: the function gets them as its last argument.
+    """
     kept = [*keys, height, width, rle]
 
     def run(batches):
         for batch in batches:
             got, sizes = [], []
-            for h, w, r in zip(*(batch.column(kept.index(c)).to_pylist() for c in (height, width, rle)), strict=True):
-                m = f(blocks.rle_decode((h, w), r) if r else np.zeros((h, w), bool), *arguments)
+            for h, w, r, *i in zip(*(c.to_pylist() for c in batch.columns[len(keys) :]), strict=True):
+                m, *own = (blocks.rle_decode((h, w), x) if x else np.zeros((h, w), bool) for x in (r, *i))
+                m = f(m, *arguments, *own)
                 got.append(blocks.rle_encode(m))
                 sizes.append(m.shape)
             cols = [batch.column(i) for i in range(len(keys))] + [pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32()), pa.array(got, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, kept)
 
     rows = df.select(*keys, F.col(height).cast("int").alias(height), F.col(width).cast("int").alias(width), F.col(rle).cast("array<int>").alias(rle))
-    return rows.mapInArrow(run, rows.schema)
+    more = [] if inside is None else [F.col(inside).cast("array<int>").alias("_inside")]
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in rows.dtypes], *more).mapInArrow(run, rows.schema)
 
 
-def morph_open(df: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
-    return on_masks(df, keys, blocks.open_mask, (k,))
+def morph_open(df: DataFrame, keys: list[str], k: int = 20, inside: str | None = None) -> DataFrame:
+    """Openings; cells that are not ``inside`` (run lengths, see on_masks()) count as those beyond the edge."""
+    return on_masks(df, keys, blocks.open_mask, (k,), inside=inside)
 
 
-def morph_close(df: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
-    return on_masks(df, keys, blocks.close_mask, (times,))
+def morph_close(df: DataFrame, keys: list[str], times: int = 1, inside: str | None = None) -> DataFrame:
+    return on_masks(df, keys, blocks.close_mask, (times,), inside=inside)
 
 
 def mask_grid_share(df: DataFrame, keys: list[str], size: int, grid: int, threshold: float = 0.3) -> DataFrame:

@@ -534,20 +534,24 @@ _NEAR = lambda a, b, lo, hi: f"{b}.image_id = {a}.image_id AND {b}.\"row\" BETWE
 
 
 def _bit_masks(spark, sf):
-    p = patches(spark, sf).withColumn("bit", F.col("label") % 3 > 0)
-    return labels.runs(p, ["image_id"], ["row", "col"], "bit").withColumns({"height": F.lit(10), "width": F.lit(10)})
+    """Masks of whole grids, and as inside the cells that have a patch: an image's grid may be incomplete."""
+    p = patches(spark, sf)
+    bits = p.select("image_id", "row", "col", (F.col("label") % 3 > 0).alias("bit"), F.lit(True).alias("there"))
+    cells = geo.coordinate_grid(p.select("image_id").distinct(), GRID, GRID).join(bits, ["image_id", "row", "col"], "left").fillna(False, ["bit", "there"])
+    runs = lambda bit: labels.runs(cells, ["image_id"], ["row", "col"], bit)
+    return runs("bit").join(runs("there").withColumnRenamed("rle", "inside"), "image_id").withColumns({"height": F.lit(GRID), "width": F.lit(GRID)})
 
 
 @query("f5_morph_open", f"""WITH {P}, {_BITS}, e AS (SELECT a.image_id, a."row", a.col FROM g a JOIN g b ON {_NEAR("a", "b", 0, 1)} GROUP BY ALL HAVING bool_and(b.b))
 SELECT DISTINCT g.image_id, g."row", g.col FROM g JOIN e ON {_NEAR("g", "e", -1, 0)}""")
 def morph_open(spark, sf):
-    return masks.rle_cells(masks.morph_open(_bit_masks(spark, sf), ["image_id"], 2), ["image_id"])
+    return masks.rle_cells(masks.morph_open(_bit_masks(spark, sf), ["image_id"], 2, "inside"), ["image_id"])
 
 
 @query("f6_morph_close", f"""WITH {P}, {_BITS}, d AS (SELECT a.image_id, a."row", a.col, bool_or(b.b) AS b FROM g a JOIN g b ON {_NEAR("a", "b", -1, 1)} GROUP BY ALL)
 SELECT a.image_id, a."row", a.col FROM d a JOIN d b ON {_NEAR("a", "b", -1, 1)} GROUP BY ALL HAVING bool_and(b.b)""")
 def morph_close(spark, sf):
-    return masks.rle_cells(masks.morph_close(_bit_masks(spark, sf), ["image_id"], 1), ["image_id"])
+    return masks.rle_cells(masks.morph_close(_bit_masks(spark, sf), ["image_id"], 1, "inside"), ["image_id"])
 
 
 _UNIT = lambda v: f"list_transform({v}, lambda x: x / greatest(sqrt(list_dot_product({v}, {v})), 1e-12))"
