@@ -29,8 +29,9 @@ def resolve_layers(layers: int | list[int], depth: int) -> list[int]:
 def extract_features(images: DataFrame, load: Callable[[], Callable], layers: list[int], max_batch: int = 16, debias: np.ndarray | None = None) -> DataFrame:
     """Rows of CLS (row and col null) and patch vectors of each block, from image rows (image_id, content).
 
-    ``load()`` runs once in a task and gives embed(list of bytes) -> (cls (B, L, D), patches (B, L, H, W, D)); at most
-    ``max_batch`` images are embedded at once. Patches lose the directions of ``debias`` (orthonormal rows), if given.
+    ``load()`` runs once in a task and gives embed(list of bytes) -> (cls (B, L, D), patches (B, L, H, W, D)), and as a third
+    item, where images do not fill their grids, the cells that exist (B, H, W): others give no rows. At most ``max_batch``
+    images are embedded at once. Patches lose the directions of ``debias`` (orthonormal rows), if given.
     """
     if max_batch < 1:
         raise ValueError("max_batch must be positive")
@@ -41,7 +42,7 @@ def extract_features(images: DataFrame, load: Callable[[], Callable], layers: li
             for i in range(0, whole.num_rows, max_batch):
                 embed = embed or load()
                 ids, content = (c.to_pylist() for c in whole.slice(i, max_batch).columns)
-                cls, patches = embed(content)
+                cls, patches, *inside = embed(content)
                 for b, image in enumerate(ids):
                     for at, block in enumerate(layers):
                         grid = np.asarray(patches[b, at], float)
@@ -49,9 +50,11 @@ def extract_features(images: DataFrame, load: Callable[[], Callable], layers: li
                         flat = grid.reshape(-1, d)
                         if debias is not None:
                             flat = blocks.unit_rows(flat - (flat @ debias.T) @ debias)
-                        r, c = np.indices((h, w))
+                        there = np.asarray(inside[0][b], bool) if inside else np.ones((h, w), bool)
+                        r, c = np.nonzero(there)
+                        flat, n = flat[there.ravel()], len(r) + 1
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([image] * (h * w + 1)), pa.array([block] * (h * w + 1), pa.int32()), pa.array([None, *r.ravel().tolist()], pa.int32()), pa.array([None, *c.ravel().tolist()], pa.int32()), pa.array([np.asarray(cls[b, at], float).tolist(), *flat.tolist()], pa.list_(pa.float32()))],
+                            [pa.array([image] * n), pa.array([block] * n, pa.int32()), pa.array([None, *r.tolist()], pa.int32()), pa.array([None, *c.tolist()], pa.int32()), pa.array([np.asarray(cls[b, at], float).tolist(), *flat.tolist()], pa.list_(pa.float32()))],
                             ["image_id", "block", "row", "col", "embedding"],
                         )
 

@@ -169,9 +169,14 @@ def extract_features(spark, sf):
 
     def load():
         def embed(contents):
-            grids = np.array([[c["embedding"] for c in json.loads(x)] for x in contents])
+            images = [json.loads(x) for x in contents]
+            grids = np.zeros((len(images), GRID, GRID, len(images[0][0]["embedding"])))
+            inside = np.zeros(grids.shape[:3], bool)
+            for b, cells in enumerate(images):
+                at = b, [c["row"] for c in cells], [c["col"] for c in cells]
+                grids[at], inside[at] = [c["embedding"] for c in cells], True
             layers = np.stack([grids, 3 * grids], 1)
-            return layers.mean(2), layers.reshape(*layers.shape[:2], GRID, GRID, -1)
+            return layers.sum((2, 3)) / inside.sum((1, 2))[:, None, None], layers, inside
 
         return embed
 
