@@ -361,7 +361,7 @@ def seam_stats(spark, sf):
     return out.select("image_id", *[c if c.endswith("_n") else r6(c) for c in out.columns[1:]])
 
 
-@query("e26_mean_pairwise_similarity", f"""WITH {P} SELECT a.image_id, 100 AS n, round(avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) AS mean_similarity FROM p a JOIN p b ON a.image_id = b.image_id AND a.vec_id <> b.vec_id GROUP BY a.image_id""")
+@query("e26_mean_pairwise_similarity", f"""WITH {P} SELECT a.image_id, CAST(count(DISTINCT a.vec_id) AS INT) AS n, round(avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) AS mean_similarity FROM p a LEFT JOIN p b ON a.image_id = b.image_id AND a.vec_id <> b.vec_id GROUP BY a.image_id""")
 def pairwise(spark, sf):
     return reports.mean_pairwise_similarity(patches(spark, sf), KEY).select("image_id", F.col("n").cast("int").alias("n"), r6("mean_similarity"))
 
