@@ -182,7 +182,7 @@ def pooled(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def on_grids(maps: DataFrame, keys: list[str], f, height: int, width: int) -> DataFrame:
-    """Apply a numpy function to each map as an (H, W) array of scores; keys, row, col, score of the results."""
+    """Apply a numpy function to each map as an (H, W) array of scores, 0 where it has no row; keys, row, col, score of the results."""
 
     def run(t: pa.Table) -> pa.Table:
         g = np.zeros((height, width))

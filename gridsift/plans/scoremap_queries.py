@@ -476,7 +476,7 @@ def fgbg_classifier(spark, sf):
 
 
 @query("g16_upsample_map", f"""WITH {P}, {S}, t AS (SELECT DISTINCT image_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, least(greatest((r + 0.5::DOUBLE) / 3 - 0.5, 0), 9) AS y, least(greatest((c + 0.5::DOUBLE) / 3 - 0.5, 0), 9) AS x FROM s, range(30) a(r), range(30) b(c))
-SELECT t.image_id, t."row", t.col, round(sum(score * (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END)), 6) AS score
-FROM t, range(2) d(dy), range(2) e(dx), s WHERE s.image_id = t.image_id AND s."row" = least(floor(y) + dy, 9) AND s.col = least(floor(x) + dx, 9) GROUP BY ALL""")
+SELECT t.image_id, t."row", t.col, round(sum(coalesce(score, 0) * (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END)), 6) AS score
+FROM (SELECT * FROM t, range(2) d(dy), range(2) e(dx)) t LEFT JOIN s ON s.image_id = t.image_id AND s."row" = least(floor(y) + dy, 9) AND s.col = least(floor(x) + dx, 9) GROUP BY ALL""")
 def upsample(spark, sf):
     return scoremaps.upsample_map(scores(spark, sf).select("image_id", "row", "col", "score"), KEY, 10, 10, 30, 30).withColumn("score", F.round("score", 6))
