@@ -202,14 +202,17 @@ def upsample_map(maps: DataFrame, keys: list[str], height: int, width: int, to_h
 
 
 def box_smooth_vectors(patches: DataFrame, keys: list[str], size: int = 3) -> DataFrame:
-    """keys, row, col, embedding: means over the in-bounds part of a size x size box of each image's grid."""
+    """keys, row, col, embedding: means over the in-bounds part of a size x size box of each image's grid; cells without a row do not count."""
 
     def run(t: pa.Table) -> pa.Table:
         r, c = t.column("row").to_numpy(), t.column("col").to_numpy()
         v = np.asarray(t.column("embedding").to_pylist(), float)
         g = np.zeros((r.max() + 1, c.max() + 1, v.shape[1]))
-        g[r, c] = v
+        there = np.zeros((*g.shape[:2], 1))
+        g[r, c], there[r, c] = v, 1
         out = blocks.box_smooth(g, size)[r, c]
+        if not there.all():
+            out = out / blocks.box_smooth(there, size)[r, c]
         return pa.table({**{k: t.column(k) for k in keys}, "row": t.column("row"), "col": t.column("col"), "embedding": pa.array(out.tolist(), pa.list_(pa.float64()))})
 
     kinds = dict(patches.dtypes)
