@@ -303,11 +303,12 @@ SELECT image_id, round(avg(score), 4) AS image_score FROM t WHERE r <= greatest(
 def stream_anomaly_scores(spark, sf):
     p = patches(spark, sf)
     arriving, path = shared_path(spark, "arriving"), shared_path(spark, "stream-scores")
-    rows = p.select("image_id", "row", "col", "embedding")
+    number = p.where("embedding IS NOT NULL").groupBy("image_id").agg(F.count("*").alias("expected"))  # a grid may lack cells
+    rows = p.select("image_id", "row", "col", "embedding").join(number, "image_id")
     rows.repartition(3, "row").write.parquet(arriving)  # every image is cut across batches
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     bank = p.where("split = 'train'").withColumnRenamed("vec_id", "bank_id")
-    streams.stream_anomaly_scores(stream, bank, 3, path, shared_path(spark, "checkpoint"), GRID * GRID, 0.05).awaitTermination()
+    streams.stream_anomaly_scores(stream, bank, 3, path, shared_path(spark, "checkpoint"), "expected", 0.05).awaitTermination()
     return spark.read.schema("image_id string, image_score double").parquet(path).select("image_id", F.round("image_score", 4).alias("image_score"))
 
 

@@ -52,10 +52,10 @@ def _start(rows: DataFrame, mode: str, path: str, checkpoint: str, every: str |
 
 
 class _ImageScore(StatefulProcessor):
-    """Counts an image's patches and keeps as many of its greatest scores as its final mean takes."""
+    """Counts an image's patches and keeps as many of its greatest scores as its final mean takes; each patch knows how many are expected."""
 
-    def __init__(self, expected: int, share: float, wait: int | None):
-        self.expected, self.share, self.wait = expected, share, wait
+    def __init__(self, share: float, wait: int | None):
+        self.share, self.wait = share, wait
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -68,13 +68,13 @@ class _ImageScore(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         n, top, timer = self.seen.get() or (0, [], None)
-        top, latest = list(top), None
+        top, latest, expected = list(top), None, 0
         heapq.heapify(top)
         for r in rows:
-            n += 1
-            (heapq.heappush if len(top) < max(1, int(self.expected * self.share)) else heapq.heappushpop)(top, r.score)
+            n, expected = n + 1, r.expected
+            (heapq.heappush if len(top) < max(1, int(expected * self.share)) else heapq.heappushpop)(top, r.score)
             latest = r.at if latest is None or (r.at is not None and r.at > latest) else latest
-        if n >= self.expected:
+        if n >= expected:
             self.seen.clear()
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -98,11 +98,12 @@ class _ImageScore(StatefulProcessor):
 
 
 def stream_anomaly_scores(
-    patches: DataFrame, bank: DataFrame, k: int, path: str, checkpoint: str, expected: int, share: float = 0.01, every: str | None = None, time: str | None = None, wait_seconds: int | None = None, delay: str = "10 minutes"
+    patches: DataFrame, bank: DataFrame, k: int, path: str, checkpoint: str, expected: int | str, share: float = 0.01, every: str | None = None, time: str | None = None, wait_seconds: int | None = None, delay: str = "10 minutes"
 ) -> StreamingQuery:
     """Append image_id, image_score, patches, complete to Parquet at ``path`` once ``expected`` patches of an image have come, in any batches.
 
-    ``patches`` has image_id and embedding. A patch's score is the mean of its k least cosine distances to the bank, an
+    ``patches`` has image_id and embedding. ``expected`` is a number, or the name of a column with each image's own number
+    of patches, for images whose grids differ or lack cells. A patch's score is the mean of its k least cosine distances to the bank, an
     image's the mean of its largest share of them. With ``time`` (an event time) and ``wait_seconds``, an image that is
     still incomplete when the watermark (behind by ``delay``) is so much past its latest patch is written with what has
     come, as not complete; otherwise it waits. A patch that comes after its image was written counts for a new one. The
@@ -119,15 +120,16 @@ def stream_anomaly_scores(
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 _, value = blocks.top_k(np.round(blocks.unit_rows(blocks.matrix(part.column(2))) @ y.T, 12), k, ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.clip(1 - value, 0, 2).mean(1))], ["image_id", "at", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.clip(1 - value, 0, 2).mean(1))], ["image_id", "at", "expected", "score"])
 
     timed = time is not None and wait_seconds is not None
     at = F.unix_millis(F.col(time).cast("timestamp")) if timed else F.lit(None).cast("long")
-    rows = patches.where("embedding IS NOT NULL").select(F.col("image_id").cast("string").alias("image_id"), at.alias("at"), F.col("embedding").cast("array<double>").alias("v"))
-    scored = rows.mapInArrow(score, "image_id string, at long, score double")
+    number = (F.col(expected) if isinstance(expected, str) else F.lit(expected)).cast("long")
+    rows = patches.where("embedding IS NOT NULL").select(F.col("image_id").cast("string").alias("image_id"), at.alias("at"), F.col("embedding").cast("array<double>").alias("v"), number.alias("expected"))
+    scored = rows.mapInArrow(score, "image_id string, at long, expected long, score double")
     if timed:
         scored = scored.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", delay)
-    processor = _ImageScore(expected, share, 1000 * wait_seconds if timed else None)
+    processor = _ImageScore(share, 1000 * wait_seconds if timed else None)
     out = scored.groupBy("image_id").transformWithState(processor, "image_id string, image_score double, patches long, complete boolean", "Append", "EventTime" if timed else "None")
     return _start(out, "append", path, checkpoint, every)
 

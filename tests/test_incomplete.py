@@ -9,7 +9,7 @@ from gridsift.plans.registry import ORACLES, QUERIES
 
 from .test_queries import plain
 
-NAMES = ["f5_morph_open", "f6_morph_close", "k1_extract_features", "e26_mean_pairwise_similarity", "g16_upsample_map", "g2_box_smooth", "h1_memory_bank"]
+NAMES = ["f5_morph_open", "f6_morph_close", "k1_extract_features", "e26_mean_pairwise_similarity", "g16_upsample_map", "g2_box_smooth", "h1_memory_bank", "j1_stream_anomaly_scores"]
 
 
 @pytest.fixture(scope="module")
