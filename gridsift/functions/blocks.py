@@ -21,6 +21,35 @@ def top_k(similarity: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray,
     return np.take_along_axis(at, order, 1), np.take_along_axis(value, order, 1)
 
 
+#: Bank rows that a chunk of queries meets at once.
+BANK_ROWS = 4096
+
+
+def nearest_rows(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and values of the k greatest products of each row of ``x`` with the rows of ``y``, to 12 decimals, by value, then by id.
+
+    ``ids`` ascend. ``y`` comes in blocks of bounded rows, whatever its size; of a later block only products above a row's
+    k-th so far are looked at, since equal ones have greater ids.
+    """
+    k, step = min(k, len(y)), max(BANK_ROWS, k)
+    at, value = top_k(np.round(x @ y[:step].T, 12), k, ids[:step])
+    found = ids[:step][at]
+    for start in range(step, len(y), step):
+        s = x @ y[start : start + step].T
+        row, col = np.nonzero(s > (value[:, -1] + 4e-13)[:, None])
+        if not len(row):
+            continue
+        v = np.round(s[row, col], 12)
+        new = v > value[row, -1]
+        row, more, v = row[new], ids[start + col[new]], v[new]
+        own = np.unique(row)
+        rows, every, values = np.concatenate((np.repeat(own, k), row)), np.concatenate((found[own].ravel(), more)), np.concatenate((value[own].ravel(), v))
+        order = np.lexsort((every, -values, rows))
+        first = np.searchsorted(rows[order], own)[:, None] + np.arange(k)
+        found[own], value[own] = every[order][first], values[order][first]
+    return found, value
+
+
 def matrix(column) -> np.ndarray:
     """An Arrow column of equally long lists as a matrix of doubles."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column

@@ -1,6 +1,6 @@
 """Exact nearest-neighbour joins, and the scores built on them.
 
-Queries meet the bank as blocks of rows in numpy. A bank of at most ``BANK_BYTES`` is broadcast; a larger one is indexed
+Queries meet the bank as bounded blocks of rows in numpy. A bank of at most ``BANK_BYTES`` is broadcast; a larger one is indexed
 by pivots (pivots.py), and queries meet only the blocks that the triangle inequality leaves. No pair is ever a row.
 """
 
@@ -17,13 +17,21 @@ from ..functions import blocks
 from . import pivots
 from .coresets import coreset
 
-BANK_BYTES = 200 << 20
+#: Most bytes of a bank's vectors as doubles that each Python worker holds.
+BANK_BYTES = 64 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return blocks.unit_rows(blocks.matrix(column))
 
 
+def _shared(bank: DataFrame):
+    """A broadcast pair of ``bank`` (bank_id, v): ascending ids, and unit rows."""
+    got = bank.toArrow()
+    got = got.take(pa.array(np.argsort(got.column(0).to_numpy(), kind="stable")))
+    return bank.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1))))
+
+
 def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_id", bank_id: str = "bank_id", column: str = "embedding", bank_bytes: int | None = None) -> DataFrame:
     """query_id, rank, bank_id, similarity (cosine) of the k nearest bank rows of each query, ties by bank_id.
 
@@ -38,13 +46,12 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
         return query.sparkSession.createDataFrame([], out)
 
     def nearest(ids: np.ndarray, x: np.ndarray, bank_ids: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        at, value = blocks.top_k(np.round(x @ y.T, 12), k, bank_ids)
-        width = at.shape[1]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(ids))), pa.array(bank_ids[at].ravel()), pa.array(value.ravel())], ["query_id", "rank", "bank_id", "similarity"])
+        found, value = blocks.nearest_rows(x, y, bank_ids, k)
+        width = found.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(ids))), pa.array(found.ravel()), pa.array(value.ravel())], ["query_id", "rank", "bank_id", "similarity"])
 
     if size.n * size.d * 8 <= (BANK_BYTES if bank_bytes is None else bank_bytes):
-        got = bank.toArrow()
-        shared = query.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1))))
+        shared = _shared(bank)
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
@@ -57,14 +64,13 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
     return pivots.nearest(query, pivots.build(bank, size.n, size.d), k, size.d)
 
 
-def shared_bank(bank: DataFrame, bank_id: str = "bank_id", column: str = "embedding"):
-    """A bank of at most ``BANK_BYTES`` as a broadcast pair (ids, unit rows); a larger one is an error."""
+def shared_bank(bank: DataFrame, bank_id: str = "bank_id", column: str = "embedding", most: int = 200 << 20):
+    """A bank of at most ``most`` bytes as a broadcast pair (ascending ids, unit rows); a larger one is an error."""
     bank = bank.select(F.col(bank_id).cast("long").alias("bank_id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
     size = bank.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
-    if size.n * (size.d or 1) * 8 > BANK_BYTES:
+    if size.n * (size.d or 1) * 8 > most:
         raise ValueError("the bank is too large to broadcast")
-    got = bank.toArrow()
-    return bank.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1))))
+    return _shared(bank)
 
 
 def mutual_nn(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:

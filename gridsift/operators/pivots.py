@@ -26,8 +26,8 @@ from .retrieval import top_per_group
 
 #: Most pivots, and most bytes of their vectors as doubles, which every task holds.
 PIVOTS, PIVOT_BYTES = 1024, 32 << 20
-#: Vectors of one block, or of one chunk of queries, as doubles.
-BLOCK_BYTES = 64 << 20
+#: Vectors of one block, or of one chunk of queries, as doubles; a task holds both, and each once more as unit rows.
+BLOCK_BYTES = 32 << 20
 #: Bounds of queries to blocks that a task holds at once, and most bytes of query vectors that it hands on at once.
 BOUNDS, OUT_BYTES = 2_000_000, 8 << 20
 #: Bounds are lowered by so many radians, more than rounding makes of equal vectors.
@@ -94,11 +94,12 @@ def _meet(index: Index, met: DataFrame, k: int, chunk: int) -> DataFrame:
     def both(x: pa.Table, y: pa.Table) -> pa.Table:
         out = [pa.table({"query_id": pa.array([], pa.int64()), "bank_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})]
         if x.num_rows and y.num_rows:
+            y = y.take(pa.array(np.argsort(y.column("bank_id").to_numpy(), kind="stable")))
             bank_ids, m = y.column("bank_id").to_numpy(), blocks.unit_rows(blocks.matrix(y.column("v")))
-            ids, v = x.column("query_id").to_numpy(), blocks.unit_rows(blocks.matrix(x.column("v")))
-            for s in range(0, len(ids), 512):
-                at, value = blocks.top_k(np.round(v[s : s + 512] @ m.T, 12), k, bank_ids)
-                out.append(pa.table({"query_id": np.repeat(ids[s : s + 512], at.shape[1]), "bank_id": bank_ids[at].ravel(), "similarity": value.ravel()}))
+            for s in range(0, x.num_rows, 512):
+                part = x.slice(s, 512)
+                found, value = blocks.nearest_rows(blocks.unit_rows(blocks.matrix(part.column("v"))), m, bank_ids, k)
+                out.append(pa.table({"query_id": np.repeat(part.column("query_id").to_numpy(), found.shape[1]), "bank_id": found.ravel(), "similarity": value.ravel()}))
         return pa.concat_tables(out)
 
     return q.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInArrow(both, _FOUND)

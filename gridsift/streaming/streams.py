@@ -107,7 +107,7 @@ def stream_anomaly_scores(
     image's the mean of its largest share of them. With ``time`` (an event time) and ``wait_seconds``, an image that is
     still incomplete when the watermark (behind by ``delay``) is so much past its latest patch is written with what has
     come, as not complete; otherwise it waits. A patch that comes after its image was written counts for a new one. The
-    bank is broadcast once, when the stream starts; a larger one than knn.BANK_BYTES is an error (thin it to a core-set).
+    bank is broadcast once, when the stream starts; one of more than 200 MB is an error (thin it to a core-set).
     The stream ends with what is there now, or with ``every`` (such as '1 minute') runs on.
     """
     shared = shared_bank(bank)
@@ -119,7 +119,7 @@ def stream_anomaly_scores(
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                _, value = blocks.top_k(np.round(blocks.unit_rows(blocks.matrix(part.column(2))) @ y.T, 12), k, ids)
+                _, value = blocks.nearest_rows(blocks.unit_rows(blocks.matrix(part.column(2))), y, ids, k)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.clip(1 - value, 0, 2).mean(1))], ["image_id", "at", "expected", "score"])
 
     timed = time is not None and wait_seconds is not None

@@ -100,3 +100,25 @@ def test_principal_directions():
     mean, v, var = blocks.principal(x, 2)
     value, vector = np.linalg.eigh(np.cov(x.T))
     assert np.allclose(var, value[::-1][:2]) and np.allclose(np.abs(v @ vector[:, ::-1][:, :2]), np.eye(2), atol=1e-8) and (v[np.arange(2), np.abs(v).argmax(1)] > 0).all()
+
+
+@pytest.mark.parametrize("k,rows", [(1, 4), (3, 7), (5, 1000), (60, 5)])
+def test_nearest_rows_in_blocks_are_those_of_one_matrix(monkeypatch, k, rows):
+    rng = np.random.default_rng(k)
+    y = np.concatenate((rng.normal(size=(30, 5)), np.ones((20, 5))))[rng.permutation(50)]
+    x, ids = np.concatenate((rng.normal(size=(9, 5)), np.ones((2, 5)))), np.sort(rng.permutation(500)[:50])
+    at, want = blocks.top_k(np.round(x @ y.T, 12), k, ids)
+    monkeypatch.setattr(blocks, "BANK_ROWS", rows)
+    found, value = blocks.nearest_rows(x, y, ids, k)
+    assert (found == ids[at]).all() and (value == want).all()
+
+
+def test_nearest_rows_hold_no_row_of_a_whole_bank():
+    import tracemalloc
+
+    x, y = np.ones((512, 2)), np.random.default_rng(0).normal(size=(60_000, 2))
+    tracemalloc.start()
+    blocks.nearest_rows(x, y, np.arange(len(y)), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20  # all products alone are 245 MB
