@@ -187,17 +187,28 @@ class _Fold(StatefulProcessor):
         pass
 
 
+def _folded(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The fold as a streaming aggregate, which keeps each key's last operation, deletes too: the keys whose last one came in this batch."""
+    now = F.current_timestamp()  # one for all of a batch
+    last = F.max_by(F.struct(*[c for c in log.columns if c not in keys], "_came"), F.struct(*order))
+    rows = log.withColumn("_came", now).groupBy(*keys).agg(last.alias("_last")).where(F.col("_last._came") == now)
+    return rows.select(*keys, "_last.*").drop("_came")
+
+
 def stream_annotations(
     log: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, every: str | None = None, op: str = "op", time: str | None = None, keep_seconds: int = 0, delay: str = "10 minutes", initial: DataFrame | None = None
 ) -> StreamingQuery:
     """Fold an upsert/delete log by key in the state store, and append each batch's changed keys to Parquet at ``path``.
 
     Late or repeated operations lose by ``order`` (nulls first; of equal ones the later to come wins). A deleted key leaves
-    its place in the order behind. With ``time`` (an event time), operations older than the watermark (behind by ``delay``)
+    its place in the order behind. Without ``time`` and ``initial`` the fold is an aggregate, without Python in a key's way
+    (checkpoints of other versions are not gone on with); these need a processor of their own. With ``time`` (an event time), operations older than the watermark (behind by ``delay``)
     are dropped, and so is the place of a delete ``keep_seconds`` after the watermark has passed it; without, it stays.
     ``initial``, a table with the log's columns and at most one row a key, is where a new stream begins.
     read_annotations_state() reads the state. ``every`` is as in stream_anomaly_scores().
     """
+    if time is None and initial is None:
+        return _start(_folded(log, keys, order), "update", path, checkpoint, every)
     rest = T.StructType([f for f in log.schema.fields if f.name not in keys])
     out = T.StructType([*(log.schema[k] for k in keys), *rest.fields])
     at = (F.unix_millis(F.col(time).cast("timestamp")) if time else F.lit(None).cast("long")).alias("_at")
@@ -207,9 +218,14 @@ def stream_annotations(
     return _start(rows, "update", path, checkpoint, every)
 
 
-def read_annotations_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+def read_annotations_state(spark: SparkSession, checkpoint: str, op: str = "op") -> DataFrame:
     """The folded state of a stream_annotations() checkpoint after its last whole batch, without deleted keys."""
     with _state_store(spark):
+        if spark.read.format("state-metadata").load(checkpoint).head().operatorName == "stateStoreSave":
+            state = spark.read.format("statestore").option("path", checkpoint).load()
+            last = next(f.name for f in state.schema["value"].dataType if "_came" in f.dataType.fieldNames())
+            rows = state.select("key.*", F.col("value")[last].alias("_last")).select("*", "_last.*").drop("_last", "_came")
+            return rows.where(~F.col(op).eqNullSafe("delete"))
         return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load().select("key.*", "value.*")
 
 

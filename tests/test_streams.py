@@ -113,3 +113,11 @@ def test_tombstones_expire_and_states_begin(spark, tmp_path):
     assert run() == {("b", 14, 6)}
     add((15, "a", 8, "upsert", 91), (16, "c", 1, "upsert", 3))  # a's tombstone is gone, c comes too late
     assert run() == {("a", 15, 8), ("b", 14, 6)}
+
+
+def test_a_fold_without_times_keeps_python_out_of_its_keys(spark, tmp_path):
+    put(spark, tmp_path / "in", [(1, "a", 5, "upsert"), (2, "b", 5, "delete")])
+    assert fold(spark, tmp_path) == {("a", 1, 5)}
+    put(spark, tmp_path / "in", [(3, "a", 5, "upsert"), (4, "b", 5, "upsert"), (5, "b", 4, "upsert")])
+    assert fold(spark, tmp_path) == {("a", 3, 5), ("b", 4, 5)}  # of equal ones the later to come
+    assert {r.operatorName for r in spark.read.format("state-metadata").load(str(tmp_path / "cp")).collect()} == {"stateStoreSave"}
