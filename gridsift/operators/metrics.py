@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON
+from ..sources.shared import staged
 from .ranks import with_previous
 
 RANGES = 64
@@ -23,7 +24,8 @@ def score_counts(rows: DataFrame, keys: list[str], score: str = "score", target:
 
 
 def running_counts(counts: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFrame:
-    """``counts`` with tp, fp (sums over scores at least as great), and p, n (the group's totals)."""
+    """``counts`` with tp, fp (sums over scores at least as great), and p, n (the group's totals); the counts are made once."""
+    counts = staged(counts, "score-counts")
     edges = counts.groupBy(*keys).agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("_e"), F.sum("t").alias("p"), F.sum("f").alias("n"))
     rows = counts.join(edges, keys) if keys else counts.join(edges, how="cross")
     rows = rows.withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col("score")))).drop("_e")
@@ -92,11 +94,13 @@ def aupro(pixels: DataFrame, keys: list[str], region: str = "region_id", score:
     ``pixels`` has the region of each pixel (null outside). A pixel of a region weighs 1 / (its size x regions), so the
     mean overlap at a score is one running sum, whatever the number of regions.
     """
-    size = pixels.where(F.col(region).isNotNull()).groupBy(*keys, region).agg(F.count("*").alias("_s"))
+    pixels = pixels.groupBy(*keys, region, F.col(score).cast("double").alias(score)).agg(F.count("*").alias("_c"))
+    pixels = staged(pixels, "pixel-counts")
+    size = pixels.where(F.col(region).isNotNull()).groupBy(*keys, region).agg(F.sum("_c").alias("_s"))
     n = size.groupBy(*keys).agg(F.count("*").alias("_n"))
     inside = pixels.where(F.col(region).isNotNull()).join(size, [*keys, region])
-    inside = (inside.join(n, keys) if keys else inside.join(n, how="cross")).select(*keys, F.col(score).cast("double").alias("score"), (1.0 / (F.col("_s") * F.col("_n"))).alias("t"), F.lit(0.0).alias("f"))
-    outside = pixels.where(F.col(region).isNull()).select(*keys, F.col(score).cast("double").alias("score"), F.lit(0.0).alias("t"), F.lit(1.0).alias("f"))
+    inside = (inside.join(n, keys) if keys else inside.join(n, how="cross")).select(*keys, F.col(score).cast("double").alias("score"), (F.col("_c") / (F.col("_s") * F.col("_n"))).alias("t"), F.lit(0.0).alias("f"))
+    outside = pixels.where(F.col(region).isNull()).select(*keys, F.col(score).cast("double").alias("score"), F.lit(0.0).alias("t"), F.col("_c").cast("double").alias("f"))
     c = inside.unionByName(outside).groupBy(*keys, "score").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     r = running_counts(c, keys)
     x1, x0 = F.col("fp") / F.col("n"), (F.col("fp") - F.col("f")) / F.col("n")
