@@ -1,4 +1,4 @@
-"""Python data sources for folders of files: a sink of whole files with commit and abort, and a reader of mask archives.
+"""Python data sources for folders of files: a sink of whole files with commit and abort, and a reader of mask archives; listings.
 
 register() makes both known to a session: ``gridsift_files`` writes rows (name, content), ``gridsift_masks`` reads .npz
 archives of segmentations, bboxes and has_bbox.
@@ -17,10 +17,12 @@ from urllib.parse import quote, unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import blocks
+from .shared import staged
 
 FILES = "name string, content binary"
 MASKS = "image_id string, mask_id int, bbox array<int>, height int, width int, rle array<int>"
@@ -170,3 +172,45 @@ def write_files(rows, path: str, overwrite: bool = False) -> None:
     """Write rows (name, content) as files below ``path``: all of them, or none if the job fails."""
     register(rows.sparkSession)
     rows.select("name", "content").write.format("gridsift_files").mode("overwrite" if overwrite else "append").save(path)
+
+
+def _listed(name: str) -> bool:
+    """Whether Spark's file readers see a file or folder of that name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))))
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and length of the files below ``folder`` that Spark's file readers see, with their paths; files are not opened.
+
+    A level of folders is listed by one job, a folder by one task that holds its names; neither the driver nor a plan holds
+    any. Globs, a path of one file and file systems that Arrow does not know are left to Spark's binaryFile reader, which
+    plans a task for every few files.
+    """
+    try:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        known = not any(c in folder for c in "*?[{") and fs.get_file_info(root).type != pafs.FileType.File
+    except pa.ArrowInvalid:
+        known = False
+    if not known:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    root, whole = root.rstrip("/"), folder.rstrip("/")
+    prefix = "file:" if fs.type_name == "local" else whole.removesuffix(root) if whole.endswith(root) else f"{fs.type_name}://"
+    if fs.get_file_info(root or "/").type == pafs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+
+    def names(batches: Iterator[pa.RecordBatch]):
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found = [f for f in fs.get_file_info(pafs.FileSelector(at)) if _listed(f.base_name)]
+                for i in range(0, len(found), 10_000):
+                    part = found[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path for f in part], pa.string()), pa.array([f.size for f in part], pa.int64()), pa.array([f.type == pafs.FileType.Directory for f in part], pa.bool_())], ["at", "length", "folder"])
+
+    level, out = spark.createDataFrame([(root or "/",)], "at string"), None
+    while out is None or not level.isEmpty():
+        tasks = 1 if out is None else 4 * spark.sparkContext.defaultParallelism
+        listed = staged(level.repartition(tasks).mapInArrow(names, "at string, length long, folder boolean"), "names")
+        found = listed.where("NOT folder").select(F.concat(F.lit(prefix), "at").alias("path"), "length")
+        level, out = listed.where("folder").select("at"), found if out is None else out.unionByName(found)
+    return out

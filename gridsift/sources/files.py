@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from .archives import MASKS, escaped, register, write_files
+from .archives import MASKS, escaped, list_files, register, write_files
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 ANNOTATION = "class string, instance_id int, prompt_type string, prompt_content string, image_path string"
@@ -39,7 +39,7 @@ def part_and_role(name: str):
 
 def list_images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
     """path, length of image files below ``folder``, sorted, without those under an ``annotations`` folder; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    rows = list_files(spark, folder)
     fits = F.lower("path").rlike(r"\.(" + "|".join(extensions) + ")$")
     return rows.where(fits & ~F.array_contains(F.split("path", "/"), "annotations")).orderBy("path")
 

@@ -79,6 +79,23 @@ def test_partitions_are_sets_of_files(tmp_path, monkeypatch):
     assert [len(p.paths) for p in archives._MaskReader(str(tmp_path), "*.npz", []).partitions()] == [3, 3, 1]
 
 
+def test_listed_files_are_those_of_sparks_reader_and_none_is_scanned(spark, tmp_path):
+    root = tmp_path / "a b"
+    for name in ["x.png", "a/y.PNG", "a/b/c/é ü.jpeg", "a/annotations/n.png", "_temporary-1/t.png", ".h/t.png", "_k=1/p.png", "a/_s.png", "a/.s.png", "a/z._COPYING_", "a/t.txt", *[f"many/{i}.png" for i in range(90)]]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * len(name))
+    (root / "empty").mkdir()
+    for folder in (str(root), f"file://{tmp_path}/many", str(root / "x.png"), f"{tmp_path}/a*/a"):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+        assert sorted(archives.list_files(spark, folder).collect()) == sorted(want.collect())
+    found = files.list_images(spark, str(root))
+    assert [r.path.rsplit("/", 1)[1] for r in found.collect()][:4] == ["p.png", "é ü.jpeg", "y.PNG", "0.png"] and found.count() == 94
+    assert not any(f.endswith(".png") for f in found.inputFiles())
+    with pytest.raises(Exception):
+        files.list_images(spark, str(tmp_path / "absent"))
+
+
 def test_index_rows_meet_their_vectors_without_a_shuffle(spark, sf, tmp_path):
     from gridsift.plans.projection import patches
     from gridsift.sources import gallery
