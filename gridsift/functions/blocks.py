@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -50,6 +52,25 @@ def nearest_rows(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return found, value
 
 
+def greatest(x: np.ndarray, parts: Iterable[np.ndarray], k: int) -> np.ndarray:
+    """The k greatest products of each row of ``x`` with the rows of all ``parts``, to 12 decimals; one part is held at a time.
+
+    A block of products is small enough for a cache; only rows with one above their k-th so far are looked at again.
+    Products that are no numbers are left out; with fewer than k others, the rest is minus infinity.
+    """
+    value = np.full((len(x), k), -np.inf)  # ascending
+    for y in parts:
+        y = y[~np.isnan(y).any(1)]
+        for i in range(0, len(x), 128):
+            q, own = x[i : i + 128], value[i : i + 128]
+            for start in range(0, len(y), 1024):
+                s = q @ y[start : start + 1024].T
+                new = np.flatnonzero(s.max(1) > own[:, 0])
+                if len(new):
+                    own[new] = np.sort(np.partition(np.hstack((own[new], s[new])), -k, axis=1)[:, -k:], axis=1)
+    return np.round(value[:, ::-1], 12)
+
+
 def matrix(column) -> np.ndarray:
     """An Arrow column of equally long lists as a matrix of doubles."""
     column = column.combine_chunks() if hasattr(column, "combine_chunks") else column

@@ -6,19 +6,24 @@ by pivots (pivots.py), and queries meet only the blocks that the triangle inequa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from ..sources.shared import staged_path
 from . import pivots
 from .coresets import coreset
 
 #: Most bytes of a bank's vectors as doubles that each Python worker holds.
 BANK_BYTES = 64 << 20
+#: Of a larger bank that tasks read part by part, bytes of a part's vectors as doubles.
+PART_BYTES = 16 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,13 +69,28 @@ def knn_join(query: DataFrame, bank: DataFrame, k: int, query_id: str = "query_i
     return pivots.nearest(query, pivots.build(bank, size.n, size.d), k, size.d)
 
 
-def shared_bank(bank: DataFrame, bank_id: str = "bank_id", column: str = "embedding", most: int = 200 << 20):
-    """A bank of at most ``most`` bytes as a broadcast pair (ascending ids, unit rows); a larger one is an error."""
+def bank_parts(bank: DataFrame, bank_id: str = "bank_id", column: str = "embedding", bank_bytes: int | None = None) -> tuple[int, Callable[[], Iterator[np.ndarray]]]:
+    """The number of a bank's rows, and a function by which a task gets their unit rows, a bounded part at a time.
+
+    A bank of at most ``BANK_BYTES`` is broadcast. A larger one is written to the shared folder and read there part by part
+    by each task that asks, so neither the driver nor a worker ever holds it; Arrow must know that folder's file system.
+    """
     bank = bank.select(F.col(bank_id).cast("long").alias("bank_id"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
     size = bank.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
-    if size.n * (size.d or 1) * 8 > most:
-        raise ValueError("the bank is too large to broadcast")
-    return _shared(bank)
+    if size.n * (size.d or 1) * 8 <= (BANK_BYTES if bank_bytes is None else bank_bytes):
+        shared = _shared(bank)
+        return size.n, lambda: iter([shared.value[1]])
+    path, rows = staged_path(bank.select("v"), "bank", **{"parquet.block.size": str(PART_BYTES)}), max(1, PART_BYTES // (8 * size.d))
+
+    def parts() -> Iterator[np.ndarray]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        for f in fs.get_file_info(pafs.FileSelector(root)):
+            if f.base_name.endswith(".parquet"):
+                with fs.open_input_file(f.path) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(rows, use_threads=False):
+                        yield _matrix(batch.column(0))
+
+    return size.n, parts
 
 
 def mutual_nn(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:

@@ -42,14 +42,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. It goes at the driver's exit."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+def staged_path(df: DataFrame, name: str, **options) -> str:
+    """Write ``df`` as Parquet to a path in the shared folder, with options of the writer. It goes at the driver's exit."""
+    path = shared_path(df.sparkSession, name)
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append(path)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. It goes at the driver's exit."""
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name))
 
 
 def _drop_staged() -> None:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import blocks
-from ..operators.knn import shared_bank
+from ..operators.knn import bank_parts
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -107,26 +107,25 @@ def stream_anomaly_scores(
     image's the mean of its largest share of them. With ``time`` (an event time) and ``wait_seconds``, an image that is
     still incomplete when the watermark (behind by ``delay``) is so much past its latest patch is written with what has
     come, as not complete; otherwise it waits. A patch that comes after its image was written counts for a new one. The
-    bank is broadcast once, when the stream starts; one of more than 200 MB is an error (thin it to a core-set).
+    bank is taken once, when the stream starts: one of up to 64 MB is broadcast, of a larger one each task reads a part at a
+    time (see knn.bank_parts()). A batch's patches are dealt out evenly before they meet it, whatever files they came in.
     The stream ends with what is there now, or with ``every`` (such as '1 minute') runs on.
     """
-    shared = shared_bank(bank)
-    if len(shared.value[0]) < k:
+    size, parts = bank_parts(bank)
+    if size < k:
         raise ValueError("k is more than the bank's rows")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                _, value = blocks.nearest_rows(blocks.unit_rows(blocks.matrix(part.column(2))), y, ids, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.clip(1 - value, 0, 2).mean(1))], ["image_id", "at", "expected", "score"])
+            if batch.num_rows:
+                value = blocks.greatest(blocks.unit_rows(blocks.matrix(batch.column(2))), parts(), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.clip(1 - value, 0, 2).mean(1))], ["image_id", "at", "expected", "score"])
 
     timed = time is not None and wait_seconds is not None
     at = F.unix_millis(F.col(time).cast("timestamp")) if timed else F.lit(None).cast("long")
     number = (F.col(expected) if isinstance(expected, str) else F.lit(expected)).cast("long")
     rows = patches.where("embedding IS NOT NULL").select(F.col("image_id").cast("string").alias("image_id"), at.alias("at"), F.col("embedding").cast("array<double>").alias("v"), number.alias("expected"))
-    scored = rows.mapInArrow(score, "image_id string, at long, expected long, score double")
+    scored = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(score, "image_id string, at long, expected long, score double")
     if timed:
         scored = scored.withColumn("_time", F.timestamp_millis("at")).withWatermark("_time", delay)
     processor = _ImageScore(share, 1000 * wait_seconds if timed else None)

@@ -3,9 +3,11 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gridsift.functions import blocks
 from gridsift.operators import knn, labels, retrieval
 from gridsift.plans.projection import patches
 from gridsift.streaming import streams
@@ -47,6 +49,44 @@ def test_images_in_pieces_score_as_in_a_batch(spark, sf, tmp_path):
         streams.stream_anomaly_scores(q, bank.limit(2), 3, "", "", 100)
 
 
+def wide(ids):
+    return np.stack([np.random.default_rng(int(i)).normal(size=4096).astype(np.float32) for i in ids])
+
+
+def test_a_bank_of_more_than_200_mb_is_met_in_parts(spark, tmp_path):
+    def vectors(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                ids = b.column(0).slice(i, 500)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(list(wide(ids.to_numpy())), pa.list_(pa.float32()))], ["id", "embedding"])
+
+    rows = lambda a, b: spark.range(a, b, 1, 4).mapInArrow(vectors, "id long, embedding array<float>")
+    n = (200 << 20) // (8 * 4096) + 100
+    q = rows(10**6, 10**6 + 30).selectExpr("CAST(id % 3 AS STRING) AS image_id", "embedding")
+    q.coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(q.schema).parquet(str(tmp_path / "in"))
+    streams.stream_anomaly_scores(src, rows(0, n).withColumnRenamed("id", "bank_id"), 3, str(tmp_path / "out"), str(tmp_path / "cp"), 10, 0.2).awaitTermination()
+    x, y = (blocks.unit_rows(wide(i).astype(float)) for i in (np.arange(10**6, 10**6 + 30), np.arange(n)))
+    far = np.sort(1 - x @ y.T, axis=1)[:, :3].mean(1)
+    want = {str(i): round(float(np.sort(far[np.arange(10**6, 10**6 + 30) % 3 == i])[-2:].mean()), 9) for i in range(3)}
+    assert scores_of(spark, tmp_path / "out") == {i: (pytest.approx(v, abs=2e-9), 10, True) for i, v in want.items()}
+
+
+def test_parts_of_a_bank(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(2500, 8))
+    y[7, 2] = np.nan  # near to none
+    y[100:130] = y[5]
+    x = blocks.unit_rows(np.concatenate((y[5:6], rng.normal(size=(300, 8)))))
+    want = -np.sort(-np.delete(x @ blocks.unit_rows(y).T, 7, 1), axis=1)[:, :4]
+    bank = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "bank_id long, embedding array<double>").repartition(3)
+    for most in (None, 0):
+        n, parts = knn.bank_parts(bank, bank_bytes=most)
+        assert n == 2500 and len(list(parts())) == (1 if most is None else 3)
+        assert np.allclose(blocks.greatest(x, parts(), 4), want, atol=1e-12)
+    assert np.isinf(blocks.greatest(x, [blocks.unit_rows(y[:2])], 4)).sum(1).tolist() == [2] * 301
+
+
 def test_incomplete_images_are_written_by_a_timer(spark, tmp_path):
     rng, start = np.random.default_rng(1), datetime(2024, 1, 1)
     schema = "image_id string, t timestamp, embedding array<double>"
