@@ -306,7 +306,7 @@ def stream_anomaly_scores(spark, sf):
     number = p.where("embedding IS NOT NULL").groupBy("image_id").agg(F.count("*").alias("expected"))  # a grid may lack cells
     rows = p.select("image_id", "row", "col", "embedding").join(number, "image_id")
     files = spark.sparkContext.defaultParallelism  # of a batch, of which there are three
-    rows.repartition(3 * files, "image_id", "row").write.parquet(arriving)  # images are cut across batches
+    rows.repartition(3 * files).write.parquet(arriving)  # images are cut across batches
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(arriving)
     bank = p.where("split = 'train'").withColumnRenamed("vec_id", "bank_id")
     streams.stream_anomaly_scores(stream, bank, 3, path, shared_path(spark, "checkpoint"), "expected", 0.05).awaitTermination()
