@@ -46,7 +46,10 @@ class _Written(WriterCommitMessage):
 
 
 class _FileWriter(DataSourceWriter):
-    """A task writes into a folder of its own below _temporary; commit moves those of the tasks that count, abort drops all."""
+    """A task writes into a folder of its own below _temporary; commit moves those of the tasks that count, abort drops all.
+
+    The driver makes _temporary, tasks never do: one that outlives its job's abort fails and leaves nothing.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
@@ -55,6 +58,11 @@ class _FileWriter(DataSourceWriter):
         fs, root = pafs.FileSystem.from_uri(self.path)
         return fs, root, f"{root}/_temporary-{self.job}"
 
+    def begin(self) -> _FileWriter:
+        fs, _, temporary = self._root()
+        fs.create_dir(temporary, recursive=True)
+        return self
+
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, _, temporary = self._root()
         folder, made = f"{temporary}/{uuid.uuid4().hex}", set()
@@ -62,10 +70,11 @@ class _FileWriter(DataSourceWriter):
             parts = row.name.split("/")
             if any(p in ("", ".", "..") for p in parts):
                 raise ValueError(f"not a file name: {row.name!r}")
-            inside = "/".join([folder, *parts[:-1]])
-            if inside not in made:
-                fs.create_dir(inside, recursive=True)
-                made.add(inside)
+            for i in range(len(parts)):
+                inside = "/".join([folder, *parts[:i]])
+                if inside not in made:
+                    fs.create_dir(inside, recursive=False)
+                    made.add(inside)
             with fs.open_output_stream(f"{inside}/{parts[-1]}") as f:
                 f.write(row.content or b"")
         return _Written(folder if made else None)
@@ -89,7 +98,8 @@ class _FileWriter(DataSourceWriter):
     @staticmethod
     def _drop(fs: pafs.FileSystem, folder: str) -> None:
         if fs.get_file_info(folder).type == pafs.FileType.Directory:
-            fs.delete_dir(folder)
+            fs.move(folder, f"{folder}-gone")  # from here on, tasks that still run find no folder
+            fs.delete_dir(f"{folder}-gone")
 
 
 class FileSink(DataSource):
@@ -103,7 +113,7 @@ class FileSink(DataSource):
         return FILES
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _FileWriter(self.options["path"], overwrite)
+        return _FileWriter(self.options["path"], overwrite).begin()
 
 
 @dataclass

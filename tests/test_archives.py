@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gridsift.sources import archives, files
@@ -35,6 +36,24 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert not (tmp_path / "x").exists()
 
 
+def test_a_task_that_outlives_its_job_leaves_no_file(tmp_path):
+    row = lambda i: Row(name=f"set/{i % 2}/f{i}", content=b"x")
+    writer = archives.FileSink({"path": str(tmp_path / "out")}).writer(None, False)
+
+    def late():
+        yield row(1)
+        writer.abort([])
+        yield from (row(i) for i in range(2, 5))
+
+    for rows in (late(), iter([row(5)])):
+        with pytest.raises(OSError):
+            writer.write(rows)
+        assert list((tmp_path / "out").iterdir()) == []
+    writer = archives.FileSink({"path": str(tmp_path / "out")}).writer(None, False)
+    writer.commit([writer.write(iter([row(1), row(2), row(3)])), writer.write(iter([]))])
+    assert [p.split("/", 1)[1] for p in below(tmp_path / "out")] == ["set/0/f2", "set/1/f1", "set/1/f3"]
+
+
 def test_names_come_back(spark, tmp_path):
     ids = ["a/b", "..", "x.npz", "a%2Fb", "é ü"]
     cells = spark.createDataFrame([(i, m, m, 1) for i in ids for m in (0, 1)], "image_id string, mask_id int, row int, col int")
